@@ -161,6 +161,7 @@ def decontaminate(
         ),
     )
     by_text = by_text.select("ck1", "ck2", covered["n"].alias("hit"), F.size("items").cast("long").alias("found"), F.sha2(F.array_join("items", ","), 256).alias("digest"))
+    by_text = stored(by_text, "hits")  # a stored side lets a join on a hot text be split
     text = text_or_empty(text_col)
     rows = docs.select(id_col, *content_key(text), F.size(word_array(text)).cast("long").alias("n_words"))
     return rows.join(by_text, ["ck1", "ck2"], "left").select(

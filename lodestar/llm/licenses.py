@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import content_key, folded, text_or_empty, word_array
+from lodestar.llm.common import content_key, folded, stored, text_or_empty, word_array
 
 # Phrases with their labels.
 BASE_PHRASES = (
@@ -116,6 +116,7 @@ def license_spans(
             F.first("n_template").alias("n_template"),
         )
     )
+    diagonals = stored(diagonals, "diagonals")  # read twice below; a text's votes are made once
     base = diagonals.where("base AND bit_count(votes) = n_grams").select(
         "ck1", "ck2", "label", "base", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("n_template")).alias("stop"), F.lit(1.0).alias("cover")
     )
@@ -162,6 +163,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             F.count("*").alias("n_spans"),
         )
     )
+    found = stored(found, "licenses")  # a stored side lets a join on a hot text be split
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias(id_col), *content_key(text), F.size(word_array(text)).cast("long").alias("n_words"))
     return rows.join(found, ["ck1", "ck2"], "left").select(
