@@ -1,57 +1,78 @@
 """Benchmark decontamination by a positional inverted index, on DataFrame operations alone.
 
 1. Count, over all training texts, how often each word of the test set occurs.
-2. Each test window is probed by its rarest words. Postings (text, word,
-   position) of the probe words are stored as a table in the shared folder.
-3. A posting of word ``t`` at position ``p`` that stands at offset ``o`` of a
-   window says that the window may start at ``p - o``. The lists are
-   intersected on (text, window, start): only starts that every probe names
-   are left. They begin with the rarest word, so a start costs as much as the
-   rarest list is long.
-4. The starts that are left are compared with the text, word by word.
-
-Words are those of the A-Z fold; the index folds all letters, which can only
-add starts, and step 4 removes them.
+2. Each test window is probed by its rarest words, rarest first. The posting
+   lists (text, word, position) of the rarest ones are walked; a posting at
+   position ``p`` of a word that stands at offset ``o`` of a window says that
+   the window may start at ``p - o``. The index is partitioned by text, so the
+   offset-adjusted lists of the next rarest words are intersected where they
+   are, before anything is shuffled: does the word list of this text hold them
+   at ``p - o`` plus their own offsets? A start costs as much as the rarest
+   list is long.
+3. Starts that every probe names are compared with the text word by word, and
+   what is left is stored in the shared folder as the table of exact matches.
+
+Words are those of the A-Z fold; the lists fold all letters, which can only
+add starts, and step 3 removes them. Test windows are broadcast in blocks of
+``BLOCK`` at most, so a test set of any size needs bounded memory.
 
 Defined cases: null and empty texts have no words and are never hit; items
-without words have no windows; repeated rows each get their text's result;
-null ids are carried through; other columns are not read.
+without words have no windows; an item without an id is found but not named;
+repeated rows each get their text's result; null ids are carried through;
+other columns are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import ascii_folded, content_key, folded, stored, text_or_empty, word_array
+from lodestar.llm.common import ascii_folded, content_key, stored, text_or_empty, word_array
 
 #: A side is broadcast only if it holds no more rows than this (some MB).
 BROADCAST_ROWS = 50_000
+#: Test windows in a block.
+BLOCK = 50_000
 
 
 def test_windows(benchmark: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Distinct windows: item, wid, n (words), exact (words), word (folded words)."""
+    """Distinct windows of each item: item, wid, n (words), exact (words)."""
     text = text_or_empty(text_col)
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), word_array(ascii_folded(text)).alias("w")).where("size(w) > 0")
     starts = items.select("item", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - width, F.lit(0)))).alias("at"))
     windows = starts.select("item", F.slice("w", F.col("at") + 1, width).alias("exact")).distinct()
-    return windows.select(
-        "item",
-        "exact",
-        F.size("exact").alias("n"),
-        F.xxhash64("exact").alias("wid"),
-        F.transform("exact", lambda x: folded(x)).alias("word"),
-    )
+    return windows.select("item", F.xxhash64("exact").alias("wid"), F.size("exact").alias("n"), "exact")
 
 
 def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _placed(docs: DataFrame, text: Column) -> DataFrame:
-    """(ck1, ck2, pos, term): every word of every text with its place."""
-    words = docs.select(*content_key(text), word_array(folded(text)).alias("words"))
-    return words.select("ck1", "ck2", F.posexplode_outer("words").alias("pos", "term"))
+def _placed(docs: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """(ck1, ck2, pos, term): every word of every text, folded, with its place; ``keep``: words, the text's list."""
+    words = docs.select(*content_key(text), word_array(text).alias("words"))
+    # outer: else the optimizer would add a filter that splits each text twice
+    return words.select("ck1", "ck2", *keep, F.posexplode_outer("words").alias("pos", "word")).withColumn("term", F.lower("word")).drop("word")
+
+
+def frequencies(docs: DataFrame, vocabulary: DataFrame, text_col: str = "text") -> DataFrame:
+    """How often each word of ``vocabulary`` (term) occurs in all texts."""
+    placed = _placed(docs, text_or_empty(text_col)).select("term")
+    n = vocabulary.count()
+    if n <= BROADCAST_ROWS:
+        return placed.join(F.broadcast(vocabulary), "term").groupBy("term").count()
+    return placed.groupBy("term").count().join(vocabulary, "term", "left_semi")
+
+
+def probe_windows(windows: DataFrame, frequency: DataFrame, n_probes: int = 3) -> DataFrame:
+    """Each distinct window once, with its rarest words: wid, n, exact, probes (term, offset; rarest first)."""
+    distinct = windows.select("wid", "n", "exact").dropDuplicates(["wid"])
+    spread = distinct.select("wid", F.posexplode("exact").alias("offset", "word")).select("wid", "offset", F.lower("word").alias("term"))
+    ranked = spread.join(frequency, "term", "left").select("wid", F.struct(F.coalesce("count", F.lit(0)).alias("count"), "offset", "term").alias("p"))
+    rarest = ranked.groupBy("wid").agg(F.slice(F.array_sort(F.collect_list("p")), 1, n_probes).alias("probes"))  # at most ``width`` words each
+    return distinct.join(rarest, "wid")
 
 
 def phrase_hits(
@@ -66,45 +87,27 @@ def phrase_hits(
     """Exact occurrences: ck1, ck2, item, start, n (words)."""
     text = text_or_empty(text_col)
     windows = stored(test_windows(benchmark, item_col, item_text_col, width), "windows")
-    vocabulary = windows.select(F.explode("word").alias("term")).distinct()
-    n_words = vocabulary.count()
-    frequency = stored(
-        _placed(docs, text).join(_maybe_broadcast(vocabulary, n_words), "term").groupBy("term").count(), "frequency"
-    )
-    # the rarest words of each distinct window; words that no text holds leave no start
-    spread = windows.select("wid", "word").dropDuplicates(["wid"]).select("wid", F.posexplode("word").alias("offset", "term"))
-    ranked = spread.join(_maybe_broadcast(frequency, n_words), "term", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    by_rarity = Window.partitionBy("wid").orderBy("count", "offset")
-    probes = ranked.withColumn("rank", F.row_number().over(by_rarity)).where(F.col("rank") <= n_probes)
-    probes = stored(probes.withColumn("wanted", F.count("*").over(Window.partitionBy("wid"))).select("wid", "term", "offset", "rank", "wanted"), "probes")
-    n_probe_rows = probes.count()
-    terms = probes.select("term").distinct()
-    postings = stored(_placed(docs, text).join(_maybe_broadcast(terms, min(n_words, n_probe_rows)), "term"), "postings")
-    # offset-adjusted lists; copies of a text name the same start, so probes are counted by rank
-    aligned = postings.join(_maybe_broadcast(probes, n_probe_rows), "term").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0")
-    starts = (
-        aligned.groupBy("ck1", "ck2", "wid", "start")
-        .agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("named"), F.max("wanted").alias("wanted"))
-        .where("bit_count(named) = wanted")
-        .select("ck1", "ck2", "wid", "start")
-    )
-    starts = stored(starts, "starts")
-    n_starts = starts.count()
-    # exact check against the texts that have starts
-    keys = starts.select("ck1", "ck2").distinct()
-    texts = (
-        docs.select(*content_key(text), text.alias("t"))
-        .join(_maybe_broadcast(keys, n_starts), ["ck1", "ck2"], "left_semi")
-        .select("ck1", "ck2", word_array(ascii_folded(F.col("t"))).alias("words"))
-    )
-    phrases = windows.select("wid", "exact", "n", "item")
-    n_phrases = phrases.count()
-    return (
-        texts.join(_maybe_broadcast(starts, n_starts), ["ck1", "ck2"])
-        .join(_maybe_broadcast(phrases, n_phrases), "wid")
-        .where(F.slice("words", F.col("start") + 1, F.col("n")) == F.col("exact"))
-        .select("ck1", "ck2", "item", "start", "n")
-    )
+    vocabulary = windows.select(F.explode("exact").alias("word")).select(F.lower("word").alias("term")).distinct()
+    frequency = stored(frequencies(docs, vocabulary, text_col), "frequency")
+    probes = probe_windows(windows, frequency, n_probes)
+    n_windows = windows.select("wid").distinct().count()
+    blocks = max(1, -(-n_windows // BLOCK))
+    probes = stored(probes.withColumn("block", F.pmod("wid", F.lit(blocks))).where(F.col("probes")[0]["count"] > 0), "probes")
+    placed = _placed(docs, text, "words")
+    found = []
+    for block in range(blocks):
+        asked = probes.where(F.col("block") == block).select("wid", "n", F.array_join("exact", " ").alias("phrase"), "probes", F.col("probes")[0]["term"].alias("rarest"))
+        start = F.col("pos") - F.get("probes", 0)["offset"]
+        agree = [
+            F.coalesce(F.lower(F.get("words", start + F.get("probes", i)["offset"])) == F.get("probes", i)["term"], F.size("probes") <= i) for i in range(1, n_probes)
+        ]
+        fits = (start >= 0) & (start + F.col("n") <= F.size("words"))
+        # as one string: a lambda would end whole-stage code, and each word would carry a copy of its text
+        exact = ascii_folded(F.array_join(F.slice("words", start + 1, F.col("n")), " ")) == F.col("phrase")
+        matched = placed.join(F.broadcast(asked), (F.col("term") == F.col("rarest")) & reduce(lambda a, b: a & b, [fits, *agree, exact]))
+        found.append(matched.select("ck1", "ck2", "wid", start.alias("start"), "n"))
+    hits = stored(reduce(DataFrame.unionByName, found), "matches")
+    return hits.join(_maybe_broadcast(windows.select("wid", "item"), windows.count()), "wid").select("ck1", "ck2", "item", "start", "n")
 
 
 def proximity_hits(
