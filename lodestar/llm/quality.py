@@ -2,19 +2,22 @@
 
 One dictionary is trained on texts labelled good, one on texts labelled bad. A
 text is compressed with each; the normalised difference of the two sizes says
-which class it looks like, and a logistic curve fitted on out-of-fold
-differences turns it into a probability.
+which class it looks like. A logistic curve over that difference, the two
+sizes for each byte and the logarithm of the length, fitted on out-of-fold
+compressions, turns it into a probability: the sizes tell texts that both
+dictionaries shrink to nothing (endless repeats), the length how far a
+difference of a few bytes can be trusted.
 
 Training uses a bounded sample: at most ``per_class`` labelled rows of each
 class, those with the smallest hash of their id, of at most ``max_train_chars``
 characters each (longer ones are passed over, not cut). Every text is scored
 whole.
 
-Defined cases: a null or empty text scores the calibrated value of a zero
-difference; labels that are null or neither 0 nor 1 are passed over; without
-two classes in the sample every text gets the share of class 1 (0.5 without
-any label); a text labelled twice counts once for each class; repeated rows
-and null ids are scored like any other row.
+Defined cases: a null or empty text scores the share of class 1 among the
+labels; labels that are null or neither 0 nor 1 are passed over; without two
+classes in the sample every text gets that share (0.5 without any label); a
+text labelled twice counts once for each class; repeated rows and null ids are
+scored like any other row.
 """
 
 from __future__ import annotations
@@ -38,15 +41,20 @@ _BLOCK = 1 << 20  # very long texts are compressed in blocks of so many bytes
 class QualityModel:
     good: bytes
     bad: bytes
-    slope: float
+    weights: tuple[float, ...]  # of the measures of a text
     offset: float
+    prior: float
     level: int = 3
 
     def scorer(self):
-        sizes = [_sizer(d, self.level) for d in (self.good, self.bad)] if self.good and self.bad else None
+        if not self.good or not self.bad:
+            return lambda text: self.prior
+        sizes = [_sizer(d, self.level) for d in (self.good, self.bad)]
 
         def score(text: str) -> float:
-            z = self.offset + (self.slope * _difference(text, *sizes) if sizes else 0.0)
+            if not text:
+                return self.prior
+            z = self.offset + sum(w * x for w, x in zip(self.weights, _measures(text, *sizes)))
             return 1 / (1 + math.exp(-min(max(z, -35.0), 35.0)))
 
         return score
@@ -63,13 +71,11 @@ def _sizer(dictionary: bytes, level: int):
     return size
 
 
-def _difference(text: str, good, bad) -> float:
-    """In -1 to 1: above 0 if the good dictionary makes the text smaller."""
+def _measures(text: str, good, bad) -> tuple[float, float, float, float]:
+    """The normalised difference of the sizes (above 0: the good dictionary makes the text smaller), both for each byte, the log length."""
     raw = text.encode("utf-8", "surrogatepass")
-    if not raw:
-        return 0.0
     g, b = good(raw), bad(raw)
-    return (b - g) / max(b, g)
+    return (b - g) / max(b, g), g / len(raw), b / len(raw), math.log(len(raw))
 
 
 def _dictionary(texts: list[str], size: int) -> bytes:
@@ -81,40 +87,40 @@ def _dictionary(texts: list[str], size: int) -> bytes:
         return b"\n".join(raw)[-size:] or b"\n"
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float]:
-    """Slope and offset by Newton's method with a weak ridge on the slope."""
-    scale = float(x.std()) or 1.0
-    design, w = np.stack([x / scale, np.ones_like(x)], 1), np.zeros(2)
+def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.1) -> tuple[tuple[float, ...], float]:
+    """Weights and offset by Newton's method on standardised columns, with a weak ridge."""
+    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    design = np.column_stack([(x - mean) / spread, np.ones(len(x))])
+    w, penalty = np.zeros(design.shape[1]), np.append(np.full(x.shape[1], ridge), 1e-6)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -35, 35)))
-        gradient = design.T @ (p - y) + np.array([0.01, 0.0]) * w
-        hessian = (design * (p * (1 - p) + 1e-9)[:, None]).T @ design + np.diag([0.01, 1e-6])
-        step = np.linalg.solve(hessian, gradient)
-        w -= np.clip(step, -5, 5)
+        hessian = (design * (p * (1 - p))[:, None]).T @ design + np.diag(penalty)
+        step = np.linalg.solve(hessian, design.T @ (p - y) + penalty * w)
+        w -= np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / scale), float(w[1])
+    weights = w[:-1] / spread
+    return tuple(weights.tolist()), float(w[-1] - weights @ mean)
 
 
-def fit_texts(good: list[str], bad: list[str], prior: float | None = None, dict_bytes: int = 112_640, level: int = 3, folds: int = 4) -> QualityModel:
+def fit_texts(good: list[str], bad: list[str], prior: float | None = None, dict_bytes: int = 112_640, level: int = 3, folds: int = 3) -> QualityModel:
     """The model of two lists of texts. ``prior``: the share of class 1, where it isn't that of the lists."""
+    if prior is None:
+        prior = len(good) / (len(good) + len(bad)) if good or bad else 0.5
+    prior = min(max(prior, 1e-3), 1 - 1e-3)
     if not good or not bad:
-        share = prior if prior is not None else 0.5 if not good and not bad else float(bool(good))
-        share = min(max(share, 1e-3), 1 - 1e-3)
-        return QualityModel(b"", b"", 0.0, math.log(share / (1 - share)), level)
+        return QualityModel(b"", b"", (), 0.0, prior, level)
     x, y = [], []
-    for k in range(folds):  # differences of texts that the dictionaries haven't seen
+    for k in range(folds):  # measures of texts that the dictionaries haven't seen
         rest = [[t for i, t in enumerate(texts) if i % folds != k] or texts for texts in (good, bad)]
         sizes = [_sizer(_dictionary(t, dict_bytes), level) for t in rest]
         for label, texts in ((1.0, good), (0.0, bad)):
             held = texts[k::folds]
-            x += [_difference(t, *sizes) for t in held]
+            x += [_measures(t, *sizes) for t in held]
             y += [label] * len(held)
-    slope, offset = _logistic(np.array(x), np.array(y))
-    if prior is not None:
-        prior = min(max(prior, 1e-3), 1 - 1e-3)
-        offset += math.log(prior / (1 - prior)) - math.log(len(good) / len(bad))
-    return QualityModel(_dictionary(good, dict_bytes), _dictionary(bad, dict_bytes), slope, offset, level)
+    weights, offset = _logistic(np.array(x), np.array(y))
+    offset += math.log(prior / (1 - prior)) - math.log(len(good) / len(bad))
+    return QualityModel(_dictionary(good, dict_bytes), _dictionary(bad, dict_bytes), weights, offset, prior, level)
 
 
 def training_row(id_col: str = "doc_id", folds: int = 5) -> Column:
