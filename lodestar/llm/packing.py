@@ -37,7 +37,8 @@ BROADCAST_RUNS = 200_000
 
 # Within these characters NFC changes nothing and words can be encoded one by one.
 _PLAIN = re.compile("[^\t\n\r -~¡-ɏ‐-‧]")
-_WORDS_KEPT = 200_000
+#: Words that each of the two generations of an encoder's memory holds.
+_WORDS_KEPT = 400_000
 
 
 def _word_pattern() -> re.Pattern:
@@ -59,6 +60,7 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[str, bytes] = {}  # full once; words used again move to the newer generation
         self.tokenizer = Tokenizer.from_file(path)
         self.words = _word_pattern()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -67,11 +69,15 @@ class WordEncoder(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.whole(word)
+            if len(word) > 40:
+                return ids
         if len(self) >= _WORDS_KEPT:
+            self.older = dict(self)
             self.clear()
-        ids = self.whole(word)
-        if len(word) <= 64:
-            self[word] = ids
+        self[word] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
@@ -80,18 +86,18 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, self.words.findall(text.lower())))
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def _encoder(path: str | None) -> WordEncoder:
-    """One for each worker process."""
+    """One for each worker process: it hangs on a module, since this function may arrive anew with each task."""
+    import tokenizers
+
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(TOKENIZER)
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    kept = tokenizers.__dict__.setdefault("_word_encoders", {})
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
 
 
 def token_pieces(

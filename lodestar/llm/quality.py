@@ -162,12 +162,13 @@ def fit(
 def with_scores(docs: DataFrame, model: QualityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with the column ``score_col`` (0 to 1, higher: class 1 likelier)."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # two dictionaries of at most dict_bytes each
+    # two dictionaries of at most dict_bytes each; plain values, since a broadcast is pickled by reference
+    shared = spark.sparkContext.broadcast((model.good, model.bad, model.weights, model.offset, model.prior, model.level))
     state: dict = {}
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        run = state.get("run") or state.setdefault("run", shared.value.scorer())
+        run = state.get("run") or state.setdefault("run", QualityModel(*shared.value).scorer())
         for texts in batches:
             yield pd.Series([run(t) for t in texts], dtype="float64")
 
