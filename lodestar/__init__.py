@@ -1,3 +1,10 @@
 """lodestar: a Spark-native catalog search engine and training-data toolkit."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions sent to executors carry their code with them, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
