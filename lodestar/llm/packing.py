@@ -71,19 +71,35 @@ class WordEncoder(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            ids = self.whole(word)
-            if len(word) > 40:
-                return ids
-        if len(self) >= _WORDS_KEPT:
-            self.older = dict(self)
-            self.clear()
+            return self.whole(word)
         self[word] = ids
         return ids
 
+    def learn(self, words: list[str]) -> None:
+        """Encode new words in one call: the tokenizer says which word each id is of."""
+        if len(self) + len(words) > _WORDS_KEPT:
+            self.older = dict(self)
+            self.clear()
+        new = [w for w in dict.fromkeys(words) if w not in self.older and len(w) <= 64]
+        if not new:
+            return
+        found = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+        raw, of = np.array(found.ids, dtype="<u4").tobytes(), np.array(found.word_ids)
+        ends = np.append(np.flatnonzero(np.diff(of)) + 1, len(of)) * 4
+        if len(ends) != len(new):  # then they are looked up one by one
+            return
+        at = 0
+        for word, end in zip(new, ends.tolist()):
+            self[word] = raw[at:end]
+            at = end
+
     def ids(self, text: str) -> bytes:
         if ("<|" in text and any(s in text for s in self.special)) or not (text.isascii() and text.isprintable()) and _PLAIN.search(text):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, self.words.findall(text.lower())))
+        words = self.words.findall(text.lower())
+        if new := [w for w in words if w not in self]:
+            self.learn(new)
+        return b"".join(map(self.__getitem__, words))
 
 
 def _encoder(path: str | None) -> WordEncoder:
