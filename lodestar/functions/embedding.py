@@ -7,7 +7,7 @@ from typing import Protocol
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import tokens, with_canonical
+from lodestar.functions.text import let, tokens, with_canonical
 from lodestar.functions.vocabulary import EMBEDDING_DIM, EMBEDDING_FAMILIES
 
 
@@ -25,8 +25,11 @@ def expanded_tokens(text: Column) -> Column:
 
 
 def _normalised(vector: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm == 0, F.transform(vector, lambda x: F.lit(0.0))).otherwise(F.transform(vector, lambda x: x / norm))
+    def scaled(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+        return let(norm, lambda n: F.when(n == 0, F.transform(v, lambda x: F.lit(0.0))).otherwise(F.transform(v, lambda x: x / n)))
+
+    return let(vector, scaled)
 
 
 def token_vector(token: Column, dim: int = EMBEDDING_DIM) -> Column:
@@ -41,12 +44,14 @@ def token_vector(token: Column, dim: int = EMBEDDING_DIM) -> Column:
 
 def embed_text(text: Column, dim: int = EMBEDDING_DIM) -> Column:
     """Weighted sum of the token vectors, of length one; without tokens all zero (array<double>)."""
-    every = expanded_tokens(text)
-    weighted = F.transform(F.array_distinct(every), lambda t: F.struct(t.alias("t"), F.size(F.filter(every, lambda x: x == t)).cast("double").alias("w")))
+    def weights(every: Column) -> Column:
+        return F.transform(F.array_distinct(every), lambda t: F.struct(t.alias("t"), F.size(F.filter(every, lambda x: x == t)).cast("double").alias("w")))
+
+    weighted = let(expanded_tokens(text), weights)
     total = F.aggregate(
         weighted,
         F.array_repeat(F.lit(0.0), dim),
-        lambda acc, tw: F.zip_with(acc, token_vector(tw["t"], dim), lambda a, b: a + b * tw["w"]),
+        lambda acc, tw: F.zip_with(acc, token_vector(tw["t"], dim), lambda a, b: a + b * tw["w"]),  # zip_with evaluates each side once
     )
     return _normalised(total)
 

@@ -6,6 +6,7 @@ hundred million rows stays in the JVM. ``\\s`` and ``\\b`` follow Unicode.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -30,6 +31,11 @@ def with_canonical(tokens: Column, families: dict[str, tuple[str, ...]]) -> Colu
     return F.flatten(F.transform(tokens, lambda t: F.array_compact(F.array(t, F.try_element_at(table, t)))))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body, or a lambda in it, names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def prepare(text: Column) -> Column:
     """Lower-cased text after the literal and the phrase rewrites."""
     literal = reduce(lambda c, r: F.replace(c, F.lit(r[0]), F.lit(r[1])), LITERAL_REWRITES, F.lower(text))
@@ -53,10 +59,8 @@ def dedupe_terms(terms: Column) -> Column:
 
 def compact_sentence(text: Column) -> Column:
     """The first sentence with white space collapsed and one full stop at its end; blank: empty."""
-    flat = F.regexp_replace(F.coalesce(text, F.lit("")), f"(?U){SPACE}+", " ")
-    flat = F.regexp_replace(flat, "^ +| +$", "")
-    first = F.get(F.split(flat, r"(?<=[.!?]) +", 2), 0)
-    return F.when(flat == "", "").otherwise(F.concat(F.regexp_replace(first, r"\.+$", ""), F.lit(".")))
+    first = F.get(F.split(collapse_space(F.coalesce(text, F.lit(""))), r"(?<=[.!?]) +", 2), 0)
+    return let(first, lambda s: F.when(s == "", "").otherwise(F.concat(F.regexp_replace(s, r"\.+$", ""), F.lit("."))))
 
 
 def _is_ascii(t: Column) -> Column:

@@ -30,8 +30,7 @@ def _named(table: Column, column: Column) -> Column:
 
 def keyword_hits(keywords: Column) -> Column:
     """Keywords that occur anywhere in the hit's text, inside words too."""
-    text = haystack()
-    return F.filter(keywords, lambda k: F.contains(text, k))
+    return T.let(haystack(), lambda text: F.filter(keywords, lambda k: F.contains(text, k)))
 
 
 def ordered_sum(*order_and_value: str) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import SPACE, dedupe_terms, label
+from lodestar.sources.shared import stored
 from lodestar.sources.schemas import COLUMNS, ISSUES, RULES, VALUES, Catalog
 
 ISSUE = "struct<issue_type: string, entity_key: string, action: string, details: string>"
@@ -385,7 +386,7 @@ class JsonFolderAdapter:
         raw_groups, issues_2 = records(read(value_file), "value_groups", ("value_groups", "values"))
         raw_rules, issues_3 = records(read(rule_file), "rules", ("rules",))
         columns, c_issues = parse_columns(raw_columns)
-        columns = columns.cache()
+        columns = stored(columns, "columns")
         values, v_issues = parse_values(raw_groups, columns)
         rules, r_issues = parse_rules(raw_rules, columns)
         payload = [

@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestar.config import Settings
 from lodestar.plans.answer import answer, prompt_json
+from lodestar.sources.shared import forget
 from lodestar.sources.store import Store
 
 
@@ -23,7 +24,7 @@ def answer_stream(store: Store, questions: DataFrame, out: str, checkpoint: str,
         found = answer(store, batch, config)
         prompt_json(found.prompts).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
         for df in (found.queries, found.hits, found.candidates):
-            df.unpersist()
+            forget(df)
 
     writer = questions.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
