@@ -109,11 +109,11 @@ fused AS (SELECT coalesce(lex.q, sem.q) AS q, coalesce(lex.id, sem.id) AS id,
 # --- catalog --------------------------------------------------------------------------------
 
 _COLUMNS = "(VALUES " + ", ".join(f"({i}, {_lit(t)}, {_lit(c)}, {_lit(d)}, {_lit(c.split('_', 1)[1])})" for i, (t, c, d) in enumerate(CATALOG)) + ") c(pos, t, c, d, alias)"
-_VALUES = " UNION ALL ".join(f"SELECT DISTINCT {i} AS at, {_lit(t)} AS t, {_lit(c)} AS c, CAST({c} AS VARCHAR) AS v FROM {t}" for i, (t, c, _) in enumerate(CATALOG))
+_VALUES = " UNION ALL ".join(f"SELECT DISTINCT {i} AS col, {_lit(t)} AS t, {_lit(c)} AS c, CAST({c} AS VARCHAR) AS v FROM {t}" for i, (t, c, _) in enumerate(CATALOG))
 _CAT = f"""
 cols AS (SELECT * FROM {_COLUMNS}),
-vals AS (SELECT at, t, c, v, row_number() OVER (PARTITION BY at ORDER BY v) AS nth FROM ({_VALUES}) WHERE v IS NOT NULL),
-card AS (SELECT at, t, c, count(*) AS n FROM vals GROUP BY at, t, c)"""
+vals AS (SELECT col, t, c, v, row_number() OVER (PARTITION BY col ORDER BY v) AS nth FROM ({_VALUES}) WHERE v IS NOT NULL),
+card AS (SELECT col, t, c, count(*) AS n FROM vals GROUP BY col, t, c)"""
 _RULES = "(VALUES " + ", ".join(f"({i}, {_lit(r)}, {_lit(d)}, {len(refs)}, {len(terms)})" for i, (r, d, refs, terms) in enumerate(RULES)) + ") r(pos, rule_id, d, n_refs, n_terms)"
 _RULE_PARTS = ", ".join(
     f"({_lit(r)}, {n}, {_lit(text)})" for r, _, refs, terms in RULES for n, text in enumerate([r, *terms, *(f"{t}::{c}" for t, c in refs)])
@@ -132,7 +132,7 @@ keys AS (SELECT t || '::' || c AS k FROM cols),{_joined("exact", "pt", "keys")}"
 def _value_chunks() -> str:
     key = "t || '::' || c || '::' || v"
     return f"""{_CAT},
-kept AS (SELECT vals.*, {key} AS k, 'The value ' || v || ' of the column. More follows.' AS gloss FROM vals JOIN card USING (at, t, c) WHERE n <= {LIMIT}),
+kept AS (SELECT vals.*, {key} AS k, 'The value ' || v || ' of the column. More follows.' AS gloss FROM vals JOIN card USING (col, t, c) WHERE n <= {LIMIT}),
 kd AS (SELECT k, 0 AS part, gloss AS text FROM kept),{_tokens("kt", "kd")},{_keywords("kw", "kt", 6)},
 parts AS (SELECT k, 1 AS part, t AS text FROM kept UNION ALL SELECT k, 2, c FROM kept UNION ALL SELECT k, 3, v FROM kept UNION ALL SELECT k, 4, lower(v) FROM kept
   UNION ALL SELECT k, 5, 'pilot' FROM kept UNION ALL SELECT k, 5 + nth, tok FROM kw),{_tokens("pt", "parts")},
@@ -149,7 +149,7 @@ keys AS (SELECT rule_id AS k FROM rules),{_joined("exact", "pt", "keys")}"""
 # --- rollup ---------------------------------------------------------------------------------
 
 _HITS = f"""
-hits AS (SELECT l_orderkey AS q, CAST(l_linenumber AS BIGINT) AS pos, CASE l_linenumber % 3 WHEN 0 THEN 'rule' WHEN 1 THEN 'value_definition' ELSE 'column_definition' END AS kind,
+hits AS (SELECT l_orderkey AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos, CASE l_linenumber % 3 WHEN 0 THEN 'rule' WHEN 1 THEN 'value_definition' ELSE 'column_definition' END AS kind,
   'k' || (l_partkey % 50) AS chunk_key, l_returnflag AS t, l_linestatus AS c, 'r' || (l_suppkey % 4) AS rule_id, 'v' || (l_suppkey % 6) AS v,
   CAST(1 AS DOUBLE) / (l_quantity + 60) AS score, 'Rule ' || (l_partkey % 9) AS body, 'Gloss ' || l_linenumber || '.' AS gloss FROM lineitem),
 parts AS (SELECT *, t AS rt, c AS rc, score * (CASE kind WHEN 'column_definition' THEN CAST({WEIGHTS["column_definition"]} AS DOUBLE) ELSE CAST({WEIGHTS["value_definition"]} AS DOUBLE) END) AS points, 0 AS place FROM hits WHERE kind <> 'rule'
@@ -223,13 +223,13 @@ w AS (SELECT k, tok, count(*) AS w FROM e GROUP BY k, tok), u AS (SELECT DISTINC
 n AS (SELECT tok, sqrt(sum(x * x)) AS n FROM c GROUP BY tok), s AS (SELECT k, i, sum(w * x / n) AS x FROM w JOIN c ON w.tok = c.tok JOIN n ON n.tok = c.tok GROUP BY k, i),
 l AS (SELECT k, sqrt(sum(x * x)) AS n FROM s GROUP BY k) SELECT s.k AS item_id, i, round(x / n, 6) AS x FROM s JOIN l ON s.k = l.k""",
         "column_definition_chunks": f"""WITH {_column_chunks()} SELECT 'column_definition::' || exact.k AS chunk_key, 'column_definition' AS chunk_type, cols.t AS table_name, cols.c AS column_name, {_NULL} AS rule_id, {_NULL} AS raw_value,
-exact.text AS text_exact, {_compact("d")} AS text_semantic, coalesce(n, 0) AS value_cardinality, coalesce(n > {LIMIT}, false) AS mandatory FROM exact JOIN cols ON exact.k = cols.t || '::' || cols.c LEFT JOIN card ON cols.pos = card.at""",
+exact.text AS text_exact, {_compact("d")} AS text_semantic, coalesce(n, 0) AS value_cardinality, coalesce(n > {LIMIT}, false) AS mandatory FROM exact JOIN cols ON exact.k = cols.t || '::' || cols.c LEFT JOIN card ON cols.pos = card.col""",
         "value_definition_chunks": f"""WITH {_value_chunks()} SELECT 'value_definition::' || exact.k AS chunk_key, 'value_definition' AS chunk_type, t AS table_name, c AS column_name, {_NULL} AS rule_id, v AS raw_value, exact.text AS text_exact,
 'For ' || t || '.' || c || ', ' || v || ' means ' || {_compact("gloss")} AS text_semantic FROM exact JOIN kept ON exact.k = kept.k""",
         "rule_chunks": f"""WITH {_rule_chunks()} SELECT 'rule::' || rule_id AS chunk_key, 'rule' AS chunk_type, {_NULL} AS table_name, {_NULL} AS column_name, rule_id, {_NULL} AS raw_value, exact.text AS text_exact,
 {_compact("d")} AS text_semantic, CAST(n_refs AS BIGINT) AS n_columns FROM exact JOIN rules ON exact.k = rule_id""",
         "chunk_union": f"""WITH {_CAT}, rules AS (SELECT * FROM {_RULES}), u AS (SELECT 0 AS s, pos AS g, 0 AS i, 'column_definition::' || t || '::' || c AS chunk_key, 'column_definition' AS chunk_type FROM cols
-UNION ALL SELECT 1, at, nth, 'value_definition::' || t || '::' || c || '::' || v, 'value_definition' FROM vals JOIN card USING (at, t, c) WHERE n <= {LIMIT}
+UNION ALL SELECT 1, col, nth, 'value_definition::' || t || '::' || c || '::' || v, 'value_definition' FROM vals JOIN card USING (col, t, c) WHERE n <= {LIMIT}
 UNION ALL SELECT 2, pos, 0, 'rule::' || rule_id, 'rule' FROM rules) SELECT row_number() OVER (ORDER BY s, g, i) AS id, chunk_key, chunk_type FROM u""",
         "rule_catalog": f"""WITH {_rule_chunks()} SELECT rule_id, exact.text AS text_exact, {_compact("d")} AS text_semantic, CAST(pos AS BIGINT) AS priority, CAST(n_terms AS BIGINT) AS n_triggers FROM exact JOIN rules ON exact.k = rule_id""",
         "value_cardinality": f"WITH {_CAT} SELECT t AS table_name, c AS column_name, n, n <= {LIMIT} AS indexed, n > {LIMIT} AS mandatory FROM card",

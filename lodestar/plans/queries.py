@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.config import Settings
@@ -202,13 +202,11 @@ def catalog_values(spark, sf) -> DataFrame:
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    from pyspark.sql import Window
-
     nth = F.row_number().over(Window.partitionBy("at").orderBy("raw_value"))
     gloss = F.concat(F.lit("The value "), F.col("raw_value"), F.lit(" of the column. More follows."))
     return _scoped(
         every.select(
-            (F.col("at") * 1_000_000_000 + nth).cast("long").alias("pos"), *REF, "raw_value", gloss.alias("value_gloss"), F.array(F.lower("raw_value")).alias("synonyms"), F.array(F.lit("pilot")).alias("business_tags")
+            (F.col("at").cast("long") * 1_000_000_000 + nth).alias("pos"), *REF, "raw_value", gloss.alias("value_gloss"), F.array(F.lower("raw_value")).alias("synonyms"), F.array(F.lit("pilot")).alias("business_tags")
         )
     )
 
@@ -344,9 +342,10 @@ def _hits(spark, sf) -> DataFrame:
     other = F.struct(F.lit("X").alias("table_name"), F.col("l_linestatus").alias("column_name"))
     nobody = F.struct(F.lit("").alias("table_name"), F.col("l_linestatus").alias("column_name"))
     value = F.concat(F.lit("v"), (F.col("l_suppkey") % 6).cast("string"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
     return _t(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("query_id"),
-        F.col("l_linenumber").cast("long").alias("hit_pos"),
+        place.cast("long").alias("hit_pos"),
         kind.alias("chunk_type"),
         F.concat(F.lit("k"), (F.col("l_partkey") % 50).cast("string")).alias("chunk_key"),
         F.when(kind != "rule", F.col("l_returnflag")).alias("table_name"),
