@@ -14,7 +14,7 @@ is larger than that is split, since shards must come out near equal in bytes.
 Defined cases: a null text has no bytes (size 1 for its row) and is grouped
 with the empty text; repeated rows differ in their place in the scan, so even
 they can be split; null ids hash like any value; an empty table gives no rows;
-columns of the input whose names clash with those made here are replaced.
+columns called size, shard or slot are replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import stored, text_or_empty
 
 _BITS = 12  # bits of the key that a round refines: a grid of 4,096 cells
-_KEYS = ("k1", "k2", "k3")
+_KEYS = ("_k1", "_k2", "_k3")
 
 
 def _unsigned_top(key: str, shift: int) -> Column:
@@ -36,23 +36,13 @@ def _unsigned_top(key: str, shift: int) -> Column:
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = text_or_empty(text_col)
     return (
-        docs.withColumn("k3", F.xxhash64(F.monotonically_increasing_id()))
-        .withColumn("k1", F.xxhash64(text))
-        .withColumn("k2", F.xxhash64(F.col(id_col).cast("string")))
+        docs.withColumn("_k3", F.xxhash64(F.monotonically_increasing_id()))
+        .withColumn("_k1", F.xxhash64(text))
+        .withColumn("_k2", F.xxhash64(F.col(id_col).cast("string")))
         .withColumn("size", F.octet_length(text).cast("long") + 1)
     )
 
 
-class _Cell:
-    """A range of keys: fixed bits of k1, then of k2, then of k3."""
-
-    __slots__ = ("prefix", "level", "below", "rows_below", "size", "rows")
-
-    def __init__(self, prefix: tuple[int, ...], below: int, rows_below: int, size: int, rows: int):
-        self.prefix, self.level = prefix, len(prefix)
-        self.below, self.rows_below, self.size, self.rows = below, rows_below, size, rows
-
-
 # key and shift of each level: k1 in six rounds, then k2, then k3
 _LEVELS = [(k, max(0, 64 - _BITS * (i + 1))) for k in _KEYS for i in range(6)]
 
@@ -63,19 +53,21 @@ def _digit(level: int) -> Column:
     return _unsigned_top(key, shift).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
 
 
-def _count(rows: DataFrame, prefix: tuple[int, ...] | None, cells: list[_Cell]) -> dict[tuple[int, ...], list[tuple[int, int, int]]]:
-    """For each open cell: (digit, bytes, rows) of its sub-cells, exact, in order."""
-    level = cells[0].level if cells else 0
-    at = F.array(*[_digit(i) for i in range(level)]) if level else None
-    out: dict[tuple[int, ...], list[tuple[int, int, int]]] = {}
+Grid = dict[tuple[int, ...], list[tuple[int, int, int]]]
+
+
+def _count(rows: DataFrame, cells: list[tuple[int, ...]]) -> Grid:
+    """For each open cell, a key prefix: (digit, bytes, rows) of its sub-cells, exact and in order."""
+    level = len(cells[0])
     if level:
-        wanted = rows.sparkSession.createDataFrame([(list(c.prefix),) for c in cells], "prefix array<int>")
-        rows = rows.withColumn("prefix", at).join(F.broadcast(wanted), "prefix")  # a row for each boundary at most
-        counted = rows.groupBy("prefix", _digit(level).alias("digit")).agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+        wanted = rows.sparkSession.createDataFrame([(list(c),) for c in cells], "prefix array<int>")
+        rows = rows.withColumn("prefix", F.array(*[_digit(i) for i in range(level)])).join(F.broadcast(wanted), "prefix")  # a cell for each boundary at most
     else:
-        counted = rows.groupBy(_digit(0).alias("digit")).agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+        rows = rows.withColumn("prefix", F.array().cast("array<int>"))
+    counted = rows.groupBy("prefix", _digit(level).alias("digit")).agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+    out: Grid = {}
     for r in counted.collect():  # 4,096 counts for each boundary at most
-        out.setdefault(tuple(r.prefix) if level else (), []).append((r.digit, r.b, r.n))
+        out.setdefault(tuple(r.prefix), []).append((r.digit, r.b, r.n))
     return {k: sorted(v) for k, v in out.items()}
 
 
@@ -86,14 +78,12 @@ def splitters(keyed: DataFrame, n_shards: int, per_shard: int, tolerance: float
     parts: within ``tolerance`` of a shard for the ends of shards, a quarter of
     a range for those inside.
     """
-    first = _count(keyed, None, [])
-    cells = first.get((), [])
-    total, parts = sum(b for _, b, _ in cells), n_shards * per_shard
+    grids = _count(keyed, [()])
+    total, parts = sum(b for _, b, _ in grids.get((), [])), n_shards * per_shard
     if not total:
         return []
     done: dict[int, tuple[tuple[int, ...], int, int]] = {}
     open_: dict[tuple[int, ...], tuple[int, int, list[int]]] = {(): (0, 0, list(range(1, parts)))}
-    grids = first
     while open_:
         after: dict[tuple[int, ...], tuple[int, int, list[int]]] = {}
         for prefix, (below, rows_below, wanted) in open_.items():
@@ -116,7 +106,7 @@ def splitters(keyed: DataFrame, n_shards: int, per_shard: int, tolerance: float
                     after.setdefault(prefix + (digit,), (b, n, []))[2].append(boundary)
         open_ = after
         if open_:
-            grids = _count(keyed, None, [_Cell(p, b, n, 0, 0) for p, (b, n, _) in open_.items()])
+            grids = _count(keyed, list(open_))
     return [done[i] for i in range(1, parts)]
 
 
@@ -141,37 +131,30 @@ def histogram_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id",
     narrow = stored(keyed.select(*_KEYS, "size"), "keys")
     cuts = splitters(narrow, n_shards, per_shard, tolerance)
     signed = [[x - (1 << 63) for x in _bound(p)] for p, _, _ in cuts]
-    # the boundaries that share the first digit of a row's key are compared with it; the others are counted ahead
-    ahead, near = [0] * (1 << _BITS), {}
-    for p, _, _ in cuts:
-        for_digit = min(p[0], (1 << _BITS) - 1)
-        if len(p) == 1 and p[0] < 1 << _BITS:
-            for_digit = p[0]
-        near.setdefault(for_digit, [])
-    position = 0
-    per_digit: list[tuple[int, int, list]] = []
-    by_digit: dict[int, list] = {}
-    for s in signed:
-        by_digit.setdefault((s[0] + (1 << 63)) >> (64 - _BITS), []).append(s)
+    # the boundaries in the grid cell of a row's key are compared with it; those of the cells before are counted ahead
+    by_digit: dict[int, list[tuple[int, int, int]]] = {}
+    for a, b, c in signed:
+        by_digit.setdefault((a + (1 << 63)) >> (64 - _BITS), []).append((a, b, c))
+    cells, ahead = [], 0
     for digit in range(1 << _BITS):
         here = by_digit.get(digit, [])
-        per_digit.append((digit, position, [tuple(s) for s in here]))
-        position += len(here)
-    table = spark.createDataFrame(per_digit, "digit int, ahead int, bounds array<struct<a: long, b: long, c: long>>")  # 4,096 rows
-    me = F.struct(F.col("k1").alias("a"), F.col("k2").alias("b"), F.col("k3").alias("c"))
+        cells.append((digit, ahead, here))
+        ahead += len(here)
+    table = spark.createDataFrame(cells, "_digit int, _ahead int, _bounds array<struct<a: long, b: long, c: long>>")  # 4,096 rows
+    me = F.struct(*[F.col(k).alias(n) for k, n in zip(_KEYS, "abc")])
     ranged = (
-        keyed.withColumn("digit", _digit(0))
-        .join(F.broadcast(table), "digit")
-        .withColumn("range", F.col("ahead") + F.size(F.filter("bounds", lambda x: x <= me)))
-        .drop("digit", "ahead", "bounds")
+        keyed.withColumn("_digit", _digit(0))
+        .join(F.broadcast(table), "_digit")
+        .withColumn("_range", F.col("_ahead") + F.size(F.filter("_bounds", lambda x: x <= me)))
+        .drop("_digit", "_ahead", "_bounds", "shard", "slot")
     )
     before = [0] + [n for _, _, n in cuts]  # rows below each fine range
-    starts = [before[r // per_shard * per_shard] if r // per_shard * per_shard < len(before) else before[-1] for r in range(len(before))]
-    offsets = spark.createDataFrame([(r, r // per_shard, before[r] - starts[r]) for r in range(len(before))], "range int, shard int, first long")
-    order = Window.partitionBy("range").orderBy(*_KEYS)
+    starts = [before[r - r % per_shard] for r in range(len(before))]
+    offsets = spark.createDataFrame([(r, r // per_shard, n - starts[r]) for r, n in enumerate(before)], "_range int, shard int, _first long")
+    order = Window.partitionBy("_range").orderBy(*_KEYS)
     return (
         ranged.withColumn("slot", F.row_number().over(order) - 1)
-        .join(F.broadcast(offsets), "range")
-        .withColumn("slot", F.col("slot") + F.col("first"))
-        .drop("range", "first", *_KEYS)
+        .join(F.broadcast(offsets), "_range")
+        .withColumn("slot", F.col("slot") + F.col("_first"))
+        .drop("_range", "_first", *_KEYS)
     )
