@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _V = "aeiouy"
@@ -119,7 +120,11 @@ def stem(word: str) -> str:
     return w.replace("Y", "y")
 
 
-@F.pandas_udf("string")
-def stem_column(words: pd.Series) -> pd.Series:
+def stem_column(words: Column) -> Column:
     """Stems of words; null stays null."""
-    return words.map(lambda w: None if w is None else stem(w))
+
+    @F.pandas_udf("string")  # made at the call: its type needs a session
+    def run(series: pd.Series) -> pd.Series:
+        return series.map(lambda w: None if w is None else stem(w))
+
+    return run(words)

@@ -48,7 +48,7 @@ def lexemes(chunks: DataFrame, keys: list[str], exact_col: str = "text_exact", s
     semantic = both.select(*keys, F.size("a").alias("shift"), F.posexplode("b").alias("i", "word"))
     semantic = semantic.where(~F.col("word").isin(*sorted(ENGLISH_STOPWORDS)))
     # the stemmer sees each distinct word once
-    stems = semantic.select("word").distinct().withColumn("lexeme", stem_column("word"))
+    stems = semantic.select("word").distinct().withColumn("lexeme", stem_column(F.col("word")))
     semantic = semantic.join(stems, "word").select(*keys, "lexeme", (F.col("shift") + F.col("i") + 1).alias("pos"), F.lit("B").alias("weight"))
     return exact.unionByName(semantic)
 
@@ -82,10 +82,14 @@ def parse_query(text: str | None) -> list[tuple[int, int, bool, list[tuple[str,
     return out
 
 
-@F.pandas_udf(QUERY_TYPE)
-def parsed_query(texts: pd.Series) -> pd.Series:
+def parsed_query(texts: Column) -> Column:
     """:func:`parse_query` for a column of questions."""
-    return texts.map(lambda t: [{"grp": g, "term": k, "negated": n, "lexemes": [{"lexeme": x, "offset": o} for x, o in ls]} for g, k, n, ls in parse_query(t)])
+
+    @F.pandas_udf(QUERY_TYPE)
+    def run(series: pd.Series) -> pd.Series:
+        return series.map(lambda t: [{"grp": g, "term": k, "negated": n, "lexemes": [{"lexeme": x, "offset": o} for x, o in ls]} for g, k, n, ls in parse_query(t)])
+
+    return run(texts)
 
 
 def _cover_rank(entries: list[tuple[int, int, float]], n_terms: int) -> float:
@@ -108,9 +112,12 @@ def _cover_rank(entries: list[tuple[int, int, float]], n_terms: int) -> float:
     return total
 
 
-@F.pandas_udf("double")
-def _and_rank(entries: pd.Series, n_terms: pd.Series) -> pd.Series:
-    return pd.Series([_cover_rank([(e["pos"], e["term"], e["w"]) for e in es], int(n)) for es, n in zip(entries, n_terms)], dtype="float64")
+def _and_rank(entries: Column, n_terms: Column) -> Column:
+    @F.pandas_udf("double")
+    def run(each: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([_cover_rank([(e["pos"], e["term"], e["w"]) for e in es], int(k)) for es, k in zip(each, n)], dtype="float64")
+
+    return run(entries, n_terms)
 
 
 def match(index: DataFrame, queries: DataFrame, scope: list[str], query_id: str = "query_id", parsed_col: str = "tsq", doc: str = "id") -> DataFrame:
@@ -154,7 +161,7 @@ def match(index: DataFrame, queries: DataFrame, scope: list[str], query_id: str
     # groups of several terms
     several = live.where("needed > 1").select(query_id, doc, "grp", "needed", "term", F.explode("at").alias("p"))
     covers = several.groupBy(query_id, doc, "grp", "needed").agg(F.collect_set(F.struct("p.pos", "term", "p.w")).alias("entries"))
-    covers = covers.withColumn("part", _and_rank("entries", "needed")).groupBy(query_id, doc).agg(F.max("part").alias("part"))
+    covers = covers.withColumn("part", _and_rank(F.col("entries"), F.col("needed"))).groupBy(query_id, doc).agg(F.max("part").alias("part"))
     parts = words.unionByName(whole).unionByName(covers)
     ranked = parts.groupBy(query_id, doc).agg(F.sum("part").alias("lex_rank"))
     # a group that matches without a positive rank still matches

@@ -50,7 +50,7 @@ def top_hits(fused: DataFrame, top_k: int, query_id: str = "query_id", doc: str
 
 def lexical_branch(index: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
     """query_id, id, lex_rank, lex_pos. Blank query texts match nothing."""
-    asked = queries.where(F.length(F.trim(F.coalesce("lexical_query", F.lit("")))) > 0).withColumn("tsq", parsed_query("lexical_query"))
+    asked = queries.where(F.length(F.trim(F.coalesce("lexical_query", F.lit("")))) > 0).withColumn("tsq", parsed_query(F.col("lexical_query")))
     return position(match(index, asked, SCOPE), "query_id", F.col("lex_rank").desc(), F.col("id").asc(), name="lex_pos", limit=pool_size(top_k))
 
 
