@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -48,12 +49,21 @@ def _word_pattern() -> re.Pattern:
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^ \t\n\r{letters}{numbers}]+")
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else the next from U+0100."""
+    printing = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in printing else next(others)) for b in range(256)}
+
+
 class WordEncoder(dict):
     """Ids of a text as little-endian 32-bit bytes; words seen before are looked up.
 
     The tokenizer lower-cases, drops white space and encodes each word alone,
-    so joining the words' ids gives those of the text. Texts with other
-    characters, or with a special token's string, are encoded whole.
+    so joining the words' ids gives those of the text. New words go straight
+    to its merge model. Texts with other characters, or with a special token's
+    string, are encoded whole, and so is every text if the file turns out to
+    be of another kind.
     """
 
     def __init__(self, path: str):
@@ -62,44 +72,35 @@ class WordEncoder(dict):
         super().__init__()
         self.older: dict[str, bytes] = {}  # full once; words used again move to the newer generation
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.characters = self.tokenizer.model, _byte_characters()
         self.words = _word_pattern()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        probe = "It's 12½ ÉTÉ-straße, naïve… o'clock!! x_y  Z"
+        self.by_word = self.joined(probe) == self.whole(probe)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            return self.whole(word)
+            written = word if word.isascii() else word.encode().decode("latin-1").translate(self.characters)
+            ids = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+            if len(word) > 40:
+                return ids
+        if len(self) >= _WORDS_KEPT:
+            self.older = dict(self)
+            self.clear()
         self[word] = ids
         return ids
 
-    def learn(self, words: list[str]) -> None:
-        """Encode new words in one call: the tokenizer says which word each id is of."""
-        if len(self) + len(words) > _WORDS_KEPT:
-            self.older = dict(self)
-            self.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.older and len(w) <= 64]
-        if not new:
-            return
-        found = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-        raw, of = np.array(found.ids, dtype="<u4").tobytes(), np.array(found.word_ids)
-        ends = np.append(np.flatnonzero(np.diff(of)) + 1, len(of)) * 4
-        if len(ends) != len(new):  # then they are looked up one by one
-            return
-        at = 0
-        for word, end in zip(new, ends.tolist()):
-            self[word] = raw[at:end]
-            at = end
+    def joined(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.words.findall(text.lower())))
 
     def ids(self, text: str) -> bytes:
-        if ("<|" in text and any(s in text for s in self.special)) or not (text.isascii() and text.isprintable()) and _PLAIN.search(text):
+        if not self.by_word or "<|" in text and any(s in text for s in self.special) or not (text.isascii() and text.isprintable()) and _PLAIN.search(text):
             return self.whole(text)
-        words = self.words.findall(text.lower())
-        if new := [w for w in words if w not in self]:
-            self.learn(new)
-        return b"".join(map(self.__getitem__, words))
+        return self.joined(text)
 
 
 def _encoder(path: str | None) -> WordEncoder:
@@ -110,6 +111,7 @@ def _encoder(path: str | None) -> WordEncoder:
         import public_tokenizers
 
         path = public_tokenizers.path(TOKENIZER)
+    assert array("I").itemsize == 4
     kept = tokenizers.__dict__.setdefault("_word_encoders", {})
     if path not in kept:
         kept[path] = WordEncoder(path)
