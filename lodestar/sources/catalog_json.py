@@ -15,7 +15,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import SPACE, dedupe_terms, label
+from lodestar.functions.text import SPACE, dedupe_terms, label, let
 from lodestar.sources.shared import stored
 from lodestar.sources.schemas import COLUMNS, ISSUES, RULES, VALUES, Catalog
 
@@ -33,16 +33,17 @@ class CatalogAdapter(Protocol):
 
 
 def type_name(v: Column) -> Column:
-    kind = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull() | (kind == "VOID"), "NoneType")
+    """Let-bound, as most helpers here: records nest them, and an argument named twice would be copied at each level."""
+    return let(
+        F.coalesce(F.schema_of_variant(v), F.lit("VOID")),
+        lambda kind: F.when(kind == "VOID", "NoneType")
         .when(kind == "STRING", "str")
         .when(kind == "BIGINT", "int")
         .when(kind == "BOOLEAN", "bool")
         .when(kind.startswith("OBJECT"), "dict")
         .when(kind.startswith("ARRAY"), "list")
         .when(kind.rlike(r"^DECIMAL\(\d+,0\)$"), "int")
-        .otherwise("float")
+        .otherwise("float"),
     )
 
 
@@ -74,15 +75,16 @@ def python_text(v: Column) -> Column:
 
 
 def truthy(v: Column) -> Column:
-    kind = type_name(v)
-    number = F.try_variant_get(v, "$", "double")
-    return (
-        F.when(kind == "NoneType", False)
-        .when(kind == "str", as_string(v) != "")
-        .when(kind.isin("int", "float"), F.coalesce(number != 0, F.lit(True)))
-        .when(kind == "bool", F.try_variant_get(v, "$", "boolean"))
-        .otherwise(~F.to_json(v).isin("{}", "[]"))
-    )
+    def test(x: Column, kind: Column) -> Column:
+        return (
+            F.when(kind == "NoneType", False)
+            .when(kind == "str", as_string(x) != "")
+            .when(kind.isin("int", "float"), F.coalesce(F.try_variant_get(x, "$", "double") != 0, F.lit(True)))
+            .when(kind == "bool", F.try_variant_get(x, "$", "boolean"))
+            .otherwise(~F.to_json(x).isin("{}", "[]"))
+        )
+
+    return let(v, lambda x: let(type_name(x), lambda kind: test(x, kind)))
 
 
 def first_truthy(a: Column, b: Column) -> Column:
@@ -110,27 +112,37 @@ def _all(*parts: Column) -> Column:
 
 def string_field(v: Column, name: str, entity: Column) -> tuple[Column, Column]:
     """(stripped text or null, issues)."""
-    text = F.when(type_name(v) == "str", F.nullif(strip(as_string(v)), F.lit("")))
-    wrong = ~type_name(v).isin("str", "NoneType")
-    return text, _when(wrong, issue("invalid_field_type", entity, "ignored_field", field_name=F.lit(name), actual_type=type_name(v)))
+
+    def parse(x: Column, kind: Column) -> Column:
+        wrong = issue("invalid_field_type", entity, "ignored_field", field_name=F.lit(name), actual_type=kind)
+        return F.struct(F.when(kind == "str", F.nullif(strip(as_string(x)), F.lit(""))).alias("value"), _when(~kind.isin("str", "NoneType"), wrong).alias("issues"))
+
+    both = let(v, lambda x: let(type_name(x), lambda kind: parse(x, kind)))
+    return both["value"], both["issues"]
 
 
 def list_field(v: Column, name: str, entity: Column) -> tuple[Column, Column]:
     """(distinct stripped texts, issues)."""
-    kind, field = type_name(v), F.lit(name)
-    texts = F.filter(F.transform(F.filter(_items(v), lambda x: type_name(x) == "str"), lambda x: strip(as_string(x))), lambda s: s != "")
-    single = F.filter(F.array(strip(as_string(v))), lambda s: s != "")
-    value = F.when(kind == "str", single).when(kind == "list", dedupe_terms(texts)).otherwise(F.array().cast("array<string>"))
-    bad = F.filter(
-        F.transform(_items(v), lambda x, i: F.when(type_name(x) != "str", issue("invalid_list_field_item", entity, "dropped_list_item", field_name=field, index=i, actual_type=type_name(x)))),
-        lambda x: x.isNotNull(),
-    )
-    issues = _all(
-        _when(kind == "str", issue("coerced_scalar_list_field", entity, "coerced_scalar_to_singleton_list", field_name=field)),
-        _when(~kind.isin("str", "list", "NoneType"), issue("invalid_list_field_type", entity, "dropped_field", field_name=field, actual_type=kind)),
-        F.when(kind == "list", bad).otherwise(F.array().cast(f"array<{ISSUE}>")),
-    )
-    return value, issues
+    field, none = F.lit(name), F.array().cast(f"array<{ISSUE}>")
+
+    def parse(x: Column, kind: Column) -> Column:
+        items = F.transform(_items(x), lambda i, n: F.struct(i.alias("v"), type_name(i).alias("kind"), n.alias("n")))
+        texts = F.filter(F.transform(F.filter(items, lambda i: i["kind"] == "str"), lambda i: strip(as_string(i["v"]))), lambda t: t != "")
+        single = F.filter(F.array(strip(as_string(x))), lambda t: t != "")
+        bad = F.transform(
+            F.filter(items, lambda i: i["kind"] != "str"), lambda i: issue("invalid_list_field_item", entity, "dropped_list_item", field_name=field, index=i["n"], actual_type=i["kind"])
+        )
+        found = (
+            F.when(kind == "list", bad)
+            .when(kind == "str", F.array(issue("coerced_scalar_list_field", entity, "coerced_scalar_to_singleton_list", field_name=field)))
+            .when(kind == "NoneType", none)
+            .otherwise(F.array(issue("invalid_list_field_type", entity, "dropped_field", field_name=field, actual_type=kind)))
+        )
+        value = F.when(kind == "str", single).when(kind == "list", dedupe_terms(texts)).otherwise(F.array().cast("array<string>"))
+        return F.struct(value.alias("value"), found.alias("issues"))
+
+    both = let(v, lambda x: let(type_name(x), lambda kind: parse(x, kind)))
+    return both["value"], both["issues"]
 
 
 # --- files ----------------------------------------------------------------------------------
