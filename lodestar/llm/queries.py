@@ -18,10 +18,12 @@ from lodestar.llm.packing import pack_documents
 from lodestar.llm.sharding import histogram_shards
 from lodestar.llm.simhash import hex_fingerprint, near_duplicates
 from lodestar.llm.warc import roundtrip
+from lodestar.sources.shared import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name in ("documents", "pages") else table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
