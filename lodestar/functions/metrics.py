@@ -15,8 +15,8 @@ CJK = "[㐀-䶿一-鿿豈-﫿]"
 
 
 def _count(text: Column, pattern: str) -> Column:
-    """Characters that match the class ``pattern``."""
-    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+    """Characters that match the class ``pattern``, removed run by run."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{pattern}+", ""))
 
 
 def _ceil(x: Column) -> Column:
@@ -26,7 +26,7 @@ def _ceil(x: Column) -> Column:
 def estimate_tokens(text: Column) -> Column:
     """A quarter of ASCII word characters, half of ASCII punctuation, every CJK character, half of the rest; each rounded up."""
     t = F.coalesce(text, F.lit(""))
-    solid = F.regexp_replace(t, f"(?U){SPACE}", "")
+    solid = F.regexp_replace(t, f"(?U){SPACE}+", "")
     word = _count(solid, "[A-Za-z0-9_]")
     ascii_ = _count(solid, r"[\x00-\x7F]")
     cjk = _count(solid, CJK)

@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.stemming import stem, stem_column
 from lodestar.functions.vocabulary import ENGLISH_STOPWORDS
+from lodestar.sources.shared import stored
 
-WORD = r"([\p{L}\p{N}]+)"
+SEPARATORS = r"[^\p{L}\p{N}]+"
 WEIGHT_A, WEIGHT_B = 1.0, 0.4
 QUERY_TYPE = "array<struct<grp: int, term: int, negated: boolean, lexemes: array<struct<lexeme: string, offset: int>>>>"
 
@@ -40,12 +41,14 @@ def unaccent(text: str) -> str:
 def lexemes(chunks: DataFrame, keys: list[str], exact_col: str = "text_exact", semantic_col: str = "text_semantic") -> DataFrame:
     """``keys``, lexeme, pos (from 1), weight (``A`` or ``B``): the inverted index of ``chunks``."""
 
-    def words(c: Column) -> Column:
-        return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("(?U)" + WORD), F.lit(1))
+    def words(c: str) -> Column:
+        return F.array_remove(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), SEPARATORS), "")
 
-    both = chunks.select(*keys, words(F.col(exact_col)).alias("a"), words(F.col(semantic_col)).alias("b"))
-    exact = both.select(*keys, F.posexplode("a").alias("i", "lexeme")).select(*keys, "lexeme", (F.col("i") + 1).alias("pos"), F.lit("A").alias("weight"))
-    semantic = both.select(*keys, F.size("a").alias("shift"), F.posexplode("b").alias("i", "word"))
+    # outer: else the optimizer would add a filter that splits each text twice
+    exact = chunks.select(*keys, F.posexplode_outer(words(exact_col)).alias("i", "lexeme")).where("lexeme IS NOT NULL")
+    exact = exact.select(*keys, "lexeme", (F.col("i") + 1).alias("pos"), F.lit("A").alias("weight"))
+    both = chunks.where(F.length(semantic_col) > 0).select(*keys, F.size(words(exact_col)).alias("shift"), words(semantic_col).alias("b"))
+    semantic = both.select(*keys, "shift", F.posexplode_outer("b").alias("i", "word")).where("word IS NOT NULL")
     semantic = semantic.where(~F.col("word").isin(*sorted(ENGLISH_STOPWORDS)))
     # the stemmer sees each distinct word once
     stems = semantic.select("word").distinct().withColumn("lexeme", stem_column(F.col("word")))
@@ -138,7 +141,8 @@ def match(index: DataFrame, queries: DataFrame, scope: list[str], query_id: str
         F.count_distinct("offset").alias("got"),
         F.array_sort(F.collect_set(F.struct("pos", "w"))).alias("at"),
     )
-    occurrences = occurrences.where("got = n_lexemes")
+    # few rows, read by each kind of term below: written once, or the index would be walked for each of them
+    occurrences = stored(occurrences.where("got = n_lexemes"), "occurrences")
     present = occurrences.groupBy(query_id, doc, "grp").agg(
         F.count_distinct(F.when(~F.col("negated"), F.col("term"))).alias("positive"),
         F.max(F.col("negated")).alias("refused"),

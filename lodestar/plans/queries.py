@@ -19,6 +19,7 @@ from lodestar.operators.integrity import duplicates, orphans
 from lodestar.operators.keys import keep_first, mark_duplicates, resolve_identity, split_reference, unique_match
 from lodestar.plans.answer import retrieval_inputs
 from lodestar.sources.catalog_json import parse_columns
+from lodestar.sources.shared import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Words that the lexical queries ask for.
@@ -43,7 +44,8 @@ REF = ["table_name", "column_name"]
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name == "documents" else table
 
 
 # --- text -----------------------------------------------------------------------------------

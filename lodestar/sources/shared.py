@@ -72,3 +72,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def forget(df: DataFrame) -> None:
     """Delete a table made by :func:`stored` that no later step reads."""
     drop_path(df.sparkSession, df._lodestar_path)
+
+
+#: Tables up to this size may be dealt out again if they come in too few files.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in fewer files than there are cores, dealt out to all of them; any other table as it is.
+
+    One file with one row group is one task, however many cores wait. Large
+    tables are never moved for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SPREAD_BYTES and 0 < len(df.inputFiles()) < cores else df
