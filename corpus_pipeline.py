@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import quality
-from lodestar.llm.common import stored
+from lodestar.llm.common import content_key, stored, text_or_empty
 from lodestar.llm.decontaminate import decontaminate
 from lodestar.llm.packing import pack_documents
-from lodestar.llm.simhash import near_duplicates
+from lodestar.llm.simhash import representatives
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,22 +24,28 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id.
+    """One document of each group of near-duplicates: that with the smallest id, nulls last, then the smallest content key.
 
-    Documents without an id are never dropped as copies of others, since
-    nothing tells them apart; of rows that repeat an id one stays.
+    Rows are told apart by id and text, so texts without an id are dropped as
+    copies like any other, and different texts that share an id all count. Of
+    rows that repeat both, the smallest stays.
     """
-    found = near_duplicates(docs)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+    chosen = stored(representatives(docs).select(F.col("doc_id").alias("_id"), F.col("ck1").alias("_k1"), F.col("ck2").alias("_k2")), "chosen")
+    keyed = _keyed(docs)
+    same = keyed["doc_id"].eqNullSafe(chosen["_id"]) & (keyed["ck1"] == chosen["_k1"]) & (keyed["ck2"] == chosen["_k2"])
+    kept = keyed.join(chosen, same, "left_semi")
+    return kept.groupBy("doc_id", "ck1", "ck2").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark; the decision goes by the text, whatever the id."""
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    dirty = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti")
+    dirty = stored(found.where("contaminated").select("ck1", "ck2").distinct(), "dirty")  # a stored side lets a join on a hot text be split
+    return _keyed(docs).join(dirty, ["ck1", "ck2"], "left_anti").select(docs.columns)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("*", *content_key(text_or_empty("text")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

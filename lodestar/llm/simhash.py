@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import components, stored, text_or_empty
+from lodestar.llm.common import components, content_key, stored, text_or_empty
 
 #: Hot keys are broadcast only if they are no more than this.
 BROADCAST_ROWS = 50_000
@@ -53,17 +53,17 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(_BIT[counts * 2 > n].sum(dtype=np.uint64))
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp: signed long) for every row; batch by batch, so memory is that of one Arrow batch."""
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """(id, fp: signed long) for every row, with ck1 and ck2 if ``keyed``; batch by batch, so memory is that of one Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
             got = np.array([fingerprint(texts[i].as_py()) for i in range(len(texts))], dtype=np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.int64())], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.int64()), *batch.columns[2:]], names=[id_col, "fp", "ck1", "ck2"][: batch.num_columns])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), text_or_empty(text_col).alias("t")).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return docs.select(F.col(id_col), text_or_empty(text_col).alias("t"), *(content_key(text_or_empty(text_col)) if keyed else [])).mapInArrow(run, f"`{id_col}` {kind}, fp long" + ", ck1 long, ck2 long" * keyed)
 
 
 def _segments(n: int) -> list[tuple[int, int]]:
@@ -144,16 +144,34 @@ def links(fps: DataFrame, max_bits: int = 2, n_segments: int = 5, max_bucket: in
     return pairs.unionByName(starred).distinct()
 
 
+def _reached(prints: DataFrame, id_col: str, **options) -> DataFrame:
+    """(fp, least: smallest id, component) for every distinct fingerprint."""
+    classes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
+    found = components(links(classes.select("fp"), **options))
+    return classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row for each row of ``docs``: id, fp (signed long), component_id (smallest id reachable)."""
     prints = stored(with_fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
-    found = components(links(classes.select("fp"), **options))
-    reached = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    reached = _reached(prints, id_col, **options)
     named = reached.groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = reached.join(named, "component").select("fp", "component_id")
     return prints.join(of_class, "fp").select(id_col, "fp", "component_id")
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One (id, ck1, ck2) for each component: the smallest id, nulls last, then the smallest content key.
+
+    An id alone names neither a row nor a component: it may be null, or shared
+    by texts of different components.
+    """
+    prints = stored(with_fingerprints(docs, id_col, text_col, keyed=True), "fingerprints")
+    order = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), "ck1", "ck2")
+    least = prints.groupBy("fp").agg(F.min(order).alias("r"))
+    chosen = least.join(_reached(prints, id_col, **options), "fp").groupBy("component").agg(F.min("r").alias("r"))
+    return chosen.select(F.col("r.id").alias(id_col), "r.ck1", "r.ck2")
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

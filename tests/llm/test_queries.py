@@ -40,3 +40,16 @@ def test_pipeline_stages_on_odd_documents(spark, sf, docs, no_docs):
         assert stage(spark, plain.where("false"), sf).count() == 0
     left = {r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, plain, sf).collect()}
     assert left == {1, 3, 6, 7, 8, 9, None}
+
+
+def test_pipeline_decisions_do_not_go_by_the_id_alone(spark, sf):
+    passage = spark.read.parquet(f"{sf}/benchmark.parquet").where("size(split(text, ' ')) > 12").orderBy("item_id").first().text
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    one, two = "a text of its own about ships that sail in the north", "another unlike it, on the growing of pears and plums"
+    rows = [(None, f"leak {passage}", "en", "a", 1), (1, passage, "en", "a", 1), (1, one, "en", "a", 1), (None, two, "en", "b", 1)]
+    clean = corpus_pipeline.keep_clean(spark, spark.createDataFrame(rows, kinds), sf).collect()
+    assert {(r.doc_id, r.text) for r in clean} == {(1, one), (None, two)} and len(clean) == 2
+    # copies without ids leave one; an id that two texts share loses neither; rows that repeat id and text leave one
+    rows = [(None, two, "en", "b", 1)] * 2 + [(5, one, "en", "b", 1)] * 2 + [(7, one, "en", "a", 1), (7, "a third: clocks, bells and the towers they hang in", "en", "a", 1)]
+    kept = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(rows, kinds), sf).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("None", two), ("5", one), ("7", rows[-1][1])])
