@@ -10,8 +10,8 @@ from the body is the threshold that further subtrees must reach to be kept.
 Elements that are never article text (scripts, menus, forms, asides, elements
 whose role, class or id names an advert, a notice, a comment list and the
 like) are cut out before densities are computed. Where the page marks an
-article (or, without one, a main element), the subtrees compared are those;
-an article is kept whole.
+article (or, without one, a main element), a kept subtree inside it is widened
+to the whole of it.
 
 Defined cases: null, empty and unparsable pages give an empty text; unclosed
 elements end with their parent; a repeated row gives the same text again; null
@@ -227,36 +227,30 @@ def main_text(page: str | None) -> str:
     nodes = _in_order(root)
     body = next((n for n in nodes if n.tag == "body"), root)
     _measure(nodes, body)
-    inner = nodes if body is root else _in_order(body)
-    for tag in ("article", "main"):
-        marked = [n for n in inner if n.tag == tag and n.chars]
-        marked = [n for n in marked if not any(m is not n and _above(m, n) for m in marked)]
-        if marked:
-            best = max(marked, key=lambda n: (n.total, n.density))
-            return "\n".join(_blocks([best]))
     if not body.chars:
         return ""
-    best = max(inner, key=lambda n: n.total)
-    threshold, node = best.density, best
+    inner = nodes if body is root else _in_order(body)
+    tag = next((t for t in ("article", "main") if any(n.tag == t and n.chars for n in inner)), None)
+    outermost: dict[int, _Node] = {}  # of each node in a marked element, that element
+    for n in inner:
+        if (up := outermost.get(id(n.parent))) or n.tag == tag and n.chars:
+            outermost[id(n)] = up or n
+    best = max(inner, key=lambda n: (n.total, id(n) in outermost))
+    threshold, node, path = best.density, best, set()
     while node is not None and node is not body.parent:
         threshold, node = min(threshold, node.density), node.parent
+        path.add(id(node))
     # every subtree whose density reaches the threshold of the path is article text, in page order
-    chosen, stack = [], [body]
+    chosen, stack = {}, [body]
     while stack:
         node = stack.pop()
-        if node is best or (node is not body and node.density >= threshold and not _above(node, best) and node.density >= 0.5 * best.density):
-            chosen.append(node)
-            continue
-        if node is body or _above(node, best):
+        reached = node.density >= threshold or outermost.get(id(node)) is node and node.total >= threshold  # a smaller part of an article
+        if node is best or (node is not body and id(node) not in path and reached and node.chars):
+            top = outermost.get(id(node), node)
+            chosen[id(top)] = top
+        elif node.chars:  # a subtree of the threshold's density may lie in one that is less dense
             stack += [c for c in reversed(node.children) if isinstance(c, _Node) and _kept(c)]
-    return "\n".join(_blocks(chosen))
-
-
-def _above(a: _Node, b: _Node) -> bool:
-    node = b.parent
-    while node is not None and node is not a:
-        node = node.parent
-    return node is a
+    return "\n".join(_blocks(list(chosen.values())))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -44,3 +44,20 @@ def test_rows(spark):
     got = extract_pages(pages.selectExpr("*", "'x' AS text", "1 AS h")).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, "u", "a"), (1, "u", "a"), (None, None, "")], key=str)
     assert extract_pages(pages.where("false")).count() == 0
+
+
+PROSE = "Sentence of the article with many words in it. " * 6
+
+
+def test_all_parts_of_an_article_are_kept():
+    part = "".join(f"<p>{PROSE}</p>" for _ in range(3))
+    text = main_text(f"<body>{BOILER[0]}<article><h1>One</h1>{part}</article><article><h1>Two</h1>{part}{part}</article>{BOILER[1]}</body>")
+    assert text.count("Sentence") == 54 and text.startswith("One") and "Two" in text and "Home" not in text
+
+
+def test_threshold_alone_keeps_unmarked_subtrees():
+    # the second block is less than half as dense as the first, but denser than the path
+    links = "".join(f'<li><a href="/{i}">link {i}</a></li>' for i in range(40))
+    page = f"<body><div><p>{PROSE * 4}</p><p>{PROSE * 4}</p></div><div><p>{PROSE}</p><p>{PROSE}</p></div><div><ul>{links}</ul></div></body>"
+    text = main_text(page)
+    assert text.count("Sentence") == 60 and "link" not in text
