@@ -8,10 +8,12 @@ subtree with the largest sum is the article; the lowest density on its path
 from the body is the threshold that further subtrees must reach to be kept.
 
 Elements that are never article text (scripts, menus, forms, asides, elements
-whose role, class or id names an advert, a notice, a comment list and the
-like) are cut out before densities are computed. Where the page marks an
-article (or, without one, a main element), a kept subtree inside it is widened
-to the whole of it.
+whose role says so) are cut out before densities are computed. A class or id
+that names an advert, a notice, a comment list and the like is evidence only:
+such an element is left out while the article is sought, and comes back if it
+holds most of the page's plain text, or lies in the article and is prose as
+dense as the threshold. Headings are never cut for their names. A kept subtree
+inside a marked article (or, without one, a main element) is widened to it.
 
 Defined cases: null, empty and unparsable pages give an empty text; unclosed
 elements end with their parent; a repeated row gives the same text again; null
@@ -56,37 +58,42 @@ ENDS = {
 _MARKUP = re.compile(r"<!--|<!\[CDATA\[|<[!?]|</?([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']|[\"'](?=[^\"'>]*>))*)>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[A-Za-z]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: A named element with more than this share of the page's plain text wraps the article.
+WRAPS = 0.8
+#: Characters a tag from which a named element inside the article can be prose.
+PROSE = 25
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total", "inside", "names_article")
+    __slots__ = ("tag", "parent", "children", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total", "inside", "names_article", "named")
 
     def __init__(self, tag: str, parent: _Node | None):
         self.tag, self.parent, self.children, self.cut = tag, parent, [], False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
-        self.names_article = False
+        self.names_article = self.named = False
 
 
-def _is_cut(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is cut out, and whether that stands even if it holds an article."""
+def _is_cut(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is cut out, whether that stands even if it holds an article, and whether only a name says so."""
     if tag in CUT:
-        return True, tag not in ("form", "menu")
+        return True, tag not in ("form", "menu"), False
     if tag == "header" and not inside:
-        return True, False
+        return True, False, False
     if attributes and tag not in ("html", "body", "article", "main"):
         found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
         if "hidden" in found or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I) or found.get("aria-hidden") == "true":
-            return True, True
+            return True, True, False
         if found.get("role", "").lower() in CUT_ROLES:
-            return True, False
-        for key in ("class", "id"):
-            if key in found:
-                words = {w.lower() for w in _NAME.findall(found[key])}
-                if words & CUT_NAMES or (not inside and "header" in words):
-                    return True, False
-    return False, False
+            return True, False, False
+        for key in ("class", "id") if tag not in HEADINGS else ():
+            for token in found.get(key, "").lower().split():  # the whole token: has-sidebar is no sidebar
+                words = set(_NAME.findall(token))
+                if words and (words <= CUT_NAMES or not inside and words == {"header"}):
+                    return True, False, True
+    return False, False, False
 
 
 def parse(page: str) -> _Node:
@@ -135,7 +142,7 @@ def parse(page: str) -> _Node:
                         break
                 node = node.parent
         node = _Node(tag, here)
-        cut, firm = _is_cut(tag, m[2], here.inside or here.tag in ("article", "main"))
+        cut, firm, node.named = _is_cut(tag, m[2], here.inside or here.tag in ("article", "main"))
         node.cut = (2 if firm else 1) if cut else 0
         if tag in ("article", "main"):
             up = here
@@ -220,12 +227,38 @@ def _blocks(nodes: list[_Node]) -> list[str]:
     return out
 
 
+def _weigh_names(root: _Node) -> list[tuple[_Node, float]]:
+    """Named elements with their densities, all cut again but those that hold most of the page's plain text."""
+    suspects, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.named and not _kept(node):
+            node.cut = 0
+            suspects.append(node)
+        if _kept(node):
+            stack += [c for c in node.children if isinstance(c, _Node)]
+    if not suspects:
+        return []
+    nodes = _in_order(root)
+    body = next((n for n in nodes if n.tag == "body"), root)
+    _measure(nodes, body)
+    most = WRAPS * (body.chars - body.link_chars)
+    left = [(n, n.density if n.chars >= PROSE * max(n.tags, 1) else -1.0) for n in suspects if n.chars - n.link_chars <= most]
+    for n, _ in left:
+        n.cut = 1
+        n.density = n.total = 0.0
+    return left
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    named = _weigh_names(root)
     nodes = _in_order(root)
     body = next((n for n in nodes if n.tag == "body"), root)
+    for node in nodes:
+        node.density = 0.0
     _measure(nodes, body)
     if not body.chars:
         return ""
@@ -250,6 +283,13 @@ def main_text(page: str | None) -> str:
             chosen[id(top)] = top
         elif node.chars:  # a subtree of the threshold's density may lie in one that is less dense
             stack += [c for c in reversed(node.children) if isinstance(c, _Node) and _kept(c)]
+    for node, density in named:
+        if density >= threshold:
+            up = node.parent
+            while up is not None and id(up) not in chosen:
+                up = up.parent
+            if up is not None:
+                node.cut = 0
     return "\n".join(_blocks(list(chosen.values())))
 
 

@@ -61,3 +61,13 @@ def test_threshold_alone_keeps_unmarked_subtrees():
     page = f"<body><div><p>{PROSE * 4}</p><p>{PROSE * 4}</p></div><div><p>{PROSE}</p><p>{PROSE}</p></div><div><ul>{links}</ul></div></body>"
     text = main_text(page)
     assert text.count("Sentence") == 60 and "link" not in text
+
+
+@pytest.mark.parametrize("piece", ["<h2 id='social-impact'>KEPT</h2>", "<h2 id='sharing'>KEPT</h2>", f"<section id='cookies'><p>KEPT {PROSE}</p></section>", f"<p class='notice'>KEPT {PROSE}</p>", "<div class='related-work'>KEPT</div>"])
+def test_names_do_not_cut_article_text(piece):
+    assert "KEPT" in main_text(f"<body><article><h1>Title</h1><p>{PROSE}</p>{piece}<p>{PROSE}</p></article></body>")
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "widget"])
+def test_a_named_wrapper_does_not_empty_the_page(name):
+    assert main_text(f"<body>{BOILER[0]}<div class='{name}'><p>{PROSE}</p></div></body>") == PROSE.strip()
