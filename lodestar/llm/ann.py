@@ -79,20 +79,20 @@ class VPTree:
             node = self.nodes[n]
             if node[0] is None:
                 at = node[1]
+                at = at[self.ids[at] != own]  # before any cut: a repeated query takes no neighbour's place
                 d = distances(self.rows[at], query)
                 if len(best) == k:
                     keep = d <= -best[0][0]
                     at, d = at[keep], d[keep]
                 if len(at) > 2 * k:  # rows are in id order, so a stable sort keeps the smaller ids
-                    first = np.argsort(d, kind="stable")[: k + 1]
+                    first = np.argsort(d, kind="stable")[:k]
                     at, d = at[first], d[first]
                 for i, x in zip(at.tolist(), d.tolist()):
-                    if (name := int(self.ids[i])) != own:
-                        item = (-x, -name, i)
-                        if len(best) < k:
-                            heapq.heappush(best, item)
-                        elif item > best[0]:
-                            heapq.heapreplace(best, item)
+                    item = (-x, -int(self.ids[i]), i)
+                    if len(best) < k:
+                        heapq.heappush(best, item)
+                    elif item > best[0]:
+                        heapq.heapreplace(best, item)
                 continue
             d = float(np.sqrt(((node[0] - query) ** 2).sum()))
             sides = [(max(node[3] - d, d - node[4], 0.0), node[1]), (max(node[5] - d, d - node[6], 0.0), node[2])]

@@ -43,3 +43,13 @@ def test_few_rows_and_none(spark):
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (1, [2.0])], SCHEMA)
     assert [(r.vec_id, r.score) for r in nearest(few, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 1.0), (1, 1.0)]
     assert nearest(few.where("false"), F.lit(True)).count() == 0
+
+
+def test_copies_of_a_query_take_no_place_of_its_neighbours(spark):
+    random = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in random.normal(size=4)]) for i in range(60)]
+    table = spark.createDataFrame(rows + [rows[0]] * 30, SCHEMA)
+    points = np.array([v for _, v in rows], dtype=np.float32).astype(float)
+    d = np.sqrt(((points - points[0]) ** 2).sum(axis=1))
+    want = [int(i) for i in np.argsort(d) if i != 0][:10]
+    assert [r.vec_id for r in nearest(table, F.col("vec_id") == 0).orderBy("rank").collect()] == want
