@@ -116,8 +116,8 @@ def proximity_hits(
     """Texts that hold all words of a query, in any order, within its length plus ``slop`` words.
 
     ``queries``: query_id, words (array of lower-case words). Returns ck1, ck2,
-    query_id, start, stop: for each occurrence of the rarest word, the span of
-    the nearest occurrence of each other word, if it is short enough.
+    query_id, start, stop: for each occurrence of the rarest word, the smallest
+    span that holds it and every other word, if it is short enough.
     """
     wanted = queries.select("query_id", F.size(F.array_distinct("words")).alias("n"), F.explode(F.array_distinct("words")).alias("term"))
     wanted = stored(wanted, "proximity")
@@ -130,9 +130,15 @@ def proximity_hits(
     anchors = postings.join(rarest, "term").select("ck1", "ck2", "query_id", "n", F.col("pos").alias("anchor"))
     others = postings.join(wanted.select("query_id", "term"), "term").select("ck1", "ck2", "query_id", "term", "pos")
     near = anchors.join(others, ["ck1", "ck2", "query_id"]).where(F.abs(F.col("pos") - F.col("anchor")) < F.col("n") + slop)
-    closest = near.groupBy("ck1", "ck2", "query_id", "n", "anchor", "term").agg(F.min_by("pos", F.struct(F.abs(F.col("pos") - F.col("anchor")), "pos")).alias("pos"))
-    spans = closest.groupBy("ck1", "ck2", "query_id", "n", "anchor").agg(F.count("*").alias("found"), F.min("pos").alias("start"), (F.max("pos") + 1).alias("stop"))
-    return spans.where((F.col("found") == F.col("n")) & (F.col("stop") - F.col("start") <= F.col("n") + slop)).select("ck1", "ck2", "query_id", "start", "stop").distinct()
+    # the smallest span around an anchor starts at one of the places: for each start, the first place of each word from there on
+    at = ["ck1", "ck2", "query_id", "n", "anchor"]
+    starts = near.where(F.col("pos") <= F.col("anchor")).select(*at, F.col("pos").alias("start")).distinct()
+    ahead = near.select(*at, "term", "pos").join(starts, at).where((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + F.col("n") + slop))
+    first = ahead.groupBy(*at, "start", "term").agg(F.min("pos").alias("pos"))
+    spans = first.groupBy(*at, "start").agg(F.count("*").alias("found"), (F.greatest(F.max("pos"), F.col("anchor")) + 1).alias("stop"))
+    spans = spans.where((F.col("found") == F.col("n")) & (F.col("stop") - F.col("start") <= F.col("n") + slop))
+    best = spans.groupBy(*at).agg(F.min(F.struct((F.col("stop") - F.col("start")).alias("length"), "start", "stop")).alias("s"))
+    return best.select("ck1", "ck2", "query_id", "s.start", "s.stop").distinct()
 
 
 def decontaminate(

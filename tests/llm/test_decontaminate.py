@@ -56,3 +56,10 @@ def test_proximity(spark):
     asked = spark.createDataFrame([(9, ["alpha", "gamma", "beta"])], "query_id long, words array<string>")
     got = proximity_hits(docs, asked).collect()
     assert [(r.query_id, r.start, r.stop) for r in got] == [(9, 0, 5)]
+
+
+def test_proximity_looks_beyond_the_nearest_place(spark):
+    docs = spark.createDataFrame([(1, "b x x x a y y y c y b")], "doc_id long, text string")
+    more = spark.createDataFrame([(2, "b b c c c")], "doc_id long, text string")  # a stays the rarest
+    asked = spark.createDataFrame([(9, ["a", "b", "c"])], "query_id long, words array<string>")
+    assert [(r.start, r.stop) for r in proximity_hits(docs.union(more), asked).collect()] == [(4, 11)]
