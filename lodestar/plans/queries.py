@@ -62,11 +62,16 @@ def tokenize_docs(spark, sf):
 
 
 def alias_expand(spark, sf):
-    """Tokens of embedding families over all benchmark texts and documents' first sentences."""
+    """Tokens with embedding families of documents' first sentences, as its SQL has them; whole texts: alias_expand_texts."""
     rows = _t(spark, sf, "documents").select("doc_id", E.expanded_tokens(T.compact_sentence(F.col("text"))).alias("t"))
     return rows.select("doc_id", F.array_join("t", " ").alias("expanded"))
 
 
+def alias_expand_texts(spark, sf):
+    """Tokens with embedding families of the whole text of every document; no SQL."""
+    return _t(spark, sf, "documents").select("doc_id", F.array_join(E.expanded_tokens(F.col("text")), " ").alias("expanded"))
+
+
 def dedupe_terms(spark, sf):
     rows = _t(spark, sf, "documents").select("doc_id", F.split(F.lower("text"), " ").alias("w"))
     return rows.select("doc_id", F.size(T.dedupe_terms(F.col("w"))).cast("long").alias("n_distinct"), F.size("w").cast("long").alias("n_words"))
@@ -469,7 +474,7 @@ def namespace_replace(spark, sf):
 
 
 _ALL: tuple[Query, ...] = (
-    hybrid_rrf_topk, lex_topn, sem_topn, rrf_full_outer, fts_rank_phrase, scope_filter_count, prepare_rewrites, tokenize_docs, alias_expand, dedupe_terms, compact_sentence,
+    hybrid_rrf_topk, lex_topn, sem_topn, rrf_full_outer, fts_rank_phrase, scope_filter_count, prepare_rewrites, tokenize_docs, alias_expand, alias_expand_texts, dedupe_terms, compact_sentence,
     description_keywords, build_text_exact, text_metrics, estimate_tokens, collection_summary, count_by_key, retrieval_inputs_batch, hash_embedding_tokens, embed_text_docs,
     column_definition_chunks, value_definition_chunks, rule_chunks, chunk_union, rule_catalog, value_cardinality, mandatory_columns, value_indexing_summary, first_wins_dedup,
     rule_dedup_stateful, infer_table_name, candidate_ref_parse, resolve_column_identity, unknown_refs_anti, known_refs_semi, key_violations, foreign_key_orphans, issues_histogram,
