@@ -1,5 +1,10 @@
+import math
+import random
+import time
+
 import pytest
 
+from lodestar.llm import html_extract as H
 from lodestar.llm.html_extract import extract_pages, main_text
 
 BOILER = '<nav><a href="/">Home page of this site</a></nav>', '<footer>&copy; nobody at all, in many words</footer>'
@@ -71,3 +76,89 @@ def test_names_do_not_cut_article_text(piece):
 @pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "widget"])
 def test_a_named_wrapper_does_not_empty_the_page(name):
     assert main_text(f"<body>{BOILER[0]}<div class='{name}'><p>{PROSE}</p></div></body>") == PROSE.strip()
+
+
+SHORT = "Sentence of the article with many words in it. "
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<main><p>{SHORT * 20}</p><div id='comments'><article class='comment'><p>GONE</p></article></div></main>",
+        f"<article><p>{PROSE}</p><div id='comments'><article class='comment'><p>GONE {PROSE}</p></article></div><p>KEPT</p></article>",
+        f"<article><p>{PROSE}</p></article><section class='comments-area'><h2>GONE</h2>" + f"<article class='comment'><p>GONE {PROSE * 2}</p></article>" * 5 + "</section>",
+        f"<div class='post'><p>{PROSE}</p><p>KEPT {PROSE}</p></div><ol class='comment-list'><li class='comment'><p>GONE {PROSE}</p></li></ol>",
+        f"<article><p>{PROSE}</p><div class='ad'>GONE {PROSE}</div><p>KEPT</p></article>",
+        f"<article><p>{PROSE}</p><div class='share-buttons'><a href='x'>GONE</a> <a href='y'>GONE</a></div><p>KEPT</p></article>",
+        f"<form><div><p>KEPT {PROSE}</p></div><input><select><option>GONE</select></form>",
+        f"<main><h1>KEPT</h1><p>KEPT {SHORT}</p><article><p>{PROSE}</p></article></main><ul><li><a href='a'>GONE</a></ul>",
+        f"<div id='w'><ul><li><a href='1'>GONE</a></ul><div><h1>KEPT</h1><p>{PROSE}</p><p>KEPT</p><p>{PROSE}</p></div></div><div id='foot'>GONE and all the rights that go with it</div>",
+        f"<article><h2>KEPT</h2><p>{PROSE}</p></article><article class='teaser'><h3><a href='n'>GONE next</a></h3></article>",
+        f"<div class='comments'><p>KEPT {PROSE}</p></div>",
+        f"<article><p>{PROSE}</p><p id='social-impact'>KEPT</p><h2 id='related-work'>KEPT</h2><ul><li><a href='3'>KEPT source</a></ul></article>",
+    ],
+)
+def test_what_is_kept_and_what_is_not(page):
+    text = main_text(f"<html><head><title>GONE</title></head><body>{BOILER[0]}{page}{BOILER[1]}</body></html>")
+    assert "GONE" not in text and "nobody" not in text and (SHORT.strip() in text or PROSE.strip() in text)
+    assert text.count("KEPT") == page.count("KEPT")
+
+
+def test_inline_ends_do_not_end_blocks():
+    assert main_text("<article><b><p>one</b> two</p><p><a>x<a>y</a> z</p></br>w</article>") == "one two\nxy z\nw"
+    assert main_text("<article><p>a < b <3 </> c</p><p>cut off</p><p class='x") == "a < b <3 c\ncut off"
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a" * 500_000, "<p x='" * 200_000, "<p x=\"y" * 100_000, "<!--" * 250_000, "</x" * 300_000, "<div>" * 30_000 + "</x></p>" * 100_000, "<span>" * 50_000 + "<li><tr><p>" * 50_000, "<p><button>" + "<span>" * 50_000 + "<ul></ul>" * 50_000, "<b><p>" * 50_000 + "</b>" * 100_000, "<h1>x</h1><p>y</p>" * 40_000, "<p/ x = >" * 60_000, "<![CDATA[" * 90_000],
+    ids=range(12),
+)
+def test_parsing_is_linear(page):
+    began = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - began < 15  # a quadratic scan of these would take minutes
+
+
+def naive(node, share):
+    """(characters, tags, link characters, link tags) of a tree, its densities and sums by identity, by recursion."""
+    below = [(c, naive(c, share)) for c in node.children if isinstance(c, H._Node)]
+    chars = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str)) + sum(x[0] for _, x in below)
+    tags = sum(x[1] + 1 for _, x in below)
+    in_links = chars if node.tag == "a" else sum(x[2] for _, x in below)
+    links = sum(x[3] + (c.tag == "a") for c, x in below)
+    found = {k: v for _, x in below for k, v in x[4].items()}
+    density = 0.0
+    if chars:
+        base = math.log(chars / max(chars - in_links, 1) * in_links + share * chars + math.e)
+        density = chars / max(tags, 1) * math.log(max(1.0, chars / max(in_links, 1) * max(tags, 1) / max(links, 1))) / (math.log(base) if base > 1 else 1)
+    own = density if any(isinstance(c, str) and c.strip() for c in node.children) else 0.0
+    found[id(node)] = (density, sum(x[4][id(c)][0] for c, x in below) + own)
+    return chars, tags, in_links, links, found
+
+
+def test_densities_and_the_chosen_subtree_against_recursion():
+    pick = random.Random(11)
+
+    def piece(depth):
+        if depth == 0 or pick.random() < 0.25:
+            return " ".join(pick.choice(("ab", "cde", "f, g", "long words here")) for _ in range(pick.randint(1, 40)))
+        tag = pick.choice(("div", "section", "p", "span", "a", "ul", "li", "td"))
+        return f"<{tag}>" + "".join(piece(depth - 1) for _ in range(pick.randint(1, 4))) + f"</{tag}>"
+
+    for _ in range(200):
+        page = "<body>" + "".join(piece(4) for _ in range(3)) + "</body>"
+        root = H.parse(page)
+        assert H._settle(root) == []
+        nodes = H._in_order(root)
+        body = H._body(nodes, root)
+        H._count(nodes)
+        H._weigh(nodes, body)
+        chars, _, in_links, _, _ = naive(body, 0.0)
+        found = naive(root, in_links / chars if chars else 0.0)[4]
+        assert all(abs(n.density - found[id(n)][0]) < 1e-9 and abs(n.total - found[id(n)][1]) < 1e-9 for n in nodes)
+        inner = H._in_order(body)
+        best = max(inner, key=lambda n: found[id(n)][1])
+        words = " ".join(" ".join(H._blocks([best])).split())
+        if not any(n.link_chars > H.LINKS * n.chars for n in inner):
+            assert words in " ".join(main_text(page).split())  # the subtree of the largest sum is in the text
