@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from lodestar.llm.decontaminate import decontaminate, proximity_hits
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -35,16 +37,41 @@ def test_against_brute_force(spark, docs):
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == brute(texts[r.doc_id], ITEMS), r.doc_id
 
 
-def test_windows_in_blocks(spark, docs, monkeypatch):
+def test_beyond_every_bound(spark, docs, monkeypatch):
     import lodestar.llm.decontaminate as d
 
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     whole = sorted(map(str, decontaminate(docs, bench).collect()))
-    monkeypatch.setattr(d, "BLOCK", 2)
     monkeypatch.setattr(d, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(d, "BROADCAST_TERMS", 0)
     assert sorted(map(str, decontaminate(docs, bench).collect())) == whole
 
 
+def test_random_texts_of_few_words_against_brute_force(spark):
+    import random
+
+    pick = random.Random(3)
+    draw = lambda n: " ".join(pick.choice("a A b c d".split()) for _ in range(n))
+    items = [(i, draw(pick.choice((1, 2, 3, 5, 9, 10, 11, 14)))) for i in range(12)]
+    texts = [(i, draw(pick.choice((0, 1, 4, 30, 200)))) for i in range(40)]
+    texts += [(100, texts[3][1]), (101, f"x {items[7][1]} y {items[7][1]}"), (102, items[6][1])]
+    got = decontaminate(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), width=10).collect()
+    of = dict(texts)
+    for r in got:
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == brute(of[r.doc_id], items), r.doc_id
+    assert len(got) == len(texts)
+
+
+def test_postings_are_stored_once_and_texts_read_once(spark, docs):
+    import lodestar.llm.decontaminate as d
+
+    words = spark.createDataFrame([("mit",), ("one",), ("long",)], "word string")
+    index = d.build_index(docs, words)
+    assert index.where("n_words IS NOT NULL").count() == docs.count()
+    assert {(r.pos, r.n) for r in d.postings(index).where(F.col("term") == F.xxhash64(F.lit("mit"))).groupBy("pos").agg(F.count("*").alias("n")).collect()} == {(1, 3)}
+    assert d.postings(index).where(F.col("term") == F.xxhash64(F.lit("long"))).count() == 40_000
+
+
 def test_empty_tables(spark, docs, no_docs):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontaminate(no_docs, bench).count() == 0
@@ -63,3 +90,27 @@ def test_proximity_looks_beyond_the_nearest_place(spark):
     more = spark.createDataFrame([(2, "b b c c c")], "doc_id long, text string")  # a stays the rarest
     asked = spark.createDataFrame([(9, ["a", "b", "c"])], "query_id long, words array<string>")
     assert [(r.start, r.stop) for r in proximity_hits(docs.union(more), asked).collect()] == [(4, 11)]
+
+
+def smallest_spans(text, query, slop):
+    """For each place of the rarest word, the smallest span with it and all other words, by trying every span."""
+    w, n = text.split(), len(set(query))
+    rarest = min(set(query), key=lambda x: (w.count(x), x))
+    out = set()
+    for a in (i for i, x in enumerate(w) if x == rarest):
+        fits = [(j - i, i, j) for i in range(a + 1) for j in range(a + 1, len(w) + 1) if j - i <= n + slop and set(query) <= set(w[i:j])]
+        if fits:
+            out.add(min(fits)[1:])
+    return out
+
+
+def test_proximity_against_every_span(spark):
+    import random
+
+    pick = random.Random(8)
+    for n in range(6):
+        text = " ".join(pick.choice("a b b c c c d d d d e e e e e".split()) for _ in range(60))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        got = {(r.start, r.stop) for r in proximity_hits(docs, spark.createDataFrame([(9, ["a", "b", "c"])], "query_id long, words array<string>"), slop=n).collect()}
+        want = smallest_spans(text, ["a", "b", "c"], n)
+        assert {(b - a) for a, b in got} == {(b - a) for a, b in want} and len(got) == len(want)
