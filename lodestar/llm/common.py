@@ -7,11 +7,19 @@ from pyspark.sql import functions as F
 
 from lodestar.sources.shared import forget, new_path, stored
 
-__all__ = ["ascii_folded", "components", "content_key", "folded", "forget", "new_path", "stored", "text_or_empty", "word_array"]
+__all__ = ["ascii_folded", "bounded", "components", "content_key", "folded", "forget", "new_path", "stored", "text_or_empty", "word_array"]
 
 #: Everything but 0-9, A-Z, a-z and the characters from U+0080 upwards separates words.
 WORD_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A side is broadcast only if it holds no more rows than this (some MB).
+BROADCAST_ROWS = 50_000
+
+
+def bounded(df: DataFrame, rows: int | None = None, most: int | None = None) -> DataFrame:
+    """``df`` (written down, or of ``rows`` rows) as a side to broadcast if it has at most ``most`` rows (BROADCAST_ROWS)."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= (BROADCAST_ROWS if most is None else most) else df
+
 
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

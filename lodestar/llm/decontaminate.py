@@ -29,21 +29,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import ascii_folded, content_key, stored, text_or_empty, word_array
+from lodestar.llm.common import ascii_folded, bounded, content_key, stored, text_or_empty, word_array
 
-#: A side is broadcast only if it holds no more rows than this (some MB).
-BROADCAST_ROWS = 50_000
 #: Test terms that may be broadcast (some 100 bytes each).
 BROADCAST_TERMS = 500_000
 TEXT = ["ck1", "ck2"]
 PLACE = [*TEXT, "term", "pos"]
 
 
-def _bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` (written down) as a side to broadcast if it is small enough."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
-
-
 def build_index(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The stored index of ``docs`` for the words of ``words`` (word, distinct).
 
@@ -85,7 +78,7 @@ def _rarest_first(windows: DataFrame, lengths: DataFrame) -> DataFrame:
     """wid, n, lists (term, offset; rarest first) of each distinct window whose words all occur."""
     distinct = windows.select("wid", "exact").dropDuplicates(["wid"])
     spread = distinct.select("wid", F.size("exact").alias("n"), F.posexplode("exact").alias("offset", "word")).select("wid", "n", "offset", F.xxhash64("word").alias("term"))
-    ranked = spread.join(_bounded(lengths), "term").groupBy("wid", "n").agg(F.array_sort(F.collect_list(F.struct("count", "offset", "term"))).alias("lists"))
+    ranked = spread.join(bounded(lengths), "term").groupBy("wid", "n").agg(F.array_sort(F.collect_list(F.struct("count", "offset", "term"))).alias("lists"))
     return stored(ranked.where(F.size("lists") == F.col("n")), "lists")
 
 
@@ -106,15 +99,15 @@ def phrase_hits(index: DataFrame, windows: DataFrame) -> DataFrame:
     part = lambda i, name: F.get("lists", i)[name]
     entry = asked.select("wid", "n", part(0, "term").alias("term"), part(0, "offset").alias("o"), part(1, "term").alias("next"), (part(1, "offset") - part(0, "offset")).alias("step"))
     n_asked = asked.count()
-    first = postings(index).join(_bounded(entry, n_asked), "term").withColumn("start", F.col("pos") - F.col("o")).where("start >= 0")
+    first = postings(index).join(bounded(entry, n_asked), "term").withColumn("start", F.col("pos") - F.col("o")).where("start >= 0")
     alone = first.where("next IS NULL").select(*TEXT, "wid", "start", "n").distinct()
     seconds = stored(entry.where("next IS NOT NULL").select(F.col("next").alias("term")).distinct(), "seconds")
     wanted = first.where("next IS NOT NULL").select(*TEXT, F.col("next").alias("term"), (F.col("pos") + F.col("step")).alias("pos"), "wid", "start", "n")
-    both = stored(_confirmed(wanted, postings(index).join(_bounded(seconds), "term", "left_semi"), "wid", "start", "n"), "starts")
+    both = stored(_confirmed(wanted, postings(index).join(bounded(seconds), "term", "left_semi"), "wid", "start", "n"), "starts")
     # the other lists, in the texts that have starts left
     texts = stored(both.where("n > 2").select(*TEXT).distinct(), "texts")
-    rest = postings(index).join(_bounded(texts), TEXT, "left_semi")
-    others = both.where("n > 2").join(_bounded(asked.select("wid", "lists"), n_asked), "wid").select(*TEXT, "wid", "start", "n", F.explode(F.expr("slice(lists, 3, n)")).alias("l"))
+    rest = postings(index).join(bounded(texts), TEXT, "left_semi")
+    others = both.where("n > 2").join(bounded(asked.select("wid", "lists"), n_asked), "wid").select(*TEXT, "wid", "start", "n", F.explode(F.expr("slice(lists, 3, n)")).alias("l"))
     others = others.select(*TEXT, "wid", "start", "n", F.col("l.term").alias("term"), (F.col("start") + F.col("l.offset")).alias("pos"), F.col("l.offset").alias("o"))
     whole = _confirmed(others, rest, "wid", "start", "n", "o").groupBy(*TEXT, "wid", "start", "n").agg(F.count("*").alias("found")).where("found = n - 2").drop("found")
     return stored(alone.unionByName(both.where("n = 2")).unionByName(whole), "matches")
@@ -132,12 +125,12 @@ def proximity_matches(index: DataFrame, queries: DataFrame, slop: int = 5) -> Da
     wanted = queries.select("query_id", F.size(F.array_distinct("words")).alias("n"), F.explode(F.array_distinct("words")).alias("word"))
     wanted = stored(wanted.select("query_id", "n", F.xxhash64("word").alias("term"), (F.col("n") + slop).alias("span")), "proximity")
     n_wanted = wanted.count()
-    lists = postings(index).distinct().join(_bounded(wanted, n_wanted), "term")
+    lists = postings(index).distinct().join(bounded(wanted, n_wanted), "term")
     lists = stored(lists.select(*TEXT, "query_id", "n", "term", "pos", "span", F.floor(F.col("pos") / F.col("span")).alias("bucket")), "lists")
     counts = lists.groupBy("query_id", "n", "term").count()
     rarest = counts.groupBy("query_id", "n").agg(F.count("*").alias("terms"), F.min_by("term", F.struct("count", "term")).alias("term")).where("terms = n").select("query_id", "term")
     rarest = stored(rarest, "rarest")
-    anchors = lists.join(_bounded(rarest), ["query_id", "term"]).select(*TEXT, "query_id", F.col("pos").alias("anchor"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
+    anchors = lists.join(bounded(rarest), ["query_id", "term"]).select(*TEXT, "query_id", F.col("pos").alias("anchor"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
     near = lists.join(anchors, [*TEXT, "query_id", "bucket"]).where(F.abs(F.col("pos") - F.col("anchor")) < F.col("span"))
     # the smallest span around an anchor starts at one of the places: for each start, the first place of each word from there on
     at = [*TEXT, "query_id", "n", "span", "anchor"]
@@ -179,11 +172,11 @@ def decontaminate(
     upto = F.max("stop").over(Window.partitionBy(*TEXT).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     added = F.greatest(F.col("stop") - F.greatest(F.col("start"), F.coalesce(upto, F.lit(0))), F.lit(0))
     covered = spans.withColumn("added", added).groupBy(*TEXT).agg(F.sum("added").alias("hit"))
-    named = hits.select(*TEXT, "wid").distinct().join(_bounded(stored(windows.select("wid", "item"), "items")), "wid").groupBy(*TEXT).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    named = hits.select(*TEXT, "wid").distinct().join(bounded(stored(windows.select("wid", "item"), "items")), "wid").groupBy(*TEXT).agg(F.array_sort(F.collect_set("item")).alias("items"))
     by_text = covered.join(named, TEXT).select(*TEXT, "hit", F.size("items").cast("long").alias("found"), F.sha2(F.array_join("items", ","), 256).alias("digest"))
     by_text = stored(by_text, "hits")  # a stored side lets a join on a hot text be split
     rows = index.where("n_words IS NOT NULL").select(F.col("id").alias(id_col), *TEXT, F.col("n_words").cast("long").alias("n_words"))
-    return rows.join(_bounded(by_text), TEXT, "left").select(
+    return rows.join(bounded(by_text), TEXT, "left").select(
         id_col,
         *TEXT,
         "n_words",

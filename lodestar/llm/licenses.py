@@ -3,8 +3,12 @@
 Every word position of a text is joined to the template positions that hold
 the same k-gram. A match at word ``i`` of the text and word ``j`` of the
 template votes for diagonal ``i - j``. Votes are gathered for each diagonal,
-neighbouring diagonals (a word inserted or left out) are merged, and the span
-that results is verified against the share of the template that it covers.
+as bit words so that a k-gram counts once; each diagonal is then merged with
+those at most ``max_shift`` words beyond it (words inserted or left out), and
+the span that results is verified against the share of the template that it
+covers. A merge only adds votes, so a notice that repeats loses nothing.
+
+Texts are read once: votes and one narrow row for each document are stored.
 
 Defined cases: a null or empty text has no words and no spans; a repeated row
 gets the same result on each of its copies; a null id is carried through;
@@ -18,8 +22,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import content_key, folded, stored, text_or_empty, word_array
+from lodestar.llm.common import bounded, content_key, folded, stored, text_or_empty, word_array
 
+TEXT = ["ck1", "ck2"]
+#: k-grams of a template whose votes share one word of bits.
+BITS = 62
 # Phrases with their labels.
 BASE_PHRASES = (
     ("gnu general public license", "gpl"),
@@ -65,98 +72,104 @@ def _grams(spark: SparkSession, templates: list[Template]) -> DataFrame:
     """A row for each k-gram of each template: a constant, so it may be broadcast."""
     rows = []
     for n, t in enumerate(templates):
-        if not 2 <= len(t.words) <= 60:
-            raise ValueError("a template has 2 to 60 words")
-        last = len(t.words) - t.k
-        for j in range(last + 1):
+        if len(t.words) < 2:
+            raise ValueError("a template has two words at least")
+        for j in range(len(t.words) - t.k + 1):
             w = t.words[j : j + t.k]
-            rows.append((n, t.label, t.base, j, last + 1, len(t.words), w[0], w[1], w[2] if t.k > 2 else None))
-    return spark.createDataFrame(
-        rows, "template int, label string, base boolean, at int, n_grams int, n_template int, g0 string, g1 string, g2 string"
-    )
+            rows.append((n, j, w[0], w[1], w[2] if t.k > 2 else None))
+    return spark.createDataFrame(rows, "template int, at int, g0 string, g1 string, g2 string")
 
 
-def license_spans(
-    docs: DataFrame,
-    text_col: str = "text",
-    templates: list[Template] | None = None,
-    max_shift: int = 3,
-    min_cover: float = 0.6,
-) -> DataFrame:
-    """Verified spans: ck1, ck2 (content key), label, base, start, stop, cover.
+def _templates(spark: SparkSession, templates: list[Template]) -> DataFrame:
+    rows = [(n, t.label, t.base, len(t.words) - t.k + 1, len(t.words)) for n, t in enumerate(templates)]
+    return spark.createDataFrame(rows, "template int, label string, base boolean, n_grams int, n_template int")
 
-    ``max_shift`` is the largest step between diagonals that are merged,
-    ``min_cover`` the least share of a notice's k-grams that a span holds. Base
-    phrases need every k-gram on one diagonal, so each is an exact occurrence.
-    """
-    templates = templates or default_templates()
-    grams = F.broadcast(_grams(docs.sparkSession, templates))
+
+def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[Template] | None = None) -> DataFrame:
+    """The stored votes: id, n_words, ck1, ck2, i, template, at. A row with n_words stands for a document, all others for a vote."""
+    grams = F.broadcast(_grams(docs.sparkSession, templates or default_templates()))
     text = text_or_empty(text_col)
-    words = docs.select(*content_key(text), word_array(folded(text)).alias("words"))
-    # outer: else the optimizer would add a filter that splits each text twice
-    placed = words.select("ck1", "ck2", "words", F.posexplode_outer("words").alias("i", "w0"))
-    placed = placed.withColumn("w1", F.get("words", F.col("i") + 1))
+    words = docs.select(F.col(id_col).alias("id"), *content_key(text), word_array(folded(text)).alias("words"))
+    # before the words an empty one, which matches nothing, for the document; outer: else the optimizer would add a filter that splits each text twice
+    placed = words.select("id", *TEXT, "words", F.posexplode_outer(F.concat(F.array(F.lit("")), "words")).alias("nth", "w0"))
+    placed = placed.withColumn("w1", F.get("words", F.col("nth")))
     voted = placed.join(
         grams,
         (F.xxhash64("w0", "w1") == F.xxhash64("g0", "g1"))
         & (F.col("w0") == F.col("g0"))
         & (F.col("w1") == F.col("g1"))
-        & (F.col("g2").isNull() | (F.get("words", F.col("i") + 2) == F.col("g2"))),
+        & (F.col("g2").isNull() | (F.get("words", F.col("nth") + 1) == F.col("g2"))),
+        "left",
     )
+    document = F.col("nth") == 0
+    rows = voted.where(document | F.col("template").isNotNull())
+    return stored(rows.select(F.when(document, F.col("id")).alias("id"), F.when(document, F.size("words")).alias("n_words"), *TEXT, (F.col("nth") - 1).alias("i"), "template", "at"), "votes")
+
+
+def license_spans(voted: DataFrame, templates: list[Template] | None = None, max_shift: int = 8, min_cover: float = 0.6) -> DataFrame:
+    """Verified spans of :func:`votes`: ck1, ck2 (content key), label, base, start, stop, cover.
+
+    ``max_shift`` is the largest distance of diagonals that are merged,
+    ``min_cover`` the least share of a notice's k-grams that a span holds. Base
+    phrases need every k-gram on one diagonal, so each is an exact occurrence.
+    Of overlapping merges the best is a span, and so is every diagonal that
+    suffices alone.
+    """
+    about = F.broadcast(_templates(voted.sparkSession, templates or default_templates()))
+    diagonal, part = F.col("i") - F.col("at"), F.floor(F.col("at") / BITS)
     diagonals = (
-        voted.groupBy("ck1", "ck2", "template", (F.col("i") - F.col("at")).alias("diagonal"))
+        voted.where("template IS NOT NULL")
+        .groupBy(*TEXT, "template", diagonal.alias("diagonal"), part.alias("part"))
         # copies of a text vote alike: a bit for each k-gram counts each once
-        .agg(
-            F.bit_or(F.expr("shiftleft(1L, at)")).alias("votes"),
-            F.min("at").alias("low"),
-            F.max("at").alias("high"),
-            F.first("label").alias("label"),
-            F.first("base").alias("base"),
-            F.first("n_grams").alias("n_grams"),
-            F.first("n_template").alias("n_template"),
-        )
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, at % {BITS})")).alias("bits"), F.min("i").alias("low"), F.max("i").alias("high"))
     )
-    diagonals = stored(diagonals, "diagonals")  # read twice below; a text's votes are made once
-    base = diagonals.where("base AND bit_count(votes) = n_grams").select(
-        "ck1", "ck2", "label", "base", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("n_template")).alias("stop"), F.lit(1.0).alias("cover")
+    diagonals = stored(diagonals.join(about, "template"), "diagonals")  # read twice below
+    own = diagonals.groupBy(*TEXT, "template", "label", "base", "n_grams", "n_template", "diagonal").agg(F.sum(F.bit_count("bits")).alias("own"))
+    base = own.where("base AND own = n_grams").select(
+        *TEXT, "label", "base", F.col("diagonal").cast("long").alias("start"), (F.col("diagonal") + F.col("n_template")).cast("long").alias("stop"), F.lit(1.0).alias("cover")
     )
-    along = Window.partitionBy("ck1", "ck2", "template").orderBy("diagonal")
-    notices = (
-        diagonals.where("NOT base")
-        .withColumn("step", F.when(F.col("diagonal") - F.lag("diagonal").over(along) <= max_shift, 0).otherwise(1))
-        .withColumn("island", F.sum("step").over(along))
-        .groupBy("ck1", "ck2", "template", "island")
+    # each diagonal counts for those at most max_shift words before it
+    ahead = diagonals.where("NOT base").withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(max_shift))))
+    mine = lambda c: F.when(F.col("shift") == 0, c)
+    merged = (
+        ahead.groupBy(*TEXT, "template", "label", "n_grams", "n_template", (F.col("diagonal") - F.col("shift")).alias("run"), "part")
         .agg(
-            F.bit_or("votes").alias("votes"),
-            F.min(F.col("diagonal") + F.col("low")).alias("start"),
-            F.max(F.col("diagonal") + F.col("high")).alias("last"),
-            F.first("label").alias("label"),
-            F.first("n_grams").alias("n_grams"),
-            F.first("n_template").alias("n_template"),
+            F.bit_count(F.bit_or("bits")).alias("all"), F.coalesce(F.bit_count(F.bit_or(mine(F.col("bits")))), F.lit(0)).alias("own"), F.min("low").alias("low"), F.max("high").alias("high"),
+            F.min(mine(F.col("low"))).alias("own_low"), F.max(mine(F.col("high"))).alias("own_high"),
         )
-        .withColumn("cover", F.bit_count("votes") / F.col("n_grams"))
-        .withColumn("stop", F.col("last") + F.col("n_template") - F.col("n_grams") + 1)
-        # verified: enough of the template, in a span that is not much longer than it
-        .where((F.col("cover") >= min_cover) & (F.col("stop") - F.col("start") <= 2 * F.col("n_template")))
-        .select("ck1", "ck2", "label", F.lit(False).alias("base"), "start", "stop", "cover")
-    )
+        .groupBy(*TEXT, "template", "label", "n_grams", "n_template", "run")
+        .agg(F.sum("all").alias("all"), F.sum("own").alias("own"), *[f(c).alias(c) for f, c in ((F.min, "low"), (F.max, "high"), (F.min, "own_low"), (F.max, "own_high"))])
+        .withColumn("cover", F.col("all") / F.col("n_grams"))
+        # verified: enough of the template
+        .where((F.col("own") > 0) & (F.col("cover") >= min_cover))
+    )
+    near = Window.partitionBy(*TEXT, "template").orderBy("run").rangeBetween(-max_shift, max_shift)
+    alone = F.col("own") / F.col("n_grams") >= min_cover
+    rank = F.struct("all", (-F.col("run")).alias("first"))
+    notices = merged.withColumn("best", F.max(rank).over(near) == rank).where(alone | F.col("best"))
+    tail = F.col("n_template") - F.col("n_grams") + 1
+    notices = notices.select(
+        *TEXT, "label", F.lit(False).alias("base"), F.when(alone, F.col("own_low")).otherwise(F.col("low")).cast("long").alias("start"),
+        (F.when(alone, F.col("own_high")).otherwise(F.col("high")) + tail).cast("long").alias("stop"), "cover",
+    )
     return base.unionByName(notices)
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[Template] | None = None, **options) -> DataFrame:
     """One row for each row of ``docs``: id, n_words, n_base, first_word,
     last_word, base_labels, labels, score, n_spans.
 
     ``score`` is the largest share of a template that any span covers (1.0 for
     a base phrase, 0.0 without spans).
     """
+    voted = votes(docs, id_col, text_col, templates)
     found = (
-        license_spans(docs, text_col, **options)
-        .groupBy("ck1", "ck2")
+        license_spans(voted, templates, **options)
+        .groupBy(*TEXT)
         .agg(
             F.count_if("base").alias("n_base"),
-            F.min(F.when(F.col("base"), F.col("start"))).cast("long").alias("first_word"),
-            F.max(F.when(F.col("base"), F.col("start"))).cast("long").alias("last_word"),
+            F.min(F.when(F.col("base"), F.col("start"))).alias("first_word"),
+            F.max(F.when(F.col("base"), F.col("start"))).alias("last_word"),
             F.array_join(F.array_sort(F.collect_set(F.when(F.col("base"), F.col("label")))), ",").alias("base_labels"),
             F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
             F.max("cover").alias("score"),
@@ -164,9 +177,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         )
     )
     found = stored(found, "licenses")  # a stored side lets a join on a hot text be split
-    text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias(id_col), *content_key(text), F.size(word_array(text)).cast("long").alias("n_words"))
-    return rows.join(found, ["ck1", "ck2"], "left").select(
+    rows = voted.where("n_words IS NOT NULL").select(F.col("id").alias(id_col), *TEXT, F.col("n_words").cast("long").alias("n_words"))
+    return rows.join(bounded(found), TEXT, "left").select(
         id_col,
         "n_words",
         F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),

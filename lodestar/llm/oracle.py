@@ -25,14 +25,13 @@ def _grams() -> str:
 
 LICENSES = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS l FROM documents),
 w AS (SELECT r, i, l[i + 1] AS w0, l[i + 2] AS w1, l[i + 3] AS w2 FROM (SELECT r, l, unnest(range(len(l))) AS i FROM d)),
-v AS (SELECT r, template, i - place AS diagonal, bit_or(CAST(1 AS BIGINT) << place) AS votes, min(place) AS low, max(place) AS high, any_value(label) AS label, any_value(base) AS base,
-  any_value(n_grams) AS n_grams, any_value(n_template) AS n_template FROM w JOIN {_grams()} ON w0 = g0 AND w1 = g1 AND (g2 IS NULL OR w2 = g2) GROUP BY r, template, i - place),
-s AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= 3 THEN 0 ELSE 1 END AS step FROM v WHERE NOT base WINDOW o AS (PARTITION BY r, template ORDER BY diagonal)),
-n AS (SELECT *, sum(step) OVER (PARTITION BY r, template ORDER BY diagonal) AS island FROM s),
-m AS (SELECT r, label, bit_count(bit_or(votes)) / CAST(any_value(n_grams) AS DOUBLE) AS cover, min(diagonal + low) AS start, max(diagonal + high) + any_value(n_template) - any_value(n_grams) + 1 AS stop,
-  any_value(n_template) AS n_template FROM n GROUP BY r, template, label, island),
-spans AS (SELECT r, label, true AS base, diagonal AS start, CAST(1 AS DOUBLE) AS cover FROM v WHERE base AND bit_count(votes) = n_grams
-  UNION ALL SELECT r, label, false, start, cover FROM m WHERE cover >= 0.6 AND stop - start <= 2 * n_template),
+v AS (SELECT DISTINCT r, template, label, base, n_grams, i - place AS diagonal, place FROM w JOIN {_grams()} ON w0 = g0 AND w1 = g1 AND (g2 IS NULL OR w2 = g2)),
+o AS (SELECT r, template, label, base, n_grams, diagonal, count(*) AS own FROM v GROUP BY ALL),
+m AS (SELECT o.r, o.template, o.label, o.n_grams, o.diagonal, own, count(DISTINCT place) AS every FROM o JOIN v ON o.r = v.r AND o.template = v.template AND v.diagonal BETWEEN o.diagonal AND o.diagonal + 8
+  WHERE NOT o.base GROUP BY ALL HAVING count(DISTINCT place) >= 0.6 * o.n_grams),
+n AS (SELECT * FROM m WHERE own >= 0.6 * n_grams OR NOT EXISTS (SELECT 1 FROM m AS x WHERE x.r = m.r AND x.template = m.template AND abs(x.diagonal - m.diagonal) <= 8
+  AND (x.every > m.every OR x.every = m.every AND x.diagonal < m.diagonal))),
+spans AS (SELECT r, label, true AS base, diagonal AS start, CAST(1 AS DOUBLE) AS cover FROM o WHERE base AND own = n_grams UNION ALL SELECT r, label, false, NULL, every / CAST(n_grams AS DOUBLE) FROM n),
 f AS (SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
   string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score, count(*) AS n_spans FROM spans GROUP BY r)
 SELECT doc_id, len(l) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score, coalesce(n_spans, 0) AS n_spans

@@ -38,11 +38,12 @@ def test_against_brute_force(spark, docs):
 
 
 def test_beyond_every_bound(spark, docs, monkeypatch):
+    import lodestar.llm.common as c
     import lodestar.llm.decontaminate as d
 
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     whole = sorted(map(str, decontaminate(docs, bench).collect()))
-    monkeypatch.setattr(d, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(c, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(d, "BROADCAST_TERMS", 0)
     assert sorted(map(str, decontaminate(docs, bench).collect())) == whole
 
