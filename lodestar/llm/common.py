@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.sources.shared import forget, new_path, stored
 
-__all__ = ["ascii_folded", "bounded", "components", "content_key", "folded", "forget", "new_path", "stored", "text_or_empty", "word_array"]
+__all__ = ["ascii_folded", "bounded", "components", "content_key", "folded", "forget", "fresh", "new_path", "stored", "text_or_empty", "word_array"]
 
 #: Everything but 0-9, A-Z, a-z and the characters from U+0080 upwards separates words.
 WORD_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -21,6 +21,14 @@ def bounded(df: DataFrame, rows: int | None = None, most: int | None = None) ->
     return F.broadcast(df) if (df.count() if rows is None else rows) <= (BROADCAST_ROWS if most is None else most) else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with a prefix that no column of ``df`` begins with."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
