@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from lodestar.llm import ann, common
 from lodestar.llm.ann import VPTree, nearest
 
 SCHEMA = "vec_id long, embedding array<float>"
@@ -13,14 +14,55 @@ def test_tree_is_exact_at_factor_one_and_close_beyond():
     found = {1.0: 0, 1.5: 0}
     for factor in found:
         tree = VPTree(ids, rows, leaf=16)
-        for q in rows[::60]:
+        for q, (_, at) in zip(rows[::60], tree.search(rows[::60], 10, factor)):
             d = np.sqrt(((rows - q) ** 2).sum(axis=1))
             want = ids[np.lexsort((ids, d))[:10]].tolist()
-            found[factor] += len(set(want) & {i for _, i, _ in tree.search(q, -1, 10, factor)})
+            found[factor] += len(set(want) & set(tree.ids[at].tolist()))
     total = 10 * len(rows[::60])
     assert found[1.0] == total and found[1.5] >= 0.8 * total
 
 
+def clustered(n=3000, dim=6, seed=9):
+    random = np.random.default_rng(seed)
+    centres = random.normal(size=(30, dim)) * 8
+    return (centres[random.integers(30, size=n)] + random.normal(size=(n, dim))).astype(np.float32)
+
+
+def test_recall_and_visits_by_factor(spark, monkeypatch):
+    points = clustered()
+    table = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], SCHEMA)
+    wide = points.astype(float)
+    want = {q: set(np.argsort(((wide - wide[q]) ** 2).sum(axis=1), kind="stable")[1:11].tolist()) for q in range(0, 3000, 100)}
+    recall, visits, searched = {}, {}, ann._searched
+    for factor in (1.0, 2.0, 6.0):
+        seen = visits[factor] = []
+        monkeypatch.setattr(ann, "_searched", lambda index, v, n, *a: seen.append(n) or searched(index, v, n, *a))
+        got = nearest(table, F.col("vec_id") % 100 == 0, factor=factor, shard_rows=200).collect()
+        recall[factor] = sum(r.vec_id in want[r.query_id] for r in got) / 300
+    assert recall[1.0] == 1 and recall[2.0] >= 0.9
+    # of some fifteen regions a query visits few, fewer at larger factors
+    assert visits[6.0][1] <= visits[2.0][1] <= visits[1.0][1] < 30 * 8
+
+
+def test_beyond_every_bound(spark, monkeypatch):
+    points = clustered(600, 3)
+    table = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], SCHEMA)
+    whole = sorted(map(tuple, nearest(table, F.col("vec_id") % 20 == 0).collect()))
+    monkeypatch.setattr(ann, "BROADCAST_QUERIES", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    got = nearest(table, F.col("vec_id") % 20 == 0, shard_rows=50, block_rows=7, sample_rows=40).collect()
+    assert sorted(map(tuple, got)) == whole
+
+
+def test_one_vector_in_many_rows(spark):
+    rows = [(i, [1.0, 1.0]) for i in range(0, 900, 3)] + [(i, [float(i), 2.0]) for i in range(1, 900, 3)]
+    got = {}
+    for r in nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id").isin(0, 300, 898)).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert [i for _, i, _ in sorted(got[0])] == list(range(3, 33, 3)) and [i for _, i, _ in sorted(got[300])] == list(range(0, 30, 3))
+    assert [i for _, i, _ in sorted(got[898])] == list(range(895, 865, -3))
+
+
 def test_against_brute_force_with_odd_vectors(spark):
     random = np.random.default_rng(4)
     rows = [(i, [float(x) for x in random.normal(size=4)]) for i in range(400)] + [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(400, 440)]
