@@ -10,14 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import quality
-from lodestar.llm.common import content_key, stored, text_or_empty
+from lodestar.llm.common import bounded, content_key, stored, text_or_empty
 from lodestar.llm.decontaminate import decontaminate
 from lodestar.llm.packing import pack_documents
 from lodestar.llm.simhash import representatives
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from the labelled ones among them."""
+    """Documents that the quality classifier accepts; it learns from the labelled ones among them.
+
+    Null and empty texts score the share of good labels, so they stay unless
+    most labels are bad; repeated rows get the same score, and null ids are
+    scored but never learnt from. A column called _quality would be replaced.
+    """
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality.with_scores(docs, model, score_col="_quality")
     return scored.where(quality.accepted(F.col("_quality"))).drop("_quality")
@@ -33,15 +38,20 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     chosen = stored(representatives(docs).select(F.col("doc_id").alias("_id"), F.col("ck1").alias("_k1"), F.col("ck2").alias("_k2")), "chosen")
     keyed = _keyed(docs)
     same = keyed["doc_id"].eqNullSafe(chosen["_id"]) & (keyed["ck1"] == chosen["_k1"]) & (keyed["ck2"] == chosen["_k2"])
-    kept = keyed.join(chosen, same, "left_semi")
+    kept = keyed.join(bounded(chosen), same, "left_semi")
     return kept.groupBy("doc_id", "ck1", "ck2").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark; the decision goes by the text, whatever the id."""
+    """Documents that hold no passage of the benchmark.
+
+    The decision goes by the text, whatever the id: null and repeated ids and
+    repeated rows are kept or dropped with their text. Null and empty texts
+    hold no passage and stay.
+    """
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     dirty = stored(found.where("contaminated").select("ck1", "ck2").distinct(), "dirty")  # a stored side lets a join on a hot text be split
-    return _keyed(docs).join(dirty, ["ck1", "ck2"], "left_anti").select(docs.columns)
+    return _keyed(docs).join(bounded(dirty), ["ck1", "ck2"], "left_anti").select(docs.columns)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -49,12 +59,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document that is left, in pieces of at most 2,048 tokens with their places in sequences; null texts hold the end id alone, repeated rows are packed each."""
     return pack_documents(docs)
 
 
 STAGES = [("quality", keep_good), ("near_duplicates", keep_one_of_each), ("decontaminate", keep_clean), ("pack", pack)]
 
-#: No SQL expresses compression or fingerprints over hashes; tests hold the stages against brute force.
+#: No SQL expresses compression or fingerprints over hashes; tests hold the stages against a brute-force version.
 ORACLE_SQL = None
 
 

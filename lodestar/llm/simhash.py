@@ -10,10 +10,12 @@ share a key, and only what is left gets the full Hamming check.
 
 Copies of a text share a fingerprint, so links are sought between distinct
 fingerprints. A key that more than ``max_bucket`` of them share is not paired:
-in it, two fingerprints differ in at most two bits exactly if a fingerprint
-with one bit flipped (or none) is common to both, so each sends its flipped
-forms (of the bits outside the key) and is linked to the smallest that sends
-the same. That loses no link between components and is linear in the bucket.
+in it, two fingerprints differ in at most ``max_bits`` bits exactly if some
+form of the first with half as many bits flipped (rounded down) is a form of
+the second with half as many flipped (rounded up). So each sends its flipped
+forms (of the bits outside the key), and all that send a form are linked to
+the smallest that reaches it by the smaller half. That loses no link between
+components and is linear in the bucket.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like
 any other; repeated rows are in one component; rows with a null id get a
@@ -22,7 +24,9 @@ component but do not name it unless the component has no other id.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +34,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import components, content_key, stored, text_or_empty
+from lodestar.llm.common import BROADCAST_ROWS, components, content_key, stored, text_or_empty
 
-#: Hot keys are broadcast only if they are no more than this.
-BROADCAST_ROWS = 50_000
 _BIT = 1 << np.arange(63, -1, -1, dtype=np.uint64)
 
 
@@ -95,10 +97,12 @@ def links(fps: DataFrame, max_bits: int = 2, n_segments: int = 5, max_bucket: in
 
     ``fps``: distinct longs, column ``fp``. All pairs within a key of at most
     ``max_bucket`` fingerprints are checked; larger keys are linked by flipped
-    forms, which needs ``max_bits`` of at most two.
+    forms: 65 for ``max_bits`` of two, 2,081 for four or three and their halves
+    above. The ring should have over ``max_bits`` segments; keys are longest
+    where a few segments have a budget just under one bit.
     """
-    if not 0 <= max_bits <= 2:
-        raise ValueError("max_bits is 0, 1 or 2")
+    if not 0 <= max_bits <= 4:
+        raise ValueError("max_bits is 0 to 4")
     masks = _masks(n_segments, max_bits)
     equal = max(1, next(n for n in range(n_segments, -1, -1) if n * max_bits < n_segments or n == 0))  # segments whose budget is under one bit
     keys = [(i, row[equal - 1]) for i, row in enumerate(masks)]
@@ -129,17 +133,13 @@ def links(fps: DataFrame, max_bits: int = 2, n_segments: int = 5, max_bucket: in
     )
     if not n_hot:
         return pairs.distinct()
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << b)) for b in range(64)]) if max_bits else F.array(F.lit(0).cast("long"))
-    outside = F.expr("CASE ring " + " ".join(f"WHEN {i} THEN {m}L" if m >= 0 else f"WHEN {i} THEN ({m}L)" for i, m in keys) + " END").alias("inside")
-    forms = (
-        keyed.join(hot_side, ["ring", "key"])
-        .select("ring", "fp", outside, F.explode(flips).alias("flip"))
-        .where(F.col("flip").bitwiseAND(F.col("inside")) == 0)
-        .select("ring", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("form"))
-    )
-    if max_bits == 1:  # one flip on one side only: a form links to the fingerprint that it is
-        forms = forms.join(fps.select(F.col("fp").alias("form")), "form", "left_semi")
-    least = forms.groupBy("ring", "form").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
+    short, long = max_bits // 2, (max_bits + 1) // 2
+    flips = [{"n": n, "flip": _signed(sum(1 << b for b in bits))} for n in range(long + 1) for bits in combinations(range(64), n)]  # 2,081 at most
+    flips = F.from_json(F.lit(json.dumps(flips)), "array<struct<n: int, flip: bigint>>")
+    inside = F.expr("CASE ring " + " ".join(f"WHEN {i} THEN {m}L" if m >= 0 else f"WHEN {i} THEN ({m}L)" for i, m in keys) + " END")
+    forms = keyed.join(hot_side, ["ring", "key"]).select("ring", "fp", inside.alias("inside"), F.explode(flips).alias("f"))
+    forms = forms.where(F.col("f.flip").bitwiseAND(F.col("inside")) == 0).select("ring", "fp", "f.n", F.col("fp").bitwiseXOR(F.col("f.flip")).alias("form"))
+    least = forms.groupBy("ring", "form").agg(F.min(F.when(F.col("n") <= short, F.col("fp"))).alias("a"), F.count("*").alias("all")).where("a IS NOT NULL AND all > 1").drop("all")
     starred = forms.join(least, ["ring", "form"]).where("fp <> a").select("a", F.col("fp").alias("b"))
     return pairs.unionByName(starred).distinct()
 

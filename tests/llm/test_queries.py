@@ -1,11 +1,17 @@
 """Every query against its SQL or for shape; the pipeline stage by stage."""
 
+import zlib
+
+import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
+from lodestar.llm import quality
 from lodestar.llm.queries import oracle_sql, queries
 from tests.compare import database, differences
+from tests.llm.test_decontaminate import brute
+from tests.llm.test_simhash import classes, slow_fingerprint
 
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
@@ -18,19 +24,54 @@ def test_a_row_for_each_row(spark, sf, name, table):
     assert queries()[name](spark, sf).count() == spark.read.parquet(f"{sf}/{table}.parquet").count()
 
 
-def test_pipeline(spark, sf):
+def test_pipeline_against_brute_force(spark, sf):
+    """Each stage on what the one before it kept, its rows worked out one by one in Python."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rows = {r.doc_id: r for r in docs.collect()}
+    assert len(rows) == docs.count()
+
+    def stage(n, kept):
+        return corpus_pipeline.STAGES[n][1](spark, spark.createDataFrame([rows[i] for i in kept], docs.schema), sf)
+
+    kept = sorted(rows)
+    score = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet")).scorer()
+    good = [i for i in kept if score(rows[i].text or "") >= 0.3]
+    got = stage(0, kept)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [tuple(rows[i]) for i in good] and 0 < len(good) < len(kept)
+    root = classes([slow_fingerprint(rows[i].text) for i in good], 2)
+    first = [i for n, i in enumerate(good) if root[n] == n]  # ids ascend, so a class is named by its smallest
+    got = stage(1, good)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [tuple(rows[i]) for i in first] and len(first) < len(good)
+    clean = [i for i in first if not brute(rows[i].text, items)[-1]]
+    got = stage(2, first)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [tuple(rows[i]) for i in clean] and len(clean) < len(first)
+    encode = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    wanted = []
+    for i in clean:
+        ids = encode.encode(rows[i].text or "", add_special_tokens=False).ids + [0]
+        wanted += [(i, n, at, len(ids[at : at + 2048])) for n, at in enumerate(range(0, len(ids), 2048))]
+    packed = stage(3, clean).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length) for r in packed) == wanted
+    sequences = {}
+    for r in packed:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in sequences.values():
+        assert all(o == sum(n for _, n in sorted(parts)[:k]) for k, (o, _) in enumerate(sorted(parts))) and sum(n for _, n in parts) <= 2048
+    least = -(-sum(w[3] for w in wanted) // 2048)
+    assert least <= len(sequences) <= 1.1 * least + 1
+    run = corpus_pipeline.run(spark, sf).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length) for r in run) == wanted
+
+
+def test_quality_query_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, kept, sf)
-        assert after.columns == docs.columns and {tuple(r) for r in after.collect()} <= {tuple(r) for r in kept.collect()}
-        if name == "near_duplicates":
-            assert after.select("doc_id").distinct().count() == after.count()
-        kept = spark.createDataFrame(after.collect(), docs.schema)
-    assert 0 < kept.count() < docs.count()
-    packed = corpus_pipeline.STAGES[-1][1](spark, kept, sf)
-    assert packed.select("doc_id").distinct().count() == kept.count()
-    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty()
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    score, texts = model.scorer(), {r.doc_id: r.text for r in docs.collect()}
+    rows = queries()["op5_quality_classifier"](spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and abs(r.score - score(texts[r.doc_id] or "")) < 1e-12 and r.predicted == int(r.score >= 0.3)
 
 
 def test_pipeline_stages_on_odd_documents(spark, sf, docs, no_docs):

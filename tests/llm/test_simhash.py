@@ -37,22 +37,21 @@ def test_fingerprint(text):
     assert fingerprint(text) == slow_fingerprint(text)
 
 
-@pytest.mark.parametrize("max_bucket", [64, 2])
-@pytest.mark.parametrize("max_bits", [0, 1, 2])
-def test_links_join_the_same_classes_as_all_pairs(spark, max_bits, max_bucket):
+@pytest.mark.parametrize("max_bits, n_segments, max_bucket", [(0, 5, 64), (1, 5, 2), (2, 5, 64), (2, 5, 2), (3, 7, 64), (3, 7, 2), (4, 5, 2)])
+def test_links_join_the_same_classes_as_all_pairs(spark, max_bits, n_segments, max_bucket):
     random = np.random.default_rng(3)
     base = [int(x) for x in random.integers(0, 1 << 63, 6)] + [0, (1 << 64) - 1]
     values = set(base)
     for b in base:
         for _ in range(12):
             x = b
-            for bit in random.integers(0, 64, random.integers(1, 5)):
+            for bit in random.integers(0, 64, random.integers(1, 6)):
                 x ^= 1 << int(bit)
             values.add(x)
     values = sorted(values)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     fps = spark.createDataFrame([(v,) for v in signed], "fp long")
-    got = {r.node: r.component for r in components(links(fps, max_bits, max_bucket=max_bucket)).collect()}
+    got = {r.node: r.component for r in components(links(fps, max_bits, n_segments, max_bucket)).collect()}
     root = classes(values, max_bits)
     mine = [got.get(v, v) for v in signed]
     assert len(set(zip(root, mine))) == len(set(root)) == len(set(mine))
