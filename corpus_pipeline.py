@@ -6,14 +6,17 @@ it kept. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import quality
 from lodestar.llm.common import bounded, content_key, stored, text_or_empty
 from lodestar.llm.decontaminate import decontaminate
 from lodestar.llm.packing import pack_documents
-from lodestar.llm.simhash import representatives
+from lodestar.llm.simhash import superseded
+
+#: Rows to take out are broadcast only if they are no more than this (some 100 bytes each).
+LISTED = 200_000
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +38,18 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     copies like any other, and different texts that share an id all count. Of
     rows that repeat both, the smallest stays.
     """
-    chosen = stored(representatives(docs).select(F.col("doc_id").alias("_id"), F.col("ck1").alias("_k1"), F.col("ck2").alias("_k2")), "chosen")
-    keyed = _keyed(docs)
-    same = keyed["doc_id"].eqNullSafe(chosen["_id"]) & (keyed["ck1"] == chosen["_k1"]) & (keyed["ck2"] == chosen["_k2"])
-    kept = keyed.join(bounded(chosen), same, "left_semi")
-    return kept.groupBy("doc_id", "ck1", "ck2").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    listed = superseded(docs).select(F.col("doc_id").alias("_id"), F.col("ck1").alias("_k1"), F.col("ck2").alias("_k2"), "once")
+    listed, keyed = stored(listed, "superseded"), _keyed(docs)
+
+    def at(rows: DataFrame) -> Column:
+        return keyed["doc_id"].eqNullSafe(rows["_id"]) & (keyed["ck1"] == rows["_k1"]) & (keyed["ck2"] == rows["_k2"])
+
+    # few rows are listed: texts are moved only if they are too many to broadcast, and grouped only where rows repeat
+    others = keyed.join(bounded(listed, most=LISTED), at(listed), "left_anti")
+    repeated = listed.where("once")
+    again = keyed.join(bounded(repeated, most=LISTED), at(repeated), "left_semi")
+    once = again.groupBy("doc_id", "ck1", "ck2").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return others.select(docs.columns).unionByName(once.select("row.*"))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

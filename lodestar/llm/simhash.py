@@ -160,17 +160,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of_class, "fp").select(id_col, "fp", "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One (id, ck1, ck2) for each component: the smallest id, nulls last, then the smallest content key.
-
-    An id alone names neither a row nor a component: it may be null, or shared
-    by texts of different components.
+def superseded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """What to take out so that one row of each component is left: id, ck1, ck2, once.
+
+    The row that stays has the smallest id, nulls last, then the smallest
+    content key. Rows of all others are listed with ``once`` false; where rows
+    repeat both id and text of the one that stays, it is listed with ``once``
+    true. Rows that are not listed stay. An id alone names neither a row nor a
+    component: it may be null, or shared by texts of different components.
     """
     prints = stored(with_fingerprints(docs, id_col, text_col, keyed=True), "fingerprints")
-    order = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), "ck1", "ck2")
-    least = prints.groupBy("fp").agg(F.min(order).alias("r"))
-    chosen = least.join(_reached(prints, id_col, **options), "fp").groupBy("component").agg(F.min("r").alias("r"))
-    return chosen.select(F.col("r.id").alias(id_col), "r.ck1", "r.ck2")
+    rows = prints.groupBy(id_col, "ck1", "ck2", "fp").agg(F.count("*").alias("copies"))
+    me = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), "ck1", "ck2")
+    least = prints.groupBy("fp").agg(F.min(me).alias("r"))
+    classes = stored(least.join(_reached(prints, id_col, **options), "fp").select("fp", "component", "r"), "classes")
+    stays = classes.groupBy("component").agg(F.min("r").alias("stays"))
+    of_print = stored(classes.join(stays, "component").select("fp", "stays"), "stays")  # a stored side lets a join on a hot text be split
+    marked = rows.join(of_print, "fp").withColumn("once", F.col("stays").eqNullSafe(me))
+    return marked.where("NOT once OR copies > 1").select(id_col, "ck1", "ck2", "once")
 
 
 def hex_fingerprint(fp: Column) -> Column:
