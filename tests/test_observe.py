@@ -8,15 +8,17 @@ from lodestar.observe import Run, logger_for
 
 def test_stages(spark):
     run = Run("test")
-    with run.stage("good", rows=3) as mine:
-        mine["more"] = 1
+    with run.timed("good", rows=3):
+        spark.range(5).count()
     with pytest.raises(ValueError):
-        with run.stage("bad"):
+        with run.timed("bad"):
             raise ValueError("x")
-    assert run.forced("forced", spark.range(5)).count() == 5
-    stages = run.finalize()["stages"]
-    assert stages["good"]["status"] == "ok" and stages["good"]["context"] == {"rows": 3} and stages["bad"]["status"] == "error" and stages["forced"]["rows"] == 5
-    assert run.metrics["total_elapsed_ms"] >= stages["forced"]["elapsed_ms"] > 0
+    run.value("section", 5)
+    run.text("question", "two words")
+    found = run.metrics()
+    stages = found["stages"]
+    assert stages["good"]["status"] == "ok" and stages["good"]["context"] == {"rows": 3} and stages["bad"]["status"] == "error" and "context" not in stages["bad"]
+    assert found["section"] == 5 and found["texts"]["question"]["chars"] == 9 and found["total_elapsed_ms"] >= stages["good"]["elapsed_ms"] > 0
 
 
 def test_log_file(tmp_path):

@@ -44,7 +44,7 @@ def test_answer_of_one_question(store):
     assert list(prompt["candidate_columns"][0]) == ["table_name", "column_name", "raw_column_name", "short_description", "aliases", "data_type", "matched_values", "matched_rules"]
     assert prompt["matched_rules"][0]["candidate_columns"] == [{"table_name": "orders", "column_name": "state"}, {"table_name": "clients", "column_name": "state"}]
     assert list(a["instrumentation"]["stages"]) == ["build_retrieval_inputs", "build_query_embedding", "fetch_hybrid_results", "build_candidate_columns", "build_prompt_metadata"]
-    assert "Top hybrid hits:\n1. " in report(a) and json.dumps(a, default=str)
+    assert "== hits" in report(a) and "orders.state" in report(a) and json.dumps(a, default=str)
     same_name = {(c["table_name"], c["column_name"]) for c in a["candidate_columns_debug"]}
     assert {("orders", "state"), ("clients", "state")} <= same_name
 
