@@ -174,7 +174,6 @@ cand AS (SELECT q, 0 AS section, rank, rt AS t, rc AS c, coalesce(short, '') AS
 def oracle_sql() -> dict[str, str]:
     metrics = _text_metrics("text")
     d_tokens = f"WITH {_DOCS},{_tokens('tk', 'd')}"
-    sentence = f"WITH d AS (SELECT doc_id AS k, 0 AS part, {_compact('text')} AS text FROM documents),{_tokens('tk', 'd')}"
     bench = "d AS (SELECT item_id AS k, 0 AS part, text FROM benchmark)"
     passes = f"""WITH {bench}, keys AS (SELECT k FROM d),{_tokens("t1", "d")},{_joined("n1", "t1", "keys")},{_tokens("t2", "n1")},{_joined("terms", "t2", "keys", where=_NO_SIGNAL)},
 norm AS (SELECT terms.k, 0 AS part, CASE WHEN terms.text <> '' THEN terms.text ELSE n1.text END AS text FROM terms JOIN n1 ON terms.k = n1.k),
@@ -201,7 +200,7 @@ SELECT q AS query_id, hit_pos, id, round(score, 9) AS score, round(lex_rank, 6)
         "scope_filter_count": "SELECT source AS resource_owner, lang AS resource_namespace, count(*) AS n FROM documents GROUP BY source, lang",
         "prepare_rewrites": f"SELECT doc_id, md5(p) AS digest, length(p) AS n FROM (SELECT doc_id, {_prepare('text')} AS p FROM documents)",
         "tokenize_docs": f"{d_tokens}, keys AS (SELECT k FROM d),{_joined('j', 'tk', 'keys')} SELECT j.k AS doc_id, (SELECT count(*) FROM tk WHERE tk.k = j.k) AS n_tokens, md5(j.text) AS digest FROM j",
-        "alias_expand": f"""{sentence}, e AS (SELECT k, tok, p * 2 AS p FROM tk UNION ALL SELECT k, canon, p * 2 + 1 FROM tk JOIN {_families(EMBEDDING_FAMILIES)} ON tok = member),
+        "alias_expand": f"""{d_tokens}, e AS (SELECT k, tok, p * 2 AS p FROM tk UNION ALL SELECT k, canon, p * 2 + 1 FROM tk JOIN {_families(EMBEDDING_FAMILIES)} ON tok = member),
 keys AS (SELECT k FROM d),{_joined("j", "e", "keys")} SELECT k AS doc_id, text AS expanded FROM j""",
         "dedupe_terms": "SELECT doc_id, CAST(list_unique(string_split(lower(text), ' ')) AS BIGINT) AS n_distinct, len(string_split(lower(text), ' ')) AS n_words FROM documents",
         "compact_sentence": f"SELECT doc_id, {_compact('text')} AS sentence FROM documents",
@@ -218,10 +217,10 @@ trim(regexp_replace(d.text, '\\s+', ' ', 'g')) AS semantic_query, CASE WHEN agai
         "hash_embedding_tokens": f"""WITH d AS (SELECT DISTINCT p_name AS k, 0 AS part, p_name AS text FROM part),{_tokens("tk", "d")}, u AS (SELECT DISTINCT tok FROM tk),
 c AS (SELECT tok, i, {component} AS x FROM u, range(24) r(i)), n AS (SELECT tok, sqrt(sum(x * x)) AS n FROM c GROUP BY tok)
 SELECT c.tok AS token, i, round(x / n, 6) AS x FROM c JOIN n ON c.tok = n.tok""",
-        "embed_text_docs": f"""WITH {bench},{_tokens("tk", "d")}, e AS (SELECT k, tok FROM tk UNION ALL SELECT k, canon FROM tk JOIN {_families(EMBEDDING_FAMILIES)} ON tok = member),
+        "embed_text_docs": f"""{d_tokens}, e AS (SELECT k, tok FROM tk UNION ALL SELECT k, canon FROM tk JOIN {_families(EMBEDDING_FAMILIES)} ON tok = member),
 w AS (SELECT k, tok, count(*) AS w FROM e GROUP BY k, tok), u AS (SELECT DISTINCT tok FROM w), c AS (SELECT tok, i, {component} AS x FROM u, range(24) r(i)),
 n AS (SELECT tok, sqrt(sum(x * x)) AS n FROM c GROUP BY tok), s AS (SELECT k, i, sum(w * x / n) AS x FROM w JOIN c ON w.tok = c.tok JOIN n ON n.tok = c.tok GROUP BY k, i),
-l AS (SELECT k, sqrt(sum(x * x)) AS n FROM s GROUP BY k) SELECT s.k AS item_id, i, round(x / n, 6) AS x FROM s JOIN l ON s.k = l.k""",
+l AS (SELECT k, sqrt(sum(x * x)) AS n FROM s GROUP BY k) SELECT s.k AS doc_id, i, round(x / n, 6) AS x FROM s JOIN l ON s.k = l.k""",
         "column_definition_chunks": f"""WITH {_column_chunks()} SELECT 'column_definition::' || exact.k AS chunk_key, 'column_definition' AS chunk_type, cols.t AS table_name, cols.c AS column_name, {_NULL} AS rule_id, {_NULL} AS raw_value,
 exact.text AS text_exact, {_compact("d")} AS text_semantic, coalesce(n, 0) AS value_cardinality, coalesce(n > {LIMIT}, false) AS mandatory FROM exact JOIN cols ON exact.k = cols.t || '::' || cols.c LEFT JOIN card ON cols.pos = card.col""",
         "value_definition_chunks": f"""WITH {_value_chunks()} SELECT 'value_definition::' || exact.k AS chunk_key, 'value_definition' AS chunk_type, t AS table_name, c AS column_name, {_NULL} AS rule_id, v AS raw_value, exact.text AS text_exact,
@@ -257,7 +256,7 @@ FROM (SELECT *, CASE WHEN p_size % 3 = 0 THEN p_type END AS t FROM part)""",
         "matched_rules_top4": f"WITH {_HITS} SELECT q AS query_id, rt AS table_name, rc AS column_name, nth, rule_id, {rounded('score')}, body AS text_semantic FROM mr4",
         "supporting_top6": f"WITH {_HITS} SELECT q AS query_id, rt AS table_name, rc AS column_name, nth, chunk_key, kind AS chunk_type, {rounded('score')} FROM sc6",
         "candidate_top5": f"""WITH {_HITS} SELECT query_id, table_name, column_name, rank, round(score, 9) AS score FROM (SELECT q AS query_id, rt AS table_name, rc AS column_name, score,
-row_number() OVER (PARTITION BY q ORDER BY score DESC, CASE WHEN a THEN 4 ELSE 3 END DESC, rt, rc) AS rank FROM scores) WHERE rank <= 2""",
+row_number() OVER (PARTITION BY q ORDER BY score DESC, CASE WHEN a THEN 4 ELSE 3 END DESC, rt, rc) AS rank FROM scores) WHERE rank <= 5""",
         "mandatory_injection": f"""WITH {_CANDIDATES} SELECT q AS query_id, CAST(section AS BIGINT) AS section, rank, t AS table_name, c AS column_name, short AS short_description, CAST(n AS BIGINT) AS n,
 must AS mandatory_description_in_prompt, src AS injection_source FROM cand""",
         "prompt_projection": f"""WITH {_CANDIDATES}, r AS (SELECT q, rule_id, min(pos) AS pos FROM hits WHERE kind = 'rule' GROUP BY q, rule_id), rl AS (SELECT q, string_agg(rule_id, ',' ORDER BY pos) AS rules FROM r GROUP BY q),

@@ -62,13 +62,7 @@ def tokenize_docs(spark, sf):
 
 
 def alias_expand(spark, sf):
-    """Tokens with embedding families of documents' first sentences, as its SQL has them; whole texts: alias_expand_texts."""
-    rows = _t(spark, sf, "documents").select("doc_id", E.expanded_tokens(T.compact_sentence(F.col("text"))).alias("t"))
-    return rows.select("doc_id", F.array_join("t", " ").alias("expanded"))
-
-
-def alias_expand_texts(spark, sf):
-    """Tokens with embedding families of the whole text of every document; no SQL."""
+    """Tokens with embedding families of the whole text of every document."""
     return _t(spark, sf, "documents").select("doc_id", F.array_join(E.expanded_tokens(F.col("text")), " ").alias("expanded"))
 
 
@@ -120,8 +114,9 @@ def hash_embedding_tokens(spark, sf):
 
 
 def embed_text_docs(spark, sf):
-    rows = _t(spark, sf, "benchmark").select("item_id", F.posexplode(E.embed_text(F.col("text"))).alias("i", "x"))
-    return rows.select("item_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+    """The vector of the whole text of every document, one row for each dimension."""
+    rows = _t(spark, sf, "documents").select("doc_id", F.posexplode(E.embed_text(F.col("text"))).alias("i", "x"))
+    return rows.select("doc_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
 # --- search ---------------------------------------------------------------------------------
@@ -411,7 +406,7 @@ def supporting_top6(spark, sf):
 
 
 def candidate_top5(spark, sf):
-    found = R.rank_columns(R.column_scores(_parts(spark, sf)), 2)
+    found = R.rank_columns(R.column_scores(_parts(spark, sf)), 5)
     return found.select("query_id", *REF, F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"))
 
 
@@ -474,7 +469,7 @@ def namespace_replace(spark, sf):
 
 
 _ALL: tuple[Query, ...] = (
-    hybrid_rrf_topk, lex_topn, sem_topn, rrf_full_outer, fts_rank_phrase, scope_filter_count, prepare_rewrites, tokenize_docs, alias_expand, alias_expand_texts, dedupe_terms, compact_sentence,
+    hybrid_rrf_topk, lex_topn, sem_topn, rrf_full_outer, fts_rank_phrase, scope_filter_count, prepare_rewrites, tokenize_docs, alias_expand, dedupe_terms, compact_sentence,
     description_keywords, build_text_exact, text_metrics, estimate_tokens, collection_summary, count_by_key, retrieval_inputs_batch, hash_embedding_tokens, embed_text_docs,
     column_definition_chunks, value_definition_chunks, rule_chunks, chunk_union, rule_catalog, value_cardinality, mandatory_columns, value_indexing_summary, first_wins_dedup,
     rule_dedup_stateful, infer_table_name, candidate_ref_parse, resolve_column_identity, unknown_refs_anti, known_refs_semi, key_violations, foreign_key_orphans, issues_histogram,

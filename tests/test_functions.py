@@ -150,7 +150,7 @@ def test_families_are_disjoint():
     assert sum(len(m) for m in EMBEDDING_FAMILIES.values()) == 56
 
 
-def test_alias_expand_texts_reads_past_the_first_sentence(spark, tmp_path):
+def test_alias_expand_reads_past_the_first_sentence(spark, tmp_path):
     from lodestar.functions.vocabulary import EMBEDDING_FAMILIES, SEARCH_FAMILIES
     from lodestar.plans.queries import queries
 
@@ -159,6 +159,6 @@ def test_alias_expand_texts_reads_past_the_first_sentence(spark, tmp_path):
 
     texts = {1: "One is here. Two is amber! Three is severe? four", 2: "", 3: None}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.expanded for r in queries()["alias_expand_texts"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.expanded for r in queries()["alias_expand"](spark, str(tmp_path)).collect()}
     words = {k: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split() for k, t in texts.items()}
     assert got == {k: " ".join(following(list(dict.fromkeys(following(w, SEARCH_FAMILIES))), EMBEDDING_FAMILIES)) for k, w in words.items()}
