@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def nth(keys: list[str | Column], *order: str | Column) -> Column:
+    """The place of a row among those of its key, from 1."""
+    return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+
+
 def keep_first(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The first row of each key in the given order."""
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_nth", F.row_number().over(window)).where("_nth = 1").drop("_nth")
+    return df.withColumn("_nth", nth(keys, *order)).where("_nth = 1").drop("_nth")
 
 
 def mark_duplicates(df: DataFrame, key: str, order: str, dropped: Column, name: str = "duplicate") -> DataFrame:

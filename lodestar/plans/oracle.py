@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lodestar.functions.vocabulary import DESCRIPTION_STOPWORDS, EMBEDDING_FAMILIES, LITERAL_REWRITES, NOISE_WORDS, PHRASE_REWRITES, SEARCH_FAMILIES
-from lodestar.plans.queries import ASKED, CATALOG, LIMIT, RULES, TOP_K, WEIGHTS
+from lodestar.plans.queries import ASKED, CATALOG, LIMIT, PAYLOADS, RULE_RECORDS, RULES, TOP_K, VALUE_GROUPS, WEIGHTS
 from lodestar.functions.stemming import stem
 
 POOL = max(5 * TOP_K, 20)
@@ -146,6 +146,99 @@ parts AS (SELECT * FROM (VALUES {_RULE_PARTS}) p(k, part, text)),{_tokens("pt",
 keys AS (SELECT rule_id AS k FROM rules),{_joined("exact", "pt", "keys")}"""
 
 
+# --- issues: what each template of a record must give, by its place -------------------------
+
+
+def _issues(rows: list[tuple]) -> str:
+    return "(VALUES " + ", ".join(f"({m}, {_lit(kind)}, {_lit(entity)}, {_lit(action)}, {_lit(details)})" for m, kind, entity, action, details in rows) + ") x(m, issue_type, entity, action, details)"
+
+
+def _typed(kind: str) -> str:
+    return f'{{"actual_type":"{kind}"}}'
+
+
+_ISSUE_COUNTS = "SELECT issue_type, entity_key, action, details, count(*) AS n FROM found GROUP BY issue_type, entity_key, action, details"
+_FILLED = "replace(replace(replace(replace({}, '@t', t), '@c', c), '@i', CAST(pos AS VARCHAR)), '@s', s)"
+_PAYLOAD_ISSUES = [
+    row
+    for name, one, wrapper in (("columns", "column", "columns"), ("value_groups", "value_group", "values"), ("rules", "rule", "rules"))
+    for row in (
+        (0, f"invalid_{one}_record", f"{name}[1]", "skipped_record", _typed("int")),
+        (1, f"wrapped_{name}_payload", name, "accepted_wrapped_payload", f'{{"wrapper_key":"{wrapper}"}}'),
+        (1, f"invalid_{one}_record", f"{name}[1]", "skipped_record", _typed("str")),
+        (1, f"invalid_{one}_record", f"{name}[2]", "skipped_record", _typed("list")),
+        *((m, f"invalid_{name}_payload", name, "ignored_payload", _typed(kind)) for m, kind in ((2, "dict"), (3, "int"), (4, "dict"), (6, "NoneType"))),
+    )
+]
+_VALUE_ISSUES = [
+    (0, "missing_value_group_column_name", "value_definition", "skipped_value_group", "{}"),
+    (1, "inferred_value_group_table_name", "@c", "accepted_legacy_value_group", '{"table_name":"@t"}'),
+    (2, "missing_value_group_table_name", "shared", "skipped_value_group", "{}"),
+    (3, "invalid_identifier_separator", "a::b::@c", "skipped_value_group", "{}"),
+    (4, "missing_value_column", "@t::nowhere", "skipped_value_group", '{"value_count":2}'),
+    (5, "invalid_values_payload", "values", "ignored_payload", _typed("dict")),
+    (6, "invalid_values_payload", "values", "ignored_payload", _typed("NoneType")),
+    (7, "invalid_value_record", "values[0]", "skipped_record", _typed("int")),
+    (7, "invalid_value_record", "values[1]", "skipped_record", _typed("str")),
+    (8, "missing_raw_value", "@t::@c", "skipped_value", "{}"),
+    (8, "missing_raw_value", "@t::@c", "skipped_value", "{}"),
+    (9, "invalid_field_type", "@t::@c", "ignored_field", '{"field_name":"value_gloss","actual_type":"int"}'),
+    (9, "invalid_list_field_type", "@t::@c", "dropped_field", '{"field_name":"synonyms","actual_type":"dict"}'),
+    (9, "coerced_scalar_list_field", "@t::@c", "coerced_scalar_to_singleton_list", '{"field_name":"business_tags"}'),
+]
+_GROUPS = f"""
+g AS (SELECT c_custkey AS pos, c_custkey % {len(VALUE_GROUPS)} AS m, 'r' || n_regionkey AS t, n_name AS c, c_mktsegment AS s FROM customer JOIN nation ON c_nationkey = n_nationkey),
+v AS (SELECT *, row_number() OVER (PARTITION BY t, c, raw ORDER BY pos, i) AS nth FROM (SELECT *, 0 AS i, 'u' AS raw, '' AS gloss, '' AS tags FROM g WHERE m = 1
+  UNION ALL SELECT *, 0, 'v' || pos, '', 'x' FROM g WHERE m = 9 UNION ALL SELECT *, 0, s, '', '' FROM g WHERE m = 10 UNION ALL SELECT *, 1, s, '', '' FROM g WHERE m = 10
+  UNION ALL SELECT *, 2, 'True', 'told', '' FROM g WHERE m = 10))"""
+_DROPPED, _ALONE = "dropped_candidate_column", ("rule_without_valid_candidate_columns", "skipped_rule", "{}")
+_UNKNOWN = ("unknown_rule_candidate_column", _DROPPED, '{"column_name":"@t.nope"}')
+_ONE = ("coerced_rule_candidate_columns", "coerced_scalar_to_singleton_list", "{}")
+_RULE_ISSUES = [
+    (0, "missing_rule_id", "rule_definition", "skipped_rule", "{}"),
+    *(
+        (m, kind, "same@s" if m == 11 else "k@i", action, details)
+        for m, (kind, action, details) in (
+            (1, _ONE),
+            (2, ("invalid_rule_candidate_columns_payload", "dropped_candidate_columns", _typed("int"))),
+            (3, ("malformed_rule_candidate_column", _DROPPED, '{"candidate_column":"5","actual_type":"int"}')),
+            (3, ("malformed_rule_candidate_column", _DROPPED, '{"candidate_column":"null","actual_type":"NoneType"}')),
+            (3, _ALONE),
+            (4, ("unqualified_rule_candidate_column", _DROPPED, '{"column_name":"bare"}')),
+            (5, _UNKNOWN),
+            (6, ("malformed_rule_candidate_column", _DROPPED, '{"candidate_column":"{\\"table_name\\":\\"@t\\"}"}')),
+            (7, ("invalid_rule_priority", "defaulted_priority", _typed("str"))),
+            (8, ("coerced_scalar_list_field", "coerced_scalar_to_singleton_list", '{"field_name":"trigger_terms"}')),
+            (8, ("invalid_field_type", "ignored_field", '{"field_name":"rule_text","actual_type":"int"}')),
+            (9, _UNKNOWN),
+            (9, _ALONE),
+            (10, _ONE),
+            (11, _UNKNOWN),
+            (11, _ALONE),
+        )
+    ),
+]
+_RECORDS = f"""
+g AS (SELECT o_orderkey AS pos, o_orderkey % {len(RULE_RECORDS)} AS m, 'r' || n_regionkey AS t, n_name AS c, CAST(o_custkey AS VARCHAR) AS s FROM orders JOIN nation ON o_orderkey % 25 = n_nationkey),
+h AS (SELECT s, min(pos) AS holder FROM g WHERE m = 12 GROUP BY s),
+a AS (SELECT g.*, m >= 11 AND coalesce(pos > holder, false) AS again FROM g LEFT JOIN h ON g.s = h.s)"""
+
+
+def _issue_queries() -> dict[str, str]:
+    filled = f"{_FILLED.format('x.entity')} AS entity_key, action, {_FILLED.format('x.details')} AS details"
+    return {
+        "issues_payloads": f"WITH found AS (SELECT issue_type, entity AS entity_key, action, details FROM customer JOIN {_issues(_PAYLOAD_ISSUES)} ON c_custkey % {len(PAYLOADS)} = x.m) {_ISSUE_COUNTS}",
+        "issues_values": f"""WITH {_GROUPS}, found AS (SELECT issue_type, {filled} FROM g JOIN {_issues(_VALUE_ISSUES)} ON g.m = x.m
+UNION ALL SELECT 'duplicate_value_key', t || '::' || c || '::' || raw, 'skipped_duplicate_value', '{{}}' FROM v WHERE nth > 1) {_ISSUE_COUNTS}""",
+        "parsed_values": f"WITH {_GROUPS} SELECT t AS table_name, c AS column_name, raw AS raw_value, gloss AS value_gloss, '' AS synonyms, tags FROM v WHERE nth = 1",
+        "issues_rules": f"""WITH {_RECORDS}, found AS (SELECT issue_type, {filled} FROM a JOIN {_issues(_RULE_ISSUES)} ON a.m = x.m WHERE NOT again
+UNION ALL SELECT 'duplicate_rule_id', 'same' || s, 'skipped_duplicate_rule', '{{}}' FROM a WHERE again) {_ISSUE_COUNTS}""",
+        "parsed_rules": f"""WITH {_RECORDS} SELECT CASE WHEN m = 12 THEN 'same' || s ELSE 'k' || pos END AS rule_id, CASE WHEN m = 10 THEN 'b' ELSE '' END AS description,
+CASE WHEN m IN (1, 4, 5, 6, 10) THEN t || '::' || c || CASE WHEN m = 4 THEN ',' || t || '::' || c ELSE '' END ELSE '' END AS refs, CASE m WHEN 8 THEN 'x' WHEN 12 THEN 'p,q' ELSE '' END AS triggers,
+CASE m WHEN 1 THEN 70 WHEN 2 THEN 2 WHEN 4 THEN 1 ELSE 0 END AS priority FROM a WHERE NOT again AND m NOT IN (0, 3, 9, 11)""",
+    }
+
+
 # --- rollup ---------------------------------------------------------------------------------
 
 _HITS = f"""
@@ -244,11 +337,12 @@ GROUP BY k HAVING count(DISTINCT t) = 1""",
 CASE WHEN contains(url, '::') THEN substr(url, instr(url, '::') + 2) WHEN contains(url, '.') THEN regexp_extract(url, '[^.]*$') END AS column_name FROM pages""",
         "resolve_column_identity": """SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN t WHEN p_size % 2 = 0 THEN coalesce(t, p_brand) ELSE t END AS table_name, p_name AS column_name
 FROM (SELECT *, CASE WHEN p_size % 3 = 0 THEN p_type END AS t FROM part)""",
-        "unknown_refs_anti": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+        "unknown_refs_anti": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus = 'P')",
         "known_refs_semi": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) GROUP BY c_mktsegment",
         "key_violations": "SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_partkey HAVING count(*) > 1",
         "foreign_key_orphans": "SELECT lang, count(*) AS n FROM documents WHERE doc_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id) GROUP BY lang",
         "issues_histogram": hist,
+        **_issue_queries(),
         "keyword_coverage": f"SELECT doc_id, concat_ws(',', {covered}) AS covered FROM documents",
         "rollup_scores": f"WITH {_HITS} SELECT q AS query_id, rt AS table_name, rc AS column_name, round(score, 9) AS score, CASE WHEN a THEN 'a lines,' ELSE '' END || 'line,open,syn' AS coverage FROM scores",
         "rule_bonus": f"WITH {_HITS} SELECT rt AS table_name, rc AS column_name, rule_id, count(*) AS n, round(sum(points), 6) AS bonus FROM parts WHERE kind = 'rule' GROUP BY rt, rc, rule_id",

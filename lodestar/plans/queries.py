@@ -18,7 +18,7 @@ from lodestar.operators.fulltext import lexemes, match, parsed_query
 from lodestar.operators.integrity import duplicates, orphans
 from lodestar.operators.keys import keep_first, mark_duplicates, resolve_identity, split_reference, unique_match
 from lodestar.plans.answer import retrieval_inputs
-from lodestar.sources.catalog_json import parse_columns
+from lodestar.sources.catalog_json import parse_columns, parse_rules, parse_values, records
 from lodestar.sources.shared import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,36 @@ RULES = (
     ("r-brand", "Brands in preview", (("part", "p_brand"),), ("beta",)),
 )
 REF = ["table_name", "column_name"]
+#: Records of drifting shape; @t and @c stand for a known table and column, @i for the row's key, @s for a text that repeats.
+PAYLOADS = ('[{"a":1},5]', '{"@w":[{"a":1},"x",[]]}', '{"other":1}', "5", '{"@w":7}', "[]", "null")
+VALUE_GROUPS = (
+    '{"table_name":"@t"}',
+    '{"column_key":"@c","values":[{"raw_value":"u"}]}',
+    '{"column_name":"shared"}',
+    '{"table":"a::b","column_name":"@c"}',
+    '{"table_name":"@t","column_name":"nowhere","values":[1,2]}',
+    '{"table_name":"@t","column_name":"@c","values":{"no":1}}',
+    '{"table_name":"@t","column_name":"@c","values":null}',
+    '{"table_name":"@t","column_name":"@c","values":[5,"x"]}',
+    '{"table_name":"@t","column_name":"@c","values":[{"raw_value":""},{"raw_value":null}]}',
+    '{"column_key":"@t::@c","values":[{"raw_value":"v@i","value_gloss":3,"synonyms":{"a":1},"business_tags":"x"}]}',
+    '{"source_table":" @t ","column_name":"@c","values":[{"raw_value":"@s"},{"raw_value":"@s"},{"raw_value":true,"value_description":" told "}]}',
+)
+RULE_RECORDS = (
+    '{"description":"d"}',
+    '{"rule_id":"k@i","candidate_columns":"@t.@c","priority":" +7_0 "}',
+    '{"rule_id":"k@i","candidate_columns":123,"priority":2.7}',
+    '{"rule_id":"k@i","candidate_columns":[5,null]}',
+    '{"rule_id":"k@i","candidate_columns":["bare","@t::@c","@t.@c"],"priority":true}',
+    '{"rule_id":"k@i","candidate_columns":["@t.nope","@t.@c"]}',
+    '{"rule_id":"k@i","candidate_columns":[{"table_name":"@t"},"@t.@c"]}',
+    '{"rule_id":"k@i","priority":"high"}',
+    '{"rule_id":"k@i","trigger_terms":" x ","rule_text":5}',
+    '{"rule_id":"k@i","candidate_columns":["@t.nope"]}',
+    '{"rule_id":"k@i","candidate_columns":{"table_name":"@t","column_name":"@c"},"description":"a","text_semantic":"b"}',
+    '{"rule_id":"same@s","candidate_columns":["@t.nope"]}',
+    '{"rule_id":"same@s","trigger_terms":["p","q","p",""]}',
+)
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -299,7 +329,9 @@ def resolve_column_identity(spark, sf):
 
 
 def unknown_refs_anti(spark, sf):
-    return _t(spark, sf, "customer").join(_t(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_mktsegment")
+    """Customers without an order under way."""
+    waiting = _t(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return orphans(_t(spark, sf, "customer"), waiting, ["c_custkey"]).select("c_custkey", "c_mktsegment")
 
 
 def known_refs_semi(spark, sf):
@@ -334,6 +366,72 @@ def issues_histogram(spark, sf):
     return issues.groupBy("issue_type", "action").agg(F.count("*").alias("n"))
 
 
+def _record(templates: tuple[str, ...], key: Column, **texts: Column) -> Column:
+    """The template that the key picks, with its places filled, as a VARIANT."""
+    text = F.element_at(F.array(*[F.lit(x) for x in templates]), (key % len(templates) + 1).cast("int"))
+    for name, value in texts.items():
+        text = F.replace(text, F.lit(f"@{name}"), value.cast("string"))
+    return F.parse_json(text)
+
+
+def _known(spark, sf) -> DataFrame:
+    """A column for each nation in the table of its region, and one that every region has."""
+    own = _t(spark, sf, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("table_name"), F.col("n_name").alias("column_name"))
+    return own.unionByName(_t(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("table_name"), F.lit("shared").alias("column_name")))
+
+
+def _counted(issues: DataFrame) -> DataFrame:
+    fields = ["issue_type", "entity_key", "action", "details"]
+    return issues.groupBy(*fields).agg(F.count("*").alias("n"))
+
+
+def issues_payloads(spark, sf):
+    """Issues of payloads that are wrapped, of the wrong type, or hold records of the wrong type."""
+    every = None
+    for name, wrappers in (("columns", ("columns",)), ("value_groups", ("value_groups", "values")), ("rules", ("rules",))):
+        docs = _t(spark, sf, "customer").select(_record(PAYLOADS, F.col("c_custkey"), w=F.lit(wrappers[-1])).alias("doc"))
+        _, found = records(docs, name, wrappers)
+        every = found.select("i.*") if every is None else every.unionByName(found.select("i.*"))
+    return _counted(every)
+
+
+def _parsed_values(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Customers as groups of values of their nation's column."""
+    rows = _t(spark, sf, "customer").join(_t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rec = _record(VALUE_GROUPS, F.col("c_custkey"), t=F.concat(F.lit("r"), "n_regionkey"), c=F.col("n_name"), i=F.col("c_custkey"), s=F.col("c_mktsegment"))
+    return parse_values(rows.select(F.col("c_custkey").alias("pos"), rec.alias("rec")), _known(spark, sf))
+
+
+def issues_values(spark, sf):
+    """Issues of value groups, their columns, values and keys."""
+    return _counted(_parsed_values(spark, sf)[1])
+
+
+def parsed_values(spark, sf):
+    """Values that are kept of groups with drift: the first of each key."""
+    found = _parsed_values(spark, sf)[0]
+    return found.select(*REF, "raw_value", "value_gloss", F.array_join("synonyms", ",").alias("synonyms"), F.array_join("business_tags", ",").alias("tags"))
+
+
+def _parsed_rules(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Orders as rules about the columns of the nation that their key picks."""
+    rows = _t(spark, sf, "orders").join(F.broadcast(_t(spark, sf, "nation")), F.col("o_orderkey") % 25 == F.col("n_nationkey"))
+    rec = _record(RULE_RECORDS, F.col("o_orderkey"), t=F.concat(F.lit("r"), "n_regionkey"), c=F.col("n_name"), i=F.col("o_orderkey"), s=F.col("o_custkey"))
+    return parse_rules(rows.select(F.col("o_orderkey").alias("pos"), rec.alias("rec")), _known(spark, sf))
+
+
+def issues_rules(spark, sf):
+    """Issues of rules, their candidate columns and ids."""
+    return _counted(_parsed_rules(spark, sf)[1])
+
+
+def parsed_rules(spark, sf):
+    """Rules that are kept: of those that share an id, the first with a known column or without candidates."""
+    found = _parsed_rules(spark, sf)[0]
+    refs = F.array_join(F.transform("candidate_columns", lambda r: T.label(r["table_name"], r["column_name"])), ",")
+    return found.select("rule_id", "description", refs.alias("refs"), F.array_join("trigger_terms", ",").alias("triggers"), F.col("priority").cast("long").alias("priority"))
+
+
 # --- rollup ---------------------------------------------------------------------------------
 
 
@@ -473,6 +571,7 @@ _ALL: tuple[Query, ...] = (
     description_keywords, build_text_exact, text_metrics, estimate_tokens, collection_summary, count_by_key, retrieval_inputs_batch, hash_embedding_tokens, embed_text_docs,
     column_definition_chunks, value_definition_chunks, rule_chunks, chunk_union, rule_catalog, value_cardinality, mandatory_columns, value_indexing_summary, first_wins_dedup,
     rule_dedup_stateful, infer_table_name, candidate_ref_parse, resolve_column_identity, unknown_refs_anti, known_refs_semi, key_violations, foreign_key_orphans, issues_histogram,
+    issues_payloads, issues_values, parsed_values, issues_rules, parsed_rules,
     keyword_coverage, rollup_scores, rule_bonus, matched_values_top4, matched_rules_top4, supporting_top6, candidate_top5, mandatory_injection, prompt_projection, retrieval_summary,
     namespace_replace,
 )

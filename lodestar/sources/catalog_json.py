@@ -12,10 +12,11 @@ from collections.abc import Callable
 from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import SPACE, dedupe_terms, label, let
+from lodestar.operators.keys import keep_first, mark_duplicates, nth, resolve_identity, split_reference, unique_match
 from lodestar.sources.shared import stored
 from lodestar.sources.schemas import COLUMNS, ISSUES, RULES, VALUES, Catalog
 
@@ -201,12 +202,7 @@ def _identity(rec: Column, entity: str) -> tuple[Column, Column, Column]:
     table, i1 = string_field(source, "table_name", who)
     key, i2 = string_field(member(rec, "column_key"), "column_key", who)
     column, i3 = string_field(member(rec, "column_name"), "column_name", who)
-    split = F.instr(key, "::") > 0
-    head, tail = F.substring_index(key, "::", 1), F.expr("NULL").cast("string")
-    tail = F.substring(key, F.instr(key, "::") + 2, F.length(key))
-    use_key = column.isNull() & key.isNotNull()
-    table_ = F.when(use_key & split, F.coalesce(table, head)).otherwise(table)
-    column_ = F.when(use_key & split, tail).when(use_key, key).otherwise(column)
+    table_, column_ = resolve_identity(table, column, key)
     return F.nullif(table_, F.lit("")), F.nullif(column_, F.lit("")), _all(i1, i2, i3)
 
 
@@ -222,8 +218,8 @@ def parse_columns(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     at = at.withColumn(
         "fault", F.when(c.isNull(), "missing_column_name").when(t.isNull(), "missing_column_table_name").when(_reserved(t, c), "invalid_identifier_separator")
     )
-    first = Window.partitionBy(*_REF, F.col("fault").isNull()).orderBy("pos")
-    at = at.withColumn("fault", F.when(F.col("fault").isNull() & (F.row_number().over(first) > 1), "duplicate_column_identity").otherwise(F.col("fault")))
+    again = nth([*_REF, F.col("fault").isNull()], "pos") > 1
+    at = at.withColumn("fault", F.when(F.col("fault").isNull() & again, "duplicate_column_identity").otherwise(F.col("fault")))
     me, rec = label(t, c), F.col("rec")
     raw, i1 = string_field(member(rec, "raw_column_name"), "raw_column_name", me)
     text, i2 = string_field(member(rec, "description"), "description", me)
@@ -243,7 +239,7 @@ def parse_columns(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def infer_tables(columns: DataFrame) -> DataFrame:
     """column_name, inferred: the table of each column name that only one table has."""
-    return columns.groupBy("column_name").agg(F.count_distinct("table_name").alias("n"), F.min("table_name").alias("inferred")).where("n = 1").drop("n")
+    return unique_match(columns, "column_name", "table_name").withColumnRenamed("table_name", "inferred")
 
 
 def parse_values(groups: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -282,8 +278,7 @@ def parse_values(groups: DataFrame, columns: DataFrame) -> tuple[DataFrame, Data
     found = found.unionByName(_issue_rows(wrong, 2, F.col("group_pos"), F.lit(1), F.col("item_pos"), F.array(bad)))
     good = items.where(type_name(rec) == "dict").withColumn("raw", member(rec, "raw_value"))
     good = good.withColumn("raw_value", F.when(~_missing(F.col("raw")), python_text(F.col("raw")))).withColumn("raw_value", F.nullif("raw_value", F.lit("")))
-    first = Window.partitionBy(*_REF, "raw_value").orderBy("group_pos", "item_pos")
-    good = good.withColumn("again", F.col("raw_value").isNotNull() & (F.row_number().over(first) > 1))
+    good = good.withColumn("again", F.col("raw_value").isNotNull() & (nth([*_REF, "raw_value"], "group_pos", "item_pos") > 1))
     gloss, i1 = string_field(first_truthy(member(rec, "value_gloss"), member(rec, "value_description")), "value_gloss", me)
     synonyms, i2 = list_field(member(rec, "synonyms"), "synonyms", me)
     tags, i3 = list_field(member(rec, "business_tags"), "business_tags", me)
@@ -324,15 +319,12 @@ def parse_rules(rows: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFra
     # candidates: the first of each text, parsed, looked up among the known columns
     each = at.where(me.isNotNull()).select("pos", "rule_id", F.posexplode("listed").alias("k", "v"))
     marker = F.when(type_name(F.col("v")) == "dict", F.to_json("v")).otherwise(F.coalesce(python_text(F.col("v")), F.lit("None")))
-    each = each.withColumn("marker", marker).withColumn("nth", F.row_number().over(Window.partitionBy("pos", "marker").orderBy("k"))).where("nth = 1")
+    each = keep_first(each.withColumn("marker", marker), ["pos", "marker"], "k")
     v, text, vk = F.col("v"), as_string(F.col("v")), type_name(F.col("v"))
     table, i1 = string_field(member(v, "table_name"), "table_name", me)
     column, i2 = string_field(member(v, "column_name"), "column_name", me)
-    colons, dot = F.contains(text, F.lit("::")), F.contains(text, F.lit("."))
-    last = F.substring_index(text, ".", -1)
-    ref_table = F.when(vk == "dict", table).when((vk == "str") & colons, F.substring_index(text, "::", 1)).when((vk == "str") & dot, F.substring(text, F.lit(1), F.length(text) - F.length(last) - 1))
-    ref_column = F.when(vk == "dict", column).when((vk == "str") & colons, F.substring(text, F.instr(text, "::") + 2, F.length(text))).when((vk == "str") & dot, last)
-    each = each.withColumn("table_name", ref_table).withColumn("column_name", ref_column).withColumn("vk", vk)
+    named_table, named_column = split_reference(text)
+    each = each.withColumn("table_name", F.when(vk == "dict", table).when(vk == "str", named_table)).withColumn("column_name", F.when(vk == "dict", column).when(vk == "str", named_column)).withColumn("vk", vk)
     each = each.join(columns.select(*_REF, F.lit(True).alias("known")), _REF, "left")
     named = F.col("table_name").isNotNull() & F.col("column_name").isNotNull()
     shown = F.when(F.col("vk") == "str", text).otherwise(F.to_json("v"))
@@ -356,8 +348,7 @@ def parse_rules(rows: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFra
     dead = (F.coalesce("n_candidates", F.lit(0)) > 0) & (F.size(refs) == 0)
     at = at.withColumn("candidate_columns", refs).withColumn("dead", dead)
     # an id is taken by the first rule that survives: earlier ones that were skipped don't hold it
-    holder = F.min(F.when(~F.col("dead"), F.col("pos"))).over(Window.partitionBy("rule_id"))
-    at = at.withColumn("again", F.coalesce(me.isNotNull() & (F.col("pos") > holder), F.lit(False)))
+    at = mark_duplicates(at, "rule_id", "pos", F.col("dead"), "later").withColumn("again", me.isNotNull() & F.col("later"))
     text, i1 = string_field(first_truthy(member(rec, "text_semantic"), member(rec, "description")), "description", me)
     triggers, i2 = list_field(member(rec, "trigger_terms"), "trigger_terms", me)
     intent, i3 = string_field(member(rec, "intent"), "intent", me)
