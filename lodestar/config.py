@@ -31,7 +31,7 @@ class Settings:
 
 #: Environment variables of each setting, the first that is set counts.
 VARIABLES = {
-    "store": ("DATABASE_URL",),
+    "store": ("LODESTAR_STORE",),
     "resource_owner": ("RESOURCE_OWNER",),
     "resource_namespace": ("RESOURCE_NAMESPACE", "CATALOG_NAMESPACE"),
     "value_cardinality_limit": ("VALUE_CARDINALITY_LIMIT",),

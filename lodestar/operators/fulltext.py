@@ -3,8 +3,9 @@
 A document has an A part (exact text: lower-cased words) and a B part
 (semantic text: English stems without stop words, which still take up
 positions) whose positions follow those of A. The index is one row for each
-lexeme and position, so matching is a join on the lexeme, and a table of any
-size is scanned by bucket.
+lexeme and position, so matching is a join on the lexeme. A stored index is
+sorted by lexeme: the few lexemes that are asked for are a filter of its scan,
+which reads only the row groups that may hold them.
 
 A query is read in two ways, as plain words and as English stems, and the two
 are OR-ed. Words may be joined by ``or``, quoted into phrases or negated by
@@ -123,6 +124,24 @@ def _and_rank(entries: Column, n_terms: Column) -> Column:
     return run(entries, n_terms)
 
 
+#: Asked lexemes up to this number are a filter of the scan of the index, and asked rows up to the other a broadcast.
+FILTERED, BROADCAST = 1_000, 100_000
+
+
+def _asked_postings(index: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """The join of the index and what is asked: small questions are counted and broadcast, large ones exchanged with the index."""
+    counts = asked.groupBy("lexeme").agg(F.count("*").alias("n")).limit(FILTERED + 1).collect()
+    if len(counts) <= FILTERED:
+        index = index.where(F.col("lexeme").isin(*[r.lexeme for r in counts]))
+    few = len(counts) <= FILTERED and sum(r.n for r in counts) <= BROADCAST
+    return index.join(F.broadcast(asked) if few else asked, keys)
+
+
+def sorted_index(index: DataFrame) -> DataFrame:
+    """The index in ranges of lexemes, sorted inside; very common lexemes are spread by their documents."""
+    return index.repartitionByRange("lexeme", "id").sortWithinPartitions("lexeme", "id", "pos")
+
+
 def match(index: DataFrame, queries: DataFrame, scope: list[str], query_id: str = "query_id", parsed_col: str = "tsq", doc: str = "id") -> DataFrame:
     """query_id, ``doc``, lex_rank of every document of the query's scope that matches.
 
@@ -135,7 +154,7 @@ def match(index: DataFrame, queries: DataFrame, scope: list[str], query_id: str
     terms = queries.select(query_id, *scope, F.explode(parsed_col).alias("t")).select(query_id, *scope, "t.grp", "t.term", "t.negated", "t.lexemes", F.size("t.lexemes").alias("n_lexemes"))
     asked = terms.select(query_id, *scope, "grp", "term", "negated", "n_lexemes", F.explode("lexemes").alias("x")).select(query_id, *scope, "grp", "term", "negated", "n_lexemes", "x.lexeme", "x.offset")
     weight = F.when(F.col("weight") == "A", WEIGHT_A).otherwise(WEIGHT_B)
-    found = index.withColumn("w", weight).join(asked, [*scope, "lexeme"])
+    found = _asked_postings(index.withColumn("w", weight), asked, [*scope, "lexeme"])
     # an occurrence of a term: all its lexemes at their offsets from one start
     occurrences = found.groupBy(query_id, doc, "grp", "term", "negated", "n_lexemes", (F.col("pos") - F.col("offset")).alias("start")).agg(
         F.count_distinct("offset").alias("got"),

@@ -54,9 +54,18 @@ def lexical_branch(index: DataFrame, queries: DataFrame, top_k: int) -> DataFram
     return position(match(index, asked, SCOPE), "query_id", F.col("lex_rank").desc(), F.col("id").asc(), name="lex_pos", limit=pool_size(top_k))
 
 
+#: Questions up to this number are sent to the chunks; more are exchanged with them by scope.
+BROADCAST = 10_000
+
+
+def counted(df: DataFrame, bound: int = BROADCAST) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``bound`` rows."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
 def semantic_branch(chunks: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
     """query_id, id, semantic_distance, sem_pos: exact cosine over every chunk of the scope."""
-    vectors = chunks.select(*SCOPE, "id", "embedding").join(queries.select("query_id", *SCOPE, F.col("embedding").alias("asked")), SCOPE)
+    vectors = chunks.select(*SCOPE, "id", "embedding").join(counted(queries.select("query_id", *SCOPE, F.col("embedding").alias("asked"))), SCOPE)
     distances = vectors.select("query_id", "id", cosine_distance(F.col("embedding"), F.col("asked")).alias("semantic_distance"))
     return position(distances, "query_id", F.col("semantic_distance").asc_nulls_last(), F.col("id").asc(), name="sem_pos", limit=pool_size(top_k))
 

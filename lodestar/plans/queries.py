@@ -24,6 +24,8 @@ from lodestar.sources.shared import spread
 Query = Callable[[SparkSession, str], DataFrame]
 #: Words that the lexical queries ask for.
 ASKED = ("license", "apache", "gnu", "version", "reserved")
+#: What the phrase query asks for.
+PHRASES = '"apache license" or mit licenses or reserved -version or en'
 TOP_K = 10
 LIMIT = 25
 WEIGHTS = Settings().chunk_type_weights
@@ -207,10 +209,10 @@ def hybrid_rrf_topk(spark, sf):
 
 
 def fts_rank_phrase(spark, sf):
-    """Phrases, AND and negation with stems; SQL has no such rank, so tests hold it."""
-    docs = _corpus(spark, sf).select("resource_owner", "resource_namespace", "id", F.lit("").alias("text_exact"), F.col("text").alias("text_semantic"))
-    asked = _questions(spark, sf).withColumn("tsq", parsed_query(F.lit('"apache license" or mit licenses or reserved -version')))
-    return match(lexemes(docs, [*S.SCOPE, "id"]), asked, S.SCOPE)
+    """Phrases, AND and negation with stems of the texts (B part), and a word of the language codes (A part)."""
+    docs = _corpus(spark, sf).select("resource_owner", "resource_namespace", "id", F.col("lang").alias("text_exact"), F.col("text").alias("text_semantic"))
+    asked = _questions(spark, sf).withColumn("tsq", parsed_query(F.lit(PHRASES)))
+    return match(lexemes(docs, [*S.SCOPE, "id"]), asked, S.SCOPE).select("query_id", "id", F.round("lex_rank", 5).alias("lex_rank"))
 
 
 # --- catalog and chunks ---------------------------------------------------------------------
@@ -548,20 +550,23 @@ def retrieval_summary(spark, sf):
 
 
 def namespace_replace(spark, sf):
-    """A scope loaded twice into a store: the second load replaces the first (no SQL: it is about files)."""
+    """A scope loaded twice into a store: the second load replaces the first."""
     from lodestar.operators.integrity import check
-    from lodestar.sources.shared import new_path
+    from lodestar.plans.load import FEW
+    from lodestar.session import interpreted
+    from lodestar.sources.shared import new_path, stored
     from lodestar.sources.store import Store
 
     store = Store(spark, new_path(spark, "store"))
-    columns, values, rules = catalog_columns(spark, sf), catalog_values(spark, sf), catalog_rules(spark, sf)
+    columns, values, rules = catalog_columns(spark, sf), stored(catalog_values(spark, sf), "values"), catalog_rules(spark, sf)
     for limit in (3, LIMIT):
         folder = store.stage("tpch", "main")
-        every, flagged = C.project(columns, values, rules, limit)
-        tables = {"columns": flagged.drop("pos"), "values": values.drop("pos"), "rules": C.rule_catalog(rules), "chunks": every}
-        for name, df in tables.items():
-            df.write.parquet(f"{folder}/{name}")
-        check({name: spark.read.parquet(f"{folder}/{name}") for name in tables}, E.HashEmbedder.dim)
+        with interpreted(spark, values.count() <= FEW):
+            every, flagged = C.project(columns, values, rules, limit)
+            tables = {"columns": flagged.drop("pos"), "values": values.drop("pos"), "rules": C.rule_catalog(rules), "chunks": every}
+            for name, df in tables.items():
+                df.write.parquet(f"{folder}/{name}")
+            check({name: spark.read.parquet(f"{folder}/{name}") for name in tables}, E.HashEmbedder.dim)
         store.publish("tpch", "main", folder)
     return store.table("chunks", "tpch", "main").groupBy("chunk_type").agg(F.count("*").alias("n"))
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -27,3 +29,21 @@ def local_session(app: str = "lodestar", cores: int | None = None) -> SparkSessi
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+@contextmanager
+def configured(spark: SparkSession, confs: dict[str, str]) -> Iterator[None]:
+    """The session with ``confs`` inside, as it was after."""
+    before = {k: spark.conf.get(k, None) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def interpreted(spark: SparkSession, when: bool = True):
+    """No generated code inside: a catalog's checks are very many expressions over very few rows, which cost more to compile than to run."""
+    return configured(spark, {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"} if when else {})

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.text import SPACE, dedupe_terms, label, let
 from lodestar.operators.keys import keep_first, mark_duplicates, nth, resolve_identity, split_reference, unique_match
 from lodestar.sources.shared import stored
+from lodestar.session import configured
 from lodestar.sources.schemas import COLUMNS, ISSUES, RULES, VALUES, Catalog
 
 ISSUE = "struct<issue_type: string, entity_key: string, action: string, details: string>"
@@ -156,8 +157,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def read_document(spark: SparkSession, path: str) -> DataFrame:
     """One row, one VARIANT column ``doc``; of repeated keys the last counts."""
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    return spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("doc"))
+    conf = {"spark.sql.variant.allowDuplicateKeys": "true"}
+    with configured(spark, conf):  # the analysed expression keeps the setting
+        doc = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("doc"))
+        doc.schema  # noqa: B018
+    return doc
 
 
 def records(doc: DataFrame, name: str, wrappers: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:

@@ -16,7 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
     Where the setting is missing, a temporary folder stands in for it on a
-    local master and the warehouse on any other.
+    local master and the warehouse on any other, unless that is a folder of
+    each machine's own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
             path = "file://" + tempfile.mkdtemp(prefix="lodestar-")
         else:
             path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lodestar"
+            if path.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 

@@ -2,14 +2,17 @@
 
 A load writes all tables of a scope into a new folder and then swaps the
 pointer by a rename. Until then readers see the old snapshot; if a load fails
-they keep seeing it. Overwriting partitions in place would not do: a partition
+they keep seeing it. A snapshot that was replaced stays until its retention
+time is over, for the readers that began with it. Overwriting partitions in place would not do: a partition
 that gets no rows would keep its old ones.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections.abc import Callable
 from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,10 +24,10 @@ TABLES = ("columns", "values", "rules", "chunks", "index")
 
 
 class Store:
-    """``root`` is any Hadoop path that driver and executors share."""
+    """``root`` is any Hadoop path that driver and executors share; replaced snapshots are kept for ``retention`` seconds."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, retention: float = 24 * 3600):
+        self.spark, self.root, self.retention = spark, root.rstrip("/"), retention
 
     def _fs(self, path: str):
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -37,7 +40,11 @@ class Store:
         fs, where = self._fs(path)
         if not fs.exists(where):
             return None
-        return self.spark.read.text(path, wholetext=True).first()[0]
+        stream = fs.open(where)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     def _write_text(self, path: str, text: str) -> None:
         fs, temporary = self._fs(f"{path}.{uuid.uuid4().hex}")
@@ -51,21 +58,29 @@ class Store:
         rename[0] = options.Options.Rename.OVERWRITE
         context.rename(temporary, where, rename)
 
+    def _pointer(self, owner: str, namespace: str) -> dict | None:
+        text = self._read_text(f"{self._scope(owner, namespace)}/current.json")
+        return None if text is None else json.loads(text)
+
     def current(self, owner: str, namespace: str) -> str | None:
         """The folder of the visible snapshot, or None."""
-        text = self._read_text(f"{self._scope(owner, namespace)}/current.json")
-        return None if text is None else f"{self._scope(owner, namespace)}/{json.loads(text)['snapshot']}"
+        pointer = self._pointer(owner, namespace)
+        return None if pointer is None else f"{self._scope(owner, namespace)}/{pointer['snapshot']}"
 
     def stage(self, owner: str, namespace: str) -> str:
         """A folder for a new snapshot that nobody sees yet."""
         return f"{self._scope(owner, namespace)}/snapshot-{uuid.uuid4().hex}"
 
     def publish(self, owner: str, namespace: str, folder: str) -> None:
-        """Make a staged snapshot the visible one and delete the one before."""
-        before = self.current(owner, namespace)
-        self._write_text(f"{self._scope(owner, namespace)}/current.json", json.dumps({"snapshot": folder.rsplit("/", 1)[1]}))
-        if before and before != folder:
-            self.discard(before)
+        """Make a staged snapshot the visible one; those replaced longer ago than the retention time are deleted."""
+        scope, name, now = self._scope(owner, namespace), folder.rsplit("/", 1)[1], time.time()
+        before = self._pointer(owner, namespace)
+        replaced = [] if before is None else [*before.get("replaced", []), [before["snapshot"], now]]
+        replaced = [r for r in replaced if r[0] != name]
+        kept = [r for r in replaced if now - r[1] < self.retention]
+        self._write_text(f"{scope}/current.json", json.dumps({"snapshot": name, "replaced": kept}))
+        for old, _ in replaced[: len(replaced) - len(kept)]:
+            self.discard(f"{scope}/{old}")
 
     def discard(self, folder: str) -> None:
         fs, where = self._fs(folder)
@@ -81,19 +96,16 @@ class Store:
             out.append((unquote(parts[-3].removeprefix("owner=")), unquote(parts[-2].removeprefix("namespace="))))
         return sorted(out)
 
-    def table(self, name: str, owner: str, namespace: str) -> DataFrame:
-        """A table of one scope: only its own files are listed and read."""
-        folder = self.current(owner, namespace)
-        if folder is None:
-            raise LookupError(f"nothing is stored for {owner!r}/{namespace!r}")
-        return self.spark.read.parquet(f"{folder}/{name}")
-
-    def tables(self, name: str, scopes: list[tuple[str, str]]) -> DataFrame:
-        """A table over several scopes, as one scan over their snapshots."""
+    def view(self, *scopes: tuple[str, str]) -> Callable[[str], DataFrame]:
+        """A reader of tables by name: one scan over the files of the scopes' snapshots that are visible now, whatever is loaded later."""
         folders = [f for f in (self.current(o, n) for o, n in scopes) if f]
         if not folders:
-            raise LookupError("nothing is stored for these scopes")
-        return self.spark.read.parquet(*[f"{f}/{name}" for f in folders])
+            raise LookupError(f"nothing is stored for {', '.join(f'{o!r}/{n!r}' for o, n in scopes)}")
+        return lambda name: self.spark.read.parquet(*[f"{f}/{name}" for f in folders])
+
+    def table(self, name: str, owner: str, namespace: str) -> DataFrame:
+        """A table of one scope: only its own files are listed and read."""
+        return self.view((owner, namespace))(name)
 
     def count(self, name: str, owner: str, namespace: str) -> int:
         mine = (F.col(SCOPE[0]) == owner) & (F.col(SCOPE[1]) == namespace)

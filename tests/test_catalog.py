@@ -18,7 +18,7 @@ def kinds(issues):
 
 @pytest.fixture(autouse=True)
 def interpreted(spark):
-    from lodestar.plans.load import interpreted
+    from lodestar.session import interpreted
 
     with interpreted(spark):
         yield

@@ -85,6 +85,23 @@ def test_a_new_load_replaces_all_tables(spark, store, tmp_path):
     assert store.count("rules", "me", "tmp") == 0 and store.count("values", "me", "tmp") == 0
 
 
+def test_readers_keep_the_snapshot_they_began_with(spark, tmp_path):
+    def put(kept, rows):
+        folder = kept.stage("a", "b")
+        spark.range(rows).write.parquet(f"{folder}/columns")
+        kept.publish("a", "b", folder)
+        return folder
+
+    kept = Store(spark, str(tmp_path / "s"), retention=3600)
+    put(kept, 3)
+    reading = kept.view(("a", "b"))
+    before = reading("columns")
+    put(kept, 5)
+    assert before.count() == reading("columns").count() == 3 and kept.table("columns", "a", "b").count() == 5
+    last = put(Store(spark, str(tmp_path / "s"), retention=0), 7)
+    assert [p.name for p in (tmp_path / "s" / "owner=a" / "namespace=b").glob("snapshot-*")] == [last.rsplit("/", 1)[1]]
+
+
 def test_constraints(store):
     tables = {n: store.table(n, "me", "shop") for n in ("columns", "values", "rules", "chunks")}
     check(tables, 24)
