@@ -91,13 +91,14 @@ def description_keywords(text: Column, limit: int = 8) -> Column:
 
 
 def exact_text(*parts: Column) -> Column:
-    """Distinct tokens of all parts (strings), in order, as one string. Array parts: see :func:`array_tokens`."""
-    return F.array_join(F.array_distinct(F.flatten(F.array(*parts))), " ")
-
-
-def array_tokens(items: Column) -> Column:
-    """Tokens of each element of an array of strings, in order."""
-    return F.flatten(F.transform(F.coalesce(items, F.array().cast("array<string>")), tokens))
+    """Distinct tokens of all parts, in order, as one string; a part is an array of strings, null like an empty one.
+
+    All parts go through one lambda: the rewrites are a large expression, and
+    a copy for each part would cost more to analyse than the rows to compute.
+    """
+    none = F.array().cast("array<string>")
+    every = F.concat(*[F.coalesce(p, none) for p in parts]) if len(parts) > 1 else F.coalesce(parts[0], none)
+    return F.array_join(F.array_distinct(F.flatten(F.transform(every, tokens))), " ")
 
 
 def label(table: Column, column: Column) -> Column:

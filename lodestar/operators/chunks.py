@@ -68,7 +68,7 @@ def _chunk(kind: str, key: Column, exact: Column, semantic: Column, body: Column
 def column_chunks(columns: DataFrame) -> DataFrame:
     """A chunk for each column (with its policy)."""
     c = {n: F.col(n) for n in ("resource_owner", "resource_namespace", "table_name", "column_name", "raw_column_name", "description", "data_type", "value_cardinality", "mandatory_description_in_prompt")}
-    exact = T.exact_text(T.tokens(c["table_name"]), T.tokens(c["column_name"]), T.array_tokens(F.col("aliases")), T.array_tokens(T.description_keywords(c["description"])))
+    exact = T.exact_text(F.array(c["table_name"], c["column_name"]), F.col("aliases"), T.description_keywords(c["description"]))
     body = payload(**c, aliases=T.dedupe_terms(F.col("aliases")))
     key = F.concat(F.lit(f"{COLUMN}::"), T.label(c["table_name"], c["column_name"]))
     return columns.select(*_chunk(COLUMN, key, exact, T.compact_sentence(c["description"]), body, c["table_name"], c["column_name"], order=(0, F.col("pos"), F.lit(0))))
@@ -80,10 +80,7 @@ def value_chunks(values: DataFrame, columns: DataFrame, policy: DataFrame) -> Da
     rows = values.join(known, [*SCOPE, *REF])
     c = {n: F.col(n) for n in ("resource_owner", "resource_namespace", "table_name", "raw_column_name", "raw_value", "value_gloss")}
     column = F.col("column_name")
-    exact = T.exact_text(
-        T.tokens(c["table_name"]), T.tokens(column), T.tokens(c["raw_value"]), T.array_tokens(F.col("synonyms")), T.array_tokens(F.col("business_tags")),
-        T.array_tokens(T.description_keywords(c["value_gloss"], 6)),
-    )
+    exact = T.exact_text(F.array(c["table_name"], column, c["raw_value"]), F.col("synonyms"), F.col("business_tags"), T.description_keywords(c["value_gloss"], 6))
     semantic = F.concat(F.lit("For "), c["table_name"], F.lit("."), column, F.lit(", "), c["raw_value"], F.lit(" means "), T.compact_sentence(c["value_gloss"]))
     body = payload(**c, parent_column=column, synonyms=T.dedupe_terms(F.col("synonyms")), business_tags=T.dedupe_terms(F.col("business_tags")))
     key = F.concat(F.lit(f"{VALUE}::"), T.label(c["table_name"], column), F.lit("::"), c["raw_value"])
@@ -92,7 +89,7 @@ def value_chunks(values: DataFrame, columns: DataFrame, policy: DataFrame) -> Da
 
 def _rule_exact() -> Column:
     labels = F.transform("candidate_columns", lambda r: T.label(r["table_name"], r["column_name"]))
-    return T.exact_text(T.tokens(F.col("rule_id")), T.array_tokens(F.col("trigger_terms")), T.array_tokens(labels))
+    return T.exact_text(F.array("rule_id"), F.col("trigger_terms"), labels)
 
 
 def rule_chunks(rules: DataFrame) -> DataFrame:

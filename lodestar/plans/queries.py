@@ -112,7 +112,7 @@ def description_keywords(spark, sf):
 
 
 def build_text_exact(spark, sf):
-    parts = T.exact_text(T.tokens(F.col("p_brand")), T.tokens(F.col("p_type")), T.tokens(F.col("p_name")))
+    parts = T.exact_text(F.array("p_brand", "p_type", "p_name"))
     return _t(spark, sf, "part").select("p_partkey", parts.alias("text_exact"))
 
 

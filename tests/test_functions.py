@@ -68,7 +68,7 @@ def test_description_keywords(spark):
 
 def test_exact_text(spark):
     row = spark.createDataFrame([("t_x", ["a b", "a"], None)], "a string, b array<string>, c array<string>")
-    got = row.select(T.exact_text(T.tokens(F.col("a")), T.array_tokens(F.col("b")), T.array_tokens(F.col("c"))).alias("x")).first().x
+    got = row.select(T.exact_text(F.array("a"), F.col("b"), F.col("c")).alias("x")).first().x
     assert got == "t_x a b"
 
 
