@@ -74,10 +74,15 @@ def column_chunks(columns: DataFrame) -> DataFrame:
     return columns.select(*_chunk(COLUMN, key, exact, T.compact_sentence(c["description"]), body, c["table_name"], c["column_name"], order=(0, F.col("pos"), F.lit(0))))
 
 
+def _indexed(values: DataFrame, columns: DataFrame, policy: DataFrame) -> DataFrame:
+    """Values of known columns whose values are indexed, with raw_column_name and first_pos of the column."""
+    known = columns.select(*SCOPE, *REF, "raw_column_name").join(policy.where("indexed").select(*SCOPE, *REF, "first_pos"), [*SCOPE, *REF])
+    return values.join(known, [*SCOPE, *REF])
+
+
 def value_chunks(values: DataFrame, columns: DataFrame, policy: DataFrame) -> DataFrame:
     """A chunk for each value of a known column whose values are indexed."""
-    known = columns.select(*SCOPE, *REF, "raw_column_name").join(policy.where("indexed").select(*SCOPE, *REF, "first_pos"), [*SCOPE, *REF])
-    rows = values.join(known, [*SCOPE, *REF])
+    rows = _indexed(values, columns, policy)
     c = {n: F.col(n) for n in ("resource_owner", "resource_namespace", "table_name", "raw_column_name", "raw_value", "value_gloss")}
     column = F.col("column_name")
     exact = T.exact_text(F.array(c["table_name"], column, c["raw_value"]), F.col("synonyms"), F.col("business_tags"), T.description_keywords(c["value_gloss"], 6))
@@ -106,10 +111,30 @@ def rule_catalog(rules: DataFrame) -> DataFrame:
     return rules.select(*SCOPE, "rule_id", _rule_exact().alias("text_exact"), T.compact_sentence(F.col("description")).alias("text_semantic"), "candidate_columns", "intent", "priority", body.alias("payload"))
 
 
-def number(chunks: DataFrame) -> DataFrame:
-    """Chunks with ids from 1 in insertion order: columns, values by group, rules; for each scope."""
-    order = Window.partitionBy(*SCOPE).orderBy("section", "group_pos", "item_pos")
-    return chunks.withColumn("id", F.row_number().over(order).cast("long")).drop("section", "group_pos", "item_pos")
+#: Source places in a block of ids: of records, and of groups of values (whose place is in the upper 32 bits).
+RECORDS, GROUPS = 1 << 16, 1 << 12
+
+
+def _block(group_pos: Column) -> Column:
+    """The block of a place in the source; blocks are in the order of places."""
+    high = F.shiftright(group_pos, 32)
+    return F.when(high == 0, F.floor(group_pos / RECORDS)).otherwise(F.lit(1 << 32) + F.floor(high / GROUPS))
+
+
+def number(chunks: DataFrame, places: DataFrame) -> DataFrame:
+    """Chunks with ids from 1 in insertion order: columns, values by group, rules; for each scope.
+
+    ``places`` has the scope, section and group_pos of the same chunks without
+    their texts. Blocks of places are counted first, so a scope of any size
+    is numbered by many tasks, each with the chunks before its block.
+    """
+    key = [*SCOPE, "section", "block"]
+    sizes = places.groupBy(*SCOPE, "section", _block(F.col("group_pos")).alias("block")).agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(*SCOPE).orderBy("section", "block").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select(*key, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*key).orderBy("group_pos", "item_pos"))
+    placed = chunks.withColumn("block", _block(F.col("group_pos"))).join(first, key)
+    return placed.withColumn("id", (F.col("before") + inside).cast("long")).drop("section", "group_pos", "item_pos", "block", "before")
 
 
 def project(columns: DataFrame, values: DataFrame, rules: DataFrame, limit: int, embed=None) -> tuple[DataFrame, DataFrame]:
@@ -117,7 +142,11 @@ def project(columns: DataFrame, values: DataFrame, rules: DataFrame, limit: int,
     policy = cardinality(values, limit)
     with_flags = with_policy(columns, policy)
     every = column_chunks(with_flags).unionByName(value_chunks(values, columns, policy)).unionByName(rule_chunks(rules))
-    return number(every).withColumn("embedding", (embed or HashEmbedder())(F.col("text_semantic"))), with_flags
+    places = [
+        rows.select(*SCOPE, F.lit(section).alias("section"), F.col(pos).cast("long").alias("group_pos"))
+        for section, (rows, pos) in enumerate(((columns, "pos"), (_indexed(values, columns, policy), "first_pos"), (rules, "pos")))
+    ]
+    return number(every, places[0].unionByName(places[1]).unionByName(places[2])).withColumn("embedding", (embed or HashEmbedder())(F.col("text_semantic"))), with_flags
 
 
 def indexing_summary(values: DataFrame, columns: DataFrame, limit: int) -> DataFrame:

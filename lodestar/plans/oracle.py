@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestar.functions.vocabulary import DESCRIPTION_STOPWORDS, EMBEDDING_FAMILIES, LITERAL_REWRITES, NOISE_WORDS, PHRASE_REWRITES, SEARCH_FAMILIES
+from lodestar.sources.schemas import FATAL
 from lodestar.plans.queries import ASKED, CATALOG, LIMIT, PAYLOADS, RULE_RECORDS, RULES, TOP_K, VALUE_GROUPS, WEIGHTS
 from lodestar.functions.stemming import stem
 
@@ -106,6 +107,16 @@ fused AS (SELECT coalesce(lex.q, sem.q) AS q, coalesce(lex.id, sem.id) AS id,
   coalesce(CAST(1 AS DOUBLE) / (60 + lex_pos), 0) + coalesce(CAST(1 AS DOUBLE) / (60 + sem_pos), 0) AS score, lex_rank, semantic_distance
   FROM lex FULL OUTER JOIN sem ON lex.q = sem.q AND lex.id = sem.id)"""
 
+#: Fused rows of the questions and of blank ones; documents without a vector come last among those of their source.
+_BLANK = f"""
+nearr AS (SELECT corpus.q, corpus.id, 1 - list_inner_product(v, qv) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(qv, qv))) AS semantic_distance
+  FROM corpus JOIN question ON corpus.q = question.q LEFT JOIN vec ON corpus.id = vec.id),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY semantic_distance NULLS LAST, id) AS sem_pos FROM nearr) WHERE sem_pos <= {POOL}),
+every AS (SELECT coalesce(lex.q, near.q) AS query_id, coalesce(lex.id, near.id) AS id,
+  coalesce(CAST(1 AS DOUBLE) / (60 + lex_pos), 0) + coalesce(CAST(1 AS DOUBLE) / (60 + sem_pos), 0) AS score, lex_rank, semantic_distance
+  FROM lex FULL OUTER JOIN near ON lex.q = near.q AND lex.id = near.id
+  UNION ALL SELECT q || '?', id, CAST(1 AS DOUBLE) / (60 + sem_pos), CAST(NULL AS DOUBLE), semantic_distance FROM near)"""
+
 #: Words of each asked stem: the stem with the endings that the texts use, where the stemmer takes them off.
 _FORMS = {
     x: tuple(w for w in (x + e for e in ("", "e", "s", "es", "ed", "ing", "ly", "lyed", "lying")) if stem(w) == x)
@@ -241,10 +252,12 @@ a AS (SELECT g.*, m >= 11 AND coalesce(pos > holder, false) AS again FROM g LEFT
 
 def _issue_queries() -> dict[str, str]:
     filled = f"{_FILLED.format('x.entity')} AS entity_key, action, {_FILLED.format('x.details')} AS details"
+    values = f"""WITH {_GROUPS}, found AS (SELECT issue_type, {filled} FROM g JOIN {_issues(_VALUE_ISSUES)} ON g.m = x.m
+UNION ALL SELECT 'duplicate_value_key', t || '::' || c || '::' || raw, 'skipped_duplicate_value', '{{}}' FROM v WHERE nth > 1) {_ISSUE_COUNTS}"""
     return {
+        "fatal_issues": f"SELECT * FROM ({values}) WHERE issue_type IN {_words(sorted(FATAL))}",
         "issues_payloads": f"WITH found AS (SELECT issue_type, entity AS entity_key, action, details FROM customer JOIN {_issues(_PAYLOAD_ISSUES)} ON c_custkey % {len(PAYLOADS)} = x.m) {_ISSUE_COUNTS}",
-        "issues_values": f"""WITH {_GROUPS}, found AS (SELECT issue_type, {filled} FROM g JOIN {_issues(_VALUE_ISSUES)} ON g.m = x.m
-UNION ALL SELECT 'duplicate_value_key', t || '::' || c || '::' || raw, 'skipped_duplicate_value', '{{}}' FROM v WHERE nth > 1) {_ISSUE_COUNTS}""",
+        "issues_values": values,
         "parsed_values": f"WITH {_GROUPS} SELECT t AS table_name, c AS column_name, raw AS raw_value, gloss AS value_gloss, '' AS synonyms, tags FROM v WHERE nth = 1",
         "issues_rules": f"""WITH {_RECORDS}, found AS (SELECT issue_type, {filled} FROM a JOIN {_issues(_RULE_ISSUES)} ON a.m = x.m WHERE NOT again
 UNION ALL SELECT 'duplicate_rule_id', 'same' || s, 'skipped_duplicate_rule', '{{}}' FROM a WHERE again) {_ISSUE_COUNTS}""",
@@ -305,6 +318,10 @@ SELECT q AS query_id, hit_pos, id, round(score, 9) AS score, round(lex_rank, 6)
         "lex_topn": f"WITH {_SEARCH} SELECT q AS query_id, id, round(lex_rank, 6) AS lex_rank, lex_pos FROM lex",
         "sem_topn": f"WITH {_SEARCH} SELECT q AS query_id, id, round(semantic_distance, 6) AS semantic_distance, sem_pos FROM sem",
         "rrf_full_outer": f"WITH {_SEARCH} SELECT q AS query_id, id, round(score, 9) AS score, round(lex_rank, 6) AS lex_rank, round(semantic_distance, 6) AS semantic_distance FROM fused",
+        "hybrid_search_hits": f"""WITH {_SEARCH}, {_BLANK}, best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lex_rank DESC NULLS LAST, semantic_distance ASC NULLS LAST, id) AS hit_pos FROM every)
+SELECT query_id, hit_pos, id, source AS resource_owner, 'all' AS resource_namespace, 'doc::' || id AS chunk_key, 'rule' AS chunk_type, {_NULL} AS table_name, {_NULL} AS column_name, CAST(id AS VARCHAR) AS rule_id,
+{_NULL} AS raw_value, round(score, 9) AS score, round(lex_rank, 6) AS lex_rank, round(semantic_distance, 6) AS semantic_distance, lang AS payload, text AS text_exact, '' AS text_semantic
+FROM best JOIN documents ON doc_id = id WHERE hit_pos <= {TOP_K}""",
         "fts_rank_phrase": f"WITH {_PHRASES} SELECT q AS query_id, id, round(CAST(CAST(sum(r) AS FLOAT) AS DOUBLE), 5) AS lex_rank FROM part GROUP BY q, id",
         "namespace_replace": f"""WITH {_CAT} SELECT * FROM (SELECT 'column_definition' AS chunk_type, count(*) AS n FROM cols UNION ALL SELECT 'rule', {len(RULES)}
 UNION ALL SELECT 'value_definition', CAST(sum(n) AS BIGINT) FROM card WHERE n <= {LIMIT}) WHERE n > 0""",

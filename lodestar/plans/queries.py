@@ -208,6 +208,21 @@ def hybrid_rrf_topk(spark, sf):
     )
 
 
+def hybrid_search_hits(spark, sf):
+    """All columns of the hits of each source's question, and of a blank question, which vectors alone answer."""
+    vectors = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    none = F.lit(None).cast("string")
+    chunks = _corpus(spark, sf).join(vectors, "id", "left").select(
+        "id", *S.SCOPE, F.concat(F.lit("doc::"), F.col("id").cast("string")).alias("chunk_key"), F.lit("rule").alias("chunk_type"), none.alias("table_name"), none.alias("column_name"),
+        F.col("id").cast("string").alias("rule_id"), none.alias("raw_value"), F.struct("lang").alias("payload"), F.col("text").alias("text_exact"), F.lit("").alias("text_semantic"), "embedding",
+    )
+    asked = _questions(spark, sf)
+    blank = asked.withColumn("query_id", F.concat("query_id", F.lit("?"))).withColumn("lexical_query", F.lit("  "))
+    hits = S.hybrid_search(chunks, lexemes(chunks, [*S.SCOPE, "id"]), asked.unionByName(blank), TOP_K)
+    rounded = {"score": F.round("score", 9), "lex_rank": F.round("lex_rank", 6), "semantic_distance": F.round("semantic_distance", 6)}
+    return hits.withColumns(rounded | {"hit_pos": F.col("hit_pos").cast("long"), "payload": F.col("payload.lang")})
+
+
 def fts_rank_phrase(spark, sf):
     """Phrases, AND and negation with stems of the texts (B part), and a word of the language codes (A part)."""
     docs = _corpus(spark, sf).select("resource_owner", "resource_namespace", "id", F.col("lang").alias("text_exact"), F.col("text").alias("text_semantic"))
@@ -409,6 +424,13 @@ def issues_values(spark, sf):
     return _counted(_parsed_values(spark, sf)[1])
 
 
+def fatal_issues(spark, sf):
+    """Issues of value groups that keep a catalog from being loaded."""
+    from lodestar.plans.load import fatal
+
+    return _counted(fatal(_parsed_values(spark, sf)[1]))
+
+
 def parsed_values(spark, sf):
     """Values that are kept of groups with drift: the first of each key."""
     found = _parsed_values(spark, sf)[0]
@@ -572,11 +594,11 @@ def namespace_replace(spark, sf):
 
 
 _ALL: tuple[Query, ...] = (
-    hybrid_rrf_topk, lex_topn, sem_topn, rrf_full_outer, fts_rank_phrase, scope_filter_count, prepare_rewrites, tokenize_docs, alias_expand, dedupe_terms, compact_sentence,
+    hybrid_rrf_topk, lex_topn, sem_topn, rrf_full_outer, hybrid_search_hits, fts_rank_phrase, scope_filter_count, prepare_rewrites, tokenize_docs, alias_expand, dedupe_terms, compact_sentence,
     description_keywords, build_text_exact, text_metrics, estimate_tokens, collection_summary, count_by_key, retrieval_inputs_batch, hash_embedding_tokens, embed_text_docs,
     column_definition_chunks, value_definition_chunks, rule_chunks, chunk_union, rule_catalog, value_cardinality, mandatory_columns, value_indexing_summary, first_wins_dedup,
     rule_dedup_stateful, infer_table_name, candidate_ref_parse, resolve_column_identity, unknown_refs_anti, known_refs_semi, key_violations, foreign_key_orphans, issues_histogram,
-    issues_payloads, issues_values, parsed_values, issues_rules, parsed_rules,
+    issues_payloads, issues_values, fatal_issues, parsed_values, issues_rules, parsed_rules,
     keyword_coverage, rollup_scores, rule_bonus, matched_values_top4, matched_rules_top4, supporting_top6, candidate_top5, mandatory_injection, prompt_projection, retrieval_summary,
     namespace_replace,
 )

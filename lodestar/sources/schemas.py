@@ -33,8 +33,15 @@ class Catalog:
         return self.issues.orderBy("phase", "record_pos", "stage", "item_pos", "seq")
 
 
-#: Issues that keep a catalog from being loaded.
-FATAL = frozenset(
-    "invalid_columns_payload invalid_value_groups_payload invalid_rules_payload missing_column_table_name invalid_identifier_separator "
-    "duplicate_column_identity missing_value_group_table_name duplicate_value_key duplicate_rule_id".split()
-)
+#: Issues that keep a catalog from being loaded. Fixed values.
+FATAL = frozenset({
+    "invalid_columns_payload",
+    "invalid_value_groups_payload",
+    "invalid_rules_payload",
+    "missing_column_table_name",
+    "invalid_identifier_separator",
+    "duplicate_column_identity",
+    "missing_value_group_table_name",
+    "duplicate_value_key",
+    "duplicate_rule_id",
+})
