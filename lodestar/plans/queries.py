@@ -193,6 +193,13 @@ def sem_topn(spark, sf):
     return _semantic(spark, sf).select("query_id", "id", F.round("semantic_distance", 6).alias("semantic_distance"), F.col("sem_pos").cast("long").alias("sem_pos"))
 
 
+def semantic_approximate(spark, sf):
+    """The semantic branch by hashing; a test holds it against :func:`sem_topn`."""
+    vectors = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    found = S.approximate_branch(_corpus(spark, sf).join(vectors, "id"), _questions(spark, sf), TOP_K)
+    return found.select("query_id", "id", F.round("semantic_distance", 6).alias("semantic_distance"), F.col("sem_pos").cast("long").alias("sem_pos"))
+
+
 def rrf_full_outer(spark, sf):
     fused = S.fuse(_lexical(spark, sf).select("query_id", "id", "lex_rank", "lex_pos"), _semantic(spark, sf).select("query_id", "id", "semantic_distance", "sem_pos"))
     return fused.select("query_id", "id", F.round("score", 9).alias("score"), F.round("lex_rank", 6).alias("lex_rank"), F.round("semantic_distance", 6).alias("semantic_distance"))
@@ -594,7 +601,7 @@ def namespace_replace(spark, sf):
 
 
 _ALL: tuple[Query, ...] = (
-    hybrid_rrf_topk, lex_topn, sem_topn, rrf_full_outer, hybrid_search_hits, fts_rank_phrase, scope_filter_count, prepare_rewrites, tokenize_docs, alias_expand, dedupe_terms, compact_sentence,
+    hybrid_rrf_topk, lex_topn, sem_topn, semantic_approximate, rrf_full_outer, hybrid_search_hits, fts_rank_phrase, scope_filter_count, prepare_rewrites, tokenize_docs, alias_expand, dedupe_terms, compact_sentence,
     description_keywords, build_text_exact, text_metrics, estimate_tokens, collection_summary, count_by_key, retrieval_inputs_batch, hash_embedding_tokens, embed_text_docs,
     column_definition_chunks, value_definition_chunks, rule_chunks, chunk_union, rule_catalog, value_cardinality, mandatory_columns, value_indexing_summary, first_wins_dedup,
     rule_dedup_stateful, infer_table_name, candidate_ref_parse, resolve_column_identity, unknown_refs_anti, known_refs_semi, key_violations, foreign_key_orphans, issues_histogram,

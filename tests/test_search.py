@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar.operators import chunks as C
 from lodestar.operators import search as S
+from lodestar.plans import queries as Q
 from lodestar.operators.fulltext import lexemes, match, parse_query, parsed_query
 
 
@@ -82,11 +84,20 @@ def test_window_limit_is_pushed_below_the_exchange(spark):
     assert plan.count("WindowGroupLimit") == 2
 
 
-def test_hash_neighbours_find_the_same_first(spark):
-    vectors = [(i, [float((i * 7 + k * 3) % 11 - 5) for k in range(8)]) for i in range(60)]
-    unit = [(i, [x / sum(y * y for y in v) ** 0.5 for x in v]) for i, v in vectors]
-    chunks = spark.createDataFrame([("o", "n", i, v) for i, v in unit], "resource_owner string, resource_namespace string, id long, embedding array<float>")
-    asked = spark.createDataFrame([(1, "o", "n", unit[5][1])], "query_id long, resource_owner string, resource_namespace string, embedding array<float>")
-    exact = {r.id for r in S.semantic_branch(chunks, asked, 1).where("semantic_distance < 0.3").collect()}
-    near = {r.id for r in S.approximate_branch(chunks, asked, 1).collect()}
-    assert 5 in near and near <= {i for i, _ in unit} and len(near & exact) >= 0.5 * len(exact)
+def test_hash_search_finds_most_of_the_nearest(spark):
+    sf = "/root/testdata/sf0.001"
+    exact = {(r.query_id, r.id) for r in Q.sem_topn(spark, sf).where("sem_pos <= 10").collect()}
+    found = {(r.query_id, r.id) for r in Q.semantic_approximate(spark, sf).where("sem_pos <= 10").collect()}
+    assert len(exact) > 10 and len(found & exact) >= 0.9 * len(exact)
+
+
+def test_ids_of_chunks_follow_the_source_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(C, "RECORDS", 3)
+    monkeypatch.setattr(C, "GROUPS", 2)
+    places = [(s, g, i) for s, gs in ((0, range(8)), (1, [g << 32 for g in range(5)]), (2, range(4))) for g in gs for i in (range(3) if s == 1 else [0])]
+    rows = [("o", n, s, g, i) for n in ("a", "b") for s, g, i in places[: None if n == "a" else 9]]
+    chunks = spark.createDataFrame(rows, "resource_owner string, resource_namespace string, section int, group_pos long, item_pos long").withColumn("at", F.struct("section", "group_pos", "item_pos"))
+    found = C.number(chunks, chunks.select(*S.SCOPE, "section", "group_pos")).collect()
+    for n, of in (("a", places), ("b", places[:9])):
+        assert [tuple(r["at"]) for r in sorted((r for r in found if r.resource_namespace == n), key=lambda r: r.id)] == of
+        assert sorted(r.id for r in found if r.resource_namespace == n) == list(range(1, len(of) + 1))
