@@ -71,5 +71,71 @@ SELECT doc_id, len(l) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN places USING (r) LEFT JOIN items USING (r)"""
 
 
+#: The table of the cyclic redundancy check, from its rule.
+_CRC_TABLE = """crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i,
+  list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i)))"""
+
+
+def _crc(text: str) -> str:
+    """SQL for the unsigned crc32 of ``text``, beside a row of ``crc``."""
+    octets = f"list_transform(range(strlen({text})), lambda j: CAST('0x' || substr(hex(encode({text})), CAST(2 * j + 1 AS INTEGER), 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda a, b: xor(a >> 8, crc.t[xor(a & 255, b) + 1])), 4294967295)"
+
+
+RESAMPLE = f"""WITH {_CRC_TABLE},
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS l FROM documents),
+w AS MATERIALIZED (SELECT r, unnest(l) AS word FROM d),
+b AS MATERIALIZED (SELECT unnest({_WORDS}) AS word FROM benchmark),
+hashed AS MATERIALIZED (SELECT word, {_crc("word")} % 10000 AS bucket FROM (SELECT word FROM w UNION SELECT word FROM b), crc),
+source AS (SELECT bucket, count(*) AS s FROM w JOIN hashed USING (word) GROUP BY bucket),
+target AS (SELECT bucket, count(*) AS t FROM b JOIN hashed USING (word) GROUP BY bucket),
+gain AS MATERIALIZED (SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * ((SELECT count(*) FROM w) + 10000) / (CAST(s + 1 AS DOUBLE) * ((SELECT count(*) FROM b) + 10000)))) AS BIGINT) AS g
+  FROM source LEFT JOIN target USING (bucket)),
+weighed AS (SELECT r, CAST(sum(g) AS BIGINT) AS weight FROM w JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY r),
+scored AS (SELECT r, doc_id, len(l) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN weighed USING (r)),
+drawn AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= n * 10 // 100 THEN rank END AS rank FROM scored LEFT JOIN drawn USING (r)"""
+
+
+def _merkle(lower: int = 7, upper: int = 4) -> str:
+    """Level by level, from the nodes themselves: ``lower`` levels hold 8 ** 7 leaves of a language."""
+    parts = [f"{_CRC_TABLE}"]
+    enc = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+    leaf = lambda text: "sha256(" + " || ".join(map(enc, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    parts += [
+        f"d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, {leaf('text')} AS leaf, CASE WHEN {_crc('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN {leaf(f'translate(text, {chr(39)}{UPPER}{chr(39)}, {chr(39)}{LOWER}{chr(39)})')} ELSE {leaf('text')} END AS claimed FROM documents, crc)",
+        "t AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS tree FROM d)",
+        "p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM t)",
+        "l0 AS MATERIALIZED (SELECT tree, pos, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM p)",
+        "f0 AS MATERIALIZED (SELECT r, tree, pos, '' AS proof, claimed AS h FROM p)",
+    ]
+
+    def climb(k: int) -> None:
+        above = f"SELECT tree, pos // 8 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM l{k} WHERE n > 1 GROUP BY tree, pos // 8 UNION ALL SELECT tree, pos, h FROM l{k} WHERE n = 1"
+        parts.append(f"l{k + 1} AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM ({above}))")
+        same = f"f{k} f JOIN l{k} l ON f.tree = l.tree AND f.pos // 8 = l.pos // 8"
+        folded = (
+            "SELECT r, f.tree, f.pos // 8 AS pos, f.proof || coalesce(string_agg(l.h, '' ORDER BY l.pos) FILTER (l.pos <> f.pos), '') AS proof, sha256(string_agg(CASE WHEN l.pos = f.pos THEN f.h ELSE l.h END, '' ORDER BY l.pos)) AS h "
+            f"FROM {same} WHERE l.n > 1 GROUP BY r, f.tree, f.pos, f.proof, f.h UNION ALL SELECT r, f.tree, f.pos, f.proof, f.h FROM {same} WHERE l.n = 1"
+        )
+        parts.append(f"f{k + 1} AS MATERIALIZED ({folded})")
+
+    for k in range(lower):
+        climb(k)
+    parts.append(f"subroots AS MATERIALIZED (SELECT tree AS lang_no, h AS subroot FROM l{lower})")
+    first = lower + 1  # the subroots are the leaves of one more tree
+    parts.append(f"l{first} AS MATERIALIZED (SELECT 0 AS tree, tree - 1 AS pos, h, count(*) OVER () AS n FROM l{lower})")
+    parts.append(f"f{first} AS MATERIALIZED (SELECT r, 0 AS tree, tree - 1 AS pos, proof, h FROM f{lower})")
+    for k in range(first, first + upper):
+        climb(k)
+    last = first + upper
+    select = f"SELECT doc_id, leaf, subroot, l{last}.h AS root, sha256(proof) AS proof_sha256, f{last}.h AS folded_root, f{last}.h = l{last}.h AS verified FROM p JOIN f{last} USING (r) JOIN subroots ON p.tree = lang_no, l{last}"
+    return "WITH " + ",\n".join(parts) + "\n" + select
+
+
+MERKLE = _merkle()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": LICENSES, "op6_perspectives": PERSPECTIVES, "op7_warc_roundtrip": WARC, "op8_vp_tree": NEAREST, "op10_decontaminate": DECONTAMINATE}
+    return {"op1_license_scan": LICENSES, "op6_perspectives": PERSPECTIVES, "op7_warc_roundtrip": WARC, "op8_vp_tree": NEAREST, "op10_decontaminate": DECONTAMINATE, "op12_importance_resampling": RESAMPLE, "op13_merkle_manifest": MERKLE}

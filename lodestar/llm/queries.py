@@ -14,7 +14,9 @@ from lodestar.llm.common import text_or_empty
 from lodestar.llm.decontaminate import decontaminate
 from lodestar.llm.html_extract import extract_pages
 from lodestar.llm.licenses import scan_licenses
+from lodestar.llm.merkle import digest, manifest
 from lodestar.llm.packing import pack_documents
+from lodestar.llm.resampling import resample
 from lodestar.llm.sharding import histogram_shards
 from lodestar.llm.simhash import hex_fingerprint, near_duplicates
 from lodestar.llm.warc import roundtrip
@@ -81,6 +83,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("ck1", "ck2")
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    found = manifest(_table(spark, sf_dir, "documents"), tampered)
+    return found.select("doc_id", "leaf", "subroot", "root", digest(F.col("siblings")).alias("proof_sha256"), "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_license_scan,
@@ -93,6 +105,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_vp_tree,
         op9_simhash,
         op10_decontaminate,
+        op12_importance_resampling,
+        op13_merkle_manifest,
     )
     return {f.__name__: f for f in every}
 
