@@ -72,8 +72,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, column: str) -> DataFrame:
+    """Like :func:`stored`, in ``buckets`` by ``column`` and sorted by it inside: joins and groups on it need no exchange.
+
+    Spark keeps the buckets of catalog tables only, so the files in the shared
+    folder have an entry in the session's catalog as long as they live.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = f"lodestar_{path.rsplit('-', 1)[1]}"
+    df.write.bucketBy(buckets, column).sortBy(column).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    out._lodestar_path, out._lodestar_table = path, table
+    return out
+
+
 def forget(df: DataFrame) -> None:
-    """Delete a table made by :func:`stored` that no later step reads."""
+    """Delete a table made by :func:`stored` or :func:`bucketed` that no later step reads."""
+    if table := getattr(df, "_lodestar_table", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
     drop_path(df.sparkSession, df._lodestar_path)
 
 
