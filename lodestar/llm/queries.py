@@ -19,6 +19,7 @@ from lodestar.llm.packing import pack_documents
 from lodestar.llm.resampling import resample
 from lodestar.llm.sharding import histogram_shards
 from lodestar.llm.simhash import hex_fingerprint, near_duplicates
+from lodestar.llm.suffixes import without_repeats
 from lodestar.llm.warc import roundtrip
 from lodestar.sources.shared import spread
 
@@ -83,6 +84,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("ck1", "ck2")
 
 
+def op11_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_repeats(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -105,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_vp_tree,
         op9_simhash,
         op10_decontaminate,
+        op11_suffix_levels,
         op12_importance_resampling,
         op13_merkle_manifest,
     )
