@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import quality
-from lodestar.llm.common import bounded, content_key, stored, text_or_empty
+from lodestar.llm.common import bounded, content_key, fresh, stored, text_or_empty
 from lodestar.llm.decontaminate import decontaminate
 from lodestar.llm.packing import pack_documents
 from lodestar.llm.simhash import superseded
@@ -24,11 +24,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts score the share of good labels, so they stay unless
     most labels are bad; repeated rows get the same score, and null ids are
-    scored but never learnt from. A column called _quality would be replaced.
+    scored but never learnt from. Columns of any name and type stay.
     """
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.with_scores(docs, model, score_col="_quality")
-    return scored.where(quality.accepted(F.col("_quality"))).drop("_quality")
+    (score,) = fresh(docs, "quality")
+    return quality.with_scores(docs, model, score_col=score).where(quality.accepted(F.col(score))).select(docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,20 +36,26 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows are told apart by id and text, so texts without an id are dropped as
     copies like any other, and different texts that share an id all count. Of
-    rows that repeat both, the smallest stays.
+    rows that repeat both, the one whose columns, as JSON, have the smallest
+    hash stays. Columns of any name and type stay as they are.
     """
-    listed = superseded(docs).select(F.col("doc_id").alias("_id"), F.col("ck1").alias("_k1"), F.col("ck2").alias("_k2"), "once")
-    listed, keyed = stored(listed, "superseded"), _keyed(docs)
+    keyed, k1, k2 = _keyed(docs)
+    i, j1, j2, digest, row = fresh(keyed, "id", "k1", "k2", "digest", "row")
+    listed = superseded(docs.select("doc_id", "text")).select(F.col("doc_id").alias(i), F.col("ck1").alias(j1), F.col("ck2").alias(j2), "once")
+    listed = stored(listed, "superseded")
 
     def at(rows: DataFrame) -> Column:
-        return keyed["doc_id"].eqNullSafe(rows["_id"]) & (keyed["ck1"] == rows["_k1"]) & (keyed["ck2"] == rows["_k2"])
+        return keyed["doc_id"].eqNullSafe(rows[i]) & (keyed[k1] == rows[j1]) & (keyed[k2] == rows[j2])
 
     # few rows are listed: texts are moved only if they are too many to broadcast, and grouped only where rows repeat
-    others = keyed.join(bounded(listed, most=LISTED), at(listed), "left_anti")
-    repeated = listed.where("once")
+    taken, repeated = listed.drop("once"), listed.where("once").drop("once")
+    others = keyed.join(bounded(taken, most=LISTED), at(taken), "left_anti").select(docs.columns)
+    if repeated.isEmpty():
+        return others
     again = keyed.join(bounded(repeated, most=LISTED), at(repeated), "left_semi")
-    once = again.groupBy("doc_id", "ck1", "ck2").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return others.select(docs.columns).unionByName(once.select("row.*"))
+    again = again.withColumn(digest, F.xxhash64(F.to_json(F.struct(*docs.columns))))
+    once = again.groupBy("doc_id", k1, k2).agg(F.min_by(F.struct(*docs.columns), digest).alias(row))
+    return others.unionByName(once.select(f"{row}.*"))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,20 +63,24 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The decision goes by the text, whatever the id: null and repeated ids and
     repeated rows are kept or dropped with their text. Null and empty texts
-    hold no passage and stay.
+    hold no passage and stay. Columns of any name and type stay as they are.
     """
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    dirty = stored(found.where("contaminated").select("ck1", "ck2").distinct(), "dirty")  # a stored side lets a join on a hot text be split
-    return _keyed(docs).join(bounded(dirty), ["ck1", "ck2"], "left_anti").select(docs.columns)
+    found = decontaminate(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    keyed, k1, k2 = _keyed(docs)
+    dirty = found.where("contaminated").select(F.col("ck1").alias(k1), F.col("ck2").alias(k2)).distinct()
+    dirty = stored(dirty, "dirty")  # a stored side lets a join on a hot text be split
+    return keyed.join(bounded(dirty), [k1, k2], "left_anti").select(docs.columns)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("*", *content_key(text_or_empty("text")))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with the content key of its texts, and the names of its two columns, which no column of ``docs`` has."""
+    names = fresh(docs, "ck1", "ck2")
+    return docs.withColumns(dict(zip(names, content_key(text_or_empty("text"))))), *names
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document that is left, in pieces of at most 2,048 tokens with their places in sequences; null texts hold the end id alone, repeated rows are packed each."""
-    return pack_documents(docs)
+    return pack_documents(docs.select("doc_id", "text"))
 
 
 STAGES = [("quality", keep_good), ("near_duplicates", keep_one_of_each), ("decontaminate", keep_clean), ("pack", pack)]
