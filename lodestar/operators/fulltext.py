@@ -3,9 +3,8 @@
 A document has an A part (exact text: lower-cased words) and a B part
 (semantic text: English stems without stop words, which still take up
 positions) whose positions follow those of A. The index is one row for each
-lexeme and position, so matching is a join on the lexeme. A stored index is
-sorted by lexeme: the few lexemes that are asked for are a filter of its scan,
-which reads only the row groups that may hold them.
+lexeme and position, so matching is a join on the lexeme. What is stored are
+blocks of it (:mod:`lodestar.operators.postings`).
 
 A query is read in two ways, as plain words and as English stems, and the two
 are OR-ed. Words may be joined by ``or``, quoted into phrases or negated by
@@ -20,10 +19,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter, defaultdict
+from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestar.functions.stemming import stem, stem_column
 from lodestar.functions.vocabulary import ENGLISH_STOPWORDS
@@ -116,77 +119,139 @@ def _cover_rank(entries: list[tuple[int, int, float]], n_terms: int) -> float:
     return total
 
 
-def _and_rank(entries: Column, n_terms: Column) -> Column:
-    @F.pandas_udf("double")
-    def run(each: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([_cover_rank([(e["pos"], e["term"], e["w"]) for e in es], int(k)) for es, k in zip(each, n)], dtype="float64")
+#: Questions up to this number are read on the driver and joined as a local table.
+FEW = 1_000
+#: Asked lexemes up to this number are a filter of the scan of the index, and asked rows up to the other a broadcast.
+FILTERED, BROADCAST = 1_000, 100_000
 
-    return run(entries, n_terms)
 
+@dataclass
+class Asked:
+    """What a table of questions asks for, one row for each lexeme of each term.
 
-#: Asked lexemes up to this number are a filter of the scan of the index, and asked rows up to the other a broadcast.
-FILTERED, BROADCAST = 1_000, 100_000
+    ``lexemes``: query, scope, grp, term, negated, n_lexemes, kinds (different
+    lexemes of the term), needed (terms that the group must have), lexeme and
+    offset. ``names``: all lexemes, if they are few. ``plain``: words that are
+    OR-ed and nothing else.
+    """
 
+    lexemes: DataFrame
+    names: list[str] | None
+    small: bool
+    plain: bool
+    negations: bool
+
+    def filtered(self, index: DataFrame) -> DataFrame:
+        return index if self.names is None else index.where(F.col("lexeme").isin(*self.names))
+
+    def side(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if self.small else df
+
+
+def asked_of(queries: DataFrame, scope: list[str], query_id: str, text_col: str | None = None, parsed_col: str | None = None) -> Asked:
+    """Questions as text or as parsed queries. They are evaluated once: few are read on the driver, many are written down."""
+    held = queries.select(query_id, *scope, F.col(text_col or parsed_col).alias("asks"))
+    few = held.limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        rows = []
+        for r in few:
+            terms = parse_query(r.asks) if text_col else [(t.grp, t.term, t.negated, [(x.lexeme, x.offset) for x in t.lexemes]) for t in r.asks or []]
+            needed = Counter(g for g, _, negated, _ in terms if not negated)
+            rows += [(*r[:-1], g, k, n, len(ls), len({x for x, _ in ls}), needed[g], x, o) for g, k, n, ls in terms for x, o in ls]
+        schema = StructType([f for f in held.schema if f.name != "asks"])
+        for name, kind in (("grp", "integer"), ("term", "integer"), ("negated", "boolean"), ("n_lexemes", "integer"), ("kinds", "integer"), ("needed", "integer"), ("lexeme", "string"), ("offset", "integer")):
+            schema = schema.add(name, kind)
+        at = len(scope) + 1
+        names = sorted({r[at + 6] for r in rows})
+        plain = all(r[at + 3] == 1 and r[at + 5] == 1 and not r[at + 2] for r in rows)
+        lexemes = queries.sparkSession.createDataFrame(rows, schema)
+        return Asked(lexemes, names if len(names) <= FILTERED else None, len(rows) <= BROADCAST, plain, any(r[at + 2] for r in rows))
+    parsed = held.select(query_id, *scope, (parsed_query(F.col("asks")) if text_col else F.col("asks")).alias("q"))
+    needed = F.size(F.filter("q", lambda x: (x["grp"] == F.col("t.grp")) & ~x["negated"]))
+    terms = parsed.select("*", F.explode("q").alias("t")).select(query_id, *scope, "t.grp", "t.term", "t.negated", F.size("t.lexemes").alias("n_lexemes"), F.size(F.array_distinct("t.lexemes.lexeme")).alias("kinds"), needed.alias("needed"), F.explode("t.lexemes").alias("x"))
+    lexemes = stored(terms.select(query_id, *scope, "grp", "term", "negated", "n_lexemes", "kinds", "needed", "x.lexeme", "x.offset"), "asked")
+    names = [r.lexeme for r in lexemes.select("lexeme").distinct().limit(FILTERED + 1).collect()]
+    every = lexemes.agg(F.count("*").alias("n"), F.max((F.col("n_lexemes") > 1) | (F.col("needed") != 1) | F.col("negated")).alias("other"), F.max("negated").alias("negated")).first()
+    return Asked(lexemes, names if len(names) <= FILTERED else None, every.n <= BROADCAST, not every.other, bool(every.negated))
+
+
+def rank_of(entries: list[tuple[int, int, bool, int, int, int, list[int]]]) -> float | None:
+    """The rank of one document, None if it does not match.
+
+    entries: group, term, negated, number of lexemes, needed terms, offset,
+    and the differences of the codes of the positions (see
+    :mod:`lodestar.operators.postings`) at which one asked lexeme occurs. The
+    rank of OR-ed single words is the sum of the weights of the distinct
+    positions that match; a phrase counts the harmonic mean of its words'
+    weights over one plus its gaps, unless one of its words also stands for
+    itself; groups of several terms count their minimal covers, the best group
+    counts.
+    """
+    starts: dict[tuple, dict[int, tuple[int, float]]] = defaultdict(dict)
+    sizes, needs, negations = {}, {}, set()
+    for grp, term, negated, n_lexemes, needed, offset, deltas in entries:
+        sizes[grp, term], needs[grp] = n_lexemes, needed
+        if negated:
+            negations.add((grp, term))
+        for code in accumulate(deltas):
+            starts[grp, term, code // 2 - offset][offset] = (code // 2, WEIGHT_B if code % 2 else WEIGHT_A)
+    # an occurrence of a term: all its lexemes at their offsets from one start
+    found: dict[tuple[int, int], set[tuple]] = defaultdict(set)
+    for (grp, term, _), at in starts.items():
+        if len(at) == sizes[grp, term]:
+            found[grp, term].add(tuple(sorted(at.values())))
+    refused = {g for g, t in found if (g, t) in negations}
+    present = Counter(g for g, t in found if (g, t) not in negations)
+    groups = {g for g, n in present.items() if n == needs[g] and g not in refused}
+    if not groups:
+        return None
+    single, phrases, covers = set(), set(), defaultdict(set)
+    for (grp, term), places in found.items():
+        if grp not in groups or (grp, term) in negations:
+            continue
+        if needs[grp] > 1:
+            covers[grp] |= {(pos, term, w) for at in places for pos, w in at}
+        elif sizes[grp, term] > 1:
+            phrases |= places
+        else:
+            single |= {p for at in places for p in at}
+    total = sum(w for _, w in sorted(single))
+    cut = {pos for pos, _ in single}
+    for at in sorted(phrases):  # those that no single word cuts short
+        if not any(pos in cut for pos, _ in at):
+            total += len(at) / sum(1 / w for _, w in at) / (1 + at[-1][0] - at[0][0] - (len(at) - 1))
+    return total + max((_cover_rank(list(e), needs[g]) for g, e in covers.items()), default=0.0)
+
+
+def rank_matches(rows: DataFrame, query_id: str, doc: str) -> DataFrame:
+    """query, ``doc``, lex_rank of every document that matches; rows: query, ``doc`` and the fields of :func:`rank_of`'s entries."""
+    fields = ["grp", "term", "negated", "n_lexemes", "needed", "offset", "deltas"]
+
+    @F.pandas_udf("double")
+    def run(each: pd.Series) -> pd.Series:
+        return pd.Series([rank_of([tuple(e[f] for f in fields) for e in es]) for es in each], dtype="float64")
 
-def _asked_postings(index: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
-    """The join of the index and what is asked: small questions are counted and broadcast, large ones exchanged with the index."""
-    counts = asked.groupBy("lexeme").agg(F.count("*").alias("n")).limit(FILTERED + 1).collect()
-    if len(counts) <= FILTERED:
-        index = index.where(F.col("lexeme").isin(*[r.lexeme for r in counts]))
-    few = len(counts) <= FILTERED and sum(r.n for r in counts) <= BROADCAST
-    return index.join(F.broadcast(asked) if few else asked, keys)
+    entries = rows.groupBy(query_id, doc).agg(F.collect_list(F.struct(*fields)).alias("entries"))  # of one document
+    ranked = entries.select(query_id, doc, run("entries").alias("lex_rank")).where("lex_rank IS NOT NULL AND NOT isnan(lex_rank)")
+    return ranked.select(query_id, doc, F.col("lex_rank").cast("float").cast("double").alias("lex_rank"))
 
 
-def sorted_index(index: DataFrame) -> DataFrame:
-    """The index in ranges of lexemes, sorted inside; very common lexemes are spread by their documents."""
-    return index.repartitionByRange("lexeme", "id").sortWithinPartitions("lexeme", "id", "pos")
+def rank_words(rows: DataFrame, query_id: str, doc: str, a: Column, b: Column) -> DataFrame:
+    """The same for OR-ed words alone: every occurrence of an asked lexeme counts its weight. rows: one for each lexeme of a query and document."""
+    both = rows.groupBy(query_id, doc).agg(F.sum(a).alias("a"), F.sum(b).alias("b"))
+    return both.select(query_id, doc, (F.col("a") * WEIGHT_A + F.col("b") * WEIGHT_B).cast("float").cast("double").alias("lex_rank"))
 
 
-def match(index: DataFrame, queries: DataFrame, scope: list[str], query_id: str = "query_id", parsed_col: str = "tsq", doc: str = "id") -> DataFrame:
-    """query_id, ``doc``, lex_rank of every document of the query's scope that matches.
+def match(index: DataFrame, queries: DataFrame, scope: list[str], query_id: str = "query_id", parsed_col: str | None = "tsq", doc: str = "id", text_col: str | None = None) -> DataFrame:
+    """query_id, ``doc``, lex_rank of every document of the query's scope that matches, by the flat index.
 
-    ``queries``: query_id, ``scope`` columns and the parsed query. The rank of
-    OR-ed single words is the sum of the weights of the distinct positions
-    that match; a phrase counts the harmonic mean of its words' weights over
-    one plus its gaps, unless one of its words also stands for itself; groups
-    of several terms count their minimal covers.
+    ``queries``: query_id, ``scope`` columns and the query, parsed or as text.
     """
-    terms = queries.select(query_id, *scope, F.explode(parsed_col).alias("t")).select(query_id, *scope, "t.grp", "t.term", "t.negated", "t.lexemes", F.size("t.lexemes").alias("n_lexemes"))
-    asked = terms.select(query_id, *scope, "grp", "term", "negated", "n_lexemes", F.explode("lexemes").alias("x")).select(query_id, *scope, "grp", "term", "negated", "n_lexemes", "x.lexeme", "x.offset")
-    weight = F.when(F.col("weight") == "A", WEIGHT_A).otherwise(WEIGHT_B)
-    found = _asked_postings(index.withColumn("w", weight), asked, [*scope, "lexeme"])
-    # an occurrence of a term: all its lexemes at their offsets from one start
-    occurrences = found.groupBy(query_id, doc, "grp", "term", "negated", "n_lexemes", (F.col("pos") - F.col("offset")).alias("start")).agg(
-        F.count_distinct("offset").alias("got"),
-        F.array_sort(F.collect_set(F.struct("pos", "w"))).alias("at"),
-    )
-    # few rows, read by each kind of term below: written once, or the index would be walked for each of them
-    occurrences = stored(occurrences.where("got = n_lexemes"), "occurrences")
-    present = occurrences.groupBy(query_id, doc, "grp").agg(
-        F.count_distinct(F.when(~F.col("negated"), F.col("term"))).alias("positive"),
-        F.max(F.col("negated")).alias("refused"),
-    )
-    needed = terms.groupBy(query_id, "grp").agg(F.count_if(~F.col("negated")).alias("needed"))
-    groups = present.join(needed, [query_id, "grp"]).where("positive = needed AND NOT refused").select(query_id, doc, "grp", "needed")
-    live = occurrences.where("NOT negated").join(groups, [query_id, doc, "grp"])
-    # OR-ed single words: distinct positions over all groups
-    single = live.where("needed = 1 AND n_lexemes = 1").select(query_id, doc, F.explode("at").alias("p")).select(query_id, doc, "p.pos", "p.w").distinct()
-    alone = single.groupBy(query_id, doc).agg(F.count_if(F.col("w") == WEIGHT_A).alias("a"), F.count_if(F.col("w") != WEIGHT_A).alias("b"))
-    words = alone.select(query_id, doc, (F.col("a") * WEIGHT_A + F.col("b") * WEIGHT_B).alias("part"))
-    # phrases that no single word cuts short
-    phrases = live.where("needed = 1 AND n_lexemes > 1").select(query_id, doc, "start", "at").distinct()
-    harmonic = F.size("at") / F.aggregate("at", F.lit(0.0), lambda s, p: s + 1 / p["w"])
-    span = F.element_at("at", -1)["pos"] - F.element_at("at", 1)["pos"]
-    phrases = phrases.withColumn("part", harmonic / (1 + span - (F.size("at") - 1)))
-    exploded = phrases.select(query_id, doc, "at", "part", F.explode("at").alias("p")).select(query_id, doc, "at", "part", F.col("p.pos").alias("pos"))
-    marked = exploded.join(single.select(query_id, doc, "pos", F.lit(1).alias("cut")), [query_id, doc, "pos"], "left")
-    whole = marked.groupBy(query_id, doc, "at", "part").agg(F.max("cut").alias("cut")).where("cut IS NULL").groupBy(query_id, doc).agg(F.sum("part").alias("part"))
-    # groups of several terms
-    several = live.where("needed > 1").select(query_id, doc, "grp", "needed", "term", F.explode("at").alias("p"))
-    covers = several.groupBy(query_id, doc, "grp", "needed").agg(F.collect_set(F.struct("p.pos", "term", "p.w")).alias("entries"))
-    covers = covers.withColumn("part", _and_rank(F.col("entries"), F.col("needed"))).groupBy(query_id, doc).agg(F.max("part").alias("part"))
-    parts = words.unionByName(whole).unionByName(covers)
-    ranked = parts.groupBy(query_id, doc).agg(F.sum("part").alias("lex_rank"))
-    # a group that matches without a positive rank still matches
-    return groups.select(query_id, doc).distinct().join(ranked, [query_id, doc], "left").select(query_id, doc, F.coalesce("lex_rank", F.lit(0.0)).cast("float").cast("double").alias("lex_rank"))
-
+    asked = asked_of(queries, scope, query_id, text_col, None if text_col else parsed_col)
+    if asked.plain:  # a lexeme that is asked for twice counts once
+        found = asked.filtered(index).join(asked.side(asked.lexemes.select(query_id, *scope, "lexeme").distinct()), [*scope, "lexeme"])
+        first = (F.col("weight") == "A").cast("long")
+        return rank_words(found, query_id, doc, first, 1 - first)
+    found = asked.filtered(index).join(asked.side(asked.lexemes), [*scope, "lexeme"])
+    code = F.col("pos").cast("int") * 2 + (F.col("weight") == "B").cast("int")
+    return rank_matches(found.withColumn("deltas", F.array(code)), query_id, doc)

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.embedding import cosine_distance
-from lodestar.operators.fulltext import match, parsed_query
+from lodestar.operators.fulltext import match
+from lodestar.operators.postings import top_matches
 
 RRF_K = 60
 SCOPE = ["resource_owner", "resource_namespace"]
@@ -49,9 +50,14 @@ def top_hits(fused: DataFrame, top_k: int, query_id: str = "query_id", doc: str
 
 
 def lexical_branch(index: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
-    """query_id, id, lex_rank, lex_pos. Blank query texts match nothing."""
-    asked = queries.where(F.length(F.trim(F.coalesce("lexical_query", F.lit("")))) > 0).withColumn("tsq", parsed_query(F.col("lexical_query")))
-    return position(match(index, asked, SCOPE), "query_id", F.col("lex_rank").desc(), F.col("id").asc(), name="lex_pos", limit=pool_size(top_k))
+    """query_id, id, lex_rank, lex_pos. Blank query texts match nothing.
+
+    ``index``: posting blocks, of which only those are read that can hold one
+    of the best, or a flat index, which is read as a whole.
+    """
+    asked = queries.where(F.length(F.trim(F.coalesce("lexical_query", F.lit("")))) > 0)
+    found = top_matches(index, asked, SCOPE, pool_size(top_k)) if "block" in index.columns else match(index, asked, SCOPE, text_col="lexical_query")
+    return position(found, "query_id", F.col("lex_rank").desc(), F.col("id").asc(), name="lex_pos", limit=pool_size(top_k))
 
 
 #: Questions up to this number are sent to the chunks; more are exchanged with them by scope.
@@ -74,7 +80,7 @@ def hybrid_search(chunks: DataFrame, index: DataFrame, queries: DataFrame, top_k
     """Hits of each query: query_id, hit_pos and the 15 hit columns.
 
     ``chunks``: the chunk table (ids are unique in a scope); ``index``: its
-    lexemes with scope and id; ``queries``: query_id, scope, lexical_query and
+    posting blocks, or its lexemes with scope and id; ``queries``: query_id, scope, lexical_query and
     embedding.
     """
     lexical = lexical_branch(index, queries, top_k).select("query_id", "id", "lex_rank", "lex_pos")

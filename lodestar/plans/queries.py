@@ -17,9 +17,10 @@ from lodestar.operators import search as S
 from lodestar.operators.fulltext import lexemes, match, parsed_query
 from lodestar.operators.integrity import duplicates, orphans
 from lodestar.operators.keys import keep_first, mark_duplicates, resolve_identity, split_reference, unique_match
+from lodestar.operators.postings import posting_blocks, sorted_blocks
 from lodestar.plans.answer import retrieval_inputs
 from lodestar.sources.catalog_json import parse_columns, parse_rules, parse_values, records
-from lodestar.sources.shared import spread
+from lodestar.sources.shared import spread, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Words that the lexical queries ask for.
@@ -172,12 +173,30 @@ def _index(spark, sf) -> DataFrame:
     return lexemes(docs, [*S.SCOPE, "id"])
 
 
+_INDEXES: dict[tuple, DataFrame] = {}
+
+
+def _stored_index(spark, sf) -> DataFrame:
+    """The posting blocks of the documents, built once for a session and these very files."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    jvm = spark.sparkContext._jvm
+    found = []
+    for file in sorted(docs.inputFiles()):
+        where = jvm.org.apache.hadoop.fs.Path(file)
+        status = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where)
+        found.append((file, status.getLen(), status.getModificationTime()))
+    key = (spark.sparkContext.applicationId, tuple(found))
+    if key not in _INDEXES:
+        _INDEXES[key] = stored(sorted_blocks(posting_blocks(_index(spark, sf), S.SCOPE), S.SCOPE), "posting-blocks")
+    return _INDEXES[key]
+
+
 def scope_filter_count(spark, sf):
     return _t(spark, sf, "documents").groupBy(F.col("source").alias("resource_owner"), F.col("lang").alias("resource_namespace")).agg(F.count("*").alias("n"))
 
 
 def _lexical(spark, sf) -> DataFrame:
-    return S.lexical_branch(_index(spark, sf), _questions(spark, sf), TOP_K)
+    return S.lexical_branch(_stored_index(spark, sf), _questions(spark, sf), TOP_K)
 
 
 def _semantic(spark, sf) -> DataFrame:
@@ -225,7 +244,7 @@ def hybrid_search_hits(spark, sf):
     )
     asked = _questions(spark, sf)
     blank = asked.withColumn("query_id", F.concat("query_id", F.lit("?"))).withColumn("lexical_query", F.lit("  "))
-    hits = S.hybrid_search(chunks, lexemes(chunks, [*S.SCOPE, "id"]), asked.unionByName(blank), TOP_K)
+    hits = S.hybrid_search(chunks, _stored_index(spark, sf), asked.unionByName(blank), TOP_K)
     rounded = {"score": F.round("score", 9), "lex_rank": F.round("lex_rank", 6), "semantic_distance": F.round("semantic_distance", 6)}
     return hits.withColumns(rounded | {"hit_pos": F.col("hit_pos").cast("long"), "payload": F.col("payload.lang")})
 

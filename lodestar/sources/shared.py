@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _made: set[tuple[int, str]] = set()
+_owners = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,9 +38,23 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/lodestar/{name}-{uuid.uuid4().hex}"
     _made.add((id(spark.sparkContext), path))
+    if stack := getattr(_owners, "stack", None):
+        stack[-1].append(path)
     return path
 
 
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[None]:
+    """Tables that this thread stores inside are deleted at the end: a stream's batch leaves none behind."""
+    stack = _owners.stack = getattr(_owners, "stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for path in stack.pop():
+            drop_path(spark, path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared store, if it is there."""
     jvm = spark.sparkContext._jvm

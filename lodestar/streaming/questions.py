@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestar.config import Settings
 from lodestar.plans.answer import answer, prompt_json
-from lodestar.sources.shared import forget
+from lodestar.sources.shared import owned
 from lodestar.sources.store import Store
 
 
@@ -21,10 +21,8 @@ def answer_stream(store: Store, questions: DataFrame, out: str, checkpoint: str,
     def one(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        found = answer(store, batch, config)
-        prompt_json(found.prompts).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        for df in (found.queries, found.hits, found.candidates):
-            forget(df)
+        with owned(batch.sparkSession):
+            prompt_json(answer(store, batch, config).prompts).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     writer = questions.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

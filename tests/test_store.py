@@ -9,6 +9,7 @@ from lodestar.config import Settings
 from lodestar.operators.integrity import IntegrityError, check
 from lodestar.plans.answer import answer, answer_one, prompt_json, report
 from lodestar.plans.load import LoadRefused, load_namespace
+from lodestar.sources import shared
 from lodestar.sources.store import Store
 from lodestar.streaming.questions import answer_stream
 from tests.catalogs import SHOP, column, group, write
@@ -121,6 +122,8 @@ def test_stream_of_questions(spark, store, tmp_path):
     schema = "query_id long, resource_owner string, resource_namespace string, raw_query string"
     spark.createDataFrame([(7, "you", "shop", "approval")], schema).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    before = set(shared._made)
     answer_stream(store, stream, str(tmp_path / "out"), str(tmp_path / "check"), Settings(), available_now=True).awaitTermination(120)
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [r.query_id for r in rows] == [7] and "approval_state" in rows[0].prompt
+    assert set(shared._made) == before  # no batch leaves a table behind
