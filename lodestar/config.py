@@ -21,6 +21,8 @@ class Settings:
     weight_column_definition: float = 1.2
     weight_value_definition: float = 1.0
     weight_rule: float = 0.6
+    #: Cells of the vector index that a question is sent to; 0: no index, every vector of the scope is compared.
+    vector_probes: int = 0
     log_level: str = "INFO"
     log_dir: str = "logs"
 
@@ -42,6 +44,7 @@ VARIABLES = {
     "weight_column_definition": ("WEIGHT_COLUMN_DEFINITION",),
     "weight_value_definition": ("WEIGHT_VALUE_DEFINITION",),
     "weight_rule": ("WEIGHT_RULE",),
+    "vector_probes": ("VECTOR_PROBES",),
     "log_level": ("LOG_LEVEL",),
     "log_dir": ("LOG_DIR",),
 }

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.embedding import cosine_distance
 from lodestar.operators.fulltext import match
 from lodestar.operators.postings import top_matches
+from lodestar.operators.vectors import Model, approximate_nearest
 
 RRF_K = 60
 SCOPE = ["resource_owner", "resource_namespace"]
@@ -76,7 +77,7 @@ def semantic_branch(chunks: DataFrame, queries: DataFrame, top_k: int) -> DataFr
     return position(distances, "query_id", F.col("semantic_distance").asc_nulls_last(), F.col("id").asc(), name="sem_pos", limit=pool_size(top_k))
 
 
-def hybrid_search(chunks: DataFrame, index: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
+def hybrid_search(chunks: DataFrame, index: DataFrame, queries: DataFrame, top_k: int = 10, semantic: DataFrame | None = None) -> DataFrame:
     """Hits of each query: query_id, hit_pos and the 15 hit columns.
 
     ``chunks``: the chunk table (ids are unique in a scope); ``index``: its
@@ -84,32 +85,17 @@ def hybrid_search(chunks: DataFrame, index: DataFrame, queries: DataFrame, top_k
     embedding.
     """
     lexical = lexical_branch(index, queries, top_k).select("query_id", "id", "lex_rank", "lex_pos")
-    semantic = semantic_branch(chunks, queries, top_k).select("query_id", "id", "semantic_distance", "sem_pos")
+    semantic = (semantic_branch(chunks, queries, top_k) if semantic is None else semantic).select("query_id", "id", "semantic_distance", "sem_pos")
     best = top_hits(fuse(lexical, semantic), top_k).join(queries.select("query_id", *SCOPE), "query_id")
     rows = chunks.select("id", *SCOPE, "chunk_key", "chunk_type", "table_name", "column_name", "rule_id", "raw_value", "payload", "text_exact", "text_semantic")
     return best.join(rows, [*SCOPE, "id"]).select("query_id", "hit_pos", *HIT_COLUMNS)
 
 
-def approximate_branch(chunks: DataFrame, queries: DataFrame, top_k: int, bucket_length: float = 0.2, tables: int = 6, threshold: float = 2.0) -> DataFrame:
-    """The semantic branch by locality-sensitive hashing: an opt-in for scopes too large to scan.
+def approximate_branch(chunks: DataFrame, codes: DataFrame, model: Model, queries: DataFrame, top_k: int, probes: int = 32, rerank: int | None = None) -> DataFrame:
+    """The semantic branch by the vector index: an opt-in for scopes too large to scan. The exact branch stays the contract.
 
-    Vectors are of length 1, so Euclidean distance d and cosine distance c obey
-    d * d = 2 * c. A chunk is seen if it shares a bucket of any hash table
-    with the question and lies within ``threshold`` (Euclidean; 2 is all). On
-    vectors without clusters recall follows the share that is seen: at 64
-    dimensions buckets of 0.2 find 0.98 of the ten nearest and see 0.95 of the
-    chunks, buckets of 0.05 find 0.68 and see 0.61 (8 tables). The exact
-    branch stays the contract.
+    ``codes`` and ``model``: the index of the chunks' vectors
+    (:mod:`lodestar.operators.vectors`). No more than ``rerank`` chunks of a
+    question (ten for each row of the pool) have their vectors read.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=7)
-    left = chunks.select(*SCOPE, "id", "embedding", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    right = queries.select("query_id", *SCOPE, F.col("embedding").alias("asked"), array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    near = model.fit(left).approxSimilarityJoin(left, right, threshold, "d")
-    same = [F.col(f"datasetA.{c}") == F.col(f"datasetB.{c}") for c in SCOPE]
-    rows = near.where(same[0] & same[1]).select(
-        F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.id").alias("id"), cosine_distance(F.col("datasetA.embedding"), F.col("datasetB.asked")).alias("semantic_distance")
-    )
-    return position(rows, "query_id", F.col("semantic_distance").asc_nulls_last(), F.col("id").asc(), name="sem_pos", limit=pool_size(top_k))
+    return approximate_nearest(chunks, codes, queries, model, SCOPE, pool_size(top_k), probes, rerank).select("query_id", "id", "semantic_distance", "sem_pos")

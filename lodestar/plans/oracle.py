@@ -312,16 +312,19 @@ i AS (SELECT 'invalid_field_type' AS issue_type, 'ignored_field' AS action FROM
  UNION ALL SELECT 'invalid_list_field_item', 'dropped_list_item' FROM o, range(2) WHERE nth = 1 AND p_size % 3 <> 0 AND p_size % 4 = 0)
 SELECT issue_type, action, count(*) AS n FROM i GROUP BY issue_type, action"""
     covered = ", ".join(f"CASE WHEN contains(lower(text), {_lit(w)}) THEN {_lit(w)} END" for w in ("license", "the", "ation", "src", "*** ", "zzz"))
+    hits = f"""WITH {_SEARCH}, {_BLANK}, best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lex_rank DESC NULLS LAST, semantic_distance ASC NULLS LAST, id) AS hit_pos FROM every)
+SELECT query_id, hit_pos, id, source AS resource_owner, 'all' AS resource_namespace, 'doc::' || id AS chunk_key, 'rule' AS chunk_type, {_NULL} AS table_name, {_NULL} AS column_name, CAST(id AS VARCHAR) AS rule_id,
+{_NULL} AS raw_value, round(score, 9) AS score, round(lex_rank, 6) AS lex_rank, round(semantic_distance, 6) AS semantic_distance, lang AS payload, text AS text_exact, '' AS text_semantic
+FROM best JOIN documents ON doc_id = id WHERE hit_pos <= {TOP_K}"""
     return {
+        "hybrid_search_sql": hits,
         "hybrid_rrf_topk": f"""WITH {_SEARCH}, best AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, lex_rank DESC NULLS LAST, semantic_distance ASC NULLS LAST, id) AS hit_pos FROM fused)
 SELECT q AS query_id, hit_pos, id, round(score, 9) AS score, round(lex_rank, 6) AS lex_rank, round(semantic_distance, 6) AS semantic_distance, lang, n_chars FROM best JOIN documents ON doc_id = id WHERE hit_pos <= {TOP_K}""",
         "lex_topn": f"WITH {_SEARCH} SELECT q AS query_id, id, round(lex_rank, 6) AS lex_rank, lex_pos FROM lex",
+        "semantic_index_full": f"WITH {_SEARCH} SELECT q AS query_id, id, round(semantic_distance, 6) AS semantic_distance, sem_pos FROM sem",
         "sem_topn": f"WITH {_SEARCH} SELECT q AS query_id, id, round(semantic_distance, 6) AS semantic_distance, sem_pos FROM sem",
         "rrf_full_outer": f"WITH {_SEARCH} SELECT q AS query_id, id, round(score, 9) AS score, round(lex_rank, 6) AS lex_rank, round(semantic_distance, 6) AS semantic_distance FROM fused",
-        "hybrid_search_hits": f"""WITH {_SEARCH}, {_BLANK}, best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lex_rank DESC NULLS LAST, semantic_distance ASC NULLS LAST, id) AS hit_pos FROM every)
-SELECT query_id, hit_pos, id, source AS resource_owner, 'all' AS resource_namespace, 'doc::' || id AS chunk_key, 'rule' AS chunk_type, {_NULL} AS table_name, {_NULL} AS column_name, CAST(id AS VARCHAR) AS rule_id,
-{_NULL} AS raw_value, round(score, 9) AS score, round(lex_rank, 6) AS lex_rank, round(semantic_distance, 6) AS semantic_distance, lang AS payload, text AS text_exact, '' AS text_semantic
-FROM best JOIN documents ON doc_id = id WHERE hit_pos <= {TOP_K}""",
+        "hybrid_search_hits": hits,
         "fts_rank_phrase": f"WITH {_PHRASES} SELECT q AS query_id, id, round(CAST(CAST(sum(r) AS FLOAT) AS DOUBLE), 5) AS lex_rank FROM part GROUP BY q, id",
         "namespace_replace": f"""WITH {_CAT} SELECT * FROM (SELECT 'column_definition' AS chunk_type, count(*) AS n FROM cols UNION ALL SELECT 'rule', {len(RULES)}
 UNION ALL SELECT 'value_definition', CAST(sum(n) AS BIGINT) FROM card WHERE n <= {LIMIT}) WHERE n > 0""",

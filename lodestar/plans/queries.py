@@ -14,11 +14,13 @@ from lodestar.functions import text as T
 from lodestar.operators import chunks as C
 from lodestar.operators import rollup as R
 from lodestar.operators import search as S
+from lodestar.operators import vectors as V
 from lodestar.operators.fulltext import lexemes, match, parsed_query
 from lodestar.operators.integrity import duplicates, orphans
 from lodestar.operators.keys import keep_first, mark_duplicates, resolve_identity, split_reference, unique_match
 from lodestar.operators.postings import posting_blocks, sorted_blocks
 from lodestar.plans.answer import retrieval_inputs
+from lodestar.plans.sql import register
 from lodestar.sources.catalog_json import parse_columns, parse_rules, parse_values, records
 from lodestar.sources.shared import spread, stored
 
@@ -212,13 +214,28 @@ def sem_topn(spark, sf):
     return _semantic(spark, sf).select("query_id", "id", F.round("semantic_distance", 6).alias("semantic_distance"), F.col("sem_pos").cast("long").alias("sem_pos"))
 
 
-def semantic_approximate(spark, sf):
-    """The semantic branch by hashing; a test holds it against :func:`sem_topn`."""
+def _vector_index(spark, sf) -> tuple[DataFrame, DataFrame, V.Model]:
     vectors = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    found = S.approximate_branch(_corpus(spark, sf).join(vectors, "id"), _questions(spark, sf), TOP_K)
+    chunks = stored(_corpus(spark, sf).join(vectors, "id").select("id", *S.SCOPE, "embedding"), "vectors")
+    model = V.fit(chunks)
+    return chunks, V.coded(chunks, model, [*S.SCOPE, "id"]), model
+
+
+def _positions(found: DataFrame) -> DataFrame:
     return found.select("query_id", "id", F.round("semantic_distance", 6).alias("semantic_distance"), F.col("sem_pos").cast("long").alias("sem_pos"))
 
 
+def semantic_approximate(spark, sf):
+    """The semantic branch by the vector index; a test holds it against :func:`sem_topn`."""
+    return _positions(S.approximate_branch(*_vector_index(spark, sf), _questions(spark, sf), TOP_K, rerank=S.pool_size(TOP_K)))
+
+
+def semantic_index_full(spark, sf):
+    """The same with every cell probed and every candidate re-ranked, which is exact."""
+    chunks, codes, model = _vector_index(spark, sf)
+    return _positions(S.approximate_branch(chunks, codes, model, _questions(spark, sf), TOP_K, probes=V.CELLS, rerank=chunks.count()))
+
+
 def rrf_full_outer(spark, sf):
     fused = S.fuse(_lexical(spark, sf).select("query_id", "id", "lex_rank", "lex_pos"), _semantic(spark, sf).select("query_id", "id", "semantic_distance", "sem_pos"))
     return fused.select("query_id", "id", F.round("score", 9).alias("score"), F.round("lex_rank", 6).alias("lex_rank"), F.round("semantic_distance", 6).alias("semantic_distance"))
@@ -234,8 +251,8 @@ def hybrid_rrf_topk(spark, sf):
     )
 
 
-def hybrid_search_hits(spark, sf):
-    """All columns of the hits of each source's question, and of a blank question, which vectors alone answer."""
+def _chunks_and_questions(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Documents as chunks, and each source's question twice: with its words, and blank, which vectors alone answer."""
     vectors = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     none = F.lit(None).cast("string")
     chunks = _corpus(spark, sf).join(vectors, "id", "left").select(
@@ -244,11 +261,27 @@ def hybrid_search_hits(spark, sf):
     )
     asked = _questions(spark, sf)
     blank = asked.withColumn("query_id", F.concat("query_id", F.lit("?"))).withColumn("lexical_query", F.lit("  "))
-    hits = S.hybrid_search(chunks, _stored_index(spark, sf), asked.unionByName(blank), TOP_K)
+    return chunks, asked.unionByName(blank)
+
+
+def _rounded_hits(hits: DataFrame) -> DataFrame:
     rounded = {"score": F.round("score", 9), "lex_rank": F.round("lex_rank", 6), "semantic_distance": F.round("semantic_distance", 6)}
     return hits.withColumns(rounded | {"hit_pos": F.col("hit_pos").cast("long"), "payload": F.col("payload.lang")})
 
 
+def hybrid_search_hits(spark, sf):
+    """All columns of the hits of each source's question, and of a blank question."""
+    chunks, asked = _chunks_and_questions(spark, sf)
+    return _rounded_hits(S.hybrid_search(chunks, _stored_index(spark, sf), asked, TOP_K))
+
+
+def hybrid_search_sql(spark, sf):
+    """The same by the table function of SQL."""
+    chunks, asked = _chunks_and_questions(spark, sf)
+    register(spark, chunks, _stored_index(spark, sf), stored(asked, "questions"))
+    return _rounded_hits(spark.sql(f"SELECT * FROM hybrid_search_all({TOP_K})"))
+
+
 def fts_rank_phrase(spark, sf):
     """Phrases, AND and negation with stems of the texts (B part), and a word of the language codes (A part)."""
     docs = _corpus(spark, sf).select("resource_owner", "resource_namespace", "id", F.col("lang").alias("text_exact"), F.col("text").alias("text_semantic"))
@@ -620,7 +653,7 @@ def namespace_replace(spark, sf):
 
 
 _ALL: tuple[Query, ...] = (
-    hybrid_rrf_topk, lex_topn, sem_topn, semantic_approximate, rrf_full_outer, hybrid_search_hits, fts_rank_phrase, scope_filter_count, prepare_rewrites, tokenize_docs, alias_expand, dedupe_terms, compact_sentence,
+    hybrid_rrf_topk, lex_topn, sem_topn, semantic_approximate, semantic_index_full, rrf_full_outer, hybrid_search_hits, hybrid_search_sql, fts_rank_phrase, scope_filter_count, prepare_rewrites, tokenize_docs, alias_expand, dedupe_terms, compact_sentence,
     description_keywords, build_text_exact, text_metrics, estimate_tokens, collection_summary, count_by_key, retrieval_inputs_batch, hash_embedding_tokens, embed_text_docs,
     column_definition_chunks, value_definition_chunks, rule_chunks, chunk_union, rule_catalog, value_cardinality, mandatory_columns, value_indexing_summary, first_wins_dedup,
     rule_dedup_stateful, infer_table_name, candidate_ref_parse, resolve_column_identity, unknown_refs_anti, known_refs_semi, key_violations, foreign_key_orphans, issues_histogram,

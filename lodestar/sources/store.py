@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Callable
 from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +22,24 @@ from lodestar.operators.search import SCOPE
 TABLES = ("columns", "values", "rules", "chunks", "index")
 
 
+class View:
+    """The tables of some snapshots by name."""
+
+    def __init__(self, spark: SparkSession, folders: list[str]):
+        self.spark, self.folders = spark, folders
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(*[f"{f}/{name}" for f in self.folders])
+
+    def has(self, name: str) -> bool:
+        where = [self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{f}/{name}") for f in self.folders]
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        return all(w.getFileSystem(conf).exists(w) for w in where)
+
+    def each(self) -> list[View]:
+        return [View(self.spark, [f]) for f in self.folders]
+
+
 class Store:
     """``root`` is any Hadoop path that driver and executors share; replaced snapshots are kept for ``retention`` seconds."""
 
@@ -96,12 +113,12 @@ class Store:
             out.append((unquote(parts[-3].removeprefix("owner=")), unquote(parts[-2].removeprefix("namespace="))))
         return sorted(out)
 
-    def view(self, *scopes: tuple[str, str]) -> Callable[[str], DataFrame]:
+    def view(self, *scopes: tuple[str, str]) -> View:
         """A reader of tables by name: one scan over the files of the scopes' snapshots that are visible now, whatever is loaded later."""
         folders = [f for f in (self.current(o, n) for o, n in scopes) if f]
         if not folders:
             raise LookupError(f"nothing is stored for {', '.join(f'{o!r}/{n!r}' for o, n in scopes)}")
-        return lambda name: self.spark.read.parquet(*[f"{f}/{name}" for f in folders])
+        return View(self.spark, folders)
 
     def table(self, name: str, owner: str, namespace: str) -> DataFrame:
         """A table of one scope: only its own files are listed and read."""

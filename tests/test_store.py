@@ -67,6 +67,14 @@ def test_batch_isolation_and_mandatory_columns(spark, store, tmp_path):
     assert summary[3].hit_count == 1 and summary[3].top_hit_columns == ["deals::approval_state"] and summary[1].chunk_type_counts["rule"] == 1
 
 
+def test_a_stored_vector_index_gives_the_same_answers(spark, store, tmp_path):
+    probing = Settings(vector_probes=1000)
+    load_namespace(spark, store, write(tmp_path / "shop", *SHOP), "me", "probed", probing)
+    asked = spark.createDataFrame([(1, "me", "probed", "buyers in Europe"), (2, "you", "shop", "pending approval")], "query_id long, resource_owner string, resource_namespace string, raw_query string")
+    exact, found = (sorted(str(r) for r in answer(store, asked, c).hits.drop("payload").collect()) for c in (Settings(), probing))
+    assert found == exact and len(found) > 5
+
+
 def test_refused_loads_leave_the_store_as_it_is(spark, store, tmp_path):
     before = store.count("chunks", "me", "shop")
     with pytest.raises(LoadRefused):
