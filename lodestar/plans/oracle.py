@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lodestar.functions.vocabulary import DESCRIPTION_STOPWORDS, EMBEDDING_FAMILIES, LITERAL_REWRITES, NOISE_WORDS, PHRASE_REWRITES, SEARCH_FAMILIES
 from lodestar.sources.schemas import FATAL
-from lodestar.plans.queries import ASKED, CATALOG, LIMIT, PAYLOADS, RULE_RECORDS, RULES, TOP_K, VALUE_GROUPS, WEIGHTS
+from lodestar.plans.queries import ASKED, BEHIND, CATALOG, DELAY_HOURS, LIMIT, PAYLOADS, RULE_RECORDS, RULES, STRETCH_DAYS, TOP_K, VALUE_GROUPS, WEIGHTS
 from lodestar.functions.stemming import stem
 
 POOL = max(5 * TOP_K, 20)
@@ -321,6 +321,11 @@ FROM best JOIN documents ON doc_id = id WHERE hit_pos <= {TOP_K}"""
         "hybrid_rrf_topk": f"""WITH {_SEARCH}, best AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, lex_rank DESC NULLS LAST, semantic_distance ASC NULLS LAST, id) AS hit_pos FROM fused)
 SELECT q AS query_id, hit_pos, id, round(score, 9) AS score, round(lex_rank, 6) AS lex_rank, round(semantic_distance, 6) AS semantic_distance, lang, n_chars FROM best JOIN documents ON doc_id = id WHERE hit_pos <= {TOP_K}""",
         "lex_topn": f"WITH {_SEARCH} SELECT q AS query_id, id, round(lex_rank, 6) AS lex_rank, lex_pos FROM lex",
+        "first_wins_stream": f"""WITH e AS (SELECT *, epoch_ms(ts) AS ms, date_diff('day', (SELECT min(ts) FROM events), ts) // {STRETCH_DAYS} + CAST(event_id % {BEHIND} = 0 AS BIGINT) AS stretch FROM events),
+reached AS (SELECT stretch, max(max(ms)) OVER (ORDER BY stretch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {DELAY_HOURS} * 3600000 AS watermark FROM e GROUP BY stretch),
+seen AS (SELECT user_id, event_type, event_id, ts, ms < coalesce(watermark, 0) AS late FROM e JOIN reached USING (stretch)),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS nth FROM seen WHERE NOT late)
+SELECT 'first' AS kind, user_id, event_type, event_id, true AS whole FROM ordered WHERE nth = 1 UNION ALL SELECT 'late', user_id, event_type, event_id, true FROM seen WHERE late""",
         "semantic_index_full": f"WITH {_SEARCH} SELECT q AS query_id, id, round(semantic_distance, 6) AS semantic_distance, sem_pos FROM sem",
         "sem_topn": f"WITH {_SEARCH} SELECT q AS query_id, id, round(semantic_distance, 6) AS semantic_distance, sem_pos FROM sem",
         "rrf_full_outer": f"WITH {_SEARCH} SELECT q AS query_id, id, round(score, 9) AS score, round(lex_rank, 6) AS lex_rank, round(semantic_distance, 6) AS semantic_distance FROM fused",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -379,6 +380,33 @@ def first_wins_dedup(spark, sf):
     return keep_first(_t(spark, sf, "events"), ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id")
 
 
+#: Event time may run back by this much; a stretch of days comes as one file, and every 97th event one file later.
+DELAY_HOURS, STRETCH_DAYS, BEHIND = 36, 6, 97
+
+
+def first_wins_stream(spark, sf):
+    """The first event of each user and type, from a stream of files with late events in a side output."""
+    from lodestar.sources.shared import new_path
+    from lodestar.streaming.first_wins import first_wins, start
+
+    events = _t(spark, sf, "events").select("user_id", "event_type", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    begin, end = events.agg(F.min("ts"), F.max("ts")).first()
+    folder, out = new_path(spark, "event-files"), new_path(spark, "first-events")
+    stretch = F.floor(F.datediff("ts", F.lit(begin)) / STRETCH_DAYS) + (F.col("event_id") % BEHIND == 0).cast("long")
+    days = (end - begin).days + 2
+    arriving = stored(events.withColumn("stretch", stretch), "arrivals")
+    for n in range(days // STRETCH_DAYS + 2):  # one file after the other, as they would come
+        arriving.where(F.col("stretch") == n).drop("stretch").coalesce(1).write.mode("append").parquet(folder)
+    # an event from the far future lets the watermark pass all others
+    last = spark.range(1).select(F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("string").alias("event_type"), F.lit(-1).cast("long").alias("event_id"), F.lit(end + timedelta(days=365)).alias("ts"))
+    last.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    found = first_wins(stream, ["user_id", "event_type"], "ts", F.col("event_id"), f"{DELAY_HOURS} hours")
+    start(spark, found, out, new_path(spark, "first-events-checkpoint"), available_now=True).awaitTermination()
+    rows = spark.read.schema("user_id long, event_type string, at long, tie long, body string, kind string").parquet(out)
+    return rows.select("kind", "user_id", "event_type", F.col("tie").alias("event_id"), (F.get_json_object("body", "$.event_id").cast("long") == F.col("tie")).alias("whole"))
+
+
 def rule_dedup_stateful(spark, sf):
     rows = _t(spark, sf, "orders").select(F.col("o_custkey").alias("rule_id"), F.col("o_orderkey").alias("pos"), (F.col("o_orderstatus") == "F").alias("dropped"))
     marked = mark_duplicates(rows, "rule_id", "pos", F.col("dropped"))
@@ -655,7 +683,7 @@ def namespace_replace(spark, sf):
 _ALL: tuple[Query, ...] = (
     hybrid_rrf_topk, lex_topn, sem_topn, semantic_approximate, semantic_index_full, rrf_full_outer, hybrid_search_hits, hybrid_search_sql, fts_rank_phrase, scope_filter_count, prepare_rewrites, tokenize_docs, alias_expand, dedupe_terms, compact_sentence,
     description_keywords, build_text_exact, text_metrics, estimate_tokens, collection_summary, count_by_key, retrieval_inputs_batch, hash_embedding_tokens, embed_text_docs,
-    column_definition_chunks, value_definition_chunks, rule_chunks, chunk_union, rule_catalog, value_cardinality, mandatory_columns, value_indexing_summary, first_wins_dedup,
+    column_definition_chunks, value_definition_chunks, rule_chunks, chunk_union, rule_catalog, value_cardinality, mandatory_columns, value_indexing_summary, first_wins_dedup, first_wins_stream,
     rule_dedup_stateful, infer_table_name, candidate_ref_parse, resolve_column_identity, unknown_refs_anti, known_refs_semi, key_violations, foreign_key_orphans, issues_histogram,
     issues_payloads, issues_values, fatal_issues, parsed_values, issues_rules, parsed_rules,
     keyword_coverage, rollup_scores, rule_bonus, matched_values_top4, matched_rules_top4, supporting_top6, candidate_top5, mandatory_injection, prompt_projection, retrieval_summary,
