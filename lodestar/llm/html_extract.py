@@ -413,16 +413,20 @@ def main_text(page: str | None) -> str:
                 up = up.parent
             if up is not None:
                 node.out = False
-    for top in tops:  # lists of links are dropped but in marked articles
-        stack = [] if top.tag == "article" else _kept_children(top)
+    for top in tops:  # lists of links are dropped but in marked articles, and where a heading or a colon leads to them
+        stack = [] if top.tag in ("article", "main") else [top]
         while stack:
-            node = stack.pop()
-            if node.tag == "article":
-                continue
-            if node.tag in BLOCK and node.tag != "p" and node.tag not in HEADINGS and node.chars and node.link_chars > LINKS * node.chars:
-                node.out = True
-            else:
-                stack += _kept_children(node)
+            leads = False
+            for child in stack.pop().children:
+                if isinstance(child, str):
+                    leads = child.rstrip().endswith(":") if child.strip() else leads
+                elif child.out or not child.chars or child.tag in ("article", "main"):
+                    leads = leads and not child.chars
+                elif child.tag in BLOCK and child.tag != "p" and child.tag not in HEADINGS and child.link_chars > LINKS * child.chars:
+                    child.out = not leads
+                else:
+                    leads = child.tag in HEADINGS or child.tag == "p" and "".join(_blocks([child])[-1:]).endswith(":")
+                    stack.append(child)
     return "\n".join(_blocks(tops))
 
 

@@ -104,6 +104,23 @@ def test_what_is_kept_and_what_is_not(page):
     assert text.count("KEPT") == page.count("KEPT")
 
 
+@pytest.mark.parametrize("outer", ["main", "article", 'div class="content"', "div"])
+@pytest.mark.parametrize("lead", ["<h2>Sources</h2>", "<p>These are the sources:</p>"])
+def test_lists_of_links_that_belong_to_the_text_stay(outer, lead):
+    prose = "".join(f"<p>{PROSE}</p>" for _ in range(3))
+    links = "".join(f'<li><a href="/{n}">Source {n}</a></li>' for n in ("one", "two", "three"))
+    menu = "".join(f'<li><a href="/m{n}">Menu {n}</a></li>' for n in range(5))
+    page = f"<html><body><ul>{menu}</ul><{outer}>{prose}{lead}<ul>{links}</ul></{outer.split()[0]}><ul>{menu}</ul></body></html>"
+    lines = main_text(page).split("\n")
+    assert lines[-3:] == ["Source one", "Source two", "Source three"] and len(lines) == 7 and not any("Menu" in x for x in lines)
+
+
+def test_menus_beside_the_text_go():
+    prose = "".join(f"<p>{PROSE}</p>" for _ in range(3))
+    menu = "<ul>" + "".join(f'<li><a href="/m{n}">Menu {n}</a></li>' for n in range(5)) + "</ul>"
+    assert main_text(f"<body><div>{menu}{prose}{menu}</div></body>").split("\n") == [" ".join(PROSE.split())] * 3
+
+
 def test_inline_ends_do_not_end_blocks():
     assert main_text("<article><b><p>one</b> two</p><p><a>x<a>y</a> z</p></br>w</article>") == "one two\nxy z\nw"
     assert main_text("<article><p>a < b <3 </> c</p><p>cut off</p><p class='x") == "a < b <3 c\ncut off"
@@ -160,5 +177,5 @@ def test_densities_and_the_chosen_subtree_against_recursion():
         inner = H._in_order(body)
         best = max(inner, key=lambda n: found[id(n)][1])
         words = " ".join(" ".join(H._blocks([best])).split())
-        if not any(n.link_chars > H.LINKS * n.chars for n in inner):
+        if not any(n.link_chars > H.LINKS * n.chars and n.tag != "p" for n in inner):
             assert words in " ".join(main_text(page).split())  # the subtree of the largest sum is in the text
