@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import let, tokens, with_canonical
-from lodestar.functions.vocabulary import EMBEDDING_DIM, EMBEDDING_FAMILIES
+from lodestar.functions.vocabulary import EMBEDDING_DIM, EMBEDDING_TERMS
 
 
 class Embedder(Protocol):
@@ -20,8 +20,8 @@ class Embedder(Protocol):
 
 
 def expanded_tokens(text: Column) -> Column:
-    """Tokens of the text, each followed by the canonical term of its embedding family."""
-    return with_canonical(tokens(text), EMBEDDING_FAMILIES)
+    """Tokens of the text, each followed by the canonical term for embeddings."""
+    return with_canonical(tokens(text), EMBEDDING_TERMS)
 
 
 def _normalised(vector: Column) -> Column:

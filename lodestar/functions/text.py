@@ -19,15 +19,13 @@ SPACE = r"[\s\x1C-\x1F]"
 _ASCII = r"^[\x00-\x7F]*$"
 
 
-def _lookup(families: dict[str, tuple[str, ...]]) -> Column:
-    """A literal map member -> canonical."""
-    pairs = [F.lit(x) for canonical, members in families.items() for member in members for x in (member, canonical)]
-    return F.create_map(*pairs)
+#: The canonical term of each search term.
+SEARCH_TERMS = {member: canonical for canonical, members in SEARCH_FAMILIES.items() for member in members}
 
 
-def with_canonical(tokens: Column, families: dict[str, tuple[str, ...]]) -> Column:
-    """Each token followed by the canonical term of its family, if it has one."""
-    table = _lookup(families)
+def with_canonical(tokens: Column, terms: dict[str, str]) -> Column:
+    """Each token followed by its canonical term, if it has one."""
+    table = F.create_map(*[F.lit(x) for pair in terms.items() for x in pair])
     return F.flatten(F.transform(tokens, lambda t: F.array_compact(F.array(t, F.try_element_at(table, t)))))
 
 
@@ -61,7 +59,7 @@ def prepare(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Normalised tokens: words and CJK runs, canonical terms added, first occurrences in order. Null: none."""
     found = F.regexp_extract_all(prepare(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    return F.array_distinct(with_canonical(F.array_distinct(found), SEARCH_FAMILIES))
+    return F.array_distinct(with_canonical(F.array_distinct(found), SEARCH_TERMS))
 
 
 def normalize_for_search(text: Column) -> Column:

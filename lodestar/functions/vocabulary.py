@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-# Search families, canonical term and its members.
+# The groups of search terms, each with its canonical term.
 SEARCH_FAMILIES = {
     "approval_gate": ("approval", "approve", "approver", "approvals", "signoff", "signoffs", "sign"),
     "early_rollout": ("pilot", "trial", "preview", "beta"),
@@ -50,43 +50,88 @@ PHRASE_REWRITES = (
     (r"路线图", " roadmap "),
     (r"支持等级|支持层级", " support tier "),
 )
-# Embedding families, canonical term and its members.
-EMBEDDING_FAMILIES = {
-    "approval_gate": ("approve", "approval", "exec", "executive", "signoff"),
-    "cleared_state": ("approved", "cleared"),
-    "pending_state": ("awaiting", "pending", "review"),
-    "blocked": ("blocked", "stuck", "halted", "hold"),
-    "frozen_state": ("deprioritized", "frozen", "paused"),
-    "white_glove_support": ("concierge", "glove", "white"),
-    "premium_support": ("elevated", "premium"),
-    "europe_region": ("eu_only", "gdpr", "eu", "europe"),
-    "live_rollout": ("ga", "live", "production"),
-    "legacy_pricing": ("grandfathered", "legacy"),
-    "stable_state": ("healthy", "stable"),
-    "internal_only_state": ("internal",),
-    "risk_warning": ("warning", "caution", "amber"),
-    "critical_risk": ("red", "critical", "severe"),
-    "legal_review": ("legal", "privacy", "security", "compliance"),
-    "early_rollout": ("pilot", "trial"),
-    "not_committed": ("exploratory", "tentative"),
-    "usage_pricing": ("metered", "usage"),
-    "roadmap_backed": ("committed", "backed", "roadmap"),
-    "contract_renewal": ("renewal",),
-    "data_region": ("residency",),
-    "seat_pricing": ("seat",),
+# The canonical term of each token that has one, for embeddings.
+EMBEDDING_TERMS = {
+    "approved": "cleared_state",
+    "approve": "approval_gate",
+    "approval": "approval_gate",
+    "awaiting": "pending_state",
+    "blocked": "blocked",
+    "stuck": "blocked",
+    "halted": "blocked",
+    "cleared": "cleared_state",
+    "concierge": "white_glove_support",
+    "deprioritized": "frozen_state",
+    "elevated": "premium_support",
+    "eu_only": "europe_region",
+    "exec": "approval_gate",
+    "executive": "approval_gate",
+    "frozen": "frozen_state",
+    "ga": "live_rollout",
+    "gdpr": "europe_region",
+    "glove": "white_glove_support",
+    "grandfathered": "legacy_pricing",
+    "healthy": "stable_state",
+    "hold": "blocked",
+    "internal": "internal_only_state",
+    "live": "live_rollout",
+    "warning": "risk_warning",
+    "caution": "risk_warning",
+    "amber": "risk_warning",
+    "red": "critical_risk",
+    "critical": "critical_risk",
+    "severe": "critical_risk",
+    "signoff": "approval_gate",
+    "legal": "legal_review",
+    "privacy": "legal_review",
+    "security": "legal_review",
+    "compliance": "legal_review",
+    "eu": "europe_region",
+    "europe": "europe_region",
+    "pilot": "early_rollout",
+    "trial": "early_rollout",
+    "exploratory": "not_committed",
+    "legacy": "legacy_pricing",
+    "metered": "usage_pricing",
+    "paused": "frozen_state",
+    "pending": "pending_state",
+    "premium": "premium_support",
+    "production": "live_rollout",
+    "tentative": "not_committed",
+    "committed": "roadmap_backed",
+    "backed": "roadmap_backed",
+    "renewal": "contract_renewal",
+    "residency": "data_region",
+    "review": "pending_state",
+    "roadmap": "roadmap_backed",
+    "seat": "seat_pricing",
+    "stable": "stable_state",
+    "usage": "usage_pricing",
+    "white": "white_glove_support",
 }
 # Words of a question that carry no retrieval signal.
-NOISE_WORDS = tuple(
-    "a an and are be but by column columns find for has have how i in is it me metadata of on or show still that the their there these which with "
-    "哪些 哪个 什么 情况 帮我 看看 一下 有关 相关 和 或 还是 字段 列 值".split()
+NOISE_WORDS = (
+    "a", "an", "and", "are", "be", "but", "by", "column", "columns", "find", "for", "has", "have", "how",
+    "i", "in", "is", "it", "me", "metadata", "of", "on", "or", "show", "still", "that", "the", "their",
+    "there", "these", "which", "with", "哪些", "哪个", "什么", "情况", "帮我", "看看", "一下", "有关", "相关", "和",
+    "或", "还是", "字段", "列", "值",
 )
 # Words of a description that are no keywords.
-DESCRIPTION_STOPWORDS = tuple("a an and app before can current field for from how in indicate is it may means of or status such that the this tells to whether with".split())
-# English stop words of full-text search.
-ENGLISH_STOPWORDS = frozenset(
-    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves "
-    "what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while "
-    "of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there "
-    "when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now".split()
+DESCRIPTION_STOPWORDS = (
+    "a", "an", "and", "app", "before", "can", "current", "field", "for", "from", "how", "in", "indicate", "is",
+    "it", "may", "means", "of", "or", "status", "such", "that", "the", "this", "tells", "to", "whether", "with",
 )
+# English stop words of full-text search.
+ENGLISH_STOPWORDS = frozenset({
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves", "he",
+    "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself", "they", "them", "their", "theirs",
+    "themselves", "what", "which", "who", "whom", "this", "that", "these", "those", "am", "is", "are", "was", "were",
+    "be", "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing", "a", "an", "the",
+    "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for", "with", "about",
+    "against", "between", "into", "through", "during", "before", "after", "above", "below", "to", "from", "up", "down", "in",
+    "out", "on", "off", "over", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why",
+    "how", "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not",
+    "only", "own", "same", "so", "than", "too", "very", "s", "t", "can", "will", "just", "don", "should",
+    "now",
+})
 EMBEDDING_DIM = 24

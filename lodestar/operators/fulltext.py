@@ -18,7 +18,6 @@ rules would keep them whole.
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 from itertools import accumulate
@@ -29,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lodestar.functions.stemming import stem, stem_column
+from lodestar.functions.unaccent import unaccent
 from lodestar.functions.vocabulary import ENGLISH_STOPWORDS
 from lodestar.sources.shared import stored
 
@@ -37,11 +37,6 @@ WEIGHT_A, WEIGHT_B = 1.0, 0.4
 QUERY_TYPE = "array<struct<grp: int, term: int, negated: boolean, lexemes: array<struct<lexeme: string, offset: int>>>>"
 
 
-def unaccent(text: str) -> str:
-    """Letters without their combining marks."""
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-
-
 def lexemes(chunks: DataFrame, keys: list[str], exact_col: str = "text_exact", semantic_col: str = "text_semantic") -> DataFrame:
     """``keys``, lexeme, pos (from 1), weight (``A`` or ``B``): the inverted index of ``chunks``."""
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lodestar.functions.vocabulary import DESCRIPTION_STOPWORDS, EMBEDDING_FAMILIES, LITERAL_REWRITES, NOISE_WORDS, PHRASE_REWRITES, SEARCH_FAMILIES
+from lodestar.functions.text import SEARCH_TERMS
+from lodestar.functions.vocabulary import DESCRIPTION_STOPWORDS, EMBEDDING_TERMS, LITERAL_REWRITES, NOISE_WORDS, PHRASE_REWRITES
 from lodestar.sources.schemas import FATAL
 from lodestar.plans.queries import ASKED, BEHIND, CATALOG, DELAY_HOURS, LIMIT, PAYLOADS, RULE_RECORDS, RULES, STRETCH_DAYS, TOP_K, VALUE_GROUPS, WEIGHTS
 from lodestar.functions.stemming import stem
@@ -24,8 +25,8 @@ def _prepare(expr: str) -> str:
     return out
 
 
-def _families(families: dict[str, tuple[str, ...]]) -> str:
-    return "(VALUES " + ", ".join(f"({_lit(m)}, {_lit(c)})" for c, ms in families.items() for m in ms) + ") f(member, canon)"
+def _families(terms: dict[str, str]) -> str:
+    return "(VALUES " + ", ".join(f"({_lit(m)}, {_lit(c)})" for m, c in terms.items()) + ") f(member, canon)"
 
 
 def _words(words) -> str:
@@ -38,7 +39,7 @@ def _tokens(name: str, source: str, key: str = "k") -> str:
 {name}_l AS (SELECT {key}, part, regexp_extract_all({_prepare("coalesce(text, '')")}, '[a-z0-9_]+|[一-鿿]+') AS l FROM {source}),
 {name}_r AS (SELECT {key}, part, unnest(l) AS tok, unnest(range(len(l))) AS i FROM {name}_l),
 {name}_e AS (SELECT {key}, tok, part * 100000000 + i * 2 AS p FROM {name}_r UNION ALL
-  SELECT {key}, canon, part * 100000000 + i * 2 + 1 FROM {name}_r JOIN {_families(SEARCH_FAMILIES)} ON tok = member),
+  SELECT {key}, canon, part * 100000000 + i * 2 + 1 FROM {name}_r JOIN {_families(SEARCH_TERMS)} ON tok = member),
 {name} AS (SELECT {key}, tok, min(p) AS p FROM {name}_e GROUP BY {key}, tok)"""
 
 
@@ -321,6 +322,8 @@ FROM best JOIN documents ON doc_id = id WHERE hit_pos <= {TOP_K}"""
         "hybrid_rrf_topk": f"""WITH {_SEARCH}, best AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, lex_rank DESC NULLS LAST, semantic_distance ASC NULLS LAST, id) AS hit_pos FROM fused)
 SELECT q AS query_id, hit_pos, id, round(score, 9) AS score, round(lex_rank, 6) AS lex_rank, round(semantic_distance, 6) AS semantic_distance, lang, n_chars FROM best JOIN documents ON doc_id = id WHERE hit_pos <= {TOP_K}""",
         "lex_topn": f"WITH {_SEARCH} SELECT q AS query_id, id, round(lex_rank, 6) AS lex_rank, lex_pos FROM lex",
+        "unaccent_docs": """SELECT doc_id, md5(p) AS digest, length(p) AS n FROM (SELECT doc_id,
+  replace(replace(replace(replace(strip_accents(replace(replace(replace(text, 'th', 'œ'), 'an', 'ł'), 'on', 'Æ')), 'œ', 'oe'), 'ł', 'l'), 'Æ', 'AE'), 'ß', 'ss') AS p FROM documents)""",
         "first_wins_stream": f"""WITH e AS (SELECT *, epoch_ms(ts) AS ms, date_diff('day', (SELECT min(ts) FROM events), ts) // {STRETCH_DAYS} + CAST(event_id % {BEHIND} = 0 AS BIGINT) AS stretch FROM events),
 reached AS (SELECT stretch, max(max(ms)) OVER (ORDER BY stretch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {DELAY_HOURS} * 3600000 AS watermark FROM e GROUP BY stretch),
 seen AS (SELECT user_id, event_type, event_id, ts, ms < coalesce(watermark, 0) AS late FROM e JOIN reached USING (stretch)),
@@ -336,7 +339,7 @@ UNION ALL SELECT 'value_definition', CAST(sum(n) AS BIGINT) FROM card WHERE n <=
         "scope_filter_count": "SELECT source AS resource_owner, lang AS resource_namespace, count(*) AS n FROM documents GROUP BY source, lang",
         "prepare_rewrites": f"SELECT doc_id, md5(p) AS digest, length(p) AS n FROM (SELECT doc_id, {_prepare('text')} AS p FROM documents)",
         "tokenize_docs": f"{d_tokens}, keys AS (SELECT k FROM d),{_joined('j', 'tk', 'keys')} SELECT j.k AS doc_id, (SELECT count(*) FROM tk WHERE tk.k = j.k) AS n_tokens, md5(j.text) AS digest FROM j",
-        "alias_expand": f"""{d_tokens}, e AS (SELECT k, tok, p * 2 AS p FROM tk UNION ALL SELECT k, canon, p * 2 + 1 FROM tk JOIN {_families(EMBEDDING_FAMILIES)} ON tok = member),
+        "alias_expand": f"""{d_tokens}, e AS (SELECT k, tok, p * 2 AS p FROM tk UNION ALL SELECT k, canon, p * 2 + 1 FROM tk JOIN {_families(EMBEDDING_TERMS)} ON tok = member),
 keys AS (SELECT k FROM d),{_joined("j", "e", "keys")} SELECT k AS doc_id, text AS expanded FROM j""",
         "dedupe_terms": "SELECT doc_id, CAST(list_unique(string_split(lower(text), ' ')) AS BIGINT) AS n_distinct, len(string_split(lower(text), ' ')) AS n_words FROM documents",
         "compact_sentence": f"SELECT doc_id, {_compact('text')} AS sentence FROM documents",
@@ -353,7 +356,7 @@ trim(regexp_replace(d.text, '\\s+', ' ', 'g')) AS semantic_query, CASE WHEN agai
         "hash_embedding_tokens": f"""WITH d AS (SELECT DISTINCT p_name AS k, 0 AS part, p_name AS text FROM part),{_tokens("tk", "d")}, u AS (SELECT DISTINCT tok FROM tk),
 c AS (SELECT tok, i, {component} AS x FROM u, range(24) r(i)), n AS (SELECT tok, sqrt(sum(x * x)) AS n FROM c GROUP BY tok)
 SELECT c.tok AS token, i, round(x / n, 6) AS x FROM c JOIN n ON c.tok = n.tok""",
-        "embed_text_docs": f"""{d_tokens}, e AS (SELECT k, tok FROM tk UNION ALL SELECT k, canon FROM tk JOIN {_families(EMBEDDING_FAMILIES)} ON tok = member),
+        "embed_text_docs": f"""{d_tokens}, e AS (SELECT k, tok FROM tk UNION ALL SELECT k, canon FROM tk JOIN {_families(EMBEDDING_TERMS)} ON tok = member),
 w AS (SELECT k, tok, count(*) AS w FROM e GROUP BY k, tok), u AS (SELECT DISTINCT tok FROM w), c AS (SELECT tok, i, {component} AS x FROM u, range(24) r(i)),
 n AS (SELECT tok, sqrt(sum(x * x)) AS n FROM c GROUP BY tok), s AS (SELECT k, i, sum(w * x / n) AS x FROM w JOIN c ON w.tok = c.tok JOIN n ON n.tok = c.tok GROUP BY k, i),
 l AS (SELECT k, sqrt(sum(x * x)) AS n FROM s GROUP BY k) SELECT s.k AS doc_id, i, round(x / n, 6) AS x FROM s JOIN l ON s.k = l.k""",

@@ -12,6 +12,7 @@ from lodestar.config import Settings
 from lodestar.functions import embedding as E
 from lodestar.functions import metrics as M
 from lodestar.functions import text as T
+from lodestar.functions.unaccent import unaccented
 from lodestar.operators import chunks as C
 from lodestar.operators import rollup as R
 from lodestar.operators import search as S
@@ -92,6 +93,13 @@ def prepare_rewrites(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", F.md5(p).alias("digest"), F.length(p).cast("long").alias("n"))
 
 
+def unaccent_docs(spark, sf):
+    """Every text with some of its letters made into ones that stand for several, without accents."""
+    odd = F.replace(F.replace(F.replace("text", F.lit("th"), F.lit("œ")), F.lit("an"), F.lit("ł")), F.lit("on"), F.lit("Æ"))
+    plain = unaccented(odd)
+    return _t(spark, sf, "documents").select("doc_id", F.md5(plain).alias("digest"), F.length(plain).cast("long").alias("n"))
+
+
 def tokenize_docs(spark, sf):
     found = _t(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
     return found.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
@@ -681,7 +689,7 @@ def namespace_replace(spark, sf):
 
 
 _ALL: tuple[Query, ...] = (
-    hybrid_rrf_topk, lex_topn, sem_topn, semantic_approximate, semantic_index_full, rrf_full_outer, hybrid_search_hits, hybrid_search_sql, fts_rank_phrase, scope_filter_count, prepare_rewrites, tokenize_docs, alias_expand, dedupe_terms, compact_sentence,
+    hybrid_rrf_topk, lex_topn, sem_topn, semantic_approximate, semantic_index_full, rrf_full_outer, hybrid_search_hits, hybrid_search_sql, fts_rank_phrase, scope_filter_count, prepare_rewrites, unaccent_docs, tokenize_docs, alias_expand, dedupe_terms, compact_sentence,
     description_keywords, build_text_exact, text_metrics, estimate_tokens, collection_summary, count_by_key, retrieval_inputs_batch, hash_embedding_tokens, embed_text_docs,
     column_definition_chunks, value_definition_chunks, rule_chunks, chunk_union, rule_catalog, value_cardinality, mandatory_columns, value_indexing_summary, first_wins_dedup, first_wins_stream,
     rule_dedup_stateful, infer_table_name, candidate_ref_parse, resolve_column_identity, unknown_refs_anti, known_refs_semi, key_violations, foreign_key_orphans, issues_histogram,

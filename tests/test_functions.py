@@ -13,7 +13,9 @@ from lodestar.functions import embedding as E
 from lodestar.functions import metrics as M
 from lodestar.functions import text as T
 from lodestar.functions.stemming import stem
-from lodestar.functions.vocabulary import EMBEDDING_FAMILIES, SEARCH_FAMILIES
+from lodestar.functions.text import SEARCH_TERMS
+from lodestar.functions.unaccent import unaccent, unaccented
+from lodestar.functions.vocabulary import EMBEDDING_TERMS, SEARCH_FAMILIES
 from lodestar.plans.answer import retrieval_inputs
 
 
@@ -143,22 +145,29 @@ def test_stems(word, expected):
     assert stem(word) == expected
 
 
-def test_families_are_disjoint():
-    for families in (SEARCH_FAMILIES, EMBEDDING_FAMILIES):
-        members = [m for ms in families.values() for m in ms]
-        assert len(members) == len(set(members))
-    assert sum(len(m) for m in EMBEDDING_FAMILIES.values()) == 56
+def test_terms_have_one_canonical_term():
+    members = [m for ms in SEARCH_FAMILIES.values() for m in ms]
+    assert len(members) == len(set(members)) == len(SEARCH_TERMS)
+    assert len(EMBEDDING_TERMS) == 56
+
+
+@pytest.mark.parametrize(
+    "text, plain",
+    [("Straße Øre æ ł đ", "Strasse Ore ae l d"), ("Œuvre ŒIL ĳs Þing ðe", "OEuvre OEIL ijs THing de"), ("Café naïve Å", "Cafe naive A"), ("ﬁne … ½", "fine ...  1/2"), ("abc 法务", "abc 法务"), ("", "")],
+)
+def test_unaccent(spark, text, plain):
+    assert unaccent(text) == plain
+    assert spark.createDataFrame([(text,)], "t string").select(unaccented(F.col("t")).alias("u")).first().u == plain
 
 
 def test_alias_expand_reads_past_the_first_sentence(spark, tmp_path):
-    from lodestar.functions.vocabulary import EMBEDDING_FAMILIES, SEARCH_FAMILIES
     from lodestar.plans.queries import queries
 
-    def following(words, families):
-        return [x for w in words for x in [w, *[c for c, members in families.items() if w in members]]]
+    def following(words, terms):
+        return [x for w in words for x in [w, *[terms[w]] * (w in terms)]]
 
     texts = {1: "One is here. Two is amber! Three is severe? four", 2: "", 3: None}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.expanded for r in queries()["alias_expand"](spark, str(tmp_path)).collect()}
     words = {k: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split() for k, t in texts.items()}
-    assert got == {k: " ".join(following(list(dict.fromkeys(following(w, SEARCH_FAMILIES))), EMBEDDING_FAMILIES)) for k, w in words.items()}
+    assert got == {k: " ".join(following(list(dict.fromkeys(following(w, SEARCH_TERMS))), EMBEDDING_TERMS)) for k, w in words.items()}
