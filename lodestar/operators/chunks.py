@@ -137,11 +137,17 @@ def number(chunks: DataFrame, places: DataFrame) -> DataFrame:
     return placed.withColumn("id", (F.col("before") + inside).cast("long")).drop("section", "group_pos", "item_pos", "block", "before")
 
 
+def unnumbered(columns: DataFrame, values: DataFrame, rules: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(chunks with their places but without ids and embeddings, columns with their policy)."""
+    policy = cardinality(values, limit)
+    with_flags = with_policy(columns, policy)
+    return column_chunks(with_flags).unionByName(value_chunks(values, columns, policy)).unionByName(rule_chunks(rules)), with_flags
+
+
 def project(columns: DataFrame, values: DataFrame, rules: DataFrame, limit: int, embed=None) -> tuple[DataFrame, DataFrame]:
     """(chunks with ids and embeddings, columns with their policy)."""
     policy = cardinality(values, limit)
-    with_flags = with_policy(columns, policy)
-    every = column_chunks(with_flags).unionByName(value_chunks(values, columns, policy)).unionByName(rule_chunks(rules))
+    every, with_flags = unnumbered(columns, values, rules, limit)
     places = [
         rows.select(*SCOPE, F.lit(section).alias("section"), F.col(pos).cast("long").alias("group_pos"))
         for section, (rows, pos) in enumerate(((columns, "pos"), (_indexed(values, columns, policy), "first_pos"), (rules, "pos")))

@@ -293,6 +293,39 @@ cand AS (SELECT q, 0 AS section, rank, rt AS t, rc AS c, coalesce(short, '') AS
   UNION ALL SELECT q, 1, rank, t, c, short, n, true, 'mandatory_high_cardinality' FROM forced)"""
 
 
+_VERSIONS = """v1 AS (SELECT p_brand AS t, p_name AS c, p_type AS v, min(p_partkey) AS pos FROM part GROUP BY ALL),
+cols AS (SELECT t, c, min(pos) AS pos FROM v1 GROUP BY t, c),
+vals AS (SELECT t, c, v, true AS old FROM v1 WHERE pos % 100 <> 13 UNION ALL SELECT t, c, v || ' more', false FROM v1 WHERE pos % 100 = 29)"""
+_MERGED = f"""WITH {_VERSIONS}
+SELECT 'column_definition' AS chunk_type, 'column_definition::' || t || '::' || c AS chunk_key, CASE WHEN pos % 100 = 7 THEN 'Formerly ' ELSE 'Parts ' END || c || ' of ' || t || '.' AS text_semantic, true AS kept_id, true AS indexed FROM cols
+UNION ALL SELECT 'value_definition', 'value_definition::' || t || '::' || c || '::' || v, 'For ' || t || '.' || c || ', ' || v || ' means Type ' || v || '.', old, true FROM vals
+UNION ALL SELECT 'rule', 'rule::s' || s_suppkey, 'Ask ' || CASE WHEN s_suppkey % 100 = 5 THEN 'nobody' ELSE s_name END || '.', true, true FROM supplier WHERE s_suppkey % 100 <> 3"""
+
+
+def _difference() -> str:
+    """Multisets by EXCEPT ALL and INTERSECT ALL, counted for each key."""
+    parts, found = [], []
+    tables = (("part", "p_brand", "p_partkey", "p_type", ("p_size",)), ("customer", "c_nationkey", "c_custkey", "c_mktsegment", ()), ("orders", "o_custkey", "o_orderkey", "o_orderstatus", ("o_orderpriority",)))
+    for name, key, number, first, rest in tables:
+        others = "".join(f", {c}" for c in rest)
+        parts.append(f"{name}_b AS (SELECT CAST({key} AS VARCHAR) AS key, {first} AS x{others}, {number} AS at FROM {name})")
+        one = f"SELECT CAST({key} AS VARCHAR) AS key, CASE WHEN {number} % 89 = 0 THEN 'other' ELSE {first} END AS x{others}, CASE WHEN {number} % 79 = 0 THEN -{number} ELSE {number} END AS at FROM {name} WHERE {number} % 97 <> 0"
+        parts.append(f"{name}_a AS ({one} UNION ALL {one} AND {number} % 83 = 0)")
+        plain = f"key, x{others}"
+        for kind, sql in (
+            ("gone", f"SELECT {plain} FROM {name}_b EXCEPT ALL SELECT {plain} FROM {name}_a"),
+            ("come", f"SELECT {plain} FROM {name}_a EXCEPT ALL SELECT {plain} FROM {name}_b"),
+            ("stay", f"SELECT {plain} FROM {name}_b INTERSECT ALL SELECT {plain} FROM {name}_a"),
+            ("still", f"SELECT * FROM {name}_b INTERSECT ALL SELECT * FROM {name}_a"),
+        ):
+            found.append(f"SELECT {_lit(name)} AS name, key, {_lit(kind)} AS kind, count(*) AS n FROM ({sql}) GROUP BY key")
+    parts.append("found AS (" + " UNION ALL ".join(found) + ")")
+    total = lambda k: f"coalesce(sum(n) FILTER (kind = '{k}'), 0)"
+    parts.append(f"counts AS (SELECT name, key, {total('gone')} AS gone, {total('come')} AS come, {total('stay')} - {total('still')} AS moved FROM found GROUP BY name, key)")
+    kinds = (("added", "come - least(gone, come)"), ("removed", "gone - least(gone, come)"), ("changed", "least(gone, come)"), ("moved", "moved"))
+    return "WITH " + ",\n".join(parts) + "\n" + " UNION ALL ".join(f"SELECT name, key, '{k}' AS change, CAST({c} AS BIGINT) AS n FROM counts WHERE {c} > 0" for k, c in kinds)
+
+
 def oracle_sql() -> dict[str, str]:
     metrics = _text_metrics("text")
     d_tokens = f"WITH {_DOCS},{_tokens('tk', 'd')}"
@@ -322,6 +355,8 @@ FROM best JOIN documents ON doc_id = id WHERE hit_pos <= {TOP_K}"""
         "hybrid_rrf_topk": f"""WITH {_SEARCH}, best AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, lex_rank DESC NULLS LAST, semantic_distance ASC NULLS LAST, id) AS hit_pos FROM fused)
 SELECT q AS query_id, hit_pos, id, round(score, 9) AS score, round(lex_rank, 6) AS lex_rank, round(semantic_distance, 6) AS semantic_distance, lang, n_chars FROM best JOIN documents ON doc_id = id WHERE hit_pos <= {TOP_K}""",
         "lex_topn": f"WITH {_SEARCH} SELECT q AS query_id, id, round(lex_rank, 6) AS lex_rank, lex_pos FROM lex",
+        "namespace_merge": _MERGED,
+        "catalog_difference": _difference(),
         "unaccent_docs": """SELECT doc_id, md5(p) AS digest, length(p) AS n FROM (SELECT doc_id,
   replace(replace(replace(replace(strip_accents(replace(replace(replace(text, 'th', 'œ'), 'an', 'ł'), 'on', 'Æ')), 'œ', 'oe'), 'ł', 'l'), 'Æ', 'AE'), 'ß', 'ss') AS p FROM documents)""",
         "first_wins_stream": f"""WITH e AS (SELECT *, epoch_ms(ts) AS ms, date_diff('day', (SELECT min(ts) FROM events), ts) // {STRETCH_DAYS} + CAST(event_id % {BEHIND} = 0 AS BIGINT) AS stretch FROM events),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,13 +19,17 @@ from lodestar.operators import rollup as R
 from lodestar.operators import search as S
 from lodestar.operators import vectors as V
 from lodestar.operators.fulltext import lexemes, match, parsed_query
+from lodestar.operators.difference import difference
 from lodestar.operators.integrity import duplicates, orphans
 from lodestar.operators.keys import keep_first, mark_duplicates, resolve_identity, split_reference, unique_match
 from lodestar.operators.postings import posting_blocks, sorted_blocks
 from lodestar.plans.answer import retrieval_inputs
 from lodestar.plans.sql import register
-from lodestar.sources.catalog_json import parse_columns, parse_rules, parse_values, records
+from lodestar.sources.catalog_json import conform, parse_columns, parse_rules, parse_values, records, register_adapter
+from lodestar.sources.schemas import COLUMNS, ISSUES, VALUES, Catalog
+from lodestar.sources.schemas import RULES as RULE_SCHEMA
 from lodestar.sources.shared import spread, stored
+from lodestar.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Words that the lexical queries ask for.
@@ -666,28 +671,80 @@ def retrieval_summary(spark, sf):
     )
 
 
+class DriverTables:
+    """An adapter for catalogs that are made of the driver's tables; ``root`` is their folder and the catalog's name."""
+
+    def load(self, spark: SparkSession, root: str, owner: str, namespace: str) -> Catalog:
+        sf, name = root.rsplit("#", 1)
+        made = (catalog_columns(spark, sf), catalog_values(spark, sf), catalog_rules(spark, sf)) if name == "profiled" else _part_catalog(spark, sf, int(name))
+        scoped = [conform(df.withColumns({"resource_owner": F.lit(owner), "resource_namespace": F.lit(namespace)}), kind) for df, kind in zip(made, (COLUMNS, VALUES, RULE_SCHEMA))]
+        return Catalog(owner, namespace, *scoped, spark.createDataFrame([], ISSUES), {"columns": name, "values": None, "rules": None}, {})
+
+
+def _part_catalog(spark, sf, version: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Brands as tables, names as their columns, types as values, suppliers as rules; version 2 differs in some of a hundred."""
+    later = F.lit(version == 2)
+    in_hundred = lambda c, n: later & (c % 100 == n)
+    p = _t(spark, sf, "part").groupBy(F.col("p_brand").alias("table_name"), F.col("p_name").alias("column_name"), "p_type").agg(F.min("p_partkey").alias("pos"))
+    columns = p.groupBy(*REF).agg(F.min("pos").alias("pos"))
+    told = F.concat(F.when(in_hundred(F.col("pos"), 7), "Formerly ").otherwise("Parts "), "column_name", F.lit(" of "), "table_name")
+    columns = columns.select("pos", *REF, F.lit(None).alias("raw_column_name"), told.alias("description"), F.array().cast("array<string>").alias("aliases"), F.lit("string").alias("data_type"))
+    values = p.where(~in_hundred(F.col("pos"), 13)).select("pos", *REF, F.col("p_type").alias("raw_value"))
+    values = values.unionByName(p.where(in_hundred(F.col("pos"), 29)).select("pos", *REF, F.concat("p_type", F.lit(" more")).alias("raw_value")))
+    none = F.array().cast("array<string>")
+    values = values.select("*", F.concat(F.lit("Type "), "raw_value").alias("value_gloss"), none.alias("synonyms"), none.alias("business_tags"))
+    key = F.col("s_suppkey")
+    rules = _t(spark, sf, "supplier").where(~in_hundred(key, 3)).select(
+        key.alias("pos"), F.concat(F.lit("s"), key.cast("string")).alias("rule_id"), F.concat(F.lit("Ask "), F.when(in_hundred(key, 5), "nobody").otherwise(F.col("s_name"))).alias("description"),
+        F.array().cast("array<struct<table_name: string, column_name: string>>").alias("candidate_columns"), none.alias("trigger_terms"), F.lit(None).alias("intent"), F.lit(0).alias("priority"), F.lit(None).alias("rule_text"),
+    )
+    return columns, values, rules
+
+
 def namespace_replace(spark, sf):
-    """A scope loaded twice into a store: the second load replaces the first."""
-    from lodestar.operators.integrity import check
-    from lodestar.plans.load import FEW
-    from lodestar.session import interpreted
-    from lodestar.sources.shared import new_path, stored
-    from lodestar.sources.store import Store
+    """A scope loaded twice and another one beside it: the second load replaces the first, and nothing else."""
+    from lodestar.plans.load import load_namespace
+    from lodestar.sources.shared import new_path
 
+    register_adapter("driver_tables", DriverTables)
     store = Store(spark, new_path(spark, "store"))
-    columns, values, rules = catalog_columns(spark, sf), stored(catalog_values(spark, sf), "values"), catalog_rules(spark, sf)
-    for limit in (3, LIMIT):
-        folder = store.stage("tpch", "main")
-        with interpreted(spark, values.count() <= FEW):
-            every, flagged = C.project(columns, values, rules, limit)
-            tables = {"columns": flagged.drop("pos"), "values": values.drop("pos"), "rules": C.rule_catalog(rules), "chunks": every}
-            for name, df in tables.items():
-                df.write.parquet(f"{folder}/{name}")
-            check({name: spark.read.parquet(f"{folder}/{name}") for name in tables}, E.HashEmbedder.dim)
-        store.publish("tpch", "main", folder)
+    for namespace, limit in (("main", 3), ("other", 0), ("main", LIMIT)):
+        load_namespace(spark, store, f"{sf}#profiled", "tpch", namespace, Settings(source_adapter="driver_tables", value_cardinality_limit=limit))
+    assert store.count("chunks", "tpch", "other") < store.count("chunks", "tpch", "main")
     return store.table("chunks", "tpch", "main").groupBy("chunk_type").agg(F.count("*").alias("n"))
 
 
+def namespace_merge(spark, sf):
+    """A catalog and then its second version, merged by rows: chunks as they are now, and whether they kept their ids."""
+    from lodestar.plans.merge import merge_namespace
+    from lodestar.sources.shared import new_path
+
+    register_adapter("driver_tables", DriverTables)
+    store, config = Store(spark, new_path(spark, "store")), Settings(source_adapter="driver_tables")
+    merge_namespace(spark, store, f"{sf}#1", "tpch", "parts", config)
+    before = store.table("chunks", "tpch", "parts").select("chunk_key", F.col("id").alias("was"))
+    merge_namespace(spark, store, f"{sf}#2", "tpch", "parts", config)
+    now = store.table("chunks", "tpch", "parts").join(before, "chunk_key", "left")
+    indexed = store.table("index", "tpch", "parts").select(F.explode("docs").alias("d"), "block").select((F.col("block") * 64 + F.col("d.at")).alias("id")).distinct()
+    now = now.join(indexed.withColumn("indexed", F.lit(True)), "id", "left")
+    return now.select("chunk_type", "chunk_key", "text_semantic", F.coalesce(F.col("was") == F.col("id"), F.lit(False)).alias("kept_id"), F.coalesce("indexed", F.lit(False)).alias("indexed"))
+
+
+def catalog_difference(spark, sf):
+    """What a second version changes in three tables of repeated keys: rows go, come, change, move and occur once more."""
+
+    def versions(name: str, key: str, number: str, *others: str) -> DataFrame:
+        before = _t(spark, sf, name).select(F.col(key).cast("string").alias("key"), *others, F.col(number).alias("pos"))
+        n = F.col("pos")
+        after = before.where(n % 97 != 0).withColumn(others[0], F.when(n % 89 == 0, "other").otherwise(F.col(others[0]))).withColumn("at", F.when(n % 79 == 0, -n).otherwise(n))
+        again = after.where(n % 83 == 0)
+        found = difference(before.withColumn("at", F.col("pos")).drop("pos"), after.unionByName(again).drop("pos"), ["key"], "at")
+        return found.select(F.lit(name).alias("name"), "key", "change", "n")
+
+    tables = (("part", "p_brand", "p_partkey", "p_type", "p_size"), ("customer", "c_nationkey", "c_custkey", "c_mktsegment"), ("orders", "o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority"))
+    return reduce(DataFrame.unionByName, [versions(*t) for t in tables])
+
+
 _ALL: tuple[Query, ...] = (
     hybrid_rrf_topk, lex_topn, sem_topn, semantic_approximate, semantic_index_full, rrf_full_outer, hybrid_search_hits, hybrid_search_sql, fts_rank_phrase, scope_filter_count, prepare_rewrites, unaccent_docs, tokenize_docs, alias_expand, dedupe_terms, compact_sentence,
     description_keywords, build_text_exact, text_metrics, estimate_tokens, collection_summary, count_by_key, retrieval_inputs_batch, hash_embedding_tokens, embed_text_docs,
@@ -695,7 +752,7 @@ _ALL: tuple[Query, ...] = (
     rule_dedup_stateful, infer_table_name, candidate_ref_parse, resolve_column_identity, unknown_refs_anti, known_refs_semi, key_violations, foreign_key_orphans, issues_histogram,
     issues_payloads, issues_values, fatal_issues, parsed_values, issues_rules, parsed_rules,
     keyword_coverage, rollup_scores, rule_bonus, matched_values_top4, matched_rules_top4, supporting_top6, candidate_top5, mandatory_injection, prompt_projection, retrieval_summary,
-    namespace_replace,
+    namespace_replace, namespace_merge, catalog_difference,
 )
 
 

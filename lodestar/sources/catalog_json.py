@@ -403,20 +403,20 @@ class JsonFolderAdapter:
         listed = F.coalesce(F.size(F.when(type_name(member(F.col("rec"), "values")) == "list", _items(member(F.col("rec"), "values")))), F.lit(0))
         listed = F.when(type_name(member(F.col("rec"), "values")) == "list", listed).otherwise(0)
         counts = raw_groups.agg(F.count("*").alias("g"), F.coalesce(F.sum(listed), F.lit(0)).alias("v")).first()
-        scoped = lambda df, ddl: _conform(df.withColumn("resource_owner", F.lit(owner)).withColumn("resource_namespace", F.lit(namespace)), ddl)
+        scoped = lambda df, ddl: conform(df.withColumn("resource_owner", F.lit(owner)).withColumn("resource_namespace", F.lit(namespace)), ddl)
         return Catalog(
             owner,
             namespace,
             scoped(columns, COLUMNS),
             scoped(values, VALUES),
             scoped(rules, RULES),
-            _conform(issues, ISSUES),
+            conform(issues, ISSUES),
             {"columns": "column_descriptions.json", "values": value_file, "rules": rule_file},
             {"columns": raw_columns.count(), "value_groups": counts.g, "values": counts.v, "rules": raw_rules.count()},
         )
 
 
-def _conform(df: DataFrame, ddl: str) -> DataFrame:
+def conform(df: DataFrame, ddl: str) -> DataFrame:
     from pyspark.sql.types import _parse_datatype_string
 
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in _parse_datatype_string(ddl)])

@@ -16,6 +16,7 @@ from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestar.operators.search import SCOPE
 
@@ -23,13 +24,30 @@ TABLES = ("columns", "values", "rules", "chunks", "index")
 
 
 class View:
-    """The tables of some snapshots by name."""
+    """The tables of some snapshots by name.
 
-    def __init__(self, spark: SparkSession, folders: list[str]):
-        self.spark, self.folders = spark, folders
+    A snapshot has a folder for each table, or (after a change by rows) parts,
+    which may lie in the folders of snapshots before it.
+    """
+
+    def __init__(self, spark: SparkSession, snapshots: list[tuple[str, dict]]):
+        self.spark, self.snapshots = spark, snapshots
+
+    @property
+    def folders(self) -> list[str]:
+        return [f for f, _ in self.snapshots]
 
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(*[f"{f}/{name}" for f in self.folders])
+        paths, schema = [], None
+        for folder, parts in self.snapshots:
+            if name in parts:
+                schema = StructType.fromJson(json.loads(parts[name]["schema"]))
+                paths += [f"{folder.rsplit('/', 1)[0]}/{snapshot}/{name}/part={part}" for part, snapshot in parts[name]["parts"].items()]
+            else:
+                paths.append(f"{folder}/{name}")
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return (self.spark.read.schema(schema) if schema is not None else self.spark.read).parquet(*paths)
 
     def has(self, name: str) -> bool:
         where = [self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{f}/{name}") for f in self.folders]
@@ -37,7 +55,7 @@ class View:
         return all(w.getFileSystem(conf).exists(w) for w in where)
 
     def each(self) -> list[View]:
-        return [View(self.spark, [f]) for f in self.folders]
+        return [View(self.spark, [s]) for s in self.snapshots]
 
 
 class Store:
@@ -88,15 +106,20 @@ class Store:
         """A folder for a new snapshot that nobody sees yet."""
         return f"{self._scope(owner, namespace)}/snapshot-{uuid.uuid4().hex}"
 
-    def publish(self, owner: str, namespace: str, folder: str) -> None:
-        """Make a staged snapshot the visible one; those replaced longer ago than the retention time are deleted."""
+    def parts(self, owner: str, namespace: str) -> dict:
+        """Where the parts of the visible snapshot's tables lie: table to its schema and (part to snapshot); {} for whole tables."""
+        return (self._pointer(owner, namespace) or {}).get("parts", {})
+
+    def publish(self, owner: str, namespace: str, folder: str, parts: dict | None = None) -> None:
+        """Make a staged snapshot the visible one; those replaced longer ago than the retention time are deleted, unless it has parts of theirs."""
         scope, name, now = self._scope(owner, namespace), folder.rsplit("/", 1)[1], time.time()
         before = self._pointer(owner, namespace)
         replaced = [] if before is None else [*before.get("replaced", []), [before["snapshot"], now]]
         replaced = [r for r in replaced if r[0] != name]
-        kept = [r for r in replaced if now - r[1] < self.retention]
-        self._write_text(f"{scope}/current.json", json.dumps({"snapshot": name, "replaced": kept}))
-        for old, _ in replaced[: len(replaced) - len(kept)]:
+        held = {s for t in (parts or {}).values() for s in t["parts"].values()}
+        kept = [r for r in replaced if now - r[1] < self.retention or r[0] in held]
+        self._write_text(f"{scope}/current.json", json.dumps({"snapshot": name, "replaced": kept, "parts": parts or {}}))
+        for old in [r[0] for r in replaced if r not in kept]:
             self.discard(f"{scope}/{old}")
 
     def discard(self, folder: str) -> None:
@@ -115,10 +138,13 @@ class Store:
 
     def view(self, *scopes: tuple[str, str]) -> View:
         """A reader of tables by name: one scan over the files of the scopes' snapshots that are visible now, whatever is loaded later."""
-        folders = [f for f in (self.current(o, n) for o, n in scopes) if f]
-        if not folders:
+        found = []
+        for o, n in scopes:
+            if pointer := self._pointer(o, n):
+                found.append((f"{self._scope(o, n)}/{pointer['snapshot']}", pointer.get("parts", {})))
+        if not found:
             raise LookupError(f"nothing is stored for {', '.join(f'{o!r}/{n!r}' for o, n in scopes)}")
-        return View(self.spark, folders)
+        return View(self.spark, found)
 
     def table(self, name: str, owner: str, namespace: str) -> DataFrame:
         """A table of one scope: only its own files are listed and read."""
