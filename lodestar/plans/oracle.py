@@ -5,7 +5,7 @@ from __future__ import annotations
 from lodestar.functions.text import SEARCH_TERMS
 from lodestar.functions.vocabulary import DESCRIPTION_STOPWORDS, EMBEDDING_TERMS, LITERAL_REWRITES, NOISE_WORDS, PHRASE_REWRITES
 from lodestar.sources.schemas import FATAL
-from lodestar.plans.queries import ASKED, BEHIND, CATALOG, DELAY_HOURS, LIMIT, PAYLOADS, RULE_RECORDS, RULES, STRETCH_DAYS, TOP_K, VALUE_GROUPS, WEIGHTS
+from lodestar.plans.queries import ASKED, BEHIND, CATALOG, DELAY_HOURS, LIMIT, PAYLOADS, RULE_RECORDS, STRETCH_DAYS, TOP_K, VALUE_GROUPS, WEIGHTS
 from lodestar.functions.stemming import stem
 
 POOL = max(5 * TOP_K, 20)
@@ -141,10 +141,12 @@ _CAT = f"""
 cols AS (SELECT * FROM {_COLUMNS}),
 vals AS (SELECT col, t, c, v, row_number() OVER (PARTITION BY col ORDER BY v) AS nth FROM ({_VALUES}) WHERE v IS NOT NULL),
 card AS (SELECT col, t, c, count(*) AS n FROM vals GROUP BY col, t, c)"""
-_RULES = "(VALUES " + ", ".join(f"({i}, {_lit(r)}, {_lit(d)}, {len(refs)}, {len(terms)})" for i, (r, d, refs, terms) in enumerate(RULES)) + ") r(pos, rule_id, d, n_refs, n_terms)"
-_RULE_PARTS = ", ".join(
-    f"({_lit(r)}, {n}, {_lit(text)})" for r, _, refs, terms in RULES for n, text in enumerate([r, *terms, *(f"{t}::{c}" for t, c in refs)])
-)
+_LABELS = "[" + ", ".join(_lit(f"{t}::{c}") for t, c, _ in CATALOG) + "]"
+_RULES = """(SELECT s_suppkey AS pos, 'r-' || s_suppkey AS rule_id, s_name, s_nationkey AS priority, s_name || ' needs approval. Ask legal.' AS d,
+  1 + CAST(s_suppkey % 2 = 0 AS INTEGER) AS n_refs, 1 + CAST(s_suppkey % 3 = 0 AS INTEGER) AS n_terms FROM supplier)"""
+_RULE_PARTS = f"""SELECT rule_id AS k, 0 AS part, rule_id AS text FROM rules UNION ALL SELECT rule_id, 1, CASE WHEN n_terms = 2 THEN 'exec sign off' ELSE 'beta' END FROM rules
+  UNION ALL SELECT rule_id, 2, s_name FROM rules WHERE n_terms = 2 UNION ALL SELECT rule_id, 3, {_LABELS}[priority % {len(CATALOG)} + 1] FROM rules
+  UNION ALL SELECT rule_id, 4, {_LABELS}[(priority % {len(CATALOG)} + 1) % {len(CATALOG)} + 1] FROM rules WHERE n_refs = 2"""
 _NULL = "CAST(NULL AS VARCHAR)"
 
 
@@ -169,7 +171,7 @@ keys AS (SELECT k FROM kept),{_joined("exact", "pt", "keys")}"""
 def _rule_chunks() -> str:
     return f"""
 rules AS (SELECT * FROM {_RULES}),
-parts AS (SELECT * FROM (VALUES {_RULE_PARTS}) p(k, part, text)),{_tokens("pt", "parts")},
+parts AS ({_RULE_PARTS}),{_tokens("pt", "parts")},
 keys AS (SELECT rule_id AS k FROM rules),{_joined("exact", "pt", "keys")}"""
 
 
@@ -369,7 +371,7 @@ SELECT 'first' AS kind, user_id, event_type, event_id, true AS whole FROM ordere
         "rrf_full_outer": f"WITH {_SEARCH} SELECT q AS query_id, id, round(score, 9) AS score, round(lex_rank, 6) AS lex_rank, round(semantic_distance, 6) AS semantic_distance FROM fused",
         "hybrid_search_hits": hits,
         "fts_rank_phrase": f"WITH {_PHRASES} SELECT q AS query_id, id, round(CAST(CAST(sum(r) AS FLOAT) AS DOUBLE), 5) AS lex_rank FROM part GROUP BY q, id",
-        "namespace_replace": f"""WITH {_CAT} SELECT * FROM (SELECT 'column_definition' AS chunk_type, count(*) AS n FROM cols UNION ALL SELECT 'rule', {len(RULES)}
+        "namespace_replace": f"""WITH {_CAT} SELECT * FROM (SELECT 'column_definition' AS chunk_type, count(*) AS n FROM cols UNION ALL SELECT 'rule', count(*) FROM supplier
 UNION ALL SELECT 'value_definition', CAST(sum(n) AS BIGINT) FROM card WHERE n <= {LIMIT}) WHERE n > 0""",
         "scope_filter_count": "SELECT source AS resource_owner, lang AS resource_namespace, count(*) AS n FROM documents GROUP BY source, lang",
         "prepare_rewrites": f"SELECT doc_id, md5(p) AS digest, length(p) AS n FROM (SELECT doc_id, {_prepare('text')} AS p FROM documents)",
@@ -404,7 +406,7 @@ exact.text AS text_exact, {_compact("d")} AS text_semantic, coalesce(n, 0) AS va
         "chunk_union": f"""WITH {_CAT}, rules AS (SELECT * FROM {_RULES}), u AS (SELECT 0 AS s, pos AS g, 0 AS i, 'column_definition::' || t || '::' || c AS chunk_key, 'column_definition' AS chunk_type FROM cols
 UNION ALL SELECT 1, col, nth, 'value_definition::' || t || '::' || c || '::' || v, 'value_definition' FROM vals JOIN card USING (col, t, c) WHERE n <= {LIMIT}
 UNION ALL SELECT 2, pos, 0, 'rule::' || rule_id, 'rule' FROM rules) SELECT row_number() OVER (ORDER BY s, g, i) AS id, chunk_key, chunk_type FROM u""",
-        "rule_catalog": f"""WITH {_rule_chunks()} SELECT rule_id, exact.text AS text_exact, {_compact("d")} AS text_semantic, CAST(pos AS BIGINT) AS priority, CAST(n_terms AS BIGINT) AS n_triggers FROM exact JOIN rules ON exact.k = rule_id""",
+        "rule_catalog": f"""WITH {_rule_chunks()} SELECT rule_id, exact.text AS text_exact, {_compact("d")} AS text_semantic, CAST(priority AS BIGINT) AS priority, CAST(n_terms AS BIGINT) AS n_triggers FROM exact JOIN rules ON exact.k = rule_id""",
         "value_cardinality": f"WITH {_CAT} SELECT t AS table_name, c AS column_name, n, n <= {LIMIT} AS indexed, n > {LIMIT} AS mandatory FROM card",
         "mandatory_columns": f"WITH {_CAT} SELECT t AS table_name, c AS column_name, n FROM card WHERE n > {LIMIT}",
         "value_indexing_summary": f"""WITH {_CAT} SELECT count(*) FILTER (n <= {LIMIT}) AS indexed_value_groups, CAST(coalesce(sum(n) FILTER (n <= {LIMIT}), 0) AS BIGINT) AS indexed_values, count(*) AS total_value_groups,

@@ -48,10 +48,6 @@ CATALOG = (
     ("orders", "o_orderstatus", "Status of the order: not blocked, under review or closed"),
     ("customer", "c_mktsegment", "Market segment of the customer in Europe"),
 )
-RULES = (
-    ("r-open", "Open orders need approval. Ask legal.", (("orders", "o_orderstatus"), ("orders", "o_orderpriority")), ("open", "exec sign off")),
-    ("r-brand", "Brands in preview", (("part", "p_brand"),), ("beta",)),
-)
 REF = ["table_name", "column_name"]
 #: Records of drifting shape; @t and @c stand for a known table and column, @i for the row's key, @s for a text that repeats.
 PAYLOADS = ('[{"a":1},5]', '{"@w":[{"a":1},"x",[]]}', '{"other":1}', "5", '{"@w":7}', "[]", "null")
@@ -334,13 +330,16 @@ def catalog_values(spark, sf) -> DataFrame:
 
 
 def catalog_rules(spark, sf) -> DataFrame:
-    rows = [(i, r, d, [{"table_name": t, "column_name": c} for t, c in refs], list(terms), None, i, None) for i, (r, d, refs, terms) in enumerate(RULES)]
-    return _scoped(
-        spark.createDataFrame(
-            rows,
-            "pos long, rule_id string, description string, candidate_columns array<struct<table_name: string, column_name: string>>, trigger_terms array<string>, intent string, priority int, rule_text string",
-        )
-    )
+    """A rule for each supplier, about one or two columns of the catalog."""
+    refs = F.array(*[F.struct(F.lit(t).alias("table_name"), F.lit(c).alias("column_name")) for t, c, _ in CATALOG])
+    key, nth = F.col("s_suppkey"), (F.col("s_nationkey") % len(CATALOG)).cast("int")
+    both = F.array_compact(F.array(F.get(refs, nth), F.when(key % 2 == 0, F.get(refs, (nth + 1) % len(CATALOG)))))
+    terms = F.when(key % 3 == 0, F.array(F.lit("exec sign off"), F.col("s_name"))).otherwise(F.array(F.lit("beta")))
+    rules = _t(spark, sf, "supplier").select(
+        key.alias("pos"), F.concat(F.lit("r-"), key.cast("string")).alias("rule_id"), F.concat("s_name", F.lit(" needs approval. Ask legal.")).alias("description"), both.alias("candidate_columns"),
+        terms.alias("trigger_terms"), F.lit(None).cast("string").alias("intent"), F.col("s_nationkey").cast("int").alias("priority"), F.lit(None).cast("string").alias("rule_text"),
+    )
+    return _scoped(rules)
 
 
 _CHUNK = ["chunk_key", "chunk_type", *REF, "rule_id", "raw_value", "text_exact", "text_semantic"]
