@@ -441,8 +441,9 @@ cl AS (SELECT q, count(*) AS n, string_agg(t || '::' || c, ',' ORDER BY section,
 SELECT o_orderkey AS query_id, coalesce(n, 0) AS n_columns, coalesce(columns, '') AS columns, coalesce(rules, '') AS rules FROM orders LEFT JOIN cl ON cl.q = o_orderkey LEFT JOIN rl ON rl.q = o_orderkey""",
         "retrieval_summary": f"""WITH {_CANDIDATES}, h AS (SELECT q, count(*) AS n, string_agg(chunk_key, ',' ORDER BY pos) FILTER (pos <= 5) AS keys, string_agg(t || '::' || c, ',' ORDER BY pos) FILTER (pos <= 5 AND kind <> 'rule') AS cols FROM hits GROUP BY q),
 c AS (SELECT q, count(*) AS n, count(*) FILTER (section = 1) AS forced FROM cand GROUP BY q),
+k AS (SELECT q, string_agg(kind || ':' || n, ',' ORDER BY kind) AS kinds FROM (SELECT q, kind, count(*) AS n FROM hits GROUP BY q, kind) GROUP BY q),
 v AS (SELECT top2.q, count(*) AS n FROM top2 JOIN mv4 ON top2.q = mv4.q AND top2.rt = mv4.rt AND top2.rc = mv4.rc GROUP BY top2.q), r AS (SELECT top2.q, count(*) AS n FROM top2 JOIN mr4 ON top2.q = mr4.q AND top2.rt = mr4.rt AND top2.rc = mr4.rc GROUP BY top2.q)
-SELECT o_orderkey AS query_id, coalesce(h.n, 0) AS hit_count, CASE WHEN h.q IS NOT NULL THEN coalesce(keys, '') END AS keys, CASE WHEN h.q IS NOT NULL THEN coalesce(cols, '') END AS columns, coalesce(c.n, 0) AS candidate_column_count,
+SELECT o_orderkey AS query_id, coalesce(h.n, 0) AS hit_count, kinds, CASE WHEN h.q IS NOT NULL THEN coalesce(keys, '') END AS keys, CASE WHEN h.q IS NOT NULL THEN coalesce(cols, '') END AS columns, coalesce(c.n, 0) AS candidate_column_count,
 coalesce(v.n, 0) AS matched_value_count, coalesce(r.n, 0) AS matched_rule_count, coalesce(forced, 0) AS mandatory_injected_columns
-FROM orders LEFT JOIN h ON h.q = o_orderkey LEFT JOIN c ON c.q = o_orderkey LEFT JOIN v ON v.q = o_orderkey LEFT JOIN r ON r.q = o_orderkey""",
+FROM orders LEFT JOIN h ON h.q = o_orderkey LEFT JOIN k ON k.q = o_orderkey LEFT JOIN c ON c.q = o_orderkey LEFT JOIN v ON v.q = o_orderkey LEFT JOIN r ON r.q = o_orderkey""",
     }

@@ -594,9 +594,11 @@ def _parts(spark, sf) -> DataFrame:
 
 
 def keyword_coverage(spark, sf):
+    """Keywords that each document covers, documents taken as hits."""
     asked = F.array(*[F.lit(w) for w in ("license", "the", "ation", "src", "*** ", "zzz")])
-    rows = _t(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
-    return rows.select("doc_id", F.array_join(F.filter(asked, lambda k: F.contains(F.col("text"), k)), ",").alias("covered"))
+    none = F.lit(None).cast("string")
+    rows = _t(spark, sf, "documents").select("doc_id", F.col("text").alias("text_exact"), F.lit("").alias("text_semantic"), *[none.alias(c) for c in ("table_name", "column_name", "rule_id", "raw_value")], C.payload().alias("payload"))
+    return rows.select("doc_id", F.array_join(R.keyword_hits(asked), ",").alias("covered"))
 
 
 def rollup_scores(spark, sf):
@@ -666,7 +668,7 @@ def retrieval_summary(spark, sf):
     hits, asked, found = _candidates(spark, sf)
     s = R.retrieval_summary(hits, found, asked)
     return s.select(
-        "query_id", "hit_count", F.array_join("top_hit_chunk_keys", ",").alias("keys"), F.array_join("top_hit_columns", ",").alias("columns"), "candidate_column_count", "matched_value_count", "matched_rule_count", "mandatory_injected_columns"
+        "query_id", "hit_count", F.array_join(F.transform(F.map_entries("chunk_type_counts"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",").alias("kinds"), F.array_join("top_hit_chunk_keys", ",").alias("keys"), F.array_join("top_hit_columns", ",").alias("columns"), "candidate_column_count", "matched_value_count", "matched_rule_count", "mandatory_injected_columns"
     )
 
 
