@@ -5,7 +5,7 @@ from __future__ import annotations
 from lodestar.functions.text import SEARCH_TERMS
 from lodestar.functions.vocabulary import DESCRIPTION_STOPWORDS, EMBEDDING_TERMS, LITERAL_REWRITES, NOISE_WORDS, PHRASE_REWRITES
 from lodestar.sources.schemas import FATAL
-from lodestar.plans.queries import ASKED, BEHIND, CATALOG, DELAY_HOURS, LIMIT, PAYLOADS, RULE_RECORDS, STRETCH_DAYS, TOP_K, VALUE_GROUPS, WEIGHTS
+from lodestar.plans.queries import ASKED, BEHIND, CATALOG, DELAY_HOURS, FRAME_HOURS, GAP_HOURS, LIMIT, PAYLOADS, RULE_RECORDS, STRETCH_DAYS, TOP_K, VALUE_GROUPS, WEIGHTS
 from lodestar.functions.stemming import stem
 
 POOL = max(5 * TOP_K, 20)
@@ -357,6 +357,16 @@ FROM best JOIN documents ON doc_id = id WHERE hit_pos <= {TOP_K}"""
         "hybrid_rrf_topk": f"""WITH {_SEARCH}, best AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, lex_rank DESC NULLS LAST, semantic_distance ASC NULLS LAST, id) AS hit_pos FROM fused)
 SELECT q AS query_id, hit_pos, id, round(score, 9) AS score, round(lex_rank, 6) AS lex_rank, round(semantic_distance, 6) AS semantic_distance, lang, n_chars FROM best JOIN documents ON doc_id = id WHERE hit_pos <= {TOP_K}""",
         "lex_topn": f"WITH {_SEARCH} SELECT q AS query_id, id, round(lex_rank, 6) AS lex_rank, lex_pos FROM lex",
+        "asof_orders": """WITH e AS (SELECT event_id, user_id AS c, event_id * 7 % 2400 AS day FROM events),
+o AS (SELECT o_custkey AS c, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS day, o_orderkey, o_orderstatus FROM orders),
+l AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY c, day ORDER BY o_orderkey DESC) = 1)
+SELECT event_id, o_orderkey, o_orderstatus FROM e ASOF LEFT JOIN l ON e.c = l.c AND e.day >= l.day""",
+        "price_bands": """WITH b AS (SELECT p_partkey, p_retailprice * p_size AS low, p_retailprice * p_size + CASE WHEN p_size = 50 THEN CAST(2000 AS DOUBLE) ELSE p_size / CAST(4 AS DOUBLE) END AS high FROM part),
+p AS (SELECT l_extendedprice / l_quantity AS price FROM lineitem) SELECT p_partkey, count(*) AS n, max(price) AS largest FROM p JOIN b ON price >= low AND price < high GROUP BY p_partkey""",
+        "user_sessions": f"""WITH e AS (SELECT event_id, user_id, value, epoch_us(ts) AS us FROM events),
+g AS (SELECT *, coalesce(us - lag(us) OVER w > {GAP_HOURS} * CAST(3600000000 AS BIGINT), true) AS opens FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id))
+SELECT event_id, user_id, CAST(sum(CAST(opens AS INTEGER)) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session, opens AS session_start,
+round(sum(value) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN {FRAME_HOURS} * CAST(3600000000 AS BIGINT) PRECEDING AND CURRENT ROW), 4) AS recent FROM g""",
         "namespace_merge": _MERGED,
         "catalog_difference": _difference(),
         "unaccent_docs": """SELECT doc_id, md5(p) AS digest, length(p) AS n FROM (SELECT doc_id,

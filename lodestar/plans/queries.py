@@ -21,8 +21,10 @@ from lodestar.operators import vectors as V
 from lodestar.operators.fulltext import lexemes, match, parsed_query
 from lodestar.operators.difference import difference
 from lodestar.operators.integrity import duplicates, orphans
+from lodestar.operators.intervals import as_of, in_intervals
 from lodestar.operators.keys import keep_first, mark_duplicates, resolve_identity, split_reference, unique_match
 from lodestar.operators.postings import posting_blocks, sorted_blocks
+from lodestar.operators.sessions import sessions, trailing_sum
 from lodestar.plans.answer import retrieval_inputs
 from lodestar.plans.sql import register
 from lodestar.sources.catalog_json import conform, parse_columns, parse_rules, parse_values, records, register_adapter
@@ -385,6 +387,37 @@ def value_indexing_summary(spark, sf):
     return found.withColumn("mandatory_description_labels", F.array_join("mandatory_description_labels", ","))
 
 
+# --- time and intervals ---------------------------------------------------------------------
+
+
+def asof_orders(spark, sf):
+    """For each event, with a day made of its id, the user's last order until then."""
+    events = _t(spark, sf, "events").select("event_id", F.col("user_id").alias("c"), (F.col("event_id") * 7 % 2400).alias("day"))
+    orders = _t(spark, sf, "orders").select(F.col("o_custkey").alias("c"), F.datediff("o_orderdate", F.lit("1995-01-01").cast("date")).cast("long").alias("day"), "o_orderkey", "o_orderstatus")
+    found = as_of(events, orders, ["c"], "day", ["o_orderkey", "o_orderstatus"], ["o_orderkey"], stretch=F.floor(F.col("day") / 365))
+    return found.select("event_id", F.col("asof_o_orderkey").alias("o_orderkey"), F.col("asof_o_orderstatus").alias("o_orderstatus"))
+
+
+def price_bands(spark, sf):
+    """How many unit prices of lines lie in the price band of each part that has any, and their largest."""
+    low = F.col("p_retailprice") * F.col("p_size")
+    bands = _t(spark, sf, "part").select("p_partkey", low.alias("low"), (low + F.when(F.col("p_size") == 50, 2000.0).otherwise(F.col("p_size") / 4)).alias("high"))
+    prices = _t(spark, sf, "lineitem").select((F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    return in_intervals(prices, bands, "price", "low", "high", 5.0).groupBy("p_partkey").agg(F.count("*").alias("n"), F.max("price").alias("largest"))
+
+
+GAP_HOURS, FRAME_HOURS = 8, 48
+
+
+def user_sessions(spark, sf):
+    """Events of each user by sessions, and what their values of the last two days sum up to."""
+    events = _t(spark, sf, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "value")
+    hour = 3_600_000_000
+    found = sessions(events, ["user_id"], F.col("us"), "event_id", GAP_HOURS * hour, 72 * hour)
+    found = trailing_sum(found, ["user_id"], F.col("us"), "value", FRAME_HOURS * hour, "recent")
+    return found.select("event_id", "user_id", "session", "session_start", F.round("recent", 4).alias("recent"))
+
+
 # --- keys and references --------------------------------------------------------------------
 
 
@@ -753,7 +786,7 @@ _ALL: tuple[Query, ...] = (
     rule_dedup_stateful, infer_table_name, candidate_ref_parse, resolve_column_identity, unknown_refs_anti, known_refs_semi, key_violations, foreign_key_orphans, issues_histogram,
     issues_payloads, issues_values, fatal_issues, parsed_values, issues_rules, parsed_rules,
     keyword_coverage, rollup_scores, rule_bonus, matched_values_top4, matched_rules_top4, supporting_top6, candidate_top5, mandatory_injection, prompt_projection, retrieval_summary,
-    namespace_replace, namespace_merge, catalog_difference,
+    namespace_replace, namespace_merge, catalog_difference, asof_orders, price_bands, user_sessions,
 )
 
 
