@@ -328,6 +328,24 @@ def _difference() -> str:
     return "WITH " + ",\n".join(parts) + "\n" + " UNION ALL ".join(f"SELECT name, key, '{k}' AS change, CAST({c} AS BIGINT) AS n FROM counts WHERE {c} > 0" for k, c in kinds)
 
 
+def _policy() -> str:
+    """Distinct values of each column, counted."""
+    columns = {
+        "part": ("p_partkey", "p_name p_brand p_type p_size p_retailprice"),
+        "customer": ("c_custkey", "c_name c_nationkey c_acctbal c_mktsegment"),
+        "supplier": ("s_suppkey", "s_name s_nationkey s_acctbal"),
+        "orders": ("o_orderkey", "o_orderstatus o_totalprice o_orderpriority"),
+        "events": ("event_id", "event_type value"),
+        "nation": ("n_nationkey", "n_nationkey n_name n_regionkey"),
+        "documents": ("doc_id", "lang source"),
+    }
+    parts = []
+    for table, (key, names) in columns.items():
+        every = {n: n for n in names.split()} | {f"{key}_mod_{m}": f"{key} % {m}" for m in (24, 25, 26, 49, 53)} | {f"{key}_none": "CAST(NULL AS VARCHAR)"}
+        parts += [f"SELECT {_lit(table)} AS table_name, {_lit(n)} AS column_name, count(*) AS n, count(*) FILTER ({c} IS NULL) AS n_null, count(DISTINCT {c}) AS d FROM {table}" for n, c in every.items()]
+    return f"SELECT table_name, column_name, n, n_null, d BETWEEN 1 AND {LIMIT} AS indexed, d > {LIMIT} AS mandatory FROM ({' UNION ALL '.join(parts)})"
+
+
 def oracle_sql() -> dict[str, str]:
     metrics = _text_metrics("text")
     d_tokens = f"WITH {_DOCS},{_tokens('tk', 'd')}"
@@ -367,6 +385,7 @@ p AS (SELECT l_extendedprice / l_quantity AS price FROM lineitem) SELECT p_partk
 g AS (SELECT *, coalesce(us - lag(us) OVER w > {GAP_HOURS} * CAST(3600000000 AS BIGINT), true) AS opens FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id))
 SELECT event_id, user_id, CAST(sum(CAST(opens AS INTEGER)) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session, opens AS session_start,
 round(sum(value) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN {FRAME_HOURS} * CAST(3600000000 AS BIGINT) PRECEDING AND CURRENT ROW), 4) AS recent FROM g""",
+        "policy_from_sketches": _policy(),
         "namespace_merge": _MERGED,
         "catalog_difference": _difference(),
         "unaccent_docs": """SELECT doc_id, md5(p) AS digest, length(p) AS n FROM (SELECT doc_id,

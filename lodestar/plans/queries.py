@@ -15,6 +15,7 @@ from lodestar.functions import metrics as M
 from lodestar.functions import text as T
 from lodestar.functions.unaccent import unaccented
 from lodestar.operators import chunks as C
+from lodestar.operators import profile as P
 from lodestar.operators import rollup as R
 from lodestar.operators import search as S
 from lodestar.operators import vectors as V
@@ -377,6 +378,28 @@ def value_cardinality(spark, sf):
     return found.select(*REF, F.col("value_cardinality").cast("long").alias("n"), "indexed", "mandatory")
 
 
+def _profiled(spark, sf) -> DataFrame:
+    """Every value of a few dozen columns of the driver's tables, in three loads."""
+    parts = []
+    for table, key in (("part", "p_partkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey"), ("orders", "o_orderkey"), ("events", "event_id"), ("nation", "n_nationkey"), ("documents", "doc_id")):
+        df = _t(spark, sf, table)
+        texts = {f.name: F.col(f.name).cast("string") for f in df.schema if f.dataType.simpleString() in ("string", "int", "double") and f.name not in ("text", "props")}
+        odd = {f"{key}_mod_{m}": (F.col(key) % m).cast("string") for m in (24, 25, 26, 49, 53)} | {f"{key}_none": F.lit(None).cast("string")}
+        pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("column_name"), c.alias("raw_value")) for n, c in (texts | odd).items()]))
+        parts.append(df.select(F.lit(table).alias("table_name"), (F.col(key) % 3).alias("load"), pairs.alias("p")).select("table_name", "load", "p.*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def policy_from_sketches(spark, sf):
+    """The cardinality policy of columns from merged profiles of three loads, with the values' counts."""
+    values = _profiled(spark, sf)
+    loads = [values.where(F.col("load") == n).drop("load") for n in range(3)]
+    states = stored(reduce(DataFrame.unionByName, [P.profile(v) for v in loads]), "profiles")
+    whole = stored(P.merged(states), "merged-profiles")
+    found = P.policy(whole, loads, LIMIT)
+    return found.join(whole.select(*REF, "n", "n_null"), REF).select(*REF, "n", "n_null", "indexed", "mandatory")
+
+
 def mandatory_columns(spark, sf):
     flagged = C.with_policy(catalog_columns(spark, sf), C.cardinality(catalog_values(spark, sf), LIMIT))
     return flagged.where("mandatory_description_in_prompt").select(*REF, F.col("value_cardinality").cast("long").alias("n"))
@@ -782,7 +805,7 @@ def catalog_difference(spark, sf):
 _ALL: tuple[Query, ...] = (
     hybrid_rrf_topk, lex_topn, sem_topn, semantic_approximate, semantic_index_full, rrf_full_outer, hybrid_search_hits, hybrid_search_sql, fts_rank_phrase, scope_filter_count, prepare_rewrites, unaccent_docs, tokenize_docs, alias_expand, dedupe_terms, compact_sentence,
     description_keywords, build_text_exact, text_metrics, estimate_tokens, collection_summary, count_by_key, retrieval_inputs_batch, hash_embedding_tokens, embed_text_docs,
-    column_definition_chunks, value_definition_chunks, rule_chunks, chunk_union, rule_catalog, value_cardinality, mandatory_columns, value_indexing_summary, first_wins_dedup, first_wins_stream,
+    column_definition_chunks, value_definition_chunks, rule_chunks, chunk_union, rule_catalog, value_cardinality, policy_from_sketches, mandatory_columns, value_indexing_summary, first_wins_dedup, first_wins_stream,
     rule_dedup_stateful, infer_table_name, candidate_ref_parse, resolve_column_identity, unknown_refs_anti, known_refs_semi, key_violations, foreign_key_orphans, issues_histogram,
     issues_payloads, issues_values, fatal_issues, parsed_values, issues_rules, parsed_rules,
     keyword_coverage, rollup_scores, rule_bonus, matched_values_top4, matched_rules_top4, supporting_top6, candidate_top5, mandatory_injection, prompt_projection, retrieval_summary,
