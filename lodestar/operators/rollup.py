@@ -33,13 +33,6 @@ def keyword_hits(keywords: Column) -> Column:
     return T.let(haystack(), lambda text: F.filter(keywords, lambda k: F.contains(text, k)))
 
 
-def ordered_sum(*order_and_value: str) -> Column:
-    """A sum in a fixed order, so that equal inputs give equal bits."""
-    *order, value = order_and_value
-    parts = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("x"))))
-    return F.aggregate(parts, F.lit(0.0), lambda s, p: s + p["x"])
-
-
 def contributions(hits: DataFrame, keywords: DataFrame, weights: dict[str, float]) -> DataFrame:
     """A row for each hit and column that it counts for: ref, hit_pos, place, points, coverage and the hit.
 
@@ -60,41 +53,79 @@ def contributions(hits: DataFrame, keywords: DataFrame, weights: dict[str, float
     return own.unionByName(rules.select(own.columns))
 
 
+def by_column(parts: DataFrame) -> DataFrame:
+    """query_id, ref and ``entries``: what counts for the column, in the order of hits.
+
+    A question has no more hits than its limit, so its entries are few. They
+    are dealt by question, once: what follows groups and ranks inside it.
+    """
+    gloss = F.when(F.col("chunk_type") == "value_definition", T.compact_sentence(F.col("payload.value_gloss")))
+    entry = F.struct(
+        "hit_pos", "place", "chunk_type", "chunk_key", "points", "score", "coverage", "raw_value", gloss.alias("value_gloss"),
+        F.coalesce("payload.synonyms", F.array().cast("array<string>")).alias("synonyms"), "rule_id", "text_semantic",
+    )
+    rows = parts.select("query_id", *REF, entry.alias("entry")).repartition("query_id")
+    return rows.groupBy("query_id", *REF).agg(F.array_sort(F.collect_list("entry")).alias("entries"))
+
+
+def scores() -> dict[str, Column]:
+    """The sum of the points, in the order of hits, and the terms that are covered, sorted."""
+    total = F.aggregate("entries", F.lit(0.0), lambda s, e: s + e["points"])
+    return {"score": total, "coverage_terms": F.array_sort(F.array_distinct(F.flatten(F.transform("entries", lambda e: e["coverage"]))))}
+
+
+def _first(items: Column, n: int) -> Column:
+    """The payloads ``v`` of the first n items in the order of the fields before it."""
+    return F.transform(F.slice(F.array_sort(items), 1, n), lambda x: x["v"])
+
+
+def top_values() -> Column:
+    """The values that were hit: unweighted sums, the first hit's gloss and synonyms; best four."""
+    hit = F.filter("entries", lambda e: (e["chunk_type"] == "value_definition") & (e["raw_value"] != ""))
+
+    def item(name: Column) -> Column:
+        mine = F.filter(hit, lambda e: e["raw_value"] == name)
+        total, first = F.aggregate(mine, F.lit(0.0), lambda s, e: s + e["score"]), F.element_at(mine, 1)
+        v = F.struct(name.alias("raw_value"), total.alias("score"), first["value_gloss"].alias("value_gloss"), first["synonyms"].alias("synonyms"))
+        return F.struct((-total).alias("o"), name.alias("k"), v.alias("v"))
+
+    return _first(F.transform(F.array_distinct(F.transform(hit, lambda e: e["raw_value"])), item), TOP_VALUES)
+
+
+def top_rules() -> Column:
+    """The rules that name the column; of repeated hits of a rule the last counts; best four."""
+    hit = F.filter("entries", lambda e: e["chunk_type"] == "rule")
+
+    def item(name: Column) -> Column:
+        last = F.element_at(F.filter(hit, lambda e: e["rule_id"].eqNullSafe(name)), -1)
+        v = F.struct(name.alias("rule_id"), last["points"].alias("score"), last["text_semantic"].alias("text_semantic"))
+        return F.struct((-last["points"]).alias("o"), name.alias("k"), v.alias("v"))
+
+    return _first(F.transform(F.array_distinct(F.transform(hit, lambda e: e["rule_id"])), item), TOP_RULES)
+
+
+def top_chunks() -> Column:
+    """The hits other than rules that the column's score is made of; best six."""
+    hit = F.filter("entries", lambda e: e["chunk_type"] != "rule")
+    body = lambda e: F.struct(*[e[c].alias(c) for c in ("chunk_key", "chunk_type", "score")], *[F.col(c) for c in REF], e["raw_value"].alias("raw_value"))
+    return _first(F.transform(hit, lambda e: F.struct((-e["score"]).alias("o"), e["chunk_key"].alias("k"), e["hit_pos"].alias("p"), body(e).alias("v"))), TOP_CHUNKS)
+
+
 def column_scores(parts: DataFrame) -> DataFrame:
     """query_id, ref, score, coverage_terms (sorted)."""
-    return parts.groupBy("query_id", *REF).agg(
-        ordered_sum("hit_pos", "place", "points").alias("score"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("coverage")))).alias("coverage_terms"),
-    )
+    return by_column(parts).select("query_id", *REF, *[c.alias(n) for n, c in scores().items()])
 
 
 def matched_values(parts: DataFrame) -> DataFrame:
-    """The values of each column that were hit: unweighted sums, the first hit's gloss and synonyms; best four."""
-    rows = parts.where((F.col("chunk_type") == "value_definition") & (F.col("raw_value") != ""))
-    each = rows.groupBy("query_id", *REF, "raw_value").agg(
-        ordered_sum("hit_pos", "score").alias("score"),
-        F.min_by(F.struct(T.compact_sentence(F.col("payload.value_gloss")).alias("value_gloss"), F.coalesce("payload.synonyms", F.array().cast("array<string>")).alias("synonyms")), "hit_pos").alias("first"),
-    )
-    item = F.struct((-F.col("score")).alias("o"), F.col("raw_value").alias("k"), F.struct("raw_value", "score", "first.value_gloss", "first.synonyms").alias("v"))
-    return each.groupBy("query_id", *REF).agg(_best(item, TOP_VALUES).alias("matched_values"))
+    return by_column(parts).select("query_id", *REF, top_values().alias("matched_values"))
 
 
 def matched_rules(parts: DataFrame) -> DataFrame:
-    """The rules that name each column; of repeated hits of a rule the last counts; best four."""
-    last = parts.where(F.col("chunk_type") == "rule").groupBy("query_id", *REF, "rule_id").agg(F.max_by(F.struct(F.col("points").alias("score"), "text_semantic"), F.struct("hit_pos", "place")).alias("last"))
-    item = F.struct((-F.col("last.score")).alias("o"), F.col("rule_id").alias("k"), F.struct("rule_id", "last.score", "last.text_semantic").alias("v"))
-    return last.groupBy("query_id", *REF).agg(_best(item, TOP_RULES).alias("matched_rules"))
+    return by_column(parts).select("query_id", *REF, top_rules().alias("matched_rules"))
 
 
 def supporting_chunks(parts: DataFrame) -> DataFrame:
-    """The hits other than rules that each column's score is made of; best six."""
-    item = F.struct((-F.col("score")).alias("o"), F.col("chunk_key").alias("k"), F.col("hit_pos").alias("p"), F.struct("chunk_key", "chunk_type", "score", "table_name", "column_name", "raw_value").alias("v"))
-    return parts.where(F.col("chunk_type") != "rule").groupBy("query_id", *REF).agg(_best(item, TOP_CHUNKS).alias("supporting_chunks"))
-
-
-def _best(item: Column, n: int) -> Column:
-    """The payloads ``v`` of the first n items in the order of the fields before it."""
-    return F.transform(F.slice(F.array_sort(F.collect_list(item)), 1, n), lambda x: x["v"])
+    return by_column(parts).select("query_id", *REF, top_chunks().alias("supporting_chunks"))
 
 
 def rank_columns(scores: DataFrame, top: int) -> DataFrame:
@@ -109,10 +140,9 @@ def candidate_columns(hits: DataFrame, queries: DataFrame, columns: DataFrame, w
     The best columns come first (section 0), then, uncapped, the mandatory
     columns of the scope that are not among them (section 1).
     """
-    parts = contributions(hits, queries, weights)
-    ranked = rank_columns(column_scores(parts), top)
-    for extra in (matched_values(parts), matched_rules(parts), supporting_chunks(parts)):
-        ranked = ranked.join(extra, ["query_id", *REF], "left")
+    grouped = by_column(contributions(hits, queries, weights)).select("query_id", *REF, "entries", *[c.alias(n) for n, c in scores().items()])
+    details_of = {"matched_values": top_values(), "matched_rules": top_rules(), "supporting_chunks": top_chunks()}  # of the best columns alone
+    ranked = rank_columns(grouped, top).withColumns(details_of).drop("entries")
     scope = queries.select("query_id", *SCOPE)
     details = columns.select(*SCOPE, *REF, "raw_column_name", "description", "aliases", "data_type", "value_cardinality", "mandatory_description_in_prompt")
     found = ranked.join(scope, "query_id").join(details, [*SCOPE, *REF], "left").withColumn("section", F.lit(0)).withColumn("injection_source", F.lit("retrieval"))
