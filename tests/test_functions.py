@@ -164,7 +164,7 @@ def test_alias_expand_reads_past_the_first_sentence(spark, tmp_path):
     from lodestar.plans.queries import queries
 
     def following(words, terms):
-        return [x for w in words for x in [w, *[terms[w]] * (w in terms)]]
+        return [x for w in words for x in ([w, terms[w]] if w in terms else [w])]
 
     texts = {1: "One is here. Two is amber! Three is severe? four", 2: "", 3: None}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
