@@ -46,12 +46,17 @@ def unaccent(text: str) -> str:
 
 
 def unaccented(text: Column) -> Column:
-    """The same for a column: one translation for rules of a letter or none, a look-up of each letter for texts that hold one of the others."""
+    """The same for a column: one translation for rules of a letter or none, a replacement for each rule of the table, a look-up of letters for texts that hold a ligature."""
     single = {a: b for a, b in rules().items() if len(b) == 1}
     gone = "".join(a for a, b in rules().items() if not b)
     several = {a: b for a, b in rules().items() if len(b) > 1}
     plain = F.translate(text, "".join(single) + gone, "".join(single.values()))
+    for a in [a for a in several if a in RULES]:
+        plain = F.replace(plain, F.lit(a), F.lit(several.pop(a)))
     table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
-    looked_up = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    holds = F.regexp_like(plain, F.lit("[" + "".join(several) + "]"))
-    return F.when(F.regexp_like(text, F.lit(_ASCII)), text).when(holds, looked_up).otherwise(plain)
+
+    def looked_up(p: Column) -> Column:
+        letters = F.transform(F.split(p, ""), lambda c: F.coalesce(F.try_element_at(table, c), c))
+        return F.when(F.regexp_like(p, F.lit("[" + "".join(several) + "]")), F.array_join(letters, "")).otherwise(p)
+
+    return F.when(F.regexp_like(text, F.lit(_ASCII)), text).otherwise(F.get(F.transform(F.array(plain), looked_up), 0))
