@@ -15,22 +15,27 @@ _CHUNKS = "array<struct<chunk_key: string, chunk_type: string, score: double, ta
 TOP_VALUES, TOP_RULES, TOP_CHUNKS = 4, 4, 6
 
 
-def haystack() -> Column:
-    """The lower-cased text of a hit in which keywords are looked for."""
+def haystack(gaps: bool = True) -> Column:
+    """The lower-cased text of a hit in which keywords are looked for.
+
+    Its fields are joined by spaces. With ``gaps`` an empty field has its space
+    too, so a keyword that ends with one is found at the end of the text.
+    """
     joined = lambda c: F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), " ")
     refs = F.filter(F.coalesce(F.col("payload.candidate_columns"), F.array().cast("array<struct<table_name: string, column_name: string>>")), lambda r: _named(r["table_name"], r["column_name"]))
     labels = F.array_join(F.transform(refs, lambda r: T.label(r["table_name"], r["column_name"])), " ")
     plain = [F.coalesce(F.col(c), F.lit("")) for c in ("text_exact", "column_name", "raw_value", "payload.raw_column_name")]
-    return F.lower(F.concat_ws(" ", *plain, joined("payload.aliases"), joined("payload.synonyms"), joined("payload.business_tags"), labels, joined("payload.trigger_terms")))
+    fields = [*plain, joined("payload.aliases"), joined("payload.synonyms"), joined("payload.business_tags"), labels, joined("payload.trigger_terms")]
+    return F.lower(F.concat_ws(" ", *(fields if gaps else [F.nullif(f, F.lit("")) for f in fields])))
 
 
 def _named(table: Column, column: Column) -> Column:
     return F.coalesce((table != "") & (column != ""), F.lit(False))
 
 
-def keyword_hits(keywords: Column) -> Column:
+def keyword_hits(keywords: Column, gaps: bool = True) -> Column:
     """Keywords that occur anywhere in the hit's text, inside words too."""
-    return T.let(haystack(), lambda text: F.filter(keywords, lambda k: F.contains(text, k)))
+    return T.let(haystack(gaps), lambda text: F.filter(keywords, lambda k: F.contains(text, k)))
 
 
 def contributions(hits: DataFrame, keywords: DataFrame, weights: dict[str, float]) -> DataFrame:
