@@ -17,12 +17,18 @@ rules would keep them whole.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -37,12 +43,88 @@ WEIGHT_A, WEIGHT_B = 1.0, 0.4
 QUERY_TYPE = "array<struct<grp: int, term: int, negated: boolean, lexemes: array<struct<lexeme: string, offset: int>>>>"
 
 
-def lexemes(chunks: DataFrame, keys: list[str], exact_col: str = "text_exact", semantic_col: str = "text_semantic") -> DataFrame:
-    """``keys``, lexeme, pos (from 1), weight (``A`` or ``B``): the inverted index of ``chunks``."""
+def words(c: str) -> Column:
+    """The lower-cased words of a text column."""
+    return F.array_remove(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), SEPARATORS), "")
+
+
+def worded(chunks: DataFrame, keys: list[str], exact_col: str = "text_exact", semantic_col: str = "text_semantic") -> DataFrame:
+    """``keys`` and the words of both parts, as arrays ``a`` and ``b``."""
+    none = F.array().cast("array<string>")
+    return chunks.select(*keys, words(exact_col).alias("a"), F.when(F.length(semantic_col) > 0, words(semantic_col)).otherwise(none).alias("b"))
+
+
+#: Words of chunks that are grouped at a time.
+STRETCH = 1 << 19
+
+
+@lru_cache(1 << 17)
+def _semantic(word: str) -> str | None:
+    return None if word in ENGLISH_STOPWORDS else stem(word)
+
+
+def _flat(column: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The items of all lists, the row of each and its place from 1."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    rows = np.repeat(np.arange(len(column)), np.diff(offsets))
+    items = column.values.slice(offsets[0], offsets[-1] - offsets[0])
+    return items, rows, np.arange(len(items)) - (offsets[:-1] - offsets[0])[rows] + 1
 
-    def words(c: str) -> Column:
-        return F.array_remove(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), SEPARATORS), "")
 
+def _stretches(batches: Iterator[pa.RecordBatch], run_of: Callable[[pa.RecordBatch], np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+    """Rows with about STRETCH words at a time; rows next to each other of one run stay together."""
+    held = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held = batch if held is None else pa.concat_batches([held, batch])
+        if held is None or not held.num_rows:
+            continue
+        first = np.arange(held.num_rows) if run_of is None else np.flatnonzero(np.diff(run_of(held), prepend=-1))
+        upto = held.num_rows if batch is None or run_of is None else int(first[-1])  # the last run may go on
+        sizes = np.cumsum([len(a) + len(b) for a, b in zip(*(held.column(held.schema.get_field_index(c)) for c in "ab"))])
+        cuts = first[1:][np.diff(sizes[first] // STRETCH) > 0]
+        cuts = [0, *cuts[cuts < upto].tolist(), upto]
+        yield from (held.slice(i, j - i) for i, j in itertools.pairwise(cuts) if j > i)
+        held = held.slice(upto)
+
+
+def occurrences(batches: Iterator[pa.RecordBatch], run_of: Callable[[pa.RecordBatch], np.ndarray] | None = None) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows as :func:`worded` makes them, some at a time: the rows, their lexemes, and for each occurrence its lexeme, row and code.
+
+    A code is twice the position, plus one in the B part. ``run_of``: a number
+    for each row; rows next to each other with the same one come together.
+    """
+    for some in _stretches(batches, run_of):
+        (a, row_a, at_a), (b, row_b, at_b) = (_flat(some.column(some.schema.get_field_index(c))) for c in "ab")
+        a, b = a.dictionary_encode(), b.dictionary_encode()
+        stems = [_semantic(w) for w in b.dictionary.to_pylist()]
+        every = pa.concat_arrays([a.dictionary.cast("string"), pa.array(stems, "string")]).dictionary_encode()
+        found = every.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        lex_a, lex_b = found[: len(a.dictionary)][a.indices.to_numpy()], found[len(a.dictionary) :][b.indices.to_numpy()]
+        shift = np.bincount(row_a, minlength=some.num_rows)
+        kept = lex_b >= 0  # stop words take up places alone
+        row_b, at_b = row_b[kept], at_b[kept]
+        yield some, every.dictionary, np.concatenate([lex_a, lex_b[kept]]), np.concatenate([row_a, row_b]), np.concatenate([at_a * 2, (shift[row_b] + at_b) * 2 + 1])
+
+
+def lexemes_of(chunks: DataFrame, keys: list[str], names: list[str], exact_col: str = "text_exact", semantic_col: str = "text_semantic") -> DataFrame:
+    """:func:`lexemes` of these names alone: other words never leave the task that reads them."""
+    asked = pa.array(names, "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, every, lex, row, code in occurrences(batches):
+            kept = np.isin(lex, np.flatnonzero(pc.is_in(every, asked)))
+            lex, row, code = lex[kept], row[kept], code[kept]
+            yield pa.RecordBatch.from_arrays(
+                [*[some.column(i).take(pa.array(row)) for i in range(len(keys))], every.take(pa.array(lex)), pa.array(code // 2, "int32"), pa.array(np.where(code % 2, "B", "A"), "string")], names=[*keys, "lexeme", "pos", "weight"]
+            )
+
+    kinds = ", ".join(f"`{k}` {chunks.schema[k].dataType.simpleString()}" for k in keys)
+    return worded(chunks, keys, exact_col, semantic_col).mapInArrow(run, f"{kinds}, lexeme string, pos int, weight string")
+
+
+def lexemes(chunks: DataFrame, keys: list[str], exact_col: str = "text_exact", semantic_col: str = "text_semantic") -> DataFrame:
+    """``keys``, lexeme, pos (from 1), weight (``A`` or ``B``): the inverted index of ``chunks``."""
     # outer: else the optimizer would add a filter that splits each text twice
     exact = chunks.select(*keys, F.posexplode_outer(words(exact_col)).alias("i", "lexeme")).where("lexeme IS NOT NULL")
     exact = exact.select(*keys, "lexeme", (F.col("i") + 1).alias("pos"), F.lit("A").alias("weight"))

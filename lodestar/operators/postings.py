@@ -15,10 +15,14 @@ read and ranked exactly. Skipping never changes the first k rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.operators.fulltext import WEIGHT_A, WEIGHT_B, Asked, asked_of, rank_matches, rank_words
+from lodestar.operators.fulltext import WEIGHT_A, WEIGHT_B, Asked, asked_of, occurrences, rank_matches, rank_words, worded
 from lodestar.sources.shared import stored
 
 #: A span is two to this power of ids.
@@ -49,10 +53,78 @@ def posting_blocks(index: DataFrame, scope: list[str], doc: str = "id") -> DataF
     return each.groupBy(*keys).agg(F.max(weight).alias("max_weight"), F.max(F.col("a") + F.col("b")).alias("max_count"), F.array_sort(F.collect_list(F.struct("at", "a", "b", "deltas"))).alias("docs"))
 
 
+def chunk_blocks(chunks: DataFrame, scope: list[str], doc: str = "id", exact_col: str = "text_exact", semantic_col: str = "text_semantic") -> DataFrame:
+    """:func:`posting_blocks` of the texts of ``chunks``, without a row for each word.
+
+    Texts are dealt by span of ids, so one task groups all words of a span and
+    its blocks need no other exchange. Chunks without an id are not found.
+    """
+    ids = F.col(doc).cast("long")
+    keyed = chunks.where(ids.isNotNull()).select(*scope, ids.alias("id"), exact_col, semantic_col)
+    span = [*scope, F.shiftright("id", SPAN_BITS)]
+    dealt = worded(keyed.repartition(*span).sortWithinPartitions(*span), [*scope, "id"], exact_col, semantic_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in occurrences(batches, lambda rows: _runs(rows, len(scope))):
+            if len(found[-1]):
+                yield _grouped(scope, *found)
+
+    kinds = ", ".join(f"`{c}` {keyed.schema[c].dataType.simpleString()}" for c in scope)
+    return dealt.mapInArrow(run, f"{kinds}, lexeme string, block long, max_weight double, max_count int, docs array<struct<at: int, a: int, b: int, deltas: array<int>>>")
+
+
+def _places(rows: pa.RecordBatch, n: int) -> np.ndarray:
+    """A number for each row's scope, the first ``n`` columns."""
+    place = np.zeros(rows.num_rows, dtype=np.int64)
+    for i in range(n):
+        each = rows.column(i).dictionary_encode()
+        place = place * (len(each.dictionary) + 1) + each.indices.fill_null(len(each.dictionary)).to_numpy(zero_copy_only=False)
+    return place
+
+
+def _runs(rows: pa.RecordBatch, n: int) -> np.ndarray:
+    """Rows next to each other of one scope and span have one number."""
+    place, block = _places(rows, n), rows.column(n).to_numpy() >> SPAN_BITS
+    return np.cumsum((np.diff(place, prepend=-1) != 0) | (np.diff(block, prepend=block[:1]) != 0))
+
+
+def _grouped(scope: list[str], rows: pa.RecordBatch, names: pa.Array, lexeme: np.ndarray, row: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
+    """Occurrences by scope, lexeme and span of ids, with the documents of each in order."""
+    ids = rows.column(len(scope)).to_numpy()
+    place = _places(rows, len(scope))
+    _, rank = np.unique(np.rec.fromarrays([place, ids]), return_inverse=True)
+    key = lexeme * len(ids) + rank[row]
+    order = np.lexsort((code, key))
+    key, lexeme, row, code = key[order], lexeme[order], row[order], code[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))  # of each document's postings of a lexeme
+    deltas = np.diff(code, prepend=0)
+    deltas[first] = code[first]
+    b = np.add.reduceat(code % 2, first)
+    size = np.diff(first, append=len(code))
+    lexeme, row = lexeme[first], row[first]
+    block = ids[row] >> SPAN_BITS
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (np.diff(lexeme) != 0) | (np.diff(place[row]) != 0) | (np.diff(block) != 0)
+    begin = np.flatnonzero(new)
+    ints = lambda x: pa.array(x, "int32")
+    docs = pa.StructArray.from_arrays(
+        [ints(ids[row] & ((1 << SPAN_BITS) - 1)), ints(size - b), ints(b), pa.ListArray.from_arrays(ints(np.append(first, len(code))), ints(deltas))], names=["at", "a", "b", "deltas"]
+    )
+    weight = np.maximum.reduceat((size - b) * WEIGHT_A + b * WEIGHT_B, begin)
+    one = pa.array(row[begin])
+    return pa.RecordBatch.from_arrays(
+        [*[rows.column(i).take(one) for i in range(len(scope))], names.take(pa.array(lexeme[begin])), pa.array(block[begin]), pa.array(weight), ints(np.maximum.reduceat(size, begin)), pa.ListArray.from_arrays(ints(np.append(begin, len(row))), docs)],
+        names=[*scope, "lexeme", "block", "max_weight", "max_count", "docs"],
+    )
+
+
 def sorted_blocks(blocks: DataFrame, scope: list[str]) -> DataFrame:
-    """Blocks in ranges of lexemes, so that a scan for a few lexemes reads few row groups."""
-    order = ["lexeme", *scope, "block"]
-    return blocks.repartitionByRange(*order).sortWithinPartitions(*order)
+    """Blocks sorted by lexeme in each file, so that a scan for a few lexemes reads few pages of it.
+
+    They stay in the partitions in which they were grouped: ranges would need a
+    sample first, which works out every block once more.
+    """
+    return blocks.sortWithinPartitions("lexeme", *scope, "block")
 
 
 def bounds(blocks: DataFrame, asked: Asked, scope: list[str], query_id: str) -> DataFrame:

@@ -14,6 +14,7 @@ from lodestar.functions.embedding import cosine_distance
 from lodestar.operators.fulltext import match
 from lodestar.operators.postings import top_matches
 from lodestar.operators.vectors import Model, approximate_nearest
+from lodestar.sources.shared import stored
 
 RRF_K = 60
 SCOPE = ["resource_owner", "resource_namespace"]
@@ -82,11 +83,13 @@ def hybrid_search(chunks: DataFrame, index: DataFrame, queries: DataFrame, top_k
 
     ``chunks``: the chunk table (ids are unique in a scope); ``index``: its
     posting blocks, or its lexemes with scope and id; ``queries``: query_id, scope, lexical_query and
-    embedding.
+    embedding. ``semantic``: the semantic branch, if it is made already; then
+    ``chunks`` need no embedding.
     """
     lexical = lexical_branch(index, queries, top_k).select("query_id", "id", "lex_rank", "lex_pos")
     semantic = (semantic_branch(chunks, queries, top_k) if semantic is None else semantic).select("query_id", "id", "semantic_distance", "sem_pos")
-    best = top_hits(fuse(lexical, semantic), top_k).join(queries.select("query_id", *SCOPE), "query_id")
+    best = stored(top_hits(fuse(lexical, semantic), top_k).join(queries.select("query_id", *SCOPE), "query_id"), "best-hits")
+    best = counted(best, BROADCAST)  # few hits go to the chunks: their texts stay where they are
     rows = chunks.select("id", *SCOPE, "chunk_key", "chunk_type", "table_name", "column_name", "rule_id", "raw_value", "payload", "text_exact", "text_semantic")
     return best.join(rows, [*SCOPE, "id"]).select("query_id", "hit_pos", *HIT_COLUMNS)
 

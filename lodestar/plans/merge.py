@@ -26,9 +26,8 @@ from lodestar.functions.embedding import Embedder, HashEmbedder
 from lodestar.observe import Run
 from lodestar.operators import chunks as C
 from lodestar.operators.difference import row_digest
-from lodestar.operators.fulltext import lexemes
 from lodestar.operators.integrity import PRIMARY_KEYS, check
-from lodestar.operators.postings import SPAN_BITS, posting_blocks
+from lodestar.operators.postings import SPAN_BITS, chunk_blocks
 from lodestar.operators.search import SCOPE
 from lodestar.plans.load import FEW, LoadRefused, fatal
 from lodestar.session import interpreted
@@ -137,7 +136,7 @@ def _merge(spark: SparkSession, store: Store, owner: str, namespace: str, config
                 changed = changed.unionByName(gone.select(F.shiftright("id", SPAN_BITS).alias("block")))
             whole = "index" not in pinned
             spans = stored((chunks.select("block") if whole else changed).distinct(), "changed-spans")
-            again = posting_blocks(lexemes(chunks.join(spans, "block", "left_semi"), [*SCOPE, "id"]), SCOPE)
+            again = chunk_blocks(chunks.join(spans, "block", "left_semi"), SCOPE)
             part_of = F.pmod("block", F.lit(parts)).cast("int")
             touched_index = sorted(r.part for r in spans.select(part_of.alias("part")).distinct().collect())
             again = again.withColumn("part", part_of)

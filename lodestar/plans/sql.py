@@ -24,7 +24,10 @@ from lodestar.operators.search import RRF_K
 #: What the functions return, in order.
 RESULT = """id BIGINT, resource_owner STRING, resource_namespace STRING, chunk_key STRING, chunk_type STRING, table_name STRING, column_name STRING, rule_id STRING,
  raw_value STRING, score DOUBLE, lex_rank DOUBLE, semantic_distance DOUBLE, payload {payload}, text_exact STRING, text_semantic STRING"""
-CHUNKS, INDEX, QUESTIONS = "search_chunks", "search_postings", "search_questions"
+CHUNKS, VECTORS, INDEX, QUESTIONS = "search_chunks", "search_vectors", "search_postings", "search_questions"
+#: A few questions, and what is asked and found by them, are sent to the chunks and the index, which stay where they are.
+_FEW = {"asked_hint": "/*+ BROADCAST(asked) */", "question_hint": "/*+ BROADCAST(q) */", "hit_hint": "/*+ BROADCAST(b) */"}
+FEW = 1_000
 _NORM = "sqrt(aggregate({0}, 0D, (s, p) -> s + p * p))"
 
 _BODY = """WITH question AS ({questions}),
@@ -33,7 +36,7 @@ asked AS (
   FROM (SELECT *, search_terms(lexical_query) AS terms FROM question WHERE trim(lexical_query) <> '') LATERAL VIEW explode(terms) AS t LATERAL VIEW explode(t.lexemes) AS l
 ),
 matched AS (
-  SELECT query_id, shiftleft(block, {bits}) + d.at AS id, collect_list(struct(grp, term, negated, n_lexemes, needed, offset, d.deltas AS deltas)) AS entries
+  SELECT {asked_hint} query_id, shiftleft(block, {bits}) + d.at AS id, collect_list(struct(grp, term, negated, n_lexemes, needed, offset, d.deltas AS deltas)) AS entries
   FROM {index} AS p JOIN asked USING (resource_owner, resource_namespace, lexeme) LATERAL VIEW explode(docs) AS d GROUP BY query_id, shiftleft(block, {bits}) + d.at
 ),
 ranked AS (SELECT query_id, id, CAST(CAST(search_rank(entries) AS FLOAT) AS DOUBLE) AS lex_rank FROM matched),
@@ -42,8 +45,8 @@ lexical AS (
   WHERE lex_pos <= greatest(5 * {k}, 20)
 ),
 compared AS (
-  SELECT query_id, c.id, c.embedding IS NULL OR q.embedding IS NULL AS unknown, transform(c.embedding, x -> CAST(x AS DOUBLE)) AS a, transform(q.embedding, x -> CAST(x AS DOUBLE)) AS b
-  FROM {chunks} AS c JOIN question AS q ON c.resource_owner = q.resource_owner AND c.resource_namespace = q.resource_namespace
+  SELECT {question_hint} query_id, c.id, c.embedding IS NULL OR q.embedding IS NULL AS unknown, transform(c.embedding, x -> CAST(x AS DOUBLE)) AS a, transform(q.embedding, x -> CAST(x AS DOUBLE)) AS b
+  FROM {vectors} AS c JOIN question AS q ON c.resource_owner = q.resource_owner AND c.resource_namespace = q.resource_namespace
 ),
 measured AS (
   SELECT query_id, id, CASE WHEN unknown THEN NULL WHEN {norm_a} * {norm_b} = 0 THEN double('NaN') ELSE 1D - aggregate(zip_with(a, b, (p, q) -> p * q), 0D, (s, v) -> s + v) / ({norm_a} * {norm_b}) END AS semantic_distance
@@ -58,20 +61,21 @@ fused AS (
 ),
 best AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lex_rank DESC NULLS LAST, semantic_distance ASC NULLS LAST, id) AS hit_pos FROM fused) WHERE hit_pos <= {k}
-)
-SELECT {first} c.id, c.resource_owner, c.resource_namespace, c.chunk_key, c.chunk_type, c.table_name, c.column_name, c.rule_id, c.raw_value, score, lex_rank, semantic_distance, c.payload, c.text_exact, c.text_semantic
-FROM best AS b JOIN question AS q ON b.query_id = q.query_id
-JOIN {chunks} AS c ON c.id = b.id AND c.resource_owner = q.resource_owner AND c.resource_namespace = q.resource_namespace"""
+),
+hit AS (SELECT b.*, q.resource_owner, q.resource_namespace FROM best AS b JOIN question AS q ON b.query_id = q.query_id)
+SELECT {hit_hint} {first} c.id, c.resource_owner, c.resource_namespace, c.chunk_key, c.chunk_type, c.table_name, c.column_name, c.rule_id, c.raw_value, score, lex_rank, semantic_distance, c.payload, c.text_exact, c.text_semantic
+FROM {chunks} AS c JOIN hit AS b ON c.id = b.id AND c.resource_owner = b.resource_owner AND c.resource_namespace = b.resource_namespace"""
 
 
-def register(spark: SparkSession, chunks: DataFrame, index: DataFrame, questions: DataFrame | None = None) -> None:
+def register(spark: SparkSession, chunks: DataFrame, index: DataFrame, questions: DataFrame | None = None, vectors: DataFrame | None = None) -> None:
     """Make ``hybrid_search`` (and with ``questions`` ``hybrid_search_all``) known to the session's SQL.
 
     ``chunks`` and ``index`` are a store's tables; ``questions`` has query_id
     (any type), the scope, lexical_query and embedding. ``hybrid_search``
     returns the 15 columns of a hit, the best first under ORDER BY score DESC;
     ``hybrid_search_all`` puts query_id and hit_pos before them. A blank or
-    null lexical query is answered by vectors alone.
+    null lexical query is answered by vectors alone. ``vectors``: id, scope and
+    embedding of the chunks, where the chunks have none.
     """
 
     @F.pandas_udf(QUERY_TYPE)
@@ -86,14 +90,16 @@ def register(spark: SparkSession, chunks: DataFrame, index: DataFrame, questions
     spark.udf.register("search_terms", terms)
     spark.udf.register("search_rank", rank)
     chunks.createOrReplaceTempView(CHUNKS)
+    (chunks if vectors is None else vectors).createOrReplaceTempView(VECTORS)
     index.createOrReplaceTempView(INDEX)
     result = RESULT.format(payload=chunks.schema["payload"].dataType.simpleString())
-    common = {"chunks": CHUNKS, "index": INDEX, "bits": SPAN_BITS, "rrf": f"{float(RRF_K)}D", "norm_a": _NORM.format("a"), "norm_b": _NORM.format("b")}
+    common = {"chunks": CHUNKS, "vectors": VECTORS, "index": INDEX, "bits": SPAN_BITS, "rrf": f"{float(RRF_K)}D", "norm_a": _NORM.format("a"), "norm_b": _NORM.format("b")}
     one = "SELECT 1 AS query_id, hybrid_search.owner AS resource_owner, hybrid_search.namespace AS resource_namespace, hybrid_search.lexical_query AS lexical_query, hybrid_search.query_embedding AS embedding"
-    body = _BODY.format(questions=one, k="hybrid_search.top_k", first="", **common)
+    body = _BODY.format(questions=one, k="hybrid_search.top_k", first="", **_FEW, **common)
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION hybrid_search(lexical_query STRING, query_embedding ARRAY<FLOAT>, owner STRING, namespace STRING, top_k INT DEFAULT 10) RETURNS TABLE ({result}) RETURN {body}")
     if questions is not None:
         questions.createOrReplaceTempView(QUESTIONS)
         kind = questions.schema["query_id"].dataType.simpleString()
-        body = _BODY.format(questions=f"SELECT query_id, resource_owner, resource_namespace, lexical_query, embedding FROM {QUESTIONS}", k="hybrid_search_all.top_k", first="b.query_id, b.hit_pos,", **common)
+        hints = _FEW if questions.limit(FEW + 1).count() <= FEW else dict.fromkeys(_FEW, "")
+        body = _BODY.format(questions=f"SELECT query_id, resource_owner, resource_namespace, lexical_query, embedding FROM {QUESTIONS}", k="hybrid_search_all.top_k", first="b.query_id, b.hit_pos,", **hints, **common)
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION hybrid_search_all(top_k INT DEFAULT 10) RETURNS TABLE (query_id {kind}, hit_pos INT, {result}) RETURN {body}")
