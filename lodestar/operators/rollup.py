@@ -46,30 +46,30 @@ def contributions(hits: DataFrame, keywords: DataFrame, weights: dict[str, float
     """
     rows = hits.join(keywords.select("query_id", "keywords"), "query_id").withColumn("coverage", keyword_hits(F.col("keywords"))).drop("keywords")
     weight = F.coalesce(F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])[F.col("chunk_type")], F.lit(1.0))
-    own = rows.where((F.col("chunk_type") != "rule") & _named(F.col("table_name"), F.col("column_name")))
-    own = own.withColumn("place", F.lit(0)).withColumn("points", F.col("score") * weight)
-    refs = F.col("payload.candidate_columns")
-    rules = rows.where((F.col("chunk_type") == "rule") & (F.size(refs) > 0)).select(
-        *[c for c in rows.columns if c not in REF], F.size(refs).alias("n"), F.posexplode(refs).alias("place", "ref")
-    )
-    rules = rules.where(_named(F.col("ref.table_name"), F.col("ref.column_name")))
-    rules = rules.withColumn("points", F.col("score") * F.lit(float(weights.get("rule", 1.0))) / F.col("n"))
-    rules = rules.withColumn("table_name", F.col("ref.table_name")).withColumn("column_name", F.col("ref.column_name"))
-    return own.unionByName(rules.select(own.columns))
+    refs, n = F.col("payload.candidate_columns"), F.size("payload.candidate_columns")
+    item = lambda place, points, table, column: F.struct(place.cast("int").alias("place"), points.alias("points"), table.alias("table_name"), column.alias("column_name"))
+    own = F.array(item(F.lit(0), F.col("score") * weight, F.col("table_name"), F.col("column_name")))
+    shares = F.transform(refs, lambda r, i: item(i, F.col("score") * F.lit(float(weights.get("rule", 1.0))) / n, r["table_name"], r["column_name"]))
+    # one row generator, no union: rows stay dealt by question as the join left them
+    counted = F.when(F.col("chunk_type") != "rule", own).when((F.col("chunk_type") == "rule") & (n > 0), shares)
+    others = [c for c in rows.columns if c not in REF]
+    found = rows.select(*others, F.explode(F.filter(counted, lambda x: _named(x["table_name"], x["column_name"]))).alias("counted"))
+    return found.select(*others, "counted.*")
 
 
 def by_column(parts: DataFrame) -> DataFrame:
     """query_id, ref and ``entries``: what counts for the column, in the order of hits.
 
-    A question has no more hits than its limit, so its entries are few. They
-    are dealt by question, once: what follows groups and ranks inside it.
+    A question has no more hits than its limit, so its entries are few. The
+    join with its keywords has dealt them by question already: what follows
+    groups and ranks inside it.
     """
     gloss = F.when(F.col("chunk_type") == "value_definition", T.compact_sentence(F.col("payload.value_gloss")))
     entry = F.struct(
         "hit_pos", "place", "chunk_type", "chunk_key", "points", "score", "coverage", "raw_value", gloss.alias("value_gloss"),
         F.coalesce("payload.synonyms", F.array().cast("array<string>")).alias("synonyms"), "rule_id", "text_semantic",
     )
-    rows = parts.select("query_id", *REF, entry.alias("entry")).repartition("query_id")
+    rows = parts.select("query_id", *REF, entry.alias("entry"))
     return rows.groupBy("query_id", *REF).agg(F.array_sort(F.collect_list("entry")).alias("entries"))
 
 
@@ -150,20 +150,21 @@ def candidate_columns(hits: DataFrame, queries: DataFrame, columns: DataFrame, w
     ranked = rank_columns(grouped, top).withColumns(details_of).drop("entries")
     scope = queries.select("query_id", *SCOPE)
     details = columns.select(*SCOPE, *REF, "raw_column_name", "description", "aliases", "data_type", "value_cardinality", "mandatory_description_in_prompt")
-    found = ranked.join(scope, "query_id").join(details, [*SCOPE, *REF], "left").withColumn("section", F.lit(0)).withColumn("injection_source", F.lit("retrieval"))
-    forced = scope.join(details.where("mandatory_description_in_prompt"), SCOPE).join(ranked.select("query_id", *REF), ["query_id", *REF], "left_anti")
-    by_name = Window.partitionBy("query_id").orderBy(*REF)
-    forced = (
-        forced.withColumn("rank", F.row_number().over(by_name))
-        .withColumn("section", F.lit(1))
-        .withColumn("score", F.lit(0.0))
-        .withColumn("injection_source", F.lit("mandatory_high_cardinality"))
-        .withColumn("coverage_terms", F.array().cast("array<string>"))
-        .withColumn("matched_values", F.lit(None).cast(_VALUES))
-        .withColumn("matched_rules", F.lit(None).cast(_RULES))
-        .withColumn("supporting_chunks", F.lit(None).cast(_CHUNKS))
+    fields = ("section", "rank", *REF, "score", "injection_source", "coverage_terms", "matched_values", "matched_rules", "supporting_chunks")
+    ranked = ranked.withColumn("section", F.lit(0)).withColumn("injection_source", F.lit("retrieval"))
+    best = ranked.groupBy("query_id").agg(F.collect_list(F.struct(*fields)).alias("best"))
+    forced = details.where("mandatory_description_in_prompt").groupBy(*SCOPE).agg(F.array_sort(F.collect_set(F.struct(*REF))).alias("forced"))
+    asked = scope.join(forced, SCOPE, "left").join(best, "query_id", "left")
+    known = F.coalesce(F.transform("best", lambda b: F.struct(*[b[c].alias(c) for c in REF])), F.array().cast(f"array<struct<{', '.join(f'{c}: string' for c in REF)}>>"))
+    values = {
+        "section": F.lit(1), "score": F.lit(0.0), "injection_source": F.lit("mandatory_high_cardinality"), "coverage_terms": F.array().cast("array<string>"),
+        "matched_values": F.lit(None).cast(_VALUES), "matched_rules": F.lit(None).cast(_RULES), "supporting_chunks": F.lit(None).cast(_CHUNKS),
+    }
+    added = F.transform(
+        F.array_except("forced", known), lambda f, i: F.struct(*[(values[c] if c in values else (i + 1) if c == "rank" else f[c]).alias(c) for c in fields])
     )
-    both = found.unionByName(forced.select(found.columns))
+    items = F.flatten(F.array_compact(F.array(F.col("best"), added)))
+    both = asked.select("query_id", *SCOPE, F.explode(items).alias("item")).select("query_id", *SCOPE, "item.*").join(details, [*SCOPE, *REF], "left")
     empty = lambda c, kind: F.coalesce(F.col(c).cast(kind), F.array().cast(kind)).alias(c)
     return both.select(
         "query_id", "section", "rank", *REF, "raw_column_name", "score", "coverage_terms",
@@ -209,15 +210,16 @@ def retrieval_summary(hits: DataFrame, candidates: DataFrame, queries: DataFrame
         F.count("*").alias("hit_count"),
         top(first, F.col("chunk_key")).alias("top_hit_chunk_keys"),
         top(first & _named(F.col("table_name"), F.col("column_name")), T.label(F.col("table_name"), F.col("column_name"))).alias("top_hit_columns"),
+        F.collect_list(F.coalesce("chunk_type", F.lit("None"))).alias("kinds"),
     )
-    kinds = hits.groupBy("query_id", F.coalesce("chunk_type", F.lit("None")).alias("chunk_type")).count()
-    kinds = kinds.groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("chunk_type", "count")))).alias("chunk_type_counts"))
+    of = lambda kind: F.struct(kind.alias("chunk_type"), F.size(F.filter("kinds", lambda k: k == kind)).cast("long").alias("count"))
+    by_hit = by_hit.withColumn("chunk_type_counts", F.map_from_entries(F.array_sort(F.transform(F.array_distinct("kinds"), of)))).drop("kinds")
     by_column = candidates.groupBy("query_id").agg(
         F.count("*").alias("candidate_column_count"),
         F.sum(F.size("matched_values")).alias("matched_value_count"),
         F.sum(F.size("matched_rules")).alias("matched_rule_count"),
         F.count_if(F.col("injection_source") == "mandatory_high_cardinality").alias("mandatory_injected_columns"),
     )
-    out = queries.select("query_id").join(by_hit, "query_id", "left").join(kinds, "query_id", "left").join(by_column, "query_id", "left")
+    out = queries.select("query_id").join(by_hit, "query_id", "left").join(by_column, "query_id", "left")
     counts = ["hit_count", "candidate_column_count", "matched_value_count", "matched_rule_count", "mandatory_injected_columns"]
     return out.fillna(0, counts)
