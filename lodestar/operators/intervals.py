@@ -87,3 +87,15 @@ def in_intervals(points: DataFrame, intervals: DataFrame, at: str, start: str, s
     looks = looks.select(*points.columns, "_look.*")
     met = looks.join(placed, [*by, "_level", "_bucket"])
     return met.where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(stop))).drop("_level", "_bucket")
+
+
+def count_in_intervals(points: DataFrame, intervals: DataFrame, at: str, start: str, stop: str, width: float) -> DataFrame:
+    """``intervals`` that hold any point, with ``n`` points and the ``largest`` of them.
+
+    Equal points are counted first and equal intervals are met once, so what
+    meets in a bucket does not grow with their repeats.
+    """
+    distinct = points.groupBy(at).agg(F.count("*").alias("_n"))
+    spans = intervals.select(start, stop).distinct()
+    met = in_intervals(distinct, spans, at, start, stop, width).groupBy(start, stop).agg(F.sum("_n").alias("n"), F.max(at).alias("largest"))
+    return intervals.join(met, [start, stop])
