@@ -48,3 +48,23 @@ def test_marks_are_forgotten_after_a_time(spark, tmp_path):
     put(spark, str(tmp_path / "in"), ("end", "c", 900, 1, "end"))
     found = run(spark, tmp_path, forget_after_ms=50_000)
     assert [d for k, t, d in found if t == "t"] == ["anew", "one"]
+
+
+def test_state_is_held_by_buckets_of_keys(spark, tmp_path, monkeypatch):
+    from lodestar.streaming import first_wins as module
+
+    monkeypatch.setattr(module, "BUCKETS", 4, raising=False)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    big = 2**53
+    at = lambda s: F.timestamp_micros((F.lit(1_000_000) * s).cast("long"))
+    n = F.col("id")
+    keys = [F.when(n % 50 != 7, n % 50 + big).alias("a"), F.when(n < 100, -0.0).otherwise(0.0).alias("b"), at(n % 50 + 1 / 8).alias("c"), F.encode((n % 50).cast("string"), "utf-8").alias("d"), F.concat(F.lit('"\\,é'), (n % 50).cast("string")).alias("e")]
+    spark.range(200).select(*keys, at(F.lit(1000) - n).alias("ts"), n.alias("pos")).repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    found = first_wins(stream, list("abcde"), "ts", F.col("pos"), "1 seconds")
+    query = start(spark, found, str(tmp_path / "out"), str(tmp_path / "check"), available_now=True)
+    query.awaitTermination()
+    assert 0 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    got = {(r.a, r.b, r.d, r.e, r.us): r.tie for r in rows.select("*", F.unix_micros("c").alias("us")).collect()}
+    assert got == {(None if k == 7 else k + big, 0.0, str(k).encode(), f'"\\,é{k}', k * 1_000_000 + 125_000): k + 150 for k in range(50)}
