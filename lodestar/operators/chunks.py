@@ -112,7 +112,8 @@ def rule_catalog(rules: DataFrame) -> DataFrame:
 
 
 #: Source places in a block of ids: of records, and of groups of values (whose place is in the upper 32 bits).
-RECORDS, GROUPS = 1 << 16, 1 << 12
+#: A block is numbered, embedded and indexed by one task.
+RECORDS, GROUPS = 1 << 12, 1 << 8
 
 
 def _block(group_pos: Column) -> Column:

@@ -32,7 +32,7 @@ from lodestar.operators.search import SCOPE
 from lodestar.plans.load import FEW, LoadRefused, fatal
 from lodestar.session import interpreted
 from lodestar.sources.catalog_json import get_adapter
-from lodestar.sources.shared import stored
+from lodestar.sources.shared import dealt, stored
 from lodestar.sources.store import Store, View
 
 #: Parts of each table of a scope.
@@ -65,6 +65,7 @@ def merge_namespace(
         tables = {name: stored(df, name) for name, df in (("columns", catalog.columns), ("values", catalog.values), ("rules", catalog.rules))}
         refused = fatal(catalog.issues).limit(5).collect()
         counts = {name: df.count() for name, df in tables.items()}
+        tables = {name: dealt(df, counts[name], name) for name, df in tables.items()}
     if refused or not counts["columns"]:
         raise LoadRefused(f"{data_dir} names no column or has issues that a merge does not pass over; {owner}/{namespace} stays as it is: {refused}")
     with interpreted(spark, sum(counts.values()) <= FEW):
